@@ -13,96 +13,115 @@ from pyspark.sql import functions as F
 from .common import components, scratch
 
 SEED = 42
-#: Bits of each segment. By the pigeonhole principle the radii of the segments, each plus one, add up to the largest
-#: distance plus one; a segment that is looked up exactly needs fewer bits than one with a ball around it.
-WIDTHS = (23, 23, 18)
-
-
-def fingerprint(text: str | None, shingle: int) -> int:
-    """64 bits as an unsigned number: a bit is 1 if it is set in over half of the XXH64 (seed 42) of the text's shingles.
-    A-Z are lower-cased; repeats count; fewer words than a shingle: one shingle of all words; no word: 0."""
+#: (word, lowest bit, bits, radius) of each segment. EXACT finds all pairs of 64-bit fingerprints at most 4 bits apart: by the
+#: pigeonhole principle the radii, each plus one, add up to 5. A segment that is looked up exactly needs fewer bits.
+EXACT = ((0, 0, 23, 1), (0, 23, 23, 1), (0, 46, 18, 0))
+#: WIDE is for 128 bits, whose distance tells a similarity of 0.8 apart; a pair of that similarity differs in two bits or
+#: more of all eight segments in one case of fourteen.
+WIDE = tuple((w, low, 16, 1) for w in (0, 1) for low in (0, 16, 32, 48))
+SIMILAR_BITS = 22
+
+
+def _more(h: np.ndarray) -> np.ndarray:
+    """A second, independent hash of each."""
+    h = (h ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def fingerprint(text: str | None, shingle: int, count: int = 1) -> list[int]:
+    """`count` words of 64 bits, unsigned: a bit is 1 if it is set in over half of the hashes of the text's shingles, which
+    are their XXH64 (seed 42) for the first word. A-Z are lower-cased; repeats count; fewer words than a shingle: one
+    shingle of all words; no word: 0."""
     parts = (text or "").encode().lower().split()  # bytes: only ASCII letters and ASCII white space
     if not parts:
-        return 0
+        return [0] * count
     line = b" ".join(parts)
     size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     end = np.cumsum(size + 1) - 1
     k = min(shingle, len(parts))
     digest, n = xxhash.xxh64_intdigest, len(parts) - k + 1
-    hashes = [digest(line[s:e], SEED) for s, e in zip((end - size)[:n].tolist(), end[k - 1 :].tolist())]
-    bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > n, bitorder="little").view("<u8")[0])
+    h = np.array([digest(line[s:e], SEED) for s, e in zip((end - size)[:n].tolist(), end[k - 1 :].tolist())], dtype="<u8")
+    out = []
+    for _ in range(count):
+        bits = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * bits > n, bitorder="little").view("<u8")[0]))
+        h = _more(h)
+    return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 4, count: int = 1) -> DataFrame:
+    """(doc_id, fp0, fp1, ...): the words of the fingerprint as signed longs."""
+    names = [f"fp{i}" for i in range(count)]
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
-
+            fp = np.array([fingerprint(t, shingle, count) for t in b.column(1).to_pylist()], dtype=np.uint64).reshape(-1, count)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(fp[:, i]).view(np.int64)) for i in range(count))], names=["doc_id", *names])
 
-def segments(bits: int, widths=WIDTHS) -> list[tuple[int, int]]:
-    """(mask, radius) of each segment: two fingerprints at most `bits` apart differ by at most radius in one of them."""
-    assert sum(widths) == 64
-    q, rest = divmod(bits + 1, len(widths))
-    out, low = [], 0
-    for i, w in enumerate(widths):
-        out.append((((1 << w) - 1) << low, q - (i >= rest)))
-        low += w
-    return [x for x in out if x[1] >= 0]
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{x} long" for x in names))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def links(classes: DataFrame, bits: int = 4, widths=WIDTHS) -> DataFrame:
-    """Pairs (rep_a, rep_b, distance) of rows of classes (fp, rep; each fp once) that differ by at most `bits`.
+def links(classes: DataFrame, bits: int = 4, segments=EXACT) -> DataFrame:
+    """Pairs (a, b, distance) of rep of classes (rep, fp0, ...; each fingerprint once) that differ by at most `bits`.
 
     Every fingerprint goes into one table per segment under the segment's value. Each also looks up, in each table, all
-    values in the Hamming ball of the segment's radius; what it meets is verified on all 64 bits. A pair comes once: at
-    the first segment that finds it, and from its smaller fingerprint.
+    values in the Hamming ball of the segment's radius; what it meets is verified on all bits. A pair comes once: at the
+    first segment that finds it, looked up from its smaller rep.
     """
-    cut = segments(bits, widths)
-    column = F.lit
-    tables = F.explode(F.array(*[F.struct(column(i).alias("seg"), column(_signed(m)).alias("mask")) for i, (m, _) in enumerate(cut)]))
-    balls = []
-    for i, (m, radius) in enumerate(cut):
-        places = [p for p in range(64) if m >> p & 1]
-        balls += [F.struct(column(i).alias("seg"), column(_signed(m)).alias("mask"), column(_signed(sum(1 << p for p in ps))).alias("flip")) for r in range(radius + 1) for ps in combinations(places, r)]
-    there = classes.select("fp", "rep", tables.alias("t")).select(F.col("t.seg").alias("seg"), F.col("fp").bitwiseAND(F.col("t.mask")).alias("value"), F.col("fp").alias("fp_b"), F.col("rep").alias("rep_b"))
-    asked = classes.select("fp", "rep", F.explode(F.array(*balls)).alias("t")).select(F.col("t.seg").alias("seg"), F.col("fp").bitwiseAND(F.col("t.mask")).bitwiseXOR(F.col("t.flip")).alias("value"), F.col("fp").alias("fp_a"), F.col("rep").alias("rep_a"))
-    differ = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
-    found = asked.join(
-        there.hint("shuffle_hash"),
-        (asked.seg == there.seg) & (asked.value == there.value) & (F.col("fp_a") < F.col("fp_b")) & (F.bit_count(differ) <= bits) & _first(asked.seg, differ, cut),
-    )
-    return found.select("rep_a", "rep_b", F.bit_count(differ).alias("distance"))
-
-
-def _first(seg, differ, cut):
-    """No earlier segment finds the pair."""
-    out = F.lit(True)
-    for i, (m, radius) in enumerate(cut):
-        out = out & ((seg <= i) | (F.bit_count(differ.bitwiseAND(F.lit(_signed(m)))) > radius))
-    return out
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs (doc_id, text).
+    count = 1 + max(w for w, *_ in segments)
+    fps = [f"fp{i}" for i in range(count)]
+
+    def value(w: int, low: int, width: int):
+        return F.shiftrightunsigned(F.col(f"fp{w}"), low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+    exact, ball = [], []
+    for i, (w, low, width, radius) in enumerate(segments):
+        seg = F.lit(i << 32).cast("long")
+        exact.append(value(w, low, width).bitwiseOR(seg))
+        flips = [sum(1 << p for p in ps) for r in range(radius + 1) for ps in combinations(range(width), r)]
+        near = F.array(*[F.lit(x).cast("long") for x in flips])
+        ball.append(F.transform(near, _flipped(value(w, low, width).bitwiseOR(seg))))
+    there = classes.select(F.explode(F.array(*exact)).alias("key"), F.col("rep").alias("b"), *[F.col(x).alias(f"{x}_b") for x in fps])
+    asked = classes.select(F.explode(F.flatten(F.array(*ball))).alias("key"), F.col("rep").alias("a"), *[F.col(x).alias(f"{x}_a") for x in fps])
+    differ = [F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b")) for x in fps]
+    distance = sum((F.bit_count(d) for d in differ[1:]), F.bit_count(differ[0]))
+    first = F.lit(True)
+    for i, (w, low, width, radius) in enumerate(segments):
+        mask = ((1 << width) - 1) << low
+        mask -= (mask >> 63) << 64
+        first = first & ((F.shiftright(asked.key, 32) <= i) | (F.bit_count(differ[w].bitwiseAND(F.lit(mask).cast("long"))) > radius))
+    met = asked.join(there.hint("shuffle_hash"), (asked.key == there.key) & (F.col("a") < F.col("b")) & (distance <= bits) & first)
+    return met.select("a", "b", distance.alias("distance"))
+
+
+def _flipped(value):
+    return lambda flip: value.bitwiseXOR(flip)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, segments=EXACT) -> DataFrame:
+    """(doc_id, fp0, ..., component_id) for each row of docs (doc_id, text).
 
     Equal fingerprints are one class, which its smallest doc_id stands for; only classes are linked, so a group of
     copies costs one row in the tables. component_id is the smallest doc_id reachable over links. Null and empty texts
-    have fingerprint 0 and are linked like any other; a repeated row comes as often as it is there; an empty table gives
-    an empty result; other columns are ignored.
+    have fingerprint 0 and are linked like any other; a null doc_id counts as the smallest; a repeated row comes as often
+    as it is there; an empty table gives an empty result; other columns are ignored.
     """
-    fps = scratch(fingerprints(docs, shingle), "fingerprints")
-    classes = scratch(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    pairs = links(classes, bits)
-    labels = components(pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
-    of = classes.join(labels, classes.rep == labels.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    count = 1 + max(w for w, *_ in segments)
+    names = [f"fp{i}" for i in range(count)]
+    fps = scratch(fingerprints(docs, shingle, count), "fingerprints")
+    lowest = F.lit(-(1 << 63)).cast("long")
+    classes = scratch(fps.groupBy(*names).agg(F.min(F.coalesce("doc_id", lowest)).alias("rep")), "classes")
+    labels = components(links(classes, bits, segments).select("a", "b"))
+    of = classes.join(labels, classes.rep == labels.node, "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(of, names).select("doc_id", *names, "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, bits: int = SIMILAR_BITS, segments=WIDE) -> DataFrame:
+    """docs without near-duplicates of a similarity of about 0.8 or more on shingles of five words: of each group the row
+    with the smallest doc_id stays, once (of rows with equal doc_id, one). All columns are kept."""
+    lowest = F.lit(-(1 << 63)).cast("long")
+    found = near_duplicates(docs, shingle, bits, segments).where(F.coalesce("doc_id", lowest) == F.col("component_id")).select("component_id").distinct()
+    one = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), lowest))
+    kept = one.join(found.withColumnRenamed("component_id", "_id").hint("shuffle_hash"), "_id", "left_semi")
+    return kept.dropDuplicates(["_id"]).drop("_id")
