@@ -20,6 +20,7 @@ RAW = frozenset("script style textarea title".split())
 #: Elements that begin or end a block; other elements are within one.
 BLOCK = frozenset("address article blockquote body br caption center dd details div dl dt fieldset figcaption h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+STRUCTURE = frozenset("html body div section main article address details fieldset hr".split())
 #: Class and id words of menus, notices, adverts, comments and the like, as wholes or before a digit.
 NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|disqus|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|popup|promo|promoted|related|replies|respond|share|sharing|sidebar|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[\s_\d-])", re.I)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -98,10 +99,10 @@ class Weights:
         a, b = sum(inside.values()) + 1, sum(outside.values()) + 1
         for t in {*inside, *outside}:
             self.tag[t] = min(-0.05, math.log((inside[t] + 0.5) / a) - math.log((outside[t] + 0.5) / b))
-        self.other = -1.0
 
     def of(self, tag: str) -> float:
-        return self.tag.get(tag, self.other)
+        """Tags that no labelled page has: those of a page's structure part regions, those of text hardly count."""
+        return self.tag.get(tag, -3.0 if tag.lstrip("/") in STRUCTURE else -0.1)
 
 
 def fit(pages: list[str]) -> Weights:
