@@ -49,9 +49,11 @@ def tokens(page: str) -> list[tuple[str, str]]:
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.match(page, at)
-        if m is None:  # a tag that never ends
-            break
         at = m.end()
+        if m[4] == "<" and page[at : at + 1].isalpha() or m[4] == "<" and page[at : at + 1] == "/":
+            end = page.find(">", at)  # a tag with an open quote, or one that never ends
+            at = end + 1 if end >= 0 else n
+            continue
         if m[4] is not None:
             if not skip:
                 out.append(("text", m[4]))

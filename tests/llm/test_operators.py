@@ -215,7 +215,7 @@ def test_mixing(spark, texts):
 def test_secrets(spark):
     def tlv(tag, body):
         n = len(body)
-        return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
+        return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82]) + n.to_bytes(2, "big")) + body
 
     rsa = tlv(0x30, b"".join(tlv(2, x) for x in [b"\0", b"\1" * 130, b"\3", b"\5" * 128, *[b"\7" * 64] * 5]))
     coded = base64.b64encode(rsa).decode()
