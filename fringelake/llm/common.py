@@ -69,24 +69,33 @@ def discard(df: DataFrame) -> None:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): for each node of the undirected edges (a, b), the smallest node that it can reach.
 
-    Labels start as the node itself. Each round takes the smallest label among the neighbours and then follows labels of
-    labels, so the rounds grow as the logarithm of a path's length. A hub's edges are split by Spark's skew join, and its
-    minimum is pre-aggregated in each task. No edges: no rows.
+    Each round points every node at its smallest neighbour, or itself, follows the pointers once more, and contracts: the
+    edges between what nodes point at are all that the next round sees. So edges shrink from round to round, a dense group
+    is one node after a round or two, and a path's length is divided. A hub's minimum is pre-aggregated in each task, and
+    its edges are split by Spark's skew join. No edges: no rows.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = scratch(both.where("a <> b").distinct(), "edges")
-    labels = scratch(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
+    now = scratch(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    labels = None
     for _ in range(rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
-        lower = labels.join(near, labels.node == near.a).select("node", "component", F.least("component", "near").alias("to"))
-        up = labels.select(F.col("node").alias("to"), F.col("component").alias("up"))
-        after = lower.join(up, "to").select("node", F.least("to", "up").alias("component"), (F.least("to", "up") < F.col("component")).alias("moved"))
-        after = scratch(after, "labels")
-        discard(labels)
-        labels = after
-        if after.where("moved").isEmpty():
+        if labels is not None and now.isEmpty():
             break
+        ends = now.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(now.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        lower = scratch(ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("to")), "lower")
+        up = lower.select(F.col("node").alias("to"), F.col("to").alias("up"))
+        step = scratch(lower.join(up, "to").select("node", "up"), "step")
+        discard(lower)
+        if labels is None:
+            after = step.select("node", F.col("up").alias("component"))
+        else:
+            after = labels.join(step.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+        after = scratch(after, "labels")
+        one, two = (step.select(F.col("node").alias(x), F.col("up").alias(f"up_{x}")) for x in ("a", "b"))
+        fewer = now.join(one, "a").join(two, "b").where("up_a <> up_b").select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct()
+        fewer = scratch(fewer, "edges")
+        for x in (now, step, *([labels] if labels is not None else [])):
+            discard(x)
+        now, labels = fewer, after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    discard(both)
-    return labels.select("node", "component")
+    discard(now)
+    return labels

@@ -62,37 +62,59 @@ def fingerprints(docs: DataFrame, shingle: int = 4, count: int = 1) -> DataFrame
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{x} long" for x in names))
 
 
+def _value(w: int, low: int, width: int, seg: int):
+    """The key of a segment's value in its table."""
+    return F.shiftrightunsigned(F.col(f"fp{w}"), low).bitwiseAND(F.lit((1 << width) - 1).cast("long")).bitwiseOR(F.lit(seg << 32).cast("long"))
+
+
+def _words(segments) -> list[str]:
+    return [f"fp{i}" for i in range(1 + max(w for w, *_ in segments))]
+
+
+def _distance(fps: list[str], one: str, two: str):
+    differ = [F.bit_count(F.col(f"{x}{one}").bitwiseXOR(F.col(f"{x}{two}"))) for x in fps]
+    return sum(differ[1:], differ[0])
+
+
+def anchored(classes: DataFrame, bits: int, segments) -> DataFrame:
+    """Links (a, b) of each class to the smallest and the largest rep that share a segment's value with it, where they are
+    at most `bits` apart: a few rows for each class, however many are alike."""
+    fps = _words(segments)
+    keys = F.explode(F.array(*[_value(*x[:3], i) for i, x in enumerate(segments)]))
+    there = classes.select(keys.alias("key"), "rep", *fps)
+    both = F.struct("rep", *fps)
+    ends = there.groupBy("key").agg(F.min(both).alias("low"), F.max(both).alias("high")).where("low.rep < high.rep")
+    ends = ends.select(F.col("key").alias("at"), "low", "high")
+    rows = there.join(ends, F.col("key") == F.col("at"))
+    near = lambda side: sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"{side}.{x}"))) for x in fps[1:]), F.bit_count(F.col(fps[0]).bitwiseXOR(F.col(f"{side}.{fps[0]}"))))
+    met = F.filter(F.array(*[F.when((near(side) <= bits) & (F.col(f"{side}.rep") != F.col("rep")), F.col(f"{side}.rep")) for side in ("low", "high")]), lambda x: x.isNotNull())
+    return rows.select(F.col("rep").alias("a"), met.alias("met")).where(F.size("met") > 0).select("a", F.explode("met").alias("b"))
+
+
 def links(classes: DataFrame, bits: int = 4, segments=EXACT) -> DataFrame:
-    """Pairs (a, b, distance) of rep of classes (rep, fp0, ...; each fingerprint once) that differ by at most `bits`.
+    """Pairs (a, b) of components of classes (rep, component, fp0, ...; each fingerprint once), one row for each pair of
+    classes of different components that differ by at most `bits`.
 
     Every fingerprint goes into one table per segment under the segment's value. Each also looks up, in each table, all
     values in the Hamming ball of the segment's radius; what it meets is verified on all bits. A pair comes once: at the
-    first segment that finds it, looked up from its smaller rep.
+    first segment that finds it, looked up from its smaller rep. Pairs already in one component are left out in the join.
     """
-    count = 1 + max(w for w, *_ in segments)
-    fps = [f"fp{i}" for i in range(count)]
-
-    def value(w: int, low: int, width: int):
-        return F.shiftrightunsigned(F.col(f"fp{w}"), low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-
-    exact, ball = [], []
-    for i, (w, low, width, radius) in enumerate(segments):
-        seg = F.lit(i << 32).cast("long")
-        exact.append(value(w, low, width).bitwiseOR(seg))
+    fps = _words(segments)
+    exact = [_value(*x[:3], i) for i, x in enumerate(segments)]
+    ball = []
+    for value, (_, _, width, radius) in zip(exact, segments):
         flips = [sum(1 << p for p in ps) for r in range(radius + 1) for ps in combinations(range(width), r)]
-        near = F.array(*[F.lit(x).cast("long") for x in flips])
-        ball.append(F.transform(near, _flipped(value(w, low, width).bitwiseOR(seg))))
-    there = classes.select(F.explode(F.array(*exact)).alias("key"), F.col("rep").alias("b"), *[F.col(x).alias(f"{x}_b") for x in fps])
-    asked = classes.select(F.explode(F.flatten(F.array(*ball))).alias("key"), F.col("rep").alias("a"), *[F.col(x).alias(f"{x}_a") for x in fps])
-    differ = [F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b")) for x in fps]
-    distance = sum((F.bit_count(d) for d in differ[1:]), F.bit_count(differ[0]))
+        ball.append(F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), _flipped(value)))
+    there = classes.select(F.explode(F.array(*exact)).alias("key"), F.col("rep").alias("rep_b"), F.col("component").alias("b"), *[F.col(x).alias(f"{x}_b") for x in fps])
+    asked = classes.select(F.explode(F.flatten(F.array(*ball))).alias("key"), F.col("rep").alias("rep_a"), F.col("component").alias("a"), *[F.col(x).alias(f"{x}_a") for x in fps])
     first = F.lit(True)
     for i, (w, low, width, radius) in enumerate(segments):
         mask = ((1 << width) - 1) << low
         mask -= (mask >> 63) << 64
-        first = first & ((F.shiftright(asked.key, 32) <= i) | (F.bit_count(differ[w].bitwiseAND(F.lit(mask).cast("long"))) > radius))
-    met = asked.join(there.hint("shuffle_hash"), (asked.key == there.key) & (F.col("a") < F.col("b")) & (distance <= bits) & first)
-    return met.select("a", "b", distance.alias("distance"))
+        differ = F.col(f"fp{w}_a").bitwiseXOR(F.col(f"fp{w}_b"))
+        first = first & ((F.shiftright(asked.key, 32) <= i) | (F.bit_count(differ.bitwiseAND(F.lit(mask).cast("long"))) > radius))
+    found = (asked.key == there.key) & (F.col("rep_a") < F.col("rep_b")) & (F.col("a") != F.col("b")) & (_distance(fps, "_a", "_b") <= bits) & first
+    return asked.join(there.hint("shuffle_hash"), found).select("a", "b")
 
 
 def _flipped(value):
@@ -112,8 +134,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, segments=E
     fps = scratch(fingerprints(docs, shingle, count), "fingerprints")
     lowest = F.lit(-(1 << 63)).cast("long")
     classes = scratch(fps.groupBy(*names).agg(F.min(F.coalesce("doc_id", lowest)).alias("rep")), "classes")
-    labels = components(links(classes, bits, segments).select("a", "b"))
-    of = classes.join(labels, classes.rep == labels.node, "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
+    # first the links to a few others of each bucket, which join a dense group without all its pairs; then all links between
+    # what is not joined yet
+    joined = components(anchored(classes, bits, segments))
+    some = classes.join(joined, classes.rep == joined.node, "left").select("rep", *names, F.coalesce("component", "rep").alias("component"))
+    some = scratch(some, "joined")
+    labels = components(links(some, bits, segments)).withColumnRenamed("component", "last")
+    of = some.join(labels, some.component == labels.node, "left").select(*names, F.coalesce("last", "component").alias("component_id"))
     return fps.join(of, names).select("doc_id", *names, "component_id")
 
 
@@ -124,4 +151,8 @@ def one_of_each(docs: DataFrame, shingle: int = 5, bits: int = SIMILAR_BITS, seg
     found = near_duplicates(docs, shingle, bits, segments).where(F.coalesce("doc_id", lowest) == F.col("component_id")).select("component_id").distinct()
     one = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), lowest))
     kept = one.join(found.withColumnRenamed("component_id", "_id").hint("shuffle_hash"), "_id", "left_semi")
-    return kept.dropDuplicates(["_id"]).drop("_id")
+    again = docs.groupBy(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("_id")).count().where("count > 1").select("_id")
+    if not again.isEmpty():
+        again = scratch(again, "again")
+        kept = kept.join(again, "_id", "left_anti").unionByName(kept.join(again, "_id", "left_semi").dropDuplicates(["_id"]))
+    return kept.drop("_id")
