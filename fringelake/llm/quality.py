@@ -15,31 +15,33 @@ COMMON_WORDS = {
     "fr": "de la le et les des en un une du que est pour dans qui sur pas au par avec",
 }
 #: The character classes; what is in none of them, such as letters beyond ASCII, is the last class.
-CLASSES = {"lower": "[a-z]+", "upper": "[A-Z]+", "digit": "[0-9]+", "space": "[\\x20\\x09-\\x0D]+", "stop": "[.,;:?'\"()-]+", "symbol": "[!#$%&*+/<=>@\\[\\\\\\]^_`{|}~]+"}
+CLASSES = {"lower": "[a-z]+", "space": "[\\x20\\x09-\\x0D]+", "upper": "[A-Z]+", "digit": "[0-9]+", "stop": "[.,;:?'\"()-]+", "symbol": "[!#$%&*+/<=>@\\[\\\\\\]^_`{|}~]+"}
 MIN_WORDS, CHAR_LIMIT, WORD_LIMIT = 60, 0.26, 0.305
 
 
 def _flagged_runs(hashes: Column, width: int) -> Column:
-    """How many words lie in windows of `width` words whose hash comes twice or more; hashes are those of the windows, in order."""
-    placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    """How many words lie in windows of `width` words whose hash comes twice or more; hashes are those of the windows, in
+    order. Only texts with such a hash are looked at closer."""
 
     def covered(s: Column) -> Column:
         n = F.size(s)
         after = F.concat(F.slice(s, 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(None).cast("struct<h:bigint,i:int>")))
         before = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.slice(s, 1, F.greatest(n - 1, F.lit(0))))
         same = F.zip_with(F.zip_with(s, after, lambda x, y: F.struct(x["i"].alias("i"), (x["h"] == y["h"]).alias("e"), x["h"].alias("h"))), before, lambda x, y: F.when(F.coalesce(x["e"], F.lit(False)) | F.coalesce(x["h"] == y["h"], F.lit(False)), x["i"]))
-        return let(F.array_sort(F.filter(same, lambda i: i.isNotNull())), gaps)
+        return let(F.sort_array(F.filter(same, lambda i: i.isNotNull())), gaps)
 
     def gaps(starts: Column) -> Column:
         later = F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0)))
         steps = F.zip_with(starts, later, lambda a, b: F.coalesce(F.least(b - a, F.lit(width)), F.lit(width)))
         return F.aggregate(steps, F.lit(0), lambda t, x: t + x)
 
-    return F.when(F.size(hashes) < 2, F.lit(0)).otherwise(let(placed, covered))
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(placed, covered))
 
 
-def _window_hashes(parts: Column, width: int = 5) -> Column:
-    """Hashes of the windows of five words: of pairs, of pairs of pairs, and of those with one word more."""
+def _window_hashes(words_: Column, width: int = 5) -> Column:
+    """Hashes of the windows of five words, given those of the words: of pairs, of pairs of pairs, and of those with one word
+    more."""
     assert width == 5
 
     def shift(x: Column, by: int) -> Column:
@@ -50,40 +52,50 @@ def _window_hashes(parts: Column, width: int = 5) -> Column:
 
     two = lambda h: F.zip_with(head(h, 1), shift(h, 1), lambda a, b: F.xxhash64(a, b))
     four = lambda p: F.zip_with(head(p, 2), shift(p, 2), lambda a, b: F.xxhash64(a, b))
-    return let(F.transform(parts, lambda w: F.xxhash64(w)), lambda h: let(two(h), lambda p: let(four(p), lambda q: F.zip_with(head(q, 1), shift(h, 4), lambda a, b: F.xxhash64(a, b)))))
+    return let(two(words_), lambda p: let(four(p), lambda q: F.zip_with(head(q, 1), shift(words_, 4), lambda a, b: F.xxhash64(a, b))))
 
 
-def _counts(parts: Column, listed: list[str]) -> Column:
-    """How often each listed word comes."""
+def _by_language(body) -> Column:
+    """body(words) of the language's common words; null for a language without a list."""
+    out = F.lit(None)
+    for lang, listed in COMMON_WORDS.items():
+        out = F.when(F.col("lang") == lang, body(listed.split())).otherwise(out)
+    return out
 
-    def is_word(x: str):
-        return lambda w: w == x
 
-    here = F.filter(parts, lambda w: w.isin(*listed))
-    return let(here, lambda found: F.array(*[F.size(F.filter(found, is_word(x))).cast("long") for x in listed]))
+def _counts(found: str, listed: list[str]) -> Column:
+    """How often each listed word comes."""
+    return F.array(*[(F.size(found) - F.size(F.array_remove(found, x))).cast("long") for x in listed])
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs (doc_id, text, lang): the base counts and the two histograms."""
+    """One row for each row of docs (doc_id, text, lang): the base counts and the two histograms.
+
+    The classes are taken out of the text one after the other, the frequent ones first, so each looks at what the others
+    have left. Each step is a column of its own, which is computed once for each row.
+    """
     text = text_of()
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"), words(text).alias("parts"), lines.alias("lines"))
-    hist = F.lit(None).cast("array<bigint>")
-    for lang, listed in COMMON_WORDS.items():
-        counts = _counts(F.col("parts"), listed.split())
-        hist = F.when(F.col("lang") == lang, counts).otherwise(hist)
-    size = F.length("text")
-    counted = [(size - F.length(F.regexp_replace("text", p, ""))).cast("long") for p in CLASSES.values()]
-    return base.select(
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"), words(text).alias("parts"), lines.alias("lines"))
+    left = "text"
+    for name, p in CLASSES.items():
+        out = out.withColumn(f"no_{name}", F.regexp_replace(left, p, ""))
+        left = f"no_{name}"
+    out = out.withColumn("listed", _by_language(lambda listed: F.filter("parts", lambda w: w.isin(*listed))))
+    size, before = {}, "text"
+    for name in CLASSES:
+        size[name] = (F.length(before) - F.length(f"no_{name}")).cast("long")
+        before = f"no_{name}"
+    out = out.select(
         "doc_id", "lang", F.size("parts").cast("long").alias("n_words"),
-        F.array(*counted).alias("classes"), hist.alias("common"), size.cast("long").alias("n_chars"),
-        (size - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.array(*size.values(), F.length(left).cast("long")).alias("classes"), _by_language(lambda listed: _counts("listed", listed)).alias("common"),
+        (F.length("text") - size["space"]).cast("long").alias("word_chars"),
+        (F.length("no_stop") - F.length(F.regexp_replace("no_stop", "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _flagged_runs(_window_hashes(F.col("parts")), 5).cast("long").alias("n_repeat_words"),
-    ).select(
-        "doc_id", "lang", "n_words", (F.col("n_chars") - F.col("classes")[list(CLASSES).index("space")]).alias("word_chars"),
-        "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.concat("classes", F.array(F.col("n_chars") - F.aggregate("classes", F.lit(0).cast("long"), lambda t, x: t + x))).alias("classes"),
+        F.transform("parts", lambda w: F.xxhash64(w)).alias("hashes"),
+    ).withColumn("hashes", _window_hashes(F.col("hashes")))
+    return out.select(
+        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", _flagged_runs(F.col("hashes"), 5).cast("long").alias("n_repeat_words"), "classes",
         F.concat("common", F.array(F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda t, x: t + x))).alias("common"),
     )
 
