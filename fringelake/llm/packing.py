@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 CAPACITY, END_ID = 2048, 1
 #: Words whose ids a Python worker remembers; beyond that it starts anew.
 REMEMBERED = 1_000_000
+#: Texts encoded together.
+ROWS = 2000
 _cache: dict[str, _Ids] = {}
 
 
@@ -36,55 +40,55 @@ class _Ids:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.ids, self.start, self.used = np.zeros(1 << 16, np.uint16), [0], 0
+        self.at: dict[str, int] = {"": 0}
+        self.ids, self.start, self.used = np.zeros(1 << 16, np.uint16), np.zeros(1 << 16, np.int64), 0
 
-    def learn(self, new: list[bytes]) -> None:
-        for i in range(0, len(new), 4000):
-            part = [w.decode() for w in new[i : i + 4000]]
+    def learn(self, new: list[str]) -> None:
+        for i in range(0, len(new), 1000):
+            part = new[i : i + 1000]
             e = self.tok.encode(" ".join(part), add_special_tokens=False)
             first = np.cumsum([0] + [len(w) + 1 for w in part])
             got = np.array(e.ids, dtype=np.uint16)
-            word = np.searchsorted(first, np.fromiter((o[0] for o in e.offsets), np.int64, len(got)), side="right") - 1
-            count = np.bincount(word, minlength=len(part))
+            begin = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(got))[::2]
+            count = np.bincount(np.searchsorted(first, begin, side="right") - 1, minlength=len(part))
             while self.used + len(got) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             self.ids[self.used : self.used + len(got)] = got
             n = len(self.at)
-            for j, w in enumerate(new[i : i + 4000]):
-                self.at[w] = n + j
-            self.start.extend((self.used + np.cumsum(count)).tolist())
+            self.at.update(zip(part, range(n, n + len(part))))
+            while n + len(part) >= len(self.start):
+                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            self.start[n + 1 : n + 1 + len(part)] = self.used + np.cumsum(count)
             self.used += len(got)
 
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by END_ID, and where each text's begin (one more for the end)."""
-        parts, plain, special = [], [], {}
-        for j, t in enumerate(texts):
-            b = (t or "").encode()
-            if b"<|" in b:  # may hold the text of a special token
-                special[j] = np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype=np.uint16)
-                plain.append(0)
-            else:
-                w = b.lower().split()
-                parts += w
-                plain.append(len(w))
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring(texts, "<|")  # may hold the text of a special token
+        special = {j: np.array(self.tok.encode(texts[j].as_py(), add_special_tokens=False).ids, dtype=np.uint16) for j in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(odd, "", texts)))
+        plain = pc.list_value_length(split).to_numpy()
+        parts = split.flatten().dictionary_encode()
+        own = parts.dictionary.to_pylist()
         if len(self.at) > REMEMBERED:
             self.clear()
-        new = [w for w in dict.fromkeys(parts) if w not in self.at]
-        self.learn(new)
-        which = np.fromiter(map(self.at.__getitem__, parts), np.int64, len(parts))
-        start = np.array(self.start, dtype=np.int64)
-        begin, size = start[which], start[which + 1] - start[which]
+        self.learn([w for w in own if w not in self.at])
+        which = np.fromiter(map(self.at.__getitem__, own), np.int64, len(own))
+        begin, size = self.start[which], self.start[which + 1] - self.start[which]
         before = np.concatenate([[0], np.cumsum(size)])
-        flat = self.ids[np.repeat(begin - before[:-1], size) + np.arange(before[-1])]
-        edge = before[np.concatenate([[0], np.cumsum(plain)])]
-        out, sizes = [], []
-        for j in range(len(texts)):
-            ids = special.get(j)
-            ids = flat[edge[j] : edge[j + 1]] if ids is None else ids
-            out += [ids, [END_ID]]
-            sizes.append(len(ids) + 1)
-        return np.concatenate(out).astype("<u4") if out else np.zeros(0, "<u4"), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
+        ids = self.ids[np.repeat(begin - before[:-1], size) + np.arange(before[-1])]
+        flat = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(ids)).take(parts.indices).flatten().to_numpy()
+        upto = np.concatenate([[0], np.cumsum(size[parts.indices.to_numpy()])])
+        edge = upto[np.concatenate([[0], np.cumsum(plain)])]
+        if special:
+            parts = [special.get(j, flat[edge[j] : edge[j + 1]]) for j in range(len(texts))]
+            flat, edge = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        edge = edge + np.arange(len(edge))
+        out = np.full(edge[-1], END_ID, dtype="<u4")
+        own_ids = np.ones(len(out), dtype=bool)
+        own_ids[edge[1:] - 1] = False
+        out[own_ids] = flat
+        return out, edge
 
 
 class SumOfSquares:
@@ -153,9 +157,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
             return batch
 
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                flat, edge = encode(part.column(1).to_pylist())
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                flat, edge = encode(part.column(1))
                 for j, doc in enumerate(part.column(0).to_pylist()):
                     ids = flat[edge[j] : edge[j + 1]]
                     whole = len(ids) - len(ids) % capacity
