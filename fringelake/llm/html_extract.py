@@ -159,7 +159,10 @@ def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     gives an empty result; other columns are ignored.
     """
     marked = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select("page_id", F.xxhash64("page_id").alias("h"), "html")
-    weights = fit([r.html for r in marked.orderBy("h", "page_id").limit(sample).collect()])
+    # the hashes first, so that tasks send the driver hashes and only the sample's pages
+    least = marked.select("h").orderBy("h").limit(sample).collect()
+    chosen = marked.where(F.col("h") <= least[-1].h).orderBy("h", "page_id", "html").limit(sample).collect() if least else []
+    weights = fit([r.html for r in chosen])
 
     def run(batches):
         for b in batches:
