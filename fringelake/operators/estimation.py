@@ -92,3 +92,34 @@ def variogram(values: DataFrame, pairs: DataFrame, width: float) -> DataFrame:
     a, b = (values.select(F.col("point_id").alias(x), F.col("value").alias(f"v{x}")) for x in ("a", "b"))
     p = pairs.where("a < b").join(a, "a").join(b, "b")
     return p.groupBy(F.floor(F.sqrt("d2") / width).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), (0.5 * F.avg((F.col("va") - F.col("vb")) * (F.col("va") - F.col("vb")))).alias("semivariance"))
+
+
+def velocity_and_elevation(series: DataFrame) -> DataFrame:
+    """(point_id, demerr, vel, atmosphere) of value on p (elevation error's factor), t and a constant, by the moments of each
+    point. Null where p and t do not tell the parameters apart."""
+    m = {"pp": F.var_pop("p"), "tt": F.var_pop("t"), "pt": F.covar_pop("p", "t"), "pv": F.covar_pop("p", "value"), "tv": F.covar_pop("t", "value"), "mp": F.avg("p"), "mt": F.avg("t"), "mv": F.avg("value")}
+    s = series.groupBy("point_id").agg(*[f.alias(name) for name, f in m.items()])
+    det = F.col("pp") * F.col("tt") - F.col("pt") * F.col("pt")
+    s = s.withColumn("demerr", F.when(det > 1e-15, (F.col("tt") * F.col("pv") - F.col("pt") * F.col("tv")) / det))
+    s = s.withColumn("vel", F.when(det > 1e-15, (F.col("pp") * F.col("tv") - F.col("pt") * F.col("pv")) / det))
+    return s.select("point_id", "demerr", "vel", (F.col("mv") - F.col("demerr") * F.col("mp") - F.col("vel") * F.col("mt")).alias("atmosphere"))
+
+
+def grid_search_two(phases: DataFrame, design: DataFrame, demerr: list[float], vel: list[float]) -> DataFrame:
+    """(point_id, demerr, vel, gamma): the pair of a grid whose model leaves the most coherent residuals, the first in order
+    of demerr and vel of equal ones. design (k, of_demerr, of_vel) has one row for each epoch, the grid is short."""
+    grid = [(i, j, float(a), float(b)) for i, a in enumerate(demerr) for j, b in enumerate(vel)]
+    cells = phases.sparkSession.createDataFrame(grid, "i int, j int, demerr double, vel double")
+    model = design.join(F.broadcast(cells)).select("k", "i", "j", (F.col("of_demerr") * F.col("demerr") + F.col("of_vel") * F.col("vel")).alias("model"))
+    r = F.col("phase") - F.col("model")
+    g = phases.join(F.broadcast(model), "k").groupBy("point_id", "i", "j").agg(F.round(F.sqrt(F.pow(F.avg(F.cos(r)), 2) + F.pow(F.avg(F.sin(r)), 2)), 9).alias("gamma"))
+    best = g.groupBy("point_id").agg(F.max(F.struct("gamma", (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))).alias("m"))
+    best = best.select("point_id", (-F.col("m.i")).alias("i"), (-F.col("m.j")).alias("j"), "m.gamma")
+    return best.join(F.broadcast(cells), ["i", "j"]).select("point_id", "demerr", "vel", "gamma")
+
+
+def histogram(fits: DataFrame, value: str, bins: int) -> DataFrame:
+    """(bin, n) of a value in `bins` equal bins of its range; the last one holds its upper edge. Empty bins have no row."""
+    edge = fits.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    at = F.least(F.floor((F.col(value) - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1)).cast("int")
+    return fits.join(F.broadcast(edge)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

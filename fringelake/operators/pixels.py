@@ -107,3 +107,42 @@ def consistency(phases: DataFrame, pairs: DataFrame, wavelength: float) -> DataF
     b = steps.select(F.col("point_id").alias("b"), "k", F.col("step").alias("sb"))
     rms = pairs.select("a", "b").join(a, "a").join(b, ["b", "k"]).groupBy("a", "b").agg(F.sqrt(F.sum((F.col("sa") - F.col("sb")) * (F.col("sa") - F.col("sb"))) / F.count(F.lit(1))).alias("rms"))
     return rms.groupBy(F.col("a").alias("point_id")).agg((F.min("rms") * wavelength / (4 * 3.141592653589793)).alias("consistency"))
+
+
+def box_edges(size: int, boxes: int) -> list[int]:
+    """Edges of about `boxes` boxes along one axis; a rest of less than half a box goes to the last one."""
+    step, edges = max(size // boxes, 1), [0]
+    while edges[-1] < size:
+        following = edges[-1] + step
+        edges.append(size if following + round(step / 2) > size else following)
+    return edges
+
+
+def boxed(points: DataFrame, rows: list[int], columns: list[int]) -> DataFrame:
+    """points with box_y and box_x, the numbers of the boxes between the edges; null outside of all."""
+
+    def number(at: str, edges: list[int]) -> Column:
+        out = F.lit(None).cast("int")
+        for i, e in reversed(list(enumerate(edges[1:]))):
+            out = F.when(F.col(at) < e, F.lit(i)).otherwise(out)
+        return out
+
+    return points.withColumn("box_y", number("y", rows)).withColumn("box_x", number("x", columns))
+
+
+def along_lines(points: DataFrame, segments: list[tuple[tuple[float, float], tuple[float, float]]], half: float) -> DataFrame:
+    """Points (y, x) at most `half` pixels from a segment between two (y, x) corners. Segments are literals, so few."""
+    near = F.lit(False)
+    for (y1, x1), (y2, x2) in segments:
+        dy, dx = y2 - y1, x2 - x1
+        along = (F.col("y") - y1) * dy + (F.col("x") - x1) * dx
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along / F.lit(dy * dy + dx * dx))) if dy or dx else F.lit(0.0)
+        off_y, off_x = F.col("y") - y1 - t * dy, F.col("x") - x1 - t * dx
+        near = near | (off_y * off_y + off_x * off_x <= half * half)
+    return points.where(near)
+
+
+def wide(rows: DataFrame, value: str, epochs: list[str]) -> DataFrame:
+    """(point_id, one column for each epoch) from rows (point_id, epoch, value): the form of an export. The names are given,
+    so no job looks for them."""
+    return rows.groupBy("point_id").pivot("epoch", epochs).agg(F.first(value))

@@ -20,7 +20,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", list(catalog.QUERIES))
+@pytest.mark.parametrize("name", list(catalog.SQL))
 def test_query(spark, duck, name):
     got, want = catalog.QUERIES[name](spark, SF).toPandas(), duck.sql(catalog.SQL[name]).df()
     columns = sorted(got.columns)
