@@ -6,26 +6,36 @@ Each is a loop of joins and aggregates over the arcs. Only scalars, such as coun
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and without its lineage, in the folder that spark.checkpoint.dir names (a temporary one where that
-    is unset, as in tests)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="fringelake-"))
-    return df.checkpoint()
-
-
-def _jumped(pointers: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, to) with every pointer followed to its end; ends point at themselves."""
+    """df, computed once and without its lineage: written as Parquet in the folder that spark.checkpoint.dir names (a temporary
+    one where that is unset, as in tests) and read again. The files go when the driver's JVM ends."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="fringelake-"))
+        root = context._jsc.sc().getCheckpointDir().get()
+    path = f"{root}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _jumped(pointers: DataFrame, rounds: int = 30) -> DataFrame:
+    """(node, to) with every pointer followed to its end; ends point at themselves. A round makes a way four times as long."""
     for _ in range(rounds):
-        up = pointers.select(F.col("node").alias("to"), F.col("to").alias("up"))
-        after = cut(pointers.join(up, "to").select("node", F.col("up").alias("to"), (F.col("up") != F.col("to")).alias("moved")))
+        one = pointers.select(F.col("node").alias("to"), F.col("to").alias("up"))
+        two = pointers.join(one, "to").select("node", "to", "up")
+        top = two.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        after = cut(two.join(top, "up").select("node", F.col("top").alias("to"), (F.col("top") != F.col("to")).alias("moved")))
         pointers = after.select("node", "to")
         if after.where("moved").isEmpty():
             return pointers
@@ -114,9 +124,11 @@ def integrate(arcs: DataFrame, reference: int, rounds: int = 500, close: float =
         there = now.select(F.col("point_id").alias("other"), F.col("p").alias("q"))
         pulled = inner.join(there, "other").groupBy("point_id").agg(F.sum(F.col("w") * F.col("q")).alias("pull"))
         moved = cut(now.join(pulled, "point_id", "left").withColumn("lp", F.col("d") * F.col("p") - F.coalesce("pull", F.lit(0.0))).drop("pull"))
-        step = size / moved.agg(F.sum(F.col("p") * F.col("lp"))).first()[0]
+        # one job for the step and for the size of what is left after it
+        sums = moved.agg(F.sum(F.col("p") * F.col("lp")).alias("bend"), F.sum(F.col("r") * F.col("lp") / F.col("d")).alias("cross"), F.sum(F.col("lp") * F.col("lp") / F.col("d")).alias("square")).first()
+        step = size / sums.bend
+        new = max(size - 2 * step * sums.cross + step * step * sums.square, 0.0)
         after = moved.select("point_id", "d", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("lp")).alias("r"), "p")
-        new = after.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0]
         now = after.withColumn("p", F.col("r") / F.col("d") + F.lit(new / size) * F.col("p"))
         size = new
     else:
