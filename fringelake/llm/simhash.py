@@ -10,16 +10,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, scratch
+from .common import components, discard, scratch
 
 SEED = 42
 #: (word, lowest bit, bits, radius) of each segment. EXACT finds all pairs of 64-bit fingerprints at most 4 bits apart: by the
 #: pigeonhole principle the radii, each plus one, add up to 5. A segment that is looked up exactly needs fewer bits.
 EXACT = ((0, 0, 23, 1), (0, 23, 23, 1), (0, 46, 18, 0))
-#: WIDE is for 128 bits, whose distance tells a similarity of 0.8 apart; a pair of that similarity differs in two bits or
-#: more of all eight segments in one case of fourteen.
-WIDE = tuple((w, low, 16, 1) for w in (0, 1) for low in (0, 16, 32, 48))
-SIMILAR_BITS = 22
+#: WIDE finds candidates for a similarity of SIMILAR or more among 256 bits. At 0.8 a bit differs with a probability of
+#: 0.152, so a segment meets in 27.8 % of the cases and none of the sixteen in 0.6 %; 256 bits differ in 38.8 bits on average,
+#: in more than SIMILAR_BITS in one case of a thousand, and 64 of them in more than WORD_BITS in one of some thousand.
+WIDE = tuple((w, low, 16, 1) for w in range(4) for low in (0, 16, 32, 48))
+SIMILAR, SIMILAR_BITS, WORD_BITS = 0.8, 57, 20
+#: Rounds that join dense groups by a few of their pairs before all pairs are looked up.
+DENSE = 2
 
 
 def _more(h: np.ndarray) -> np.ndarray:
@@ -29,20 +32,24 @@ def _more(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def fingerprint(text: str | None, shingle: int, count: int = 1) -> list[int]:
-    """`count` words of 64 bits, unsigned: a bit is 1 if it is set in over half of the hashes of the text's shingles, which
-    are their XXH64 (seed 42) for the first word. A-Z are lower-cased; repeats count; fewer words than a shingle: one
-    shingle of all words; no word: 0."""
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of the text. A-Z are lower-cased; repeats count; fewer words than a shingle: one
+    shingle of all words; no word: none."""
     parts = (text or "").encode().lower().split()  # bytes: only ASCII letters and ASCII white space
     if not parts:
-        return [0] * count
+        return np.zeros(0, dtype="<u8")
     line = b" ".join(parts)
     size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     end = np.cumsum(size + 1) - 1
     k = min(shingle, len(parts))
     digest, n = xxhash.xxh64_intdigest, len(parts) - k + 1
-    h = np.array([digest(line[s:e], SEED) for s, e in zip((end - size)[:n].tolist(), end[k - 1 :].tolist())], dtype="<u8")
-    out = []
+    return np.array([digest(line[s:e], SEED) for s, e in zip((end - size)[:n].tolist(), end[k - 1 :].tolist())], dtype="<u8")
+
+
+def _fingerprint(h: np.ndarray, count: int) -> list[int]:
+    n, out = len(h), []
+    if not n:
+        return [0] * count
     for _ in range(count):
         bits = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out.append(int(np.packbits(2 * bits > n, bitorder="little").view("<u8")[0]))
@@ -50,6 +57,12 @@ def fingerprint(text: str | None, shingle: int, count: int = 1) -> list[int]:
     return out
 
 
+def fingerprint(text: str | None, shingle: int, count: int = 1) -> list[int]:
+    """`count` words of 64 bits, unsigned: a bit is 1 if it is set in over half of the hashes of the text's shingles, which
+    are those of shingles() for the first word. No word: 0."""
+    return _fingerprint(shingles(text, shingle), count)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, count: int = 1) -> DataFrame:
     """(doc_id, fp0, fp1, ...): the words of the fingerprint as signed longs."""
     names = [f"fp{i}" for i in range(count)]
@@ -144,14 +157,128 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, segments=E
     return fps.join(of, names).select("doc_id", *names, "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, bits: int = SIMILAR_BITS, segments=WIDE) -> DataFrame:
-    """docs without near-duplicates of a similarity of about 0.8 or more on shingles of five words: of each group the row
-    with the smallest doc_id stays, once (of rows with equal doc_id, one). All columns are kept."""
-    lowest = F.lit(-(1 << 63)).cast("long")
-    found = near_duplicates(docs, shingle, bits, segments).where(F.coalesce("doc_id", lowest) == F.col("component_id")).select("component_id").distinct()
-    one = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), lowest))
-    kept = one.join(found.withColumnRenamed("component_id", "_id").hint("shuffle_hash"), "_id", "left_semi")
-    again = docs.groupBy(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("_id")).count().where("count > 1").select("_id")
+def _sets(docs: DataFrame, shingle: int, count: int, whole: bool) -> DataFrame:
+    """(rep, same, n, fp0, ... or with whole: hashes) for each row: the number of its distinct shingles, the words of the
+    fingerprint of these, or all their hashes; same is one hash of them all. rep is doc_id, the smallest number for null."""
+    names = [f"fp{i}" for i in range(count)]
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                found = [np.unique(shingles(t, shingle)) for t in part.column(1).to_pylist()]
+                same = pa.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], pa.uint64()).view(pa.int64())
+                n = pa.array([len(h) for h in found], pa.int64())
+                if whole:
+                    flat = np.concatenate(found) if found else np.zeros(0, "<u8")
+                    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                    rest = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))]
+                else:
+                    fp = np.array([_fingerprint(h, count) for h in found], dtype=np.uint64).reshape(-1, count)
+                    rest = [pa.array(np.ascontiguousarray(fp[:, i]).view(np.int64)) for i in range(count)]
+                yield pa.RecordBatch.from_arrays([part.column(0), same, n, *rest], names=["rep", "same", "n", *(["hashes"] if whole else names)])
+
+    rest = "hashes array<long>" if whole else ", ".join(f"{x} long" for x in names)
+    return docs.select(_id().alias("rep"), "text").mapInArrow(run, f"rep long, same long, n long, {rest}")
+
+
+def _id():
+    """doc_id; null counts as the smallest."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
+
+
+def _comparable(one: str, two: str, similar: float):
+    """Whether sets of these sizes can be that similar."""
+    return F.least(one, two) >= F.greatest(one, two) * F.lit(similar) - 1e-9
+
+
+def _met(classes: DataFrame, segments, bits: int, similar: float, turn: int) -> DataFrame:
+    """(a, b): for each class the four closest candidates of other components among two of each segment's value, which are the
+    first and the last by a hash of the turn. A few rows for each class, however many are alike."""
+    fps = _words(segments)
+    keys = F.explode(F.array(*[_value(*x[:3], i) for i, x in enumerate(segments)]))
+    there = classes.select(keys.alias("at"), "rep", "component", "n", *fps)
+    both = F.struct(F.xxhash64("rep", F.lit(turn)).alias("order"), "rep", "component", "n", *fps)
+    ends = there.groupBy("at").agg(F.min(both).alias("low"), F.max(both).alias("high")).where("low.rep <> high.rep")
+    rows = there.join(ends, "at").select("rep", "component", "n", *fps, F.explode(F.array("low", "high")).alias("to"))
+    far = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"to.{x}"))) for x in fps[1:]), F.bit_count(F.col(fps[0]).bitwiseXOR(F.col(f"to.{fps[0]}"))))
+    near = rows.where((F.col("component") != F.col("to.component")) & _comparable("n", "to.n", similar) & (far <= bits))
+    closest = F.array_sort(F.collect_set(F.struct(far.alias("far"), F.col("to.rep").alias("b"))))
+    return near.groupBy(F.col("rep").alias("a")).agg(F.slice(closest, 1, 4).alias("m")).select("a", F.explode("m.b").alias("b"))
+
+
+def _candidates(classes: DataFrame, segments, bits: int, similar: float) -> DataFrame:
+    """(a, b): all pairs of classes of different components that meet in a segment, are at most `bits` apart and whose sizes
+    allow the similarity. As in links(), each class looks up the ball around each of its segments; of the fingerprint, a row
+    holds only the word after the segment's, and the others are compared where that one is near."""
+    fps = _words(segments)
+    there, asked = [], []
+    for i, (w, low, width, radius) in enumerate(segments):
+        value, word = _value(w, low, width, i), F.col(fps[(w + 1) % len(fps)])
+        there.append(F.struct(value.alias("key"), word.alias("word")))
+        flips = [sum(1 << p for p in ps) for r in range(radius + 1) for ps in combinations(range(width), r)]
+        asked.append(F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), _asked(value, word)))
+    # most components are one class: what is null needs no room
+    other = F.when(F.col("component") != F.col("rep"), F.col("component")).alias("component")
+    there = classes.select(F.explode(F.array(*there)).alias("t"), "rep", other).select("t.key", F.col("t.word").alias("w_b"), F.col("rep").alias("b"), F.col("component").alias("c_b"))
+    asked = classes.select(F.explode(F.flatten(F.array(*asked))).alias("t"), "rep", other).select("t.key", F.col("t.word").alias("w_a"), F.col("rep").alias("a"), F.col("component").alias("c_a"))
+    apart = F.coalesce("c_a", "a") != F.coalesce("c_b", "b")
+    found = (asked.key == there.key) & (F.col("a") < F.col("b")) & apart & (F.bit_count(F.col("w_a").bitwiseXOR(F.col("w_b"))) <= WORD_BITS)
+    pairs = asked.join(there.hint("shuffle_hash"), found).select("a", "b").distinct()
+    one, two = (classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(f).alias(f"{f}_{x}") for f in fps]) for x in ("a", "b"))
+    near = pairs.join(one, "a").join(two, "b").where((_distance(fps, "_a", "_b") <= bits) & _comparable("n_a", "n_b", similar))
+    return near.select("a", "b").distinct()
+
+
+def _asked(value, word):
+    return lambda flip: F.struct(value.bitwiseXOR(flip).alias("key"), word.alias("word"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, similar: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of `similar` or more, by all their hashes."""
+    pairs = scratch(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    some = docs.select("doc_id", "text", _id().alias("rep")).join(ids, "rep", "left_semi")
+    sets = _sets(some, shingle, 0, True).join(classes.select("rep", "same"), ["rep", "same"], "left_semi")
+    sets = scratch(sets.groupBy("rep", "same").agg(F.first("hashes").alias("hashes")).select("rep", "hashes"), "sets")
+    one, two = (sets.select(F.col("rep").alias(x), F.col("hashes").alias(f"h_{x}")) for x in ("a", "b"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("h_a", "h_b")).alias("both"), (F.size("h_a") + F.size("h_b")).alias("sizes"))
+    good = scratch(both.where(F.col("both") >= (F.col("sizes") - F.col("both")) * F.lit(similar) - 1e-9).select("a", "b").distinct(), "similar")
+    discard(sets)
+    discard(pairs)
+    return good
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similar: float = SIMILAR, bits: int = SIMILAR_BITS, segments=WIDE) -> DataFrame:
+    """(rep, component) for each class of docs (doc_id, text), which are texts with equal sets of shingles; rep is their
+    smallest doc_id and component the smallest one reachable over links. Fingerprints only propose pairs: two classes are
+    linked if the Jaccard similarity of their sets reaches `similar`."""
+    fps = _words(segments)
+    found = _sets(docs, shingle, len(fps), False).groupBy("same", "n", *fps).agg(F.min("rep").alias("rep"))
+    now = scratch(found.withColumn("component", F.col("rep")), "classes")
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        links = _verified(pairs, docs, now, shingle, similar)
+        of = now.select("rep", "component").distinct()
+        one, two = (of.select(F.col("rep").alias(x), F.col("component").alias(f"c_{x}")) for x in ("a", "b"))
+        labels = components(links.join(one, "a").join(two, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+        labels = labels.withColumnRenamed("component", "last")
+        after = now.join(labels, now.component == labels.node, "left").select("same", "n", *fps, "rep", F.coalesce("last", "component").alias("component"))
+        return scratch(after, "classes")
+
+    # first a few pairs of each bucket, which join a dense group without all its pairs; then all pairs of what is still apart
+    for turn in range(DENSE):
+        now = joined(_met(now, segments, bits, similar, turn))
+    return joined(_candidates(now, segments, bits, similar)).select("rep", "component")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similar: float = SIMILAR, bits: int = SIMILAR_BITS, segments=WIDE) -> DataFrame:
+    """docs without near-duplicates, which are linked at a Jaccard similarity of `similar` or more on shingles of five words:
+    of each group the row with the smallest doc_id stays, once (of rows with equal doc_id, one). All columns are kept."""
+    found = similar_groups(docs, shingle, similar, bits, segments).where("rep = component").select("component").distinct()
+    one = docs.withColumn("_id", _id())
+    kept = one.join(found.withColumnRenamed("component", "_id").hint("shuffle_hash"), "_id", "left_semi")
+    again = docs.groupBy(_id().alias("_id")).count().where("count > 1").select("_id")
     if not again.isEmpty():
         again = scratch(again, "again")
         kept = kept.join(again, "_id", "left_anti").unionByName(kept.join(again, "_id", "left_semi").dropDuplicates(["_id"]))

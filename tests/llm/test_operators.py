@@ -124,6 +124,32 @@ def test_one_of_each(spark):
     assert sorted(x.doc_id for x in kept.collect()) == [3, 9]
 
 
+def test_one_of_each_at_the_similarity(spark):
+    """Pairs around 0.8 against brute force: 60 at 0.8 to 0.82, of which one side goes, and 60 at 0.7 to 0.78, which stay."""
+    r, rows, far, near = random.Random(11), [], set(), set()
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    while len(far) < 60 or len(near) < 60:
+        words = [f"v{r.randrange(10**6)}" for _ in range(400)]
+        one, other = " ".join(words), words[:]
+        for i in r.sample(range(400), r.randrange(7, 16)):
+            other[i] = f"u{r.randrange(10**6)}"
+        other = " ".join(other)
+        a, b = grams(one), grams(other)
+        at = len(a & b) / len(a | b)
+        kind = near if 0.8 <= at < 0.82 else far if 0.7 <= at < 0.78 else None
+        if kind is not None and len(kind) < 60:
+            kind.add(len(rows) + 1)
+            rows += [(len(rows), one), (len(rows) + 1, other)]
+    kept = {x.doc_id for x in simhash.one_of_each(frame(spark, rows)).collect()}
+    assert {i for i, _ in rows if i % 2 == 0} <= kept
+    assert far <= kept
+    assert len(near - kept) >= 58
+
+
 def test_quality(spark, texts):
     def repeated(w):
         at, seen = [tuple(w[i : i + 5]) for i in range(len(w) - 4)], {}
