@@ -202,6 +202,27 @@ def test_embeddings(spark):
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(900, 905))
 
 
+def _classes(spark, groups):
+    rows = [(g, v.tobytes(), i, 1) for g, part in groups.items() for i, v in part]
+    return spark.createDataFrame(rows, "grp string, vec binary, rep long, n long")
+
+
+def test_small_label_beside_a_large_one(spark):
+    """All pairs of a label of 60 meet, however large another label is; the audit sees them missing beside many found links."""
+    r = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    few = unit(r.standard_normal((30, 16)))
+    few = np.concatenate([few, unit(few + 0.08 * r.standard_normal((30, 16)))])
+    many = np.repeat(unit(r.standard_normal((1, 16))), 20000, axis=0)
+    many = unit(many + 2.0 * r.standard_normal((20000, 16)))
+    classes = _classes(spark, {"a/16": list(enumerate(many, 1000)), "b/16": list(enumerate(few))})
+    got = {(x.src, x.dst) for x in nn_descent.first_lists(classes, 8, 4, 32).where("src < 30 and dst < 60").collect()}
+    assert all((i, i + 30) in got for i in range(30))
+    copies = _classes(spark, {"a/16": [(1000 + i, unit(many[0] + 0.01 * r.standard_normal(16))) for i in range(300)], "b/16": list(enumerate(few))})
+    labels = spark.createDataFrame([(1000 + i, 1000) for i in range(300)], "node long, component long")
+    assert nn_descent.audit(copies, labels, 0.9) < 0.6
+
+
 def test_substring(spark, texts):
     rows = [x for x in texts if x[0] != 404] + [(404, "of " * 90)]
     got = {r.doc_id: r for r in substring.without_repeats(frame(spark, rows)).collect()}
