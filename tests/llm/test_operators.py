@@ -223,6 +223,21 @@ def test_small_label_beside_a_large_one(spark):
     assert nn_descent.audit(copies, labels, 0.9) < 0.6
 
 
+def test_nested_copies(spark):
+    """Lists full of copies: tight clusters of 40 whose centres are linked to each other only."""
+    r = np.random.default_rng(21)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    a = unit(r.standard_normal((12, 32)))
+    side = r.standard_normal((12, 32))
+    side = unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+    b = unit(0.95 * a + np.sqrt(1 - 0.95**2) * side)
+    x = np.concatenate([unit(np.repeat(c[None], 40, axis=0) + 0.002 * r.standard_normal((40, 32))) for c in np.concatenate([a, b])])
+    near = x @ x.T >= 0.93
+    got = {q.vec_id: q for q in nn_descent.near_duplicates(spark.createDataFrame([(i, [float(v) for v in y], 1) for i, y in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[i].n_links == near[i].sum() - 1 for i in range(len(x)))
+    assert len({q.component_id for q in got.values()}) == 12
+
+
 def test_substring(spark, texts):
     rows = [x for x in texts if x[0] != 404] + [(404, "of " * 90)]
     got = {r.doc_id: r for r in substring.without_repeats(frame(spark, rows)).collect()}
