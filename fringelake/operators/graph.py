@@ -5,38 +5,25 @@ Each is a loop of joins and aggregates over the arcs. Only scalars, such as coun
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import discard, scratch
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and without its lineage: written as Parquet in the folder that spark.checkpoint.dir names (a temporary
-    one where that is unset, as in tests) and read again. The files go when the driver's JVM ends."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="fringelake-"))
-        root = context._jsc.sc().getCheckpointDir().get()
-    path = f"{root}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return scratch(df, "cut")
 
 
 def _jumped(pointers: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, to) with every pointer followed to its end; ends point at themselves. A round makes a way four times as long."""
+    """(node, to, moved) of a table of cut() with every pointer followed to its end; ends point at themselves. A round makes a way four times as long."""
     for _ in range(rounds):
         one = pointers.select(F.col("node").alias("to"), F.col("to").alias("up"))
         two = pointers.join(one, "to").select("node", "to", "up")
         top = two.select(F.col("node").alias("up"), F.col("up").alias("top"))
         after = cut(two.join(top, "up").select("node", F.col("top").alias("to"), (F.col("top") != F.col("to")).alias("moved")))
-        pointers = after.select("node", "to")
+        discard(pointers)
+        pointers = after
         if after.where("moved").isEmpty():
             return pointers
     raise RuntimeError(f"pointers did not settle in {rounds} rounds")
@@ -55,7 +42,7 @@ def components(points: DataFrame, arcs: DataFrame, rounds: int = 60) -> DataFram
             return labels
         ends = now.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(now.select(F.col("b").alias("node"), F.col("a").alias("other")))
         lower = ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("to"))
-        last = _jumped(cut(lower))
+        last = _jumped(cut(lower)).select("node", "to")
         labels = cut(labels.join(last.withColumnRenamed("node", "component"), "component", "left").select("point_id", F.coalesce("to", "component").alias("component")))
         one, two = (last.select(F.col("node").alias(x), F.col("to").alias(f"to_{x}")) for x in ("a", "b"))
         now = cut(now.join(one, "a").join(two, "b").where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
@@ -82,7 +69,7 @@ def spanning_forest(arcs: DataFrame, rounds: int = 60) -> DataFrame:
         back = best.select(F.col("node").alias("to"), F.col("to").alias("back"))
         # two trees that chose each other: the smaller one is the end of both pointers
         ended = best.join(back, "to").select("node", F.when((F.col("back") == F.col("node")) & (F.col("node") < F.col("to")), F.col("node")).otherwise(F.col("to")).alias("to"))
-        last = _jumped(cut(ended))
+        last = _jumped(cut(ended)).select("node", "to")
         one, two = (last.select(F.col("node").alias(x), F.col("to").alias(f"to_{x}")) for x in ("a", "b"))
         now = cut(now.join(one, "a").join(two, "b").where("to_a <> to_b").select("src", "dst", "rank", F.col("to_a").alias("a"), F.col("to_b").alias("b")))
     else:
@@ -117,6 +104,7 @@ def integrate(arcs: DataFrame, reference: int, rounds: int = 500, close: float =
     now = cut(now.select("point_id", "d", F.lit(0.0).alias("x"), "r", (F.col("r") / F.col("d")).alias("p")))
     inner = free.groupBy("point_id", "other").agg(F.sum("w").alias("w"))
     inner = cut(inner.where(F.col("other") != reference))
+    held = None
     size = first = now.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0] or 0.0
     for _ in range(rounds):
         if size <= close * close * first:
@@ -128,6 +116,8 @@ def integrate(arcs: DataFrame, reference: int, rounds: int = 500, close: float =
         sums = moved.agg(F.sum(F.col("p") * F.col("lp")).alias("bend"), F.sum(F.col("r") * F.col("lp") / F.col("d")).alias("cross"), F.sum(F.col("lp") * F.col("lp") / F.col("d")).alias("square")).first()
         step = size / sums.bend
         new = max(size - 2 * step * sums.cross + step * step * sums.square, 0.0)
+        discard(held)
+        held = moved
         after = moved.select("point_id", "d", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("lp")).alias("r"), "p")
         now = after.withColumn("p", F.col("r") / F.col("d") + F.lit(new / size) * F.col("p"))
         size = new
