@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import discard, scratch
+
 #: What separates words, and what a word is: only ASCII white space counts.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,38 +31,20 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests, local mode) a temporary one."""
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not root:
-        own = context._jsc.sc().getCheckpointDir()
-        if own.isEmpty():
-            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="fringelake-"))
-            own = context._jsc.sc().getCheckpointDir()
-        root = own.get()
-    return root
-
-
-def scratch(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: this cuts its lineage, survives lost executors, and
-    computes df once. The files go when the driver's JVM ends, or with discard()."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of df's columns, in either case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of scratch() that no later result reads."""
-    spark = df.sparkSession
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number for each row in the column `name`, written so that the numbers stay the same."""
+    return scratch(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -92,8 +73,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         one, two = (step.select(F.col("node").alias(x), F.col("up").alias(f"up_{x}")) for x in ("a", "b"))
         fewer = now.join(one, "a").join(two, "b").where("up_a <> up_b").select(F.least("up_a", "up_b").alias("a"), F.greatest("up_a", "up_b").alias("b")).distinct()
         fewer = scratch(fewer, "edges")
-        for x in (now, step, *([labels] if labels is not None else [])):
-            discard(x)
+        discard(now, step, labels)
         now, labels = fewer, after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
