@@ -20,7 +20,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long, comp
 
 
 def frame(spark, texts, lang="en"):
-    return spark.createDataFrame([(i, t, lang, f"s{i % 3}" if i % 5 else None, 0, 1, 2) for i, t in texts], DOCS)
+    return spark.createDataFrame([(i, t, lang, f"s{(i or 0) % 3}" if (i or 0) % 5 else None, 0, 1, 2) for i, t in texts], DOCS)
 
 
 @pytest.fixture(scope="module")
@@ -238,19 +238,49 @@ def test_nested_copies(spark):
     assert len({q.component_id for q in got.values()}) == 12
 
 
+def _without_repeats(rows):
+    """Brute force: (doc_id, n_words, n_removed, kept) for each row (doc_id, text)."""
+    place = lambda x: (x[0] is not None, x[0] or 0, hashlib.md5((x[1] or "").encode()).hexdigest())
+    out, seen, before = [], set(), None
+    for x in sorted(rows, key=place):
+        w = (x[1] or "").encode().split()
+        if place(x) != before:
+            own = [tuple(w[s : s + 20]) for s in range(len(w) - 19)]
+            gone = set()
+            for s, key in enumerate(own):
+                gone |= set(range(s, s + 20)) if key in seen else set()
+                seen.add(key)
+        before = place(x)
+        out.append((x[0], len(w), len(gone), b" ".join(t for k, t in enumerate(w) if k not in gone).decode()))
+    return sorted(out, key=str)
+
+
 def test_substring(spark, texts):
-    rows = [x for x in texts if x[0] != 404] + [(404, "of " * 90)]
-    got = {r.doc_id: r for r in substring.without_repeats(frame(spark, rows)).collect()}
-    seen = set()
-    for i, t in sorted(rows):
-        w = (t or "").encode().split()
-        gone = set()
-        for s in range(len(w) - 19):
-            key = tuple(w[s : s + 20])
-            gone |= set(range(s, s + 20)) if key in seen else set()
-            seen.add(key)
-        assert got[i].kept.encode() == b" ".join(x for k, x in enumerate(w) if k not in gone) and got[i].n_removed == len(gone), i
-    assert substring.without_repeats(frame(spark, rows).where("false")).count() == 0
+    extra = [(410, "of " * 90), (None, "n " * 30), (None, None), (7, texts[3][1] + " tail of another text"), (7, texts[3][1]), (900, "long " + " ".join(f"q{i}" for i in range(60_000)))]
+    for rows in ([x for x in texts if x[0] != 404], texts + extra):
+        got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.without_repeats(frame(spark, rows)).collect()), key=str)
+        assert got == _without_repeats(rows)
+    assert substring.without_repeats(frame(spark, texts).where("false")).count() == 0
+
+
+def test_substring_repeats_of_other_lengths(spark):
+    """(0, 100 words), (1, the same), (1, 5 words): each row is cut by its own repeats."""
+    many = " ".join(f"a{i}" for i in range(100))
+    rows = [(0, many), (1, many), (1, "b c d e f")]
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.without_repeats(frame(spark, rows)).collect()) == [(0, 100, 0), (1, 5, 0), (1, 100, 100)]
+
+
+def test_substring_frequent_passage(spark, monkeypatch):
+    """A passage of many documents, over many small chunks of a task, which remembers a few windows only."""
+    monkeypatch.setattr(substring, "CHUNK", 3000)
+    r = random.Random(2)
+    passage = " ".join(f"p{i}" for i in range(45))
+    rows = [(i, " ".join(f"{r.randrange(10**6)}" for _ in range(r.randrange(30))) + f" {passage} " + " ".join(f"{r.randrange(10**6)}" for _ in range(20))) for i in range(300)]
+    r.shuffle(rows)
+    for most in (500_000, 7, 0):
+        monkeypatch.setattr(substring, "FREQUENT", most)
+        got = sorted(((x.doc_id, x.n_words, x.n_removed, x.kept) for x in substring.without_repeats(frame(spark, rows).repartition(3)).collect()), key=str)
+        assert got == _without_repeats(rows)
 
 
 def test_mixing(spark, texts):
