@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -10,19 +12,61 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, scratch
+from .common import components, discard, fresh, numbered, scratch
 
 SEED = 42
-#: (word, lowest bit, bits, radius) of each segment. EXACT finds all pairs of 64-bit fingerprints at most 4 bits apart: by the
-#: pigeonhole principle the radii, each plus one, add up to 5. A segment that is looked up exactly needs fewer bits.
-EXACT = ((0, 0, 23, 1), (0, 23, 23, 1), (0, 46, 18, 0))
-#: WIDE finds candidates for a similarity of SIMILAR or more among 256 bits. At 0.8 a bit differs with a probability of
-#: 0.152, so a segment meets in 27.8 % of the cases and none of the sixteen in 0.6 %; 256 bits differ in 38.8 bits on average,
-#: in more than SIMILAR_BITS in one case of a thousand, and 64 of them in more than WORD_BITS in one of some thousand.
-WIDE = tuple((w, low, 16, 1) for w in range(4) for low in (0, 16, 32, 48))
-SIMILAR, SIMILAR_BITS, WORD_BITS = 0.8, 57, 20
-#: Rounds that join dense groups by a few of their pairs before all pairs are looked up.
-DENSE = 2
+#: The similarity of near-duplicates, and how seldom a pair of that similarity may be missed when candidates are looked up.
+SIMILAR, MISSED = 0.8, 0.02
+#: Bits of a segment that a look-up flips: those that the fewest shingles decided.
+FLIPPED = 3
+
+
+def exact_segments(n: int) -> tuple:
+    """(word, lowest bit, bits, radius) of each segment, by which all pairs of n 64-bit fingerprints at most 4 bits apart are
+    found: by the pigeonhole principle that holds if the radii, each plus one, add up to 5. Of such plans the one with the
+    fewest look-ups and random matches, so segments are wider and fewer the more fingerprints there are."""
+    plans = [((0, 0, a, 1), (0, a, a, 1), (0, 2 * a, 64 - 2 * a, 0)) for a in range(18, 28)]
+    plans += [((0, 0, a, 2), (0, a, 64 - a, 1)) for a in range(28, 37)]
+
+    def cost(plan) -> float:
+        return sum(sum(math.comb(w, k) for k in range(r + 1)) * (1 + n / 2**w) for _, _, w, r in plan)
+
+    return min(plans, key=cost)
+
+
+EXACT = exact_segments(1)
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Segments of `width` bits, `per` of them in each word of a fingerprint of `words` words. Two fingerprints are candidates
+    if at most `bits` of all bits, and at most `word_bits` of the 64 of one word, differ."""
+
+    width: int
+    segments: int
+    per: int
+    words: int
+    bits: int
+    word_bits: int
+
+
+def plan(n: int, similar: float = SIMILAR, missed: float = MISSED, flipped: int = FLIPPED) -> Plan:
+    """The plan for n sets: a segment has a bit more than n needs, so a look-up meets less than one set by chance. For sets of
+    that similarity (of one size) the projections behind two bits have a correlation of 2 s / (1 + s); with it the chance is
+    simulated that two segments are equal or differ only in one of the bits flipped, and so many segments are taken that
+    less than `missed` of the pairs meet in none."""
+    width = min(32, max(14, math.ceil(math.log2(max(n, 2))) + 1))
+    rho = 2 * similar / (1 + similar)
+    r = np.random.default_rng(5)
+    x = r.standard_normal((40_000, width))
+    differ = np.signbit(x) != np.signbit(rho * x + math.sqrt(1 - rho * rho) * r.standard_normal(x.shape))
+    low = np.take_along_axis(differ, np.argpartition(np.abs(x), flipped, axis=1)[:, :flipped], axis=1)
+    met = float(np.mean((differ.sum(axis=1) == 0) | ((differ.sum(axis=1) == 1) & (low.sum(axis=1) == 1))))
+    segments, per = math.ceil(math.log(missed) / math.log1p(-met)), 64 // width
+    words = max(2, math.ceil(segments / per))
+    p = math.acos(rho) / math.pi
+    most = lambda bits: math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
+    return Plan(width, segments, per, words, most(64 * words), most(64))
 
 
 def _more(h: np.ndarray) -> np.ndarray:
@@ -46,15 +90,22 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.array([digest(line[s:e], SEED) for s, e in zip((end - size)[:n].tolist(), end[k - 1 :].tolist())], dtype="<u8")
 
 
+def _votes(h: np.ndarray, count: int) -> np.ndarray:
+    """For each of `count` words of 64 bits: in how many hashes a bit is set. The hashes of the first word are h."""
+    hashes = np.empty((count, len(h)), dtype="<u8")
+    for i in range(count):
+        hashes[i], h = h, _more(h)
+    total = np.zeros((count, 64), dtype=np.int64)
+    for s in range(0, len(h), 255):
+        part = np.ascontiguousarray(hashes[:, s : s + 255])
+        bits = np.unpackbits(part.view(np.uint8).reshape(count, -1, 8), axis=2, bitorder="little")
+        # eight counters of a byte in one number; none exceeds 255
+        total += np.ascontiguousarray(bits).view("<u8").sum(axis=1, dtype="<u8").view(np.uint8).reshape(count, 64)
+    return total
+
+
 def _fingerprint(h: np.ndarray, count: int) -> list[int]:
-    n, out = len(h), []
-    if not n:
-        return [0] * count
-    for _ in range(count):
-        bits = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * bits > n, bitorder="little").view("<u8")[0]))
-        h = _more(h)
-    return out
+    return np.packbits(2 * _votes(h, count) > len(h), axis=1, bitorder="little").view("<u8")[:, 0].tolist()
 
 
 def fingerprint(text: str | None, shingle: int, count: int = 1) -> list[int]:
@@ -134,19 +185,20 @@ def _flipped(value):
     return lambda flip: value.bitwiseXOR(flip)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, segments=EXACT) -> DataFrame:
-    """(doc_id, fp0, ..., component_id) for each row of docs (doc_id, text).
+def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, segments=None) -> DataFrame:
+    """(doc_id, fp0, component_id) for each row of docs (doc_id, text). The segments are those of exact_segments() for the
+    number of different fingerprints, or given for another number of bits.
 
     Equal fingerprints are one class, which its smallest doc_id stands for; only classes are linked, so a group of
     copies costs one row in the tables. component_id is the smallest doc_id reachable over links. Null and empty texts
     have fingerprint 0 and are linked like any other; a null doc_id counts as the smallest; a repeated row comes as often
     as it is there; an empty table gives an empty result; other columns are ignored.
     """
-    count = 1 + max(w for w, *_ in segments)
-    names = [f"fp{i}" for i in range(count)]
-    fps = scratch(fingerprints(docs, shingle, count), "fingerprints")
+    names = _words(segments or EXACT)
+    fps = scratch(fingerprints(docs, shingle, len(names)), "fingerprints")
     lowest = F.lit(-(1 << 63)).cast("long")
     classes = scratch(fps.groupBy(*names).agg(F.min(F.coalesce("doc_id", lowest)).alias("rep")), "classes")
+    segments = segments or exact_segments(classes.count())
     # first the links to a few others of each bucket, which join a dense group without all its pairs; then all links between
     # what is not joined yet
     joined = components(anchored(classes, bits, segments))
@@ -157,34 +209,46 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, segments=E
     return fps.join(of, names).select("doc_id", *names, "component_id")
 
 
-def _sets(docs: DataFrame, shingle: int, count: int, whole: bool) -> DataFrame:
-    """(rep, same, n, fp0, ... or with whole: hashes) for each row: the number of its distinct shingles, the words of the
-    fingerprint of these, or all their hashes; same is one hash of them all. rep is doc_id, the smallest number for null."""
-    names = [f"fp{i}" for i in range(count)]
+def _sets(rows: DataFrame, key: str, shingle: int, how: Plan | None) -> DataFrame:
+    """(rep, hashes) for each row, all hashes of its distinct shingles; or with a plan (rep, first, same, n, fp, at, asked):
+    what orders the rows, one hash of the set, its size, the words of its fingerprint, its segments' values, each with the
+    segment's number, and the bits of each that its look-ups flip."""
+    columns = ["rep", "hashes"] if how is None else ["rep", "first", "same", "n", "fp", "at", "low"]
+
+    def lists(x: np.ndarray, kind) -> pa.Array:
+        flat = np.ascontiguousarray(x).reshape(-1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, max(1, x.shape[1])).astype(np.int32)), pa.array(flat, kind)) if len(x) else pa.array([], pa.list_(kind))
+
+    def segments(votes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words, values and bits to flip for (rows, words, 64) of votes, which are positive where a bit is set."""
+        n, number = len(votes), np.arange(how.segments, dtype=np.int64)
+        words = np.packbits(votes > 0, axis=2, bitorder="little").view("<i8").reshape(n, how.words)
+        own = votes[:, :, : how.per * how.width].reshape(n, -1, how.width)[:, : how.segments]
+        values = (own > 0) @ (np.int64(1) << np.arange(how.width, dtype=np.int64))
+        low = np.argsort(np.abs(own), axis=2, kind="stable")[:, :, :FLIPPED]
+        return words, values | number << 32, (low << (6 * np.arange(FLIPPED))).sum(axis=2).astype(np.int32)
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                found = [np.unique(shingles(t, shingle)) for t in part.column(1).to_pylist()]
-                same = pa.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], pa.uint64()).view(pa.int64())
-                n = pa.array([len(h) for h in found], pa.int64())
-                if whole:
+                found = [np.unique(shingles(t, shingle)) for t in part.column("text").to_pylist()]
+                if how is None:
                     flat = np.concatenate(found) if found else np.zeros(0, "<u8")
                     ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                    rest = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))]
+                    rest = [part.column("rep"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))]
                 else:
-                    fp = np.array([_fingerprint(h, count) for h in found], dtype=np.uint64).reshape(-1, count)
-                    rest = [pa.array(np.ascontiguousarray(fp[:, i]).view(np.int64)) for i in range(count)]
-                yield pa.RecordBatch.from_arrays([part.column(0), same, n, *rest], names=["rep", "same", "n", *(["hashes"] if whole else names)])
-
-    rest = "hashes array<long>" if whole else ", ".join(f"{x} long" for x in names)
-    return docs.select(_id().alias("rep"), "text").mapInArrow(run, f"rep long, same long, n long, {rest}")
-
+                    same = pa.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], pa.uint64()).view(pa.int64())
+                    votes = np.array([2 * _votes(h, how.words) - len(h) for h in found], dtype=np.int64).reshape(-1, how.words, 64)
+                    fp, values, low = segments(votes)
+                    rest = [part.column("rep"), part.column("first"), same, pa.array([len(h) for h in found], pa.int64()), lists(fp, pa.int64()), lists(values, pa.int64()), lists(low, pa.int32())]
+                yield pa.RecordBatch.from_arrays(rest, names=columns)
 
-def _id():
-    """doc_id; null counts as the smallest."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long"))
+    schema = "rep long, hashes array<long>" if how is None else "rep long, first binary, same long, n long, fp array<long>, at array<long>, low array<int>"
+    # bytes that sort as the doc_id does, null last, then by the text
+    order = F.concat_ws("", F.when(F.col("doc_id").isNull(), F.lit("1")).otherwise(F.lit("0")), F.lpad(F.hex(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).bitwiseXOR(F.lit(-(1 << 63)).cast("long"))), 16, "0"), F.lpad(F.hex(F.xxhash64("text")), 16, "0")).cast("binary")
+    some = rows.select(F.col(key).alias("rep"), "text", *([] if how is None else [order.alias("first")]))
+    return some.mapInArrow(run, schema)
 
 
 def _comparable(one: str, two: str, similar: float):
@@ -192,94 +256,92 @@ def _comparable(one: str, two: str, similar: float):
     return F.least(one, two) >= F.greatest(one, two) * F.lit(similar) - 1e-9
 
 
-def _met(classes: DataFrame, segments, bits: int, similar: float, turn: int) -> DataFrame:
-    """(a, b): for each class the four closest candidates of other components among two of each segment's value, which are the
-    first and the last by a hash of the turn. A few rows for each class, however many are alike."""
-    fps = _words(segments)
-    keys = F.explode(F.array(*[_value(*x[:3], i) for i, x in enumerate(segments)]))
-    there = classes.select(keys.alias("at"), "rep", "component", "n", *fps)
-    both = F.struct(F.xxhash64("rep", F.lit(turn)).alias("order"), "rep", "component", "n", *fps)
-    ends = there.groupBy("at").agg(F.min(both).alias("low"), F.max(both).alias("high")).where("low.rep <> high.rep")
-    rows = there.join(ends, "at").select("rep", "component", "n", *fps, F.explode(F.array("low", "high")).alias("to"))
-    far = sum((F.bit_count(F.col(x).bitwiseXOR(F.col(f"to.{x}"))) for x in fps[1:]), F.bit_count(F.col(fps[0]).bitwiseXOR(F.col(f"to.{fps[0]}"))))
-    near = rows.where((F.col("component") != F.col("to.component")) & _comparable("n", "to.n", similar) & (far <= bits))
-    closest = F.array_sort(F.collect_set(F.struct(far.alias("far"), F.col("to.rep").alias("b"))))
-    return near.groupBy(F.col("rep").alias("a")).agg(F.slice(closest, 1, 4).alias("m")).select("a", F.explode("m.b").alias("b"))
+def _apart(one: str, two: str):
+    """Bits that differ in two fingerprints."""
+    return F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+
 
+def _met(classes: DataFrame, how: Plan, similar: float) -> DataFrame:
+    """(a, b): for each class the four closest candidates among two of each segment's value, which are the first and the last
+    by a hash. A few rows for each class, however many are alike."""
+    there = classes.select(F.explode("at").alias("key"), F.struct(F.xxhash64("rep", F.lit(1)).alias("order"), "rep").alias("o"))
+    ends = there.groupBy("key").agg(F.min("o").alias("low"), F.max("o").alias("high")).where("low.rep <> high.rep")
+    rows = there.select("key", F.col("o.rep").alias("a")).join(ends, "key").select("a", F.explode(F.array("low.rep", "high.rep")).alias("b")).where("a <> b").distinct()
+    one, two = (classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("fp").alias(f"fp_{x}")) for x in ("a", "b"))
+    far = rows.join(one, "a").join(two, "b").where(_comparable("n_a", "n_b", similar)).select("a", "b", _apart("fp_a", "fp_b").alias("far")).where(F.col("far") <= how.bits)
+    return far.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "b"))), 1, 4).alias("m")).select("a", F.explode("m.b").alias("b"))
 
-def _candidates(classes: DataFrame, segments, bits: int, similar: float) -> DataFrame:
+
+def _candidates(classes: DataFrame, how: Plan, similar: float) -> DataFrame:
     """(a, b): all pairs of classes of different components that meet in a segment, are at most `bits` apart and whose sizes
-    allow the similarity. As in links(), each class looks up the ball around each of its segments; of the fingerprint, a row
-    holds only the word after the segment's, and the others are compared where that one is near."""
-    fps = _words(segments)
-    there, asked = [], []
-    for i, (w, low, width, radius) in enumerate(segments):
-        value, word = _value(w, low, width, i), F.col(fps[(w + 1) % len(fps)])
-        there.append(F.struct(value.alias("key"), word.alias("word")))
-        flips = [sum(1 << p for p in ps) for r in range(radius + 1) for ps in combinations(range(width), r)]
-        asked.append(F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), _asked(value, word)))
+    allow the similarity. Each class is in a table under each of its segments' values, and looks up each value and the
+    balls around it, in the directions of the bits that the fewest shingles decided. Of the fingerprint, a row holds only
+    one word, another than the segment's; the others are compared where that one is near."""
+    word = lambda i: F.get("fp", (F.floor(i / how.per).cast("int") + 1) % how.words)
+    flips = lambda v, l: F.array(v, *[v.bitwiseXOR(_one_bit(l, i)) for i in range(FLIPPED)])
+    table = F.transform("at", lambda v, i: F.struct(v.alias("key"), word(i).alias("word")))
+    asked = F.flatten(F.transform(F.zip_with("at", "low", lambda v, l: F.struct(flips(v, l).alias("keys"))), lambda x, i: F.transform(x["keys"], lambda k: F.struct(k.alias("key"), word(i).alias("word")))))
     # most components are one class: what is null needs no room
     other = F.when(F.col("component") != F.col("rep"), F.col("component")).alias("component")
-    there = classes.select(F.explode(F.array(*there)).alias("t"), "rep", other).select("t.key", F.col("t.word").alias("w_b"), F.col("rep").alias("b"), F.col("component").alias("c_b"))
-    asked = classes.select(F.explode(F.flatten(F.array(*asked))).alias("t"), "rep", other).select("t.key", F.col("t.word").alias("w_a"), F.col("rep").alias("a"), F.col("component").alias("c_a"))
+    there = classes.select(F.explode(table).alias("t"), "rep", other).select("t.key", F.col("t.word").alias("w_b"), F.col("rep").alias("b"), F.col("component").alias("c_b"))
+    asking = classes.select(F.explode(asked).alias("t"), "rep", other).select("t.key", F.col("t.word").alias("w_a"), F.col("rep").alias("a"), F.col("component").alias("c_a"))
     apart = F.coalesce("c_a", "a") != F.coalesce("c_b", "b")
-    found = (asked.key == there.key) & (F.col("a") < F.col("b")) & apart & (F.bit_count(F.col("w_a").bitwiseXOR(F.col("w_b"))) <= WORD_BITS)
-    pairs = asked.join(there.hint("shuffle_hash"), found).select("a", "b").distinct()
-    one, two = (classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(f).alias(f"{f}_{x}") for f in fps]) for x in ("a", "b"))
-    near = pairs.join(one, "a").join(two, "b").where((_distance(fps, "_a", "_b") <= bits) & _comparable("n_a", "n_b", similar))
-    return near.select("a", "b").distinct()
+    found = (asking.key == there.key) & apart & (F.bit_count(F.col("w_a").bitwiseXOR(F.col("w_b"))) <= how.word_bits)
+    pairs = asking.join(there.hint("shuffle_hash"), found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one, two = (classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("fp").alias(f"fp_{x}")) for x in ("a", "b"))
+    return pairs.join(one, "a").join(two, "b").where(_comparable("n_a", "n_b", similar) & (_apart("fp_a", "fp_b") <= how.bits)).select("a", "b")
 
 
-def _asked(value, word):
-    return lambda flip: F.struct(value.bitwiseXOR(flip).alias("key"), word.alias("word"))
+def _one_bit(low, i: int):
+    """The i-th of the bits to flip, as a number."""
+    place = F.shiftright(low, 6 * i).bitwiseAND(F.lit(63))
+    return F.pow(F.lit(2.0), place).cast("long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, similar: float) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, key: str, shingle: int, similar: float) -> DataFrame:
     """The pairs (a, b) whose sets of shingles have a Jaccard similarity of `similar` or more, by all their hashes."""
     pairs = scratch(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    some = docs.select("doc_id", "text", _id().alias("rep")).join(ids, "rep", "left_semi")
-    sets = _sets(some, shingle, 0, True).join(classes.select("rep", "same"), ["rep", "same"], "left_semi")
-    sets = scratch(sets.groupBy("rep", "same").agg(F.first("hashes").alias("hashes")).select("rep", "hashes"), "sets")
+    ids = pairs.select(F.col("a").alias(key)).unionByName(pairs.select(F.col("b").alias(key))).distinct()
+    sets = scratch(_sets(rows.select(key, "text").join(ids, key, "left_semi"), key, shingle, None), "sets")
     one, two = (sets.select(F.col("rep").alias(x), F.col("hashes").alias(f"h_{x}")) for x in ("a", "b"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("h_a", "h_b")).alias("both"), (F.size("h_a") + F.size("h_b")).alias("sizes"))
-    good = scratch(both.where(F.col("both") >= (F.col("sizes") - F.col("both")) * F.lit(similar) - 1e-9).select("a", "b").distinct(), "similar")
-    discard(sets)
-    discard(pairs)
+    good = scratch(both.where(F.col("both") >= (F.col("sizes") - F.col("both")) * F.lit(similar) - 1e-9).select("a", "b"), "similar")
+    discard(sets, pairs)
     return good
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similar: float = SIMILAR, bits: int = SIMILAR_BITS, segments=WIDE) -> DataFrame:
-    """(rep, component) for each class of docs (doc_id, text), which are texts with equal sets of shingles; rep is their
-    smallest doc_id and component the smallest one reachable over links. Fingerprints only propose pairs: two classes are
-    linked if the Jaccard similarity of their sets reaches `similar`."""
-    fps = _words(segments)
-    found = _sets(docs, shingle, len(fps), False).groupBy("same", "n", *fps).agg(F.min("rep").alias("rep"))
-    now = scratch(found.withColumn("component", F.col("rep")), "classes")
+def similar_groups(rows: DataFrame, key: str, shingle: int = 5, similar: float = SIMILAR, missed: float = MISSED) -> DataFrame:
+    """(first, component) for each class of rows (a number `key`, doc_id, text), which are texts with equal sets of shingles:
+    first ends in the number of its first row, and of what is joined by links, the component is the same. Fingerprints only
+    propose pairs: two classes are linked if the Jaccard similarity of their sets reaches `similar`."""
+    how = plan(rows.count(), similar, missed)
+    found = _sets(rows, key, shingle, how).withColumn("first", F.struct("first", "rep")).groupBy("same", "n", "fp", "at", "low").agg(F.min("first").alias("first"))
+    now = scratch(found.select("n", "fp", "at", "low", "first", F.col("first.rep").alias("rep"), F.col("first.rep").alias("component")), "classes")
 
     def joined(pairs: DataFrame) -> DataFrame:
-        links = _verified(pairs, docs, now, shingle, similar)
-        of = now.select("rep", "component").distinct()
+        links = _verified(pairs, rows, key, shingle, similar)
+        of = now.select("rep", "component")
         one, two = (of.select(F.col("rep").alias(x), F.col("component").alias(f"c_{x}")) for x in ("a", "b"))
         labels = components(links.join(one, "a").join(two, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+        discard(links)
         labels = labels.withColumnRenamed("component", "last")
-        after = now.join(labels, now.component == labels.node, "left").select("same", "n", *fps, "rep", F.coalesce("last", "component").alias("component"))
-        return scratch(after, "classes")
+        return now.join(labels, now.component == labels.node, "left").select("n", "fp", "at", "low", "first", "rep", F.coalesce("last", "component").alias("component"))
 
     # first a few pairs of each bucket, which join a dense group without all its pairs; then all pairs of what is still apart
-    for turn in range(DENSE):
-        now = joined(_met(now, segments, bits, similar, turn))
-    return joined(_candidates(now, segments, bits, similar)).select("rep", "component")
+    now = scratch(joined(_met(now, how, similar)), "classes")
+    return joined(_candidates(now, how, similar)).select("first", "component")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, similar: float = SIMILAR, bits: int = SIMILAR_BITS, segments=WIDE) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, similar: float = SIMILAR, missed: float = MISSED) -> DataFrame:
     """docs without near-duplicates, which are linked at a Jaccard similarity of `similar` or more on shingles of five words:
-    of each group the row with the smallest doc_id stays, once (of rows with equal doc_id, one). All columns are kept."""
-    found = similar_groups(docs, shingle, similar, bits, segments).where("rep = component").select("component").distinct()
-    one = docs.withColumn("_id", _id())
-    kept = one.join(found.withColumnRenamed("component", "_id").hint("shuffle_hash"), "_id", "left_semi")
-    again = docs.groupBy(_id().alias("_id")).count().where("count > 1").select("_id")
-    if not again.isEmpty():
-        again = scratch(again, "again")
-        kept = kept.join(again, "_id", "left_anti").unionByName(kept.join(again, "_id", "left_semi").dropDuplicates(["_id"]))
-    return kept.drop("_id")
+    of each group, which is what links reach, one row stays, with all its columns: that of the smallest doc_id, of equal ids
+    that of the least hash of the text.
+
+    Null texts and texts without words are alike, so one of them stays; a text of fewer words than a shingle is one shingle.
+    A null doc_id comes last; rows are told apart by a number, so different texts with one doc_id, or with none, all stay.
+    An empty table gives an empty result; a column of any other name is kept.
+    """
+    key = fresh(docs, "row")[0]
+    rows = numbered(docs, key)
+    kept = similar_groups(rows, key, shingle, similar, missed).groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.rep").alias(key))
+    return rows.join(kept.hint("shuffle_hash"), key, "left_semi").drop(key)
