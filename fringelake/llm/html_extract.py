@@ -5,7 +5,9 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,136 +15,307 @@ from pyspark.sql import functions as F
 
 #: Labelled pages that the weights are fitted on at most.
 SAMPLE = 400
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|([^<]+|<)", re.S)
-#: Elements whose contents are never text of the article.
-OUT = frozenset("script style noscript template iframe object svg canvas math head title nav header footer aside form menu button select textarea dialog figure audio video".split())
-RAW = frozenset("script style textarea title".split())
-#: Elements that begin or end a block; other elements are within one.
-BLOCK = frozenset("address article blockquote body br caption center dd details div dl dt fieldset figcaption h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Fixed values of HTML: elements whose contents are raw text, elements without end tag, elements that begin or end a block,
+#: those whose start ends an open paragraph, and for others the open elements that a start tag ends, within which ancestor.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-STRUCTURE = frozenset("html body div section main article address details fieldset hr".split())
-#: Class and id words of menus, notices, adverts, comments and the like, as wholes or before a digit.
-NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|disqus|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|popup|promo|promoted|related|replies|respond|share|sharing|sidebar|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?:$|[\s_\d-])", re.I)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
-WHITE = re.compile(r"\s+")
-
-
-def _noise(tag: str, attributes: str) -> bool:
-    if tag in OUT:
-        return True
-    if tag in ("html", "body", "main", "article"):
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES or name in ("class", "id") and NOISE.search(value):
-            return True
-    return False
-
-
-def tokens(page: str) -> list[tuple[str, str]]:
-    """("text", raw text) and ("tag", name or /name), without comments and without elements that hold no text of an article.
-    An element that is left out ends at its own end tag, or at the end of its parent if that comes first."""
-    out: list[tuple[str, str]] = []
-    opened: list[str] = []
-    skip = 0  # depth in opened at which a left-out element began, plus one
+BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
+ENDS = {
+    "li": (("li",), ("ul", "ol", "menu")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)), "option": (("option",), ("select",)),
+    "optgroup": (("option", "optgroup"), ("select",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
+    "tbody": (("tbody", "thead", "tfoot", "tr"), ("table",)), "tfoot": (("tbody", "thead", "tfoot", "tr"), ("table",)), "thead": (("tbody", "thead", "tfoot", "tr"), ("table",)),
+}
+SCOPE = ("td", "th", "caption", "button", "object", "template", "html")
+#: Words outside of the article that an element is taken to have been seen with before any page is: by what HTML says of it.
+PRIOR = {"nav": 200, "footer": 200, "aside": 200, "form": 200, "menu": 200, "dialog": 200, "button": 200, "select": 200, "template": 200, "noscript": 200, "object": 50, "svg": 200, "canvas": 200, "header": 50, "[hidden]": 200, "@navigation": 200, "@banner": 50, "@contentinfo": 200, "@complementary": 200, "@search": 200}
+LABELS = ("article", "main")
+#: Words that a feature is taken to have been seen with anyway, and what an element can cost the scan at most.
+ALPHA, MOST = 20.0, 10.0
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+REST = re.compile(r"[\s/]*(>?)")
+COMMENT = re.compile(r"--(?:>|.*?(?:--!?>|\Z))", re.S)
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+DIGITS, WHITE = re.compile(r"\d+"), re.compile(r"\s+")
+
+
+def _features(tag: str, attributes: dict[str, str]) -> tuple[str, ...]:
+    """What tells about an element: its name, and its classes, id and role, numbers in them being alike."""
+    out = [tag]
+    if attributes:
+        out += ["." + DIGITS.sub("0", c) for c in attributes.get("class", "").lower().split()]
+        out += [mark + DIGITS.sub("0", attributes[name].strip().lower()) for name, mark in (("id", "#"), ("role", "@")) if attributes.get(name)]
+        if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
+            out.append("[hidden]")
+    return tuple(out)
+
+
+def events(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
+    """("text", raw text, ()), ("open", tag, features), ("close", tag, ()) and ("void", tag, features) of a page in order, in one
+    pass. End tags that HTML implies come as close too, and all that is open at the end; end tags of what is not open, and
+    comments, don't come; nor do the contents of scripts, styles and other raw text."""
+    stack: list[str] = []
+    places: dict[str, list[int]] = {}
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    def shut(down_to: int):
+        while len(stack) > down_to:
+            t = stack.pop()
+            places[t].pop()
+            yield "close", t, ()
+
     at, n = 0, len(page)
     while at < n:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        if m[4] == "<" and page[at : at + 1].isalpha() or m[4] == "<" and page[at : at + 1] == "/":
-            end = page.find(">", at)  # a tag with an open quote, or one that never ends
-            at = end + 1 if end >= 0 else n
+        lt = page.find("<", at)
+        if lt < 0:
+            lt = n
+        if lt > at:
+            yield "text", page[at:lt], ()
+        if lt == n:
+            break
+        m = TAG.match(page, lt)
+        if m is None:
+            following = page[lt + 1 : lt + 2]
+            if following == "!" and page.startswith("<!--", lt):
+                c = COMMENT.match(page, lt + 2)
+                at = c.end() if c else n
+            elif following in ("!", "?", "/"):
+                end = page.find(">", lt)
+                at = end + 1 if end >= 0 else n
+            else:
+                yield "text", "<", ()
+                at = lt + 1
             continue
-        if m[4] is not None:
-            if not skip:
-                out.append(("text", m[4]))
-            continue
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
+        tag, attributes, at, ended = m[2].lower(), {}, m.end(), False
+        while True:
+            r = REST.match(page, at)
+            if r[1]:
+                at, ended = r.end(), True
+                break
+            a = ATTRIBUTE.match(page, at)
+            if a is None or a.end() == at:
+                at = n
+                break
+            at = a.end()
+            attributes.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
+        if not ended:
+            break  # a tag that never ends
         if m[1]:
-            if tag in opened:
-                depth = len(opened) - opened[::-1].index(tag) - 1
-                if skip and depth < skip - 1 and tag in ("p", "li", "a", "b", "i", "span", "em", "strong"):
-                    continue  # inline ends do not end a left-out element
-                del opened[depth:]
-                if skip and depth < skip:
-                    skip = 0
-                    if depth < skip - 1:
-                        out.append(("tag", "/" + tag))
-                    continue
-            if not skip:
-                out.append(("tag", "/" + tag))
+            place = last((tag,))
+            if place >= 0 and (place >= last(SCOPE) or tag in SCOPE or tag in BLOCK and tag not in ("p", "li")):
+                yield from shut(place)
             continue
-        if tag in VOID or m[3].endswith("/"):
-            if not skip:
-                out.append(("tag", tag))
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
-        opened.append(tag)
-        if not skip and _noise(tag, m[3]):
-            skip = len(opened)
-        elif not skip:
-            out.append(("tag", tag))
-    return out
+        if tag in ENDS_P:
+            place = last(("p",))
+            if place > last(SCOPE):
+                yield from shut(place)
+        if tag in ENDS:
+            ended_by, within = ENDS[tag]
+            bound = last(within)
+            # the outermost of them within the ancestor
+            after = [x[i] for x in (places.get(t, ()) for t in ended_by) if (i := bisect_right(x, bound)) < len(x)]
+            if after:
+                yield from shut(min(after))
+        features = _features(tag, attributes)
+        if tag in VOID:
+            yield "void", tag, features
+        elif tag in RAW:
+            end = RAW_END[tag].search(page, at)
+            close = page.find(">", end.end()) if end else -1
+            at = close + 1 if close >= 0 else n
+        else:
+            places.setdefault(tag, []).append(len(stack))
+            stack.append(tag)
+            yield "open", tag, features
+    yield from shut(0)
+
+
+def _telling(features: tuple[str, ...]) -> tuple[str, ...]:
+    """What an element outside of the article is known by: its name if that says what it is for, else what names it, if any."""
+    if features[0] in PRIOR:
+        return features[:1]
+    return features[1:] or features[:1]
 
 
 class Weights:
-    """Scores of the scan: a word's, and each tag's. A tag scores the log ratio of its rates within and without the
-    labelled regions, never above zero; a word scores one."""
+    """Scores of the scan. What an element says is the log ratio of the words seen in such elements within and without the
+    labelled regions; its words, and all below it, go by the ancestor that says most against them. Words score `word`, or
+    less than zero where that is clearly negative; tags score the log ratio of their own rates, never above -0.05."""
+
+    def __init__(self, inside: Counter | None = None, outside: Counter | None = None, tags_in: Counter | None = None, tags_out: Counter | None = None, word: float = 1.0):
+        inside, outside = Counter(inside or {}), Counter(outside or {}) + Counter(PRIOR)
+        self.word, self.says, self.tag = word, {}, {}
+        a, b = max(inside[""], 1000.0), max(outside[""], 1000.0)
+        for f in {*inside, *outside} - {""}:
+            self.says[f] = math.log((inside[f] + ALPHA) / (a + ALPHA)) - math.log((outside[f] + ALPHA) / (b + ALPHA))
+        tags_in, tags_out = tags_in or Counter(), tags_out or Counter()
+        a, b = sum(tags_in.values()) + 1, sum(tags_out.values()) + 1
+        for t in {*tags_in, *tags_out}:
+            self.tag[t] = max(-8.0, min(-0.05, math.log((tags_in[t] + 0.5) / a) - math.log((tags_out[t] + 0.5) / b)))
+
+    def of(self, features: tuple[str, ...]) -> float:
+        """What an element says; nothing, if it was never seen."""
+        return min(self.says.get(f, 0.0) for f in features)
 
-    def __init__(self, inside: Counter | None = None, outside: Counter | None = None):
-        inside, outside = inside or Counter(), outside or Counter()
-        self.word, self.tag = 1.0, {}
-        a, b = sum(inside.values()) + 1, sum(outside.values()) + 1
-        for t in {*inside, *outside}:
-            self.tag[t] = min(-0.05, math.log((inside[t] + 0.5) / a) - math.log((outside[t] + 0.5) / b))
+    def of_word(self, says: float) -> float:
+        return self.word if says > -1 else -self.word * min(3.0, -says / 2)
 
-    def of(self, tag: str) -> float:
-        """Tags that no labelled page has: those of a page's structure part regions, those of text hardly count."""
-        return self.tag.get(tag, -3.0 if tag.lstrip("/") in STRUCTURE else -0.1)
+    def of_tag(self, tag: str, says: float) -> float:
+        return min(self.tag.get(tag, -0.1), max(says, -8.0) if says <= -1 else -0.05)
 
 
-def fit(pages: list[str]) -> Weights:
-    """Weights from pages that mark their region with one article or main element; other pages are passed over."""
-    inside, outside = Counter(), Counter()
+def _counts(pages: list[str]) -> tuple[Counter, Counter, Counter, Counter]:
+    """Words by features, and tags, within and without the regions of pages that mark it with one article or main element.
+
+    A word without counts only for the outermost element that does not hold the region too, so that what comes in menus and
+    articles alike, such as links and lists, says nothing against itself."""
+    inside, outside, tags_in, tags_out = Counter(), Counter(), Counter(), Counter()
     for page in pages:
-        found = tokens(page)
-        names = [t if kind == "tag" else "" for kind, t in found]
-        for mark in ("article", "main"):
-            if names.count(mark) == 1 and "/" + mark in names:
-                a, b = names.index(mark), names.index("/" + mark)
-                inside.update(x for x in names[a + 1 : b] if x)
-                outside.update(x for x in names[: a + 1] + names[b:] if x)
-                break
-    return Weights(inside, outside)
+        found = list(events(page))
+        opened = Counter(t for kind, t, _ in found if kind == "open")
+        mark = next((t for t in LABELS if opened[t] == 1), None)
+        if mark is None:
+            continue
+        path, holders = 0, []  # the elements that hold the region
+        for kind, t, _ in found:
+            if kind == "open":
+                if t == mark:
+                    break
+                holders.append(path)
+            if kind == "close":
+                holders.pop()
+            path += kind == "open"
+        holds, stack, number, within, root = set(holders), [], 0, False, None
+        for kind, t, features in found:
+            if kind == "open":
+                if t == mark:
+                    within = True
+                elif within:
+                    tags_in[t] += 1
+                elif root is None:
+                    if number not in holds:
+                        root = len(stack)
+                    if root is None or _telling(features)[0] == t:
+                        tags_out[t] += 1
+                stack.append([features, 0, t == mark])
+                number += 1
+            elif kind == "void":
+                (tags_in if within else tags_out if root is None else Counter())[t] += 1
+            elif kind == "text":
+                stack_words = len(t.split())
+                if stack:
+                    stack[-1][1] += stack_words
+                (inside if within else outside)[""] += stack_words
+            else:
+                features, words, marked = stack.pop()
+                if stack:
+                    stack[-1][1] += words
+                if marked:
+                    within = False
+                elif within:
+                    for f in features:
+                        inside[f] += words
+                    tags_in["/" + t] += 1
+                elif root is None:
+                    tags_out["/" + t] += 1
+                elif root == len(stack):
+                    for f in _telling(features):
+                        outside[f] += words
+                    if _telling(features)[0] == t:
+                        tags_out["/" + t] += 1
+                    root = None
+    return inside, outside, tags_in, tags_out
+
+
+def fit(pages: list[str], tried=(1.0, 0.5, 0.25, 2.0)) -> Weights:
+    """Weights from labelled pages, which mark their region; other pages are passed over. The weight of a word is the one
+    under which the scan finds most of the regions of up to 100 of them, word by word."""
+    counts = _counts(pages)
+    labelled = []
+    for page in pages:
+        if len(labelled) == 100:
+            break
+        found = list(events(page))
+        starts = {t: [i for i, e in enumerate(found) if e[:2] == ("open", t)] for t in LABELS}
+        mark = next((t for t in LABELS if len(starts[t]) == 1), None)
+        if mark:
+            a = starts[mark][0]
+            depth, b = 0, a
+            for b in range(a, len(found)):
+                depth += (found[b][0] == "open") - (found[b][0] == "close")
+                if not depth:
+                    break
+            labelled.append((found, a, b))
+    best, chosen = -1.0, Weights(*counts)
+    for word in tried if labelled else ():
+        weights, right, total = Weights(*counts, word=word), 0, 0
+        for found, a, b in labelled:
+            score = scores(found, weights)
+            s, e = region(score)
+            for i, (kind, t, _) in enumerate(found):
+                if kind == "text":
+                    n = len(t.split())
+                    total += n
+                    right += n * ((a < i < b) == (s <= i < e and score[i] > 0))
+        if right / max(total, 1) > best + 1e-9:
+            best, chosen = right / max(total, 1), weights
+    return chosen
+
+
+def scores(found: list[tuple[str, str, tuple[str, ...]]], weights: Weights) -> list[float]:
+    """The score of each event; a text's is the sum of its words'. An element that speaks against itself, such as an advert
+    between paragraphs, costs MOST in all, so that the scan can pass it where enough words follow."""
+    out, stack, root, spent = [], [0.0], None, 0.0
+    for kind, t, features in found:
+        if kind == "text":
+            x = weights.of_word(stack[-1]) * len(t.split())
+        elif kind == "open":
+            own = weights.of(features)
+            stack.append(min(stack[-1], own))
+            x = weights.of_tag(t, own)
+            if root is None and own <= -1:
+                root, spent = len(stack), 0.0
+        elif kind == "void":
+            x = weights.of_tag(t, 0.0)
+        else:
+            if root == len(stack):
+                root = None
+            stack.pop()
+            x = weights.of_tag("/" + t, 0.0)
+        if root is not None and x < 0:
+            x = min(max(x, spent - MOST), -1e-3)
+            spent = min(MOST, spent - x)
+        out.append(x)
+    return out
 
 
-def region(found: list[tuple[str, str]], weights: Weights) -> tuple[int, int]:
-    """The contiguous run of tokens with the largest sum of scores, in one pass; of equal ones the first."""
+def region(score: list[float]) -> tuple[int, int]:
+    """The contiguous run with the largest sum, in one pass; of equal ones the first, empty if no sum is positive."""
     best, here, start, span = 0.0, 0.0, 0, (0, 0)
-    for i, (kind, t) in enumerate(found):
-        score = weights.word * len(t.split()) if kind == "text" else weights.of(t)
+    for i, x in enumerate(score):
         if here <= 0:
             here, start = 0.0, i
-        here += score
+        here += x
         if here > best:
             best, span = here, (start, i + 1)
     return span
 
 
 def main_text(page: str | None, weights: Weights) -> str:
-    found = tokens(page or "")
-    a, b = region(found, weights)
+    """The text of the best region, without texts in it whose own score is negative, such as adverts between paragraphs."""
+    found = list(events(page or ""))
+    score = scores(found, weights)
+    a, b = region(score)
     blocks, now = [], []
-    for kind, t in [*found[a:b], ("tag", "p")]:
+    for i in range(a, b + 1):
+        kind, t, _ = found[i] if i < b else ("void", "p", ())
         if kind == "text":
-            now.append(t)
-        elif t.lstrip("/") in BLOCK:
+            if score[i] >= 0:
+                now.append(t)
+        elif t in BLOCK:
             if now:
                 text = WHITE.sub(" ", entities.unescape("".join(now))).strip()
                 if text:
@@ -154,9 +327,9 @@ def main_text(page: str | None, weights: Weights) -> str:
 def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages (page_id, url, html).
 
-    Weights come from `sample` pages at most, taken by a hash of page_id. Null and empty pages, and pages without words,
-    have empty text. Whole pages are read, however long. Repeated rows come as often as they are there; an empty table
-    gives an empty result; other columns are ignored.
+    Weights come from `sample` pages at most, taken by a hash of page_id from those that mark their article. Null and empty
+    pages, and pages without words, have empty text. Whole pages are read, however long, in one pass each. Repeated rows
+    come as often as they are there; an empty table gives an empty result; other columns are ignored.
     """
     marked = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select("page_id", F.xxhash64("page_id").alias("h"), "html")
     # the hashes first, so that tasks send the driver hashes and only the sample's pages

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import random
+import time
 import zlib
 
 import numpy as np
@@ -42,13 +43,58 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def _site(r, label=True, inner=False):
+    """A page and its article, with menus, a sidebar, a notice and comments around it, and adverts within if inner."""
+    some = lambda n: " ".join(r.choice("north river stone paper cloud garden letter window".split()) for _ in range(n))
+    text = [some(r.randrange(25, 60)) for _ in range(r.randrange(2, 7))]
+    menu = "".join(f"<li><a href='/{i}'>{some(2)}</a>" for i in range(r.randrange(3, 20)))
+    tag = "article" if label else "div"
+    middle = r.randrange(1, len(text))
+    advert = f'<aside class="box-{r.randrange(9)}">{some(9)}</aside><div class="col side">{some(3)}</div>' if inner else ""
+    inner = "".join(f"<p>{t}" for t in text[:middle]) + advert + "".join(f"<p>{t}</p>" for t in text[middle:])
+    before = f'<div id="cookie-{r.randrange(99)}">{some(r.randrange(5, 60))}</div><div class="side col">{some(r.randrange(5, 90))}<ul>{menu}</ul></div>'
+    after = f'<section class="replies"><h2>{some(2)}</h2><p>{some(r.randrange(5, 80))}</p></section><footer>{some(8)}</footer>'
+    return f"<html><body><nav><ul>{menu}</ul></nav>{before}<{tag}><ul><li>{text[0]}</li></ul>{inner}</{tag}>{after}</body></html>", "\n".join([text[0], *text])
+
+
 def test_html():
-    w = html_extract.Weights()
-    page = '<html><body><nav><a href="/">Home page of all things</a></nav><div class="ad">Buy <p>now</div><article><h1>Title&amp;x</h1><p><b>One  two<br><p>three <i>fo</i>ur</p><script>if(a<b){}</script><div id="comments"><p>nice</p></div><p>last</article><footer>x</footer>'
-    assert html_extract.main_text(page, w) == "Title&x\nOne two\nthree four\nlast"
+    r = random.Random(4)
+    w = html_extract.fit([_site(r)[0] for _ in range(60)])
+    # held out, and without the element that marks the article: only the weights tell menus, sidebars and comments
+    for label in (True, False):
+        for _ in range(40):
+            page, text = _site(r, label, True)
+            assert html_extract.main_text(page, w) == text
     assert html_extract.main_text(None, w) == html_extract.main_text("", w) == html_extract.main_text("<p><div", w) == ""
 
 
+def test_html_keeps_what_only_looks_like_noise():
+    w = html_extract.fit([_site(random.Random(i))[0] for i in range(30)])
+    body = "one two three four five six seven eight"
+    for page in (f'<article><h1>t</h1><p class="promo">{body}<p>{body}<p>{body}</article>', f'<article><p>{body}<ul><li class="ad">{body}<li>{body}</ul><p>{body}</article>'):
+        assert html_extract.main_text(page, w).count(body) >= 3
+    for page in (f'<div class="content related-work"><p>{body}</p></div>', f'<div class="share-prices">{body}</div>', f'<p data-x="a hidden b">{body}</p>', f"<figure><img src=x><figcaption>{body}</figcaption></figure>", f"<p title=it's>{body}</p>", f"<p>{body}<script>if(a<b){{}}</script>"):
+        assert html_extract.main_text(f"<html><body>{page}</body></html>", w) == body
+    page = "<body><article><h1>Title&amp;x</h1><p><b>One  two<br><p>three <i>fo</i>ur<table><tr><td>a<td>b<tr><td>c</table>last <! x>< 5"
+    assert html_extract.main_text(page, w) == "Title&x\nOne two\nthree four\na\nb\nc\nlast < 5"
+
+
+def test_html_takes_linear_time():
+    w = html_extract.fit([_site(random.Random(i))[0] for i in range(5)])
+    for x in ("<p>", "<div>", "<li>", '<a b="', "<table><tr><td>", "<ul><li>", "<b></i>", "<!--", "<"):
+        began = time.process_time()
+        html_extract.main_text(x * 100_000 + "word", w)
+        assert time.process_time() - began < 10, x
+
+
+def test_best_region_by_brute_force():
+    r = random.Random(9)
+    for _ in range(300):
+        score = [r.choice([-3, -1, -0.5, 0, 0.5, 1, 4]) for _ in range(r.randrange(12))]
+        a, b = html_extract.region(score)
+        assert sum(score[a:b]) == max([0, *(sum(score[i:j]) for i in range(len(score)) for j in range(i + 1, len(score) + 1))])
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>a b c</p></article>", 3), (1, "u", "<article><p>a b c</p></article>", 3), (None, None, None, 1)], "page_id long, url string, html string, text int")
     assert sorted((r.text, r.n_chars) for r in html_extract.extract(pages).collect()) == [("", 0), ("a b c", 5), ("a b c", 5)]
