@@ -126,10 +126,51 @@ def test_urls(spark):
     assert all(got[i].verdict in ("allow", "block") and got[i].rule is None for i in (4, 5, 6, 8))
 
 
-def test_url_models():
-    good, bad = [f"news.example.com/en/{i}" for i in range(60)], [f"cheap-pills.example.com/buy/{i}" for i in range(60)]
-    r = url_filter.Ratio(good, bad)
-    assert r.score("news.example.com/en/777") > r.limit > r.score("cheap-pills.example.com/buy/888")
+def _count(texts):
+    out = {}
+    for t in texts:
+        t = "\x02" * url_filter.ORDER + t + "\x03"
+        for i in range(url_filter.ORDER, len(t)):
+            for k in range(url_filter.ORDER + 1):
+                out[t[i - k : i + 1]] = out.get(t[i - k : i + 1], 0) + 1
+    return out
+
+
+def test_url_models(spark):
+    """Scores of all URLs by brute force, and held-out accuracy on URLs that no rule fits."""
+    r = random.Random(3)
+    word = lambda kind: "".join(r.choice(kind) for _ in range(3))
+    good, bad = ["news", "wiki", "book"], ["pill", "slot", "loan"]
+    urls = [(f"http://{word(good)}.net/de/{r.randrange(10**6)}", "allow") for _ in range(150)] + [(f"http://{word(bad)}.org/es/{r.randrange(10**6)}", "block") for _ in range(150)]
+    new = [(f"http://{word(good)}.io/{r.randrange(10**6)}", "allow") for _ in range(50)] + [(f"http://{word(bad)}.io/{r.randrange(10**6)}", "block") for _ in range(50)]
+    rows = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls + urls[:20] + new)], "page_id long, url string")
+    labelled = spark.createDataFrame([(v, u) for u, v in urls], "said string, url string").distinct()
+    ratio = url_filter.fitted(labelled)
+    held = {x.url for x in labelled.where(F.pmod(F.xxhash64("url", F.lit(5)), F.lit(url_filter.HELD)) == 0).collect()}
+    want = {v: _count([url_filter.normal(u) for u in {u for u, s in urls if s == v} - held]) for v in ("allow", "block")}
+    assert ratio.good.seen == want["allow"] and ratio.bad.seen == want["block"]
+    pruned = url_filter.fitted(labelled, most=500)
+    for model, v in ((pruned.good, "allow"), (pruned.bad, "block")):
+        assert 0 < len(model.seen) <= 500 and all(want[v][g] == n for g, n in model.seen.items()) and min(model.seen.values()) > max(n for g, n in want[v].items() if g not in model.seen)
+    got = {x.page_id: x for x in url_filter.judge(rows).collect()}
+    assert len(got) == 420 and all((x.score is None) == (x.rule is not None) for x in got.values())
+    assert sum(got[320 + i].verdict == v for i, (_, v) in enumerate(new)) >= 90
+    for i, (u, _) in enumerate(new[::10]):
+        t = url_filter.normal(u)
+        assert abs(got[320 + 10 * i].score - (_likelihood(want["allow"], t) - _likelihood(want["block"], t)) / (len(t) + 1)) < 1e-9
+
+
+def _likelihood(seen, text):
+    order, total = url_filter.ORDER, 0.0
+    text = "\x02" * order + text + "\x03"
+    for i in range(order, len(text)):
+        p = 1 / 256
+        for k in range(order + 1):
+            after = [n for g, n in seen.items() if len(g) == k + 1 and g[:-1] == text[i - k : i]]
+            if after:
+                p = (seen.get(text[i - k : i + 1], 0) + len(after) * p) / (sum(after) + len(after))
+        total += np.log(p)
+    return total
 
 
 def _fingerprint(text, k):
