@@ -6,35 +6,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fringelake.llm import mixing, packing, pii, quality, simhash
-from fringelake.llm.common import scratch
+from fringelake.llm.common import discard, fresh, numbered, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep. Rows with one doc_id have one verdict each by their own text; a row stays if all of
-    them are kept. A null doc_id is an id."""
-    judged = quality.judge(docs).groupBy("doc_id").agg(F.bool_and("kept").alias("kept")).where("kept")
-    good = judged.select(F.col("doc_id").alias("good_id")).hint("shuffle_hash")
-    return docs.join(good, docs.doc_id.eqNullSafe(F.col("good_id")), "left_semi")
+    """The rows that the rules keep, each by its own verdict, whatever its doc_id. Null and empty texts are rejected; repeated
+    rows stay or go alike; an empty table gives an empty one; all columns stay."""
+    return quality.accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One row of each group of near-duplicates, that of the smallest doc_id (null last). Rows are told apart by themselves, so
+    different texts with one doc_id or none all stay; of null and empty texts one row stays; an empty table gives an empty
+    one; all columns stay."""
     return simhash.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms in the text; n_chars follows the text."""
-    return pii.pseudonymise(docs).drop("found").withColumn("n_chars", F.length("text").cast("long"))
+    """All rows, with pseudonyms in the text; n_chars follows the text. Null text stays null, with n_chars null. Row by row, so
+    repeated rows and ids change alike; an empty table gives an empty one; all columns stay."""
+    found = fresh(docs, "found")[0]
+    return pii.pseudonymise(docs, pii.session_key(spark), found).drop(found).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    copies = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("copies"))
-    both = docs.join(copies.hint("shuffle_hash"), docs.doc_id.eqNullSafe(F.col("mixed_id")))
-    return both.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    """Each row as often as the mix takes it: not at all, once or twice. A null source is one; rows without words are not
+    taken; rows of one doc_id, or none, have copies each; an empty table gives an empty one; all columns stay."""
+    row, of, copies, copy = fresh(docs, "row", "of", "copies", "copy")
+    rows = numbered(docs, row)
+    taken = mixing.mix(rows, row=row).where("copies > 0").select(F.col("row").alias(of), F.col("copies").alias(copies))
+    both = rows.join(taken.hint("shuffle_hash"), F.col(row) == F.col(of))
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows in sequences. Null text is a document of one id; repeated rows are packed each on their own; an
+    empty table gives no rows; other columns are ignored."""
     return packing.pack(docs)
 
 
@@ -46,9 +53,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = scratch(docs, f"stage{i}")
+            discard(before)
+            before = docs
     return docs

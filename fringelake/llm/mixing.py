@@ -14,9 +14,9 @@ WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 RANKED = 256
 
 
-def sizes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): a document's words; null text has none."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
+def sizes_of(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(row, doc_id, source, size): a document's words; null text has none. row is the column of that name, or null."""
+    return docs.select((F.col(row) if row else F.lit(None)).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -92,8 +92,9 @@ def _copies(cells: pd.DataFrame, most: int) -> pd.DataFrame:
     return cells.assign(copies=np.array(out, dtype=np.int64))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = int(MOST)) -> DataFrame:
-    """For each row of docs (doc_id, text, source): doc_id, source, size, source_size, target, rate, copies, taken.
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = int(MOST), row: str | None = None) -> DataFrame:
+    """For each row of docs (doc_id, text, source): row, doc_id, source, size, source_size, target, rate, copies, taken; row is
+    the column of docs of that name, a number that tells rows of one doc_id apart, or null.
 
     Documents of one source and size have one rate, so Newton's rounds and the rounding work on counts by source and size,
     not on documents. A size's copies are dealt by rank of a hash of doc_id, in groups of some hundred rows, so copies of
@@ -101,22 +102,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = int(
     words (null or empty text) have no copies and take nothing; rows with one doc_id are ranked next to each other, each
     with its own copies; an empty table gives an empty result; other columns are ignored.
     """
-    sizes = scratch(sizes_of(docs), "sizes")
+    sizes = scratch(sizes_of(docs, row), "sizes")
     wanted = scratch(targets(sizes, weights, share, float(most)), "targets")
     cells = scratch(sizes.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "cells")
     dealt = rates(cells, wanted, float(most)).groupBy("source").applyInPandas(lambda x: _copies(x, most), "source string, size long, n long, target double, source_size long, rate double, copies long")
     dealt = scratch(dealt, "copies").withColumnRenamed("source", "c_source").withColumnRenamed("size", "c_size")
+    # one Python group holds the distinct sizes of a source, not its documents
     own = sizes.join(dealt, (F.col("size") == F.col("c_size")) & F.col("source").eqNullSafe(F.col("c_source")))
     group = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.ceil(F.col("n") / RANKED))
-    own = scratch(own.select("doc_id", "source", "size", "n", "target", "source_size", "rate", "copies", group.alias("part")), "ranked")
+    own = scratch(own.select("row", "doc_id", "source", "size", "n", "target", "source_size", "rate", "copies", group.alias("part")), "ranked")
     per = own.groupBy("source", "size", "part", "n", "copies").agg(F.count(F.lit(1)).alias("here"))
     upto = F.sum("here").over(Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     extra = F.pmod(F.col("copies"), F.col("n"))
     share_of = F.floor(extra * F.col("upto") / F.col("n")) - F.floor(extra * (F.col("upto") - F.col("here")) / F.col("n"))
     per = per.withColumn("upto", upto).select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), F.col("part").alias("p_part"), share_of.alias("extra"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "row"))
     own = own.withColumn("rank", rank).join(per, (F.col("size") == F.col("p_size")) & (F.col("part") == F.col("p_part")) & F.col("source").eqNullSafe(F.col("p_source")))
     copies = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("rank") <= F.col("extra"), 1).otherwise(0)
-    some = own.select("doc_id", "source", "size", "source_size", "target", "rate", copies.cast("long").alias("copies"))
-    bare = sizes.where("size = 0").join(wanted.select(F.col("source").alias("w_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("w_source"))).select("doc_id", "source", "size", "source_size", "target", F.lit(0.0).alias("rate"), F.lit(0).cast("long").alias("copies"))
+    some = own.select("row", "doc_id", "source", "size", "source_size", "target", "rate", copies.cast("long").alias("copies"))
+    bare = sizes.where("size = 0").join(wanted.select(F.col("source").alias("w_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("w_source"))).select("row", "doc_id", "source", "size", "source_size", "target", F.lit(0.0).alias("rate"), F.lit(0).cast("long").alias("copies"))
     return some.unionByName(bare).withColumn("taken", F.col("copies") * F.col("size"))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, text_of
+from .common import fresh, let, text_of
 
 ROUNDS = 10
+#: Steps along a permutation until a value of a kind is met again; three of five are of that kind, so the steps suffice.
+WALK = 60
+#: The setting that names the key of a session.
+KEY = "spark.fringelake.pii.key"
 FIRST_DAY, DAYS = "1900-01-01", (250, 292)  # dates up to 2099-11-12
 #: Candidates, in the order in which they are tried at one place. Each is validated before it is replaced.
 PATTERNS = {
@@ -123,31 +129,66 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """Year first, or day and month (month first after a slash) before the year. Days since 1900 are permuted."""
+    """Year first, or day and month before the year; with slashes the month comes first, or where that is no date, the day.
+    Days since 1900 are permuted. A day that must come first with slashes, as no month has its number, stays one that must:
+    the permutation is followed until it meets such a day again, so different dates stay different there too."""
     year_first = m.rlike(r"^\d{4}")
     mark = F.when(year_first, F.substring(m, 5, 1)).otherwise(F.substring(m, 3, 1))
-    month_first = mark == "/"
     a, b, year = F.substring(m, 1, 2), F.substring(m, 4, 2), F.substring(m, 7, 4)
-    iso = F.when(year_first, F.concat_ws("-", F.substring(m, 1, 4), F.substring(m, 6, 2), F.substring(m, 9, 2))).otherwise(F.concat_ws("-", year, F.when(month_first, a).otherwise(b), F.when(month_first, b).otherwise(a)))
-    index = F.date_diff(F.try_to_date(iso, "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date")).cast("long")
+    day = lambda y, month, d: F.try_to_date(F.concat_ws("-", y, month, d), "yyyy-MM-dd")
+    first = F.lit(FIRST_DAY).cast("date")
+    american = (mark == "/") & day(year, a, b).isNotNull()
+    date = F.when(year_first, day(F.substring(m, 1, 4), F.substring(m, 6, 2), F.substring(m, 9, 2))).when(american, day(year, a, b)).otherwise(day(year, b, a))
     size = DAYS[0] * DAYS[1]
+    moved = lambda x: permuted(x, _long(DAYS[0]), _long(DAYS[1]), key, "date")
+    late = lambda x: F.dayofmonth(F.date_add(first, x.cast("int"))) > 12
+    followed = lambda i: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), moved(i), lambda x, _: F.when(late(x), x).otherwise(moved(x)))
 
     def shown(x: Column) -> Column:
-        d = F.date_add(F.lit(FIRST_DAY).cast("date"), x.cast("int"))
+        d = F.date_add(first, x.cast("int"))
         y, mm, dd = (F.date_format(d, p) for p in ("yyyy", "MM", "dd"))
-        return F.when(year_first, F.concat(y, mark, mm, mark, dd)).when(month_first, F.concat(mm, mark, dd, mark, y)).otherwise(F.concat(dd, mark, mm, mark, y))
+        return F.when(year_first, F.concat(y, mark, mm, mark, dd)).when(american, F.concat(mm, mark, dd, mark, y)).otherwise(F.concat(dd, mark, mm, mark, y))
+
+    def body(i: Column) -> Column:
+        to = F.when(~year_first & ~american & (mark == "/"), followed(i)).otherwise(moved(i))
+        return F.when((i >= 0) & (i < size), let(to, shown))
 
-    return F.when((index >= 0) & (index < size), let(permuted(index, _long(DAYS[0]), _long(DAYS[1]), key, "date"), shown))
+    return let(F.date_diff(date, first).cast("long"), body)
+
+
+def _shifted(c: Column, by: Column) -> Column:
+    """A letter or digit moved within its kind; other characters stay."""
+    code, out = F.ascii(c), c
+    for start, n in ((97, 26), (65, 26), (48, 10)):
+        out = F.when((code >= start) & (code < start + n), F.char(F.pmod(code - start + by, F.lit(n)) + start)).otherwise(out)
+    return out
 
 
 def _email(m: Column, key: str) -> Column:
-    """The part before the @ becomes as many letters and digits in the same places, keyed by the whole address; where it is
-    short, different addresses could meet, so it gets at least eight. The domain stays."""
+    """The part before the @ is permuted, the domain stays: a Feistel network over characters, whose rounds move the letters and
+    digits of one half by a function of the other half and the domain. Each round can be undone, so different addresses
+    stay different, and capital letters stay such: addresses that differ in these only get pseudonyms that do too."""
     at = F.instr(m, "@")
-    local, domain = F.substring(m, F.lit(1), at - 1), F.substring(m, at, F.length(m))
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256)
-    name = F.translate(F.substring(digest, F.lit(1), F.greatest(F.length(local), F.lit(8))), "0123456789", "ghijklmnop")
-    return F.concat(name, domain)
+    name, domain = F.filter(F.split(F.substring(m, F.lit(1), at - 1), ""), lambda c: c != ""), F.substring(m, at, F.length(m))
+    low = lambda x: F.lower(F.array_join(x, ""))
+
+    def by(other: Column, i: Column) -> Column:
+        return F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), i.cast("string"), F.lower(domain), low(other)), 256)
+
+    def turned(half: Column, other: Column, i: Column) -> Column:
+        noise = lambda d: F.transform(half, lambda c, at: _shifted(c, F.conv(F.substring(d, 2 * at + 1, F.lit(2)), 16, 10).cast("int")))
+        return let(by(other, i), noise)
+
+    def step(halves: Column, i: Column) -> Column:
+        a, b = halves["a"], halves["b"]
+        return F.when(i % 2 == 0, F.struct(turned(a, b, i).alias("a"), b.alias("b"))).otherwise(F.struct(a.alias("a"), turned(b, a, i).alias("b")))
+
+    def body(c: Column) -> Column:
+        half = F.ceil(F.size(c) / 2).cast("int")
+        first = F.struct(F.slice(c, F.lit(1), half).alias("a"), F.slice(c, half + 1, F.size(c)).alias("b"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), first, step, lambda h: F.array_join(F.concat(h["a"], h["b"]), ""))
+
+    return F.concat(let(name, body), domain)
 
 
 _REPLACE = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
@@ -162,15 +203,29 @@ def _kind(m: Column) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = "fringelake") -> DataFrame:
-    """docs (doc_id, text and whatever else) with personal data in text replaced, and found: an array of the kinds replaced.
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's setting spark.fringelake.pii.key names. Without it a public key, with a warning: then anyone
+    can undo the pseudonyms, which is fit for synthetic tables only."""
+    key = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
+    if not key:
+        warnings.warn(f"{KEY} is not set: pseudonyms are made with a public key and can be undone", stacklevel=2)
+        key = "a public key for synthetic tables"
+    return key
+
+
+def pseudonymise(docs: DataFrame, key: str, found: str = "found") -> DataFrame:
+    """docs (doc_id, text and whatever else) with personal data in text replaced, and a column `found`, whose name docs must not
+    have: an array of the kinds replaced. An empty key raises ValueError.
 
     E-mail addresses, IPv4 addresses, calendar dates, social security numbers, North American phone numbers and Luhn-valid
-    card numbers are validated; numbers and dates are permuted within their format under the key, so equal values get one
+    card numbers are validated; they are permuted within their format under the key, so equal values get one
     pseudonym in all documents, different values of one format different ones, and the result is valid too. Phone
     numbers in brackets or with +1 count whatever their first digits. Candidates that fail validation stay. Null text stays null, empty stays empty; rows are judged one by one, so repeated rows come as
     often as they are there; an empty table gives an empty result; all columns are kept.
     """
+    if not key or found.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError("pseudonyms need a key" if not key else f"there is a column {found}")
+    own = fresh(docs, "pieces")[0]
     text = text_of()
     pieces = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(f"({WHOLE})".replace(r"\2", r"\3").replace(r"\1", r"\2")), F.lit(1))).otherwise(F.array().cast("array<string>"))
 
@@ -183,8 +238,8 @@ def pseudonymise(docs: DataFrame, key: str = "fringelake") -> DataFrame:
 
         return let(_kind(m), by_kind)
 
-    out = docs.withColumn("_pieces", F.transform(pieces, replaced))
+    out = docs.withColumn(own, F.transform(pieces, replaced))
     gaps = F.split("text", WHOLE, -1)
-    whole = F.array_join(F.flatten(F.zip_with(gaps, "_pieces", lambda g, m: F.array(g, F.coalesce(m["pseudonym"], m["raw"], F.lit(""))))), "")
-    found = F.transform(F.filter("_pieces", lambda m: m["pseudonym"].isNotNull()), lambda m: m["kind"])
-    return out.withColumn("text", F.when(F.size("_pieces") > 0, whole).otherwise(F.col("text"))).withColumn("found", found).drop("_pieces")
+    whole = F.array_join(F.flatten(F.zip_with(gaps, own, lambda g, m: F.array(g, F.coalesce(m["pseudonym"], m["raw"], F.lit(""))))), "")
+    kinds = F.transform(F.filter(own, lambda m: m["pseudonym"].isNotNull()), lambda m: m["kind"])
+    return out.withColumn("text", F.when(F.size(own) > 0, whole).otherwise(F.col("text"))).withColumn(found, kinds).drop(own)

@@ -68,15 +68,18 @@ def _counts(found: str, listed: list[str]) -> Column:
     return F.array(*[(F.size(found) - F.size(F.array_remove(found, x))).cast("long") for x in listed])
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs (doc_id, text, lang): the base counts and the two histograms.
+def features(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """One row for each row of docs (doc_id, text, lang): the base counts and the two histograms; with whole also all its
+    columns, in one named row.
 
     The classes are taken out of the text one after the other, the frequent ones first, so each looks at what the others
     have left. Each step is a column of its own, which is computed once for each row.
     """
     text = text_of()
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"), words(text).alias("parts"), lines.alias("lines"))
+    row = [F.struct(*docs.columns).alias("row")] if whole else []
+    also = ["row"] if whole else []
+    out = docs.select(*row, F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"), words(text).alias("parts"), lines.alias("lines"))
     left = "text"
     for name, p in CLASSES.items():
         out = out.withColumn(f"no_{name}", F.regexp_replace(left, p, ""))
@@ -87,7 +90,7 @@ def features(docs: DataFrame) -> DataFrame:
         size[name] = (F.length(before) - F.length(f"no_{name}")).cast("long")
         before = f"no_{name}"
     out = out.select(
-        "doc_id", "lang", F.size("parts").cast("long").alias("n_words"),
+        *also, "doc_id", "lang", F.size("parts").cast("long").alias("n_words"),
         F.array(*size.values(), F.length(left).cast("long")).alias("classes"), _by_language(lambda listed: _counts("listed", listed)).alias("common"),
         (F.length("text") - size["space"]).cast("long").alias("word_chars"),
         (F.length("no_stop") - F.length(F.regexp_replace("no_stop", "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
@@ -95,7 +98,7 @@ def features(docs: DataFrame) -> DataFrame:
         F.transform("parts", lambda w: F.xxhash64(w)).alias("hashes"),
     ).withColumn("hashes", _window_hashes(F.col("hashes")))
     return out.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", _flagged_runs(F.col("hashes"), 5).cast("long").alias("n_repeat_words"), "classes",
+        *also, "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", _flagged_runs(F.col("hashes"), 5).cast("long").alias("n_repeat_words"), "classes",
         F.concat("common", F.array(F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda t, x: t + x))).alias("common"),
     )
 
@@ -133,12 +136,22 @@ def judge(docs: DataFrame, min_words: int = MIN_WORDS, char_limit: float = CHAR_
     is a language of its own. Null text: no words, so the base rules reject it. Repeated rows come as often as they are
     there; an empty table gives an empty result; further columns are ignored.
     """
-    rows = scratch(features(docs), "features")
+    return _judged(scratch(features(docs), "features"), min_words, char_limit, word_limit)
+
+
+def accepted(docs: DataFrame, min_words: int = MIN_WORDS, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns, whatever their names. Each row goes by its own verdict, so
+    repeated and null ids need no care, and no row is sent to another task."""
+    judged = _judged(scratch(features(docs, True), "features"), min_words, char_limit, word_limit)
+    return judged.where("kept").select("row.*")
+
+
+def _judged(rows: DataFrame, min_words: int, char_limit: float, word_limit: float) -> DataFrame:
     refs = references(rows, min_words)
     both = rows.join(F.broadcast(refs), rows.lang.eqNullSafe(refs.ref_lang), "left")  # one row for each language
     long_enough = F.col("n_words") >= min_words
     out = both.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *(["row"] if "row" in rows.columns else []), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
         F.when(long_enough, _distance(_shares(F.col("classes")), _shares(F.col("ref_classes")))).alias("char_distance"),
         F.when(long_enough & F.col("common").isNotNull(), _distance(_shares(F.col("common")), _shares(F.col("ref_common")))).alias("word_distance"),

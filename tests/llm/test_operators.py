@@ -103,7 +103,7 @@ def test_html_query(spark):
 
 def test_pii(spark):
     rows = [(1, "card 4111 1111 1111 1111 and 4111111111111111 not 4111111111111112"), (2, "again 4111111111111111"), (3, "10.1.2.3 999.1.1.1 1987-02-28 2001-02-30 123-45-6789 +1 (152) 555-8590 a.b@c.org"), (4, None), (5, ""), (6, "plain 12 text")]
-    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, found int").drop("found")).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, pieces int"), "key").collect()}
     digits = lambda t: [x for x in "".join(c if c.isdigit() else " " for c in t).split() if len(x) == 16]
     assert digits(got[1].text)[0] == digits(got[2].text)[0] != "4111111111111111" and "4111111111111112" in got[1].text
     assert sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits(got[2].text)[0]))) % 10 == 0
@@ -424,5 +424,53 @@ def test_pipeline_stages(spark):
     assert count == {k: v for k, v in taken.items() if v} and mixed.columns == docs.columns
 
 
+def test_stages_on_odd_rows(spark):
+    """Null and repeated ids, null texts, an empty table, and columns named as the stages name theirs."""
+    r = random.Random(12)
+    text = lambda: " ".join(r.choice("the of and to in a river stone paper cloud garden letter".split()) for _ in range(40)) + "."
+    some = [text() for _ in range(6)]
+    rows = [(None, some[0]), (None, some[1]), (None, some[2]), (5, some[3]), (5, some[4]), (6, some[5]), (6, some[5]), (7, None), (8, ""), (9, "call a.b@c.org"), (None, None)]
+    odd = "row long, of int, copies int, copy string, found int, pieces int, good_id int, mixed_id int, _id int, rep int, first int, kept boolean, Row2 int"
+    docs = spark.createDataFrame([(i, t, "en", "s" if i else None, 3, *([1, 2, 3, "c"] + [4] * 7 + [True, 9])) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + odd)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), SF).count() == 0, name
+        out = stage(spark, docs, SF)
+        if name != "packing":
+            assert out.columns == docs.columns, name
+        got = out.collect()
+        texts = sorted(x.text or "" for x in got) if name != "packing" else []
+        if name == "quality rules":
+            assert texts == sorted(some[:6] + some[5:6])
+        if name == "SimHash near-dedup":
+            assert texts == sorted([*some, "call a.b@c.org", ""]) and [x.doc_id for x in got if x.text == some[5]] == [6]
+        if name == "PII":
+            assert len(got) == len(rows) and sum(x.text is None for x in got) == 2 and not any("a.b@c.org" in t for t in texts)
+        if name == "mixing sources":
+            taken = sum(len(x.text.split()) for x in got)
+            assert {x.text for x in got} <= set(some) | {"call a.b@c.org"} and abs(taken - 1.5 * 282) <= 80
+        if name == "packing":
+            assert len({(x.doc_id, x.ids_crc32) for x in got}) >= 8 and sum(x.doc_tokens for x in got if x.start == 0) == sum(x.length for x in got)
+
+
+def test_run(spark, tmp_path):
+    """The pipeline as a whole against its stages: what comes out are the pieces of the documents left."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = corpus_pipeline.run(spark, SF).toPandas()
+    left = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, SF)
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    want = {}
+    for r in left.collect():
+        ids = np.array(tok.encode(r.text, add_special_tokens=False).ids + [1], dtype="<u4")
+        want.setdefault((r.doc_id, len(ids)), [0, ids])[0] += 1
+    copies = out[out.start == 0].groupby(["doc_id", "doc_tokens"]).size().to_dict()
+    assert copies == {k: n for k, (n, _) in want.items()}
+    for r in out.itertuples():
+        assert r.ids_crc32 == zlib.crc32(want[r.doc_id, r.doc_tokens][1][r.start : r.start + r.length].tobytes())
+
+
 def test_names():
     assert len(queries.QUERIES) == 10 and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
