@@ -15,9 +15,19 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 KEYWORD = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # greedy from the left: the maximal runs of 32 and more
-CODED = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
-WRAPPED = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*PRIVATE KEY)-----")
+HEADER = re.compile(r"\s*([A-Za-z][A-Za-z0-9-]*):\x20*([^\n]*)\n")
+BREAK = re.compile(r"(?:\s|\\[rnt])+")
+#: Where the base64 of a DER sequence or of an OpenSSH key can begin, and its characters.
+START = re.compile(r"M[A-I](?=[A-Za-z0-9+/_-]{14})|b3BlbnNzaC1rZXktdjEA")
+CODE = re.compile(r"(?:[A-Za-z0-9+/_]|-(?!-))+")
+#: Base64 characters of an OpenSSH key at most; one of an RSA key of 16384 bits has a fifth of that.
+SSH_MOST = 1 << 16
+#: A sequence in hex whose first element is the version 0 or 1.
+HEX_START = re.compile(r"30(?:82[0-9a-f]{4}|81[0-9a-f]{2}|[0-7][0-9a-f])0201(?:00|01)", re.I)
+HEX_RUN = re.compile(r"[0-9a-f]+", re.I)
+#: Three parts, of which the first begins as the base64 of a brace does, or of white space, which may come before it.
+SIGNED = re.compile(r"(?<![A-Za-z0-9_-])([eICD][A-Za-z0-9_-]{7,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 #: Order of kinds that start at one place; the first three are the base.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "ssh")
 
@@ -60,32 +70,113 @@ def _elements(b: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
 
 
 def is_der_key(b: bytes | None) -> bool:
-    """A private key in DER: an outer sequence that fills the bytes, a small version, then either the integers of an RSA
-    or DSA key, an elliptic key's octets, or an algorithm identifier followed by octets."""
+    """A private key in DER: an outer sequence that fills the bytes, and in it a small version, then either the integers of
+    an RSA or DSA key, an elliptic key's octets, or an algorithm identifier followed by octets (PKCS #8). Or the encrypted
+    form of PKCS #8: an algorithm identifier with parameters and octets, and nothing else."""
     if not b or b[0] != 0x30 or not (top := _element(b, 0, len(b))) or top[2] != len(b):
         return False
     parts = _elements(b, top[1], top[2])
-    if not parts or len(parts) < 3 or parts[0][0] != 2 or parts[0][2] - parts[0][1] != 1 or b[parts[0][1]] > 1:
+    if not parts or len(parts) < 2:
         return False
     tags = [t for t, _, _ in parts]
+
+    def algorithm(part) -> list | None:
+        inner = _elements(b, part[1], part[2]) if part[0] == 0x30 else None
+        return inner if inner and inner[0][0] == 0x06 and inner[0][2] > inner[0][1] else None
+
+    if tags == [0x30, 0x04]:
+        inner = algorithm(parts[0])
+        return bool(inner) and len(inner) == 2 and inner[1][0] == 0x30 and _elements(b, inner[1][1], inner[1][2]) is not None and parts[1][2] - parts[1][1] >= 16
+    if len(parts) < 3 or tags[0] != 2 or parts[0][2] - parts[0][1] != 1 or b[parts[0][1]] > 1:
+        return False
     if all(t == 2 for t in tags):
         return len(tags) in (6, 9)  # DSA, RSA
     if tags[1] == 0x04:
-        return tags[2] in (0xA0, 0xA1)  # elliptic
-    inner = _elements(b, parts[1][1], parts[1][2]) if tags[1] == 0x30 else None
-    return bool(inner) and inner[0][0] == 0x06 and tags[2] == 0x04  # PKCS #8
+        return tags[2] in (0xA0, 0xA1) and parts[1][2] - parts[1][1] >= 16  # elliptic
+    return bool(algorithm(parts[1])) and tags[2] == 0x04  # PKCS #8
 
 
-def is_ssh_key(b: bytes | None) -> bool:
-    """OpenSSH's private key format: its magic and four strings with nested lengths that fit."""
+def ssh_key_size(b: bytes | None) -> int:
+    """The bytes of a private key in OpenSSH's format at the beginning of b: its magic, three strings, the number of keys, as
+    many public keys, each of which begins with the name of its kind, and the private part, whose size is a multiple of
+    eight; 0 if the nested lengths do not fit."""
     magic = b"openssh-key-v1\0"
     if not b or not b.startswith(magic):
-        return False
+        return 0
     at = len(magic)
+
+    def skipped(at: int) -> int:
+        end = at + 4 + int.from_bytes(b[at : at + 4], "big") if at + 4 <= len(b) else len(b) + 1
+        return end if end <= len(b) else -1
+
     for _ in range(3):
-        if at + 4 > len(b) or (at := at + 4 + int.from_bytes(b[at : at + 4], "big")) > len(b):
-            return False
-    return at + 4 <= len(b) and int.from_bytes(b[at : at + 4], "big") > 0
+        if (at := skipped(at)) < 0:
+            return 0
+    keys, at = int.from_bytes(b[at : at + 4], "big"), at + 4
+    if not 1 <= keys <= 16:
+        return 0
+    for _ in range(keys):
+        end = skipped(at)
+        name = skipped(at + 4)
+        if end < 0 or not at + 8 < name <= end:
+            return 0
+        at = end
+    end = skipped(at)
+    return end if end > at + 4 and (end - at - 4) % 8 == 0 else 0
+
+
+def _header_size(b: bytes) -> int:
+    """The bytes of the sequence that begins like b does, if it then has a version or an algorithm identifier; else 0."""
+    n, at = b[1], 2
+    if n >= 0x80:
+        size = n & 0x7F
+        if not 1 <= size <= 3 or len(b) < 2 + size + 3:
+            return 0
+        n, at = int.from_bytes(b[2 : 2 + size], "big"), 2 + size
+    if b[at] == 0x02 and b[at + 1] == 1 and b[at + 2] <= 1 or b[at] == 0x30:
+        return at + n
+    return 0
+
+
+def _taken(text: str, at: int, most: int | None) -> tuple[str, int]:
+    """Up to `most` base64 characters from `at` on, over line breaks, also escaped ones, and where they end."""
+    out, size, end = [], 0, at
+    while most is None or size < most:
+        m = CODE.match(text, at)
+        if m is None:
+            break
+        part = m[0] if most is None else m[0][: most - size]
+        out.append(part)
+        size += len(part)
+        end = m.start() + len(part)
+        gap = BREAK.match(text, m.end())
+        if gap is None or len(part) < len(m[0]):
+            break
+        at = gap.end()
+    return "".join(out), end
+
+
+def _padded(text: str, end: int) -> int:
+    """The end with the padding that follows."""
+    while text.startswith("=", end) and end < len(text):
+        end += 1
+    return end
+
+
+def is_pem_key(body: str) -> bool:
+    """What stands between the marks: base64 of a key in DER or in OpenSSH's format; or with the headers of the old encrypted
+    form, whose cipher, initial value and number of bytes must fit. Line breaks may be escaped."""
+    body = body.replace("\\r", "").replace("\\n", "\n").lstrip()
+    headers = {}
+    while m := HEADER.match(body):
+        headers[m[1].lower()] = m[2].strip()
+        body = body[m.end() :]
+    b = decoded("".join(body.split()))
+    if headers.get("proc-type", "").replace(" ", "") == "4,ENCRYPTED":
+        cipher, _, start = headers.get("dek-info", "").partition(",")
+        block = 16 if cipher.startswith("AES") else 8
+        return bool(b) and bool(cipher) and len(b) % block == 0 and len(start.strip()) == 2 * block and HEX_RUN.fullmatch(start.strip()) is not None
+    return is_der_key(b) or bool(b) and ssh_key_size(b) == len(b)
 
 
 def is_signed_token(head: str, body: str) -> bool:
@@ -110,23 +201,48 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """What decodes to a key or token: only candidates whose structure parses are reported."""
     out = []
     if "-----BEGIN " in text:
-        for m in WRAPPED.finditer(text):
-            b = decoded("".join(m[2].split()))
-            if is_der_key(b) or is_ssh_key(b) or "ENCRYPTED" in m[1] and b and b[0] == 0x30:
-                out.append(("pem", m.start(), m.end()))
-    if "eyJ" in text:
+        began = None
+        for m in MARK.finditer(text):
+            if m[1] == "BEGIN":
+                began = m
+            elif began is not None and began[2] == m[2]:
+                if is_pem_key(text[began.end() : m.start()]):
+                    out.append(("pem", began.start(), m.end()))
+                began = None
+    if "." in text:
         out += [("jwt", m.start(), m.end()) for m in SIGNED.finditer(text) if is_signed_token(m[1], m[2])]
-    for m in CODED.finditer(text):
-        run = m[0]
-        if run[0] in "Mb" and any(s <= m.start() and m.end() <= e for _, s, e in out):
+    upto, inside = 0, iter(sorted((s, e) for k, s, e in out if k == "pem"))
+    around = next(inside, None)
+    for m in START.finditer(text):
+        while around and around[1] <= m.start():
+            around = next(inside, None)
+        if m.start() < upto or around and around[0] <= m.start():
+            continue
+        if m[0][0] == "M":
+            head = decoded(text[m.start() : m.start() + 12])
+            n = _header_size(head) if head else 0
+            if n < 30:
+                continue
+            need = -(-n * 4 // 3)
+            code, end = _taken(text, m.start(), need)
+            if len(code) == need and is_der_key((decoded(code) or b"")[:n]):
+                upto = _padded(text, end)
+                out.append(("der", m.start(), upto))
+        else:
+            code = _taken(text, m.start(), SSH_MOST)[0]
+            head = decoded(code[: len(code) // 4 * 4])
+            if n := ssh_key_size(head):
+                upto = _padded(text, _taken(text, m.start(), -(-n * 4 // 3))[1])
+                out.append(("ssh", m.start(), upto))
+    upto = 0
+    for m in HEX_START.finditer(text) if "0201" in text else ():
+        if m.start() < upto:
             continue
-        if run.startswith("M") and is_der_key(decoded(run)):  # the base64 of 0x30
-            out.append(("der", m.start(), m.end()))
-        elif run.startswith("b3BlbnNzaC1rZXktdjE") and is_ssh_key(decoded(run)):
-            out.append(("ssh", m.start(), m.end()))
-    for m in re.finditer(r"(?<![0-9A-Fa-f])30(?:[0-9A-Fa-f]{2}){31,}(?![0-9A-Fa-f])", text) if "30" in text else ():
-        if is_der_key(bytes.fromhex(m[0])):
-            out.append(("der", m.start(), m.end()))
+        n = 2 * _header_size(bytes.fromhex(m[0]) + b"\0\0\0")
+        body = text[m.start() : m.start() + n]
+        if n >= 60 and len(body) == n and HEX_RUN.fullmatch(body) and is_der_key(bytes.fromhex(body)):
+            out.append(("der", m.start(), m.start() + n))
+            upto = m.start() + n
     return out
 
 
