@@ -1,8 +1,10 @@
 """The operators of the subpackage against brute force, with nulls, empty and repeated rows and further columns."""
 
 import base64
+import datetime
 import hashlib
 import random
+import re
 import time
 import zlib
 
@@ -112,6 +114,143 @@ def test_pii(spark):
     assert got[4].text is None and got[5].text == "" and got[6].text == "plain 12 text"
 
 
+def _noise(*parts):
+    return int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+
+
+def _permuted(x, left, right, key, tweak):
+    a, b = divmod(x, right)
+    for i in range(pii.ROUNDS):
+        if i % 2 == 0:
+            a = (a + _noise(key, tweak, i, b) % left) % left
+        else:
+            b = (b + _noise(key, tweak, i, a) % right) % right
+    return a * right + b
+
+
+def _fill(shape, digits):
+    left = iter(digits)
+    return "".join(next(left) if c.isdigit() else c for c in shape)
+
+
+def _luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits)))
+
+
+def _pseudonym(kind, m, key):
+    """Brute force: the pseudonym of a candidate, None if it isn't valid."""
+    d = "".join(c for c in m if c.isdigit())
+    if kind == "email":
+        name, _, domain = m.partition("@")
+        h = -(-len(name) // 2)
+        a, b = list(name[:h]), list(name[h:])
+        for i in range(pii.ROUNDS):
+            own, other = (a, b) if i % 2 == 0 else (b, a)
+            digest = hashlib.sha256("|".join([key, "email", str(i), "@" + domain.lower(), "".join(other).lower()]).encode()).hexdigest()
+            for k, c in enumerate(own):
+                for start, n in (("a", 26), ("A", 26), ("0", 10)):
+                    if 0 <= ord(c) - ord(start) < n:
+                        own[k] = chr(ord(start) + (ord(c) - ord(start) + int(digest[2 * k : 2 * k + 2], 16)) % n)
+        return "".join(a + b) + "@" + domain
+    if kind == "ip":
+        parts = [int(x) for x in m.split(".")]
+        if max(parts) > 255:
+            return None
+        x = _permuted(int.from_bytes(bytes(parts), "big"), 65536, 65536, key, "ip")
+        return ".".join(map(str, x.to_bytes(4, "big")))
+    if kind == "date":
+        mark = m[4] if m[:4].isdigit() else m[2]
+        p = [int(x) for x in m.split(mark)]
+        orders = ["ymd"] if m[:4].isdigit() else ["mdy", "dmy"] if mark == "/" else ["dmy"]
+        for order in orders:
+            y, mm, dd = (p[order.index(c)] for c in "ymd")
+            try:
+                i = (datetime.date(y, mm, dd) - datetime.date(1900, 1, 1)).days
+            except ValueError:
+                continue
+            if not 0 <= i < 250 * 292:
+                return None
+            x = _permuted(i, 250, 292, key, "date")
+            day = lambda x: datetime.date(1900, 1, 1) + datetime.timedelta(x)
+            while mark == "/" and order == "dmy" and day(x).day <= 12:
+                x = _permuted(x, 250, 292, key, "date")
+            return mark.join({"y": f"{day(x).year:04}", "m": f"{day(x).month:02}", "d": f"{day(x).day:02}"}[c] for c in order)
+        return None
+    if kind == "ssn":
+        area, group, serial = int(d[:3]), int(d[3:5]), int(d[5:])
+        if area in (0, 666) or area >= 900 or not group or not serial:
+            return None
+        x = _permuted(((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, key, "ssn")
+        first = x // (9999 * 99) + 1
+        return f"{first + (first >= 666):03}-{x // 9999 % 99 + 1:02}-{x % 9999 + 1:04}"
+    if kind == "phone":
+        country, d = d[:-10], d[-10:]
+        area, exchange, line = int(d[:3]), int(d[3:6]), int(d[6:])
+        if area >= 200 and exchange >= 200:
+            x = _permuted(((area - 200) * 800 + exchange - 200) * 10000 + line, 640000, 10000, key, "phone")
+            return _fill(m, f"{country}{x // 8000000 + 200}{x // 10000 % 800 + 200}{x % 10000:04}")
+        x = f"{_permuted((area % 100 * 100 + exchange % 100) * 10000 + line, 10000, 10000, key, 'line'):08}"
+        return _fill(m, country + d[0] + x[:2] + d[3] + x[2:])
+    if _luhn(d) % 10 or len(set(d)) == 1:
+        return None
+    n = len(d) - 1
+    x = f"{_permuted(int(d[:n]), 10 ** (n - n // 2), 10 ** (n // 2), key, 'card'):0{n}}"
+    return _fill(m, x + str(-_luhn(x + "0") % 10))
+
+
+def test_pii_by_brute_force(spark):
+    r = random.Random(13)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def card():
+        x = digits(r.randrange(12, 19))
+        x += str((-_luhn(x + "0") + (r.random() < 0.2)) % 10)
+        return x if r.random() < 0.5 else "-".join(x[i : i + 4] for i in range(0, len(x), 4))
+
+    date = lambda: f"{r.randrange(34):02}{{0}}{r.randrange(34):02}{{0}}{r.randrange(1890, 2110)}".format(r.choice("-/."))
+    name = lambda: "".join(r.choice("abcXYZ019._%+-") for _ in range(r.randrange(1, 40)))
+    make = [
+        lambda: f"{name()}@{r.choice(['a.org', 'Ex-1.co.UK', 'x', 'b..c'])}", lambda: ".".join(str(r.randrange(300)) for _ in range(4)), date, lambda: f"{r.randrange(1880, 2120)}-{r.randrange(14):02}-{r.randrange(33):02}",
+        lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}", card, lambda: digits(r.randrange(20)), lambda: r.choice(["word", "é", "(", "v1.2", "@"]),
+    ]
+    texts = [" ".join(r.choice(make)() for _ in range(r.randrange(12))) for _ in range(400)] + ["31/12/2020 12/31/2020 31.12.2020 13/13/2020", "x " * 100_000 + "a.b@c.org", None, ""]
+    rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(0, texts[0], 1)], "doc_id long, text string, pieces int")
+    got = pii.pseudonymise(rows, "some key").collect()
+    assert len(got) == len(texts) + 1 and pii.pseudonymise(rows.where("false"), "k").count() == 0
+    of = {k: re.compile(f"(?:{p})", re.A) for k, p in pii.PATTERNS.items()}
+
+    def whole(t):
+        out, at, kinds = [], 0, []
+        while at < len(t):
+            hits = [(m.start(), i, k, m) for i, (k, p) in enumerate(of.items()) if (m := p.search(t, at))]
+            if not hits:
+                break
+            _, _, k, m = min(hits, key=lambda x: x[:2])
+            new = _pseudonym(k, m[0], "some key")
+            kinds += [k] if new is not None else []
+            out += [t[at : m.start()], m[0] if new is None else new]
+            at = m.end()
+        return "".join(out) + t[at:], kinds
+
+    for x in got:
+        t = texts[x.doc_id]
+        if t is None or len(t) > 10_000:
+            assert x.text is None if t is None else len(x.text) == len(t) and "a.b@c.org" not in x.text
+        else:
+            assert (x.text, x.found) == whole(t), t
+    for bad in ("", None):
+        with pytest.raises(ValueError):
+            pii.pseudonymise(rows, bad)
+
+
+def test_addresses_and_late_days_stay_different(spark):
+    some = [f"{a}{b}@x.org" for a in "abcdefghijklmnopqrstuvwxyz" for b in "0123456789"]
+    days = [f"{d:02}/{m:02}/{y}" for y in (1999, 2001) for m in range(1, 13) for d in range(1, 29)]
+    for values in (some, days):
+        got = {r.text for r in pii.pseudonymise(spark.createDataFrame([(i, x) for i, x in enumerate(values)], "doc_id long, text string"), "k").collect()}
+        assert len(got) == len(values) and {len(x) for x in got} == {len(values[0])}
+
+
 def test_feistel_is_a_permutation(spark):
     n = spark.range(7 * 13).select(pii.permuted(F.col("id"), F.lit(7).cast("long"), F.lit(13).cast("long"), "k", "t").alias("p"))
     assert sorted(r.p for r in n.collect()) == list(range(91))
@@ -385,6 +524,19 @@ def test_mixing(spark, texts):
         live = live - full if full else set()
     for k, r in per.iterrows():
         assert abs(r.target - want[k if isinstance(k, str) else None]) < 1e-6 and abs(r.taken - r.target) <= 0.01 * r.target + 20
+    # rates: the optimum of the bounded entropy for each source, by bisection
+    for k, g in got[got["size"] > 0].groupby("source", dropna=False):
+        all_rows = got[got.source.isna()] if g.source.isna().all() else got[got.source == g.source.iloc[0]]
+        mean, size, target = all_rows["size"].sum() / len(all_rows), g["size"].to_numpy(), g.target.iloc[0]
+        if target >= 2 * size.sum() - 1e-9:
+            assert (g.rate == 2).all()
+            continue
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            lam = (low + high) / 2
+            rate = 2 / (1 + np.exp(-lam * size / mean))
+            low, high = (lam, high) if (rate * size).sum() < target else (low, lam)
+        assert np.allclose(g.rate, rate, atol=1e-5)
     again = mixing.mix(docs).toPandas()
     assert sorted(zip(got.doc_id, got.taken)) == sorted(zip(again.doc_id, again.taken))
     assert mixing.mix(docs.where("false")).count() == 0
