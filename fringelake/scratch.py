@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[DataFrame] = []
+
+
 def root(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. Where it is unset, a temporary folder in local mode; on a cluster, whose
     machines share no such folder, a RuntimeError."""
@@ -35,9 +38,21 @@ def scratch(df: DataFrame, tag: str) -> DataFrame:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    _made.append(out)
     return out
 
 
+def made() -> int:
+    """How many tables scratch() has made: a mark for discard_since()."""
+    return len(_made)
+
+
+def discard_since(mark: int, *kept: DataFrame) -> None:
+    """Delete the tables made since the mark, but those kept."""
+    discard(*[t for t in _made[mark:] if all(t is not k for k in kept)])
+    _made[mark:] = [t for t in _made[mark:] if any(t is k for k in kept)]
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables of scratch() that no later result reads; None is passed over."""
     for df in tables:
