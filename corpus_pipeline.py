@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fringelake.llm import mixing, packing, pii, quality, simhash
-from fringelake.llm.common import discard, fresh, numbered, scratch
+from fringelake.llm.common import fresh, numbered, scratch
+from fringelake.scratch import discard_since, made
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +54,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other, each written and read again."""
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    docs, began = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = scratch(docs, f"stage{i}")
-            discard(before)
-            before = docs
+            discard_since(began, docs)
     return docs

@@ -16,7 +16,9 @@ from .common import components, discard, fresh, numbered, scratch
 
 SEED = 42
 #: The similarity of near-duplicates, and how seldom a pair of that similarity may be missed when candidates are looked up.
-SIMILAR, MISSED = 0.8, 0.02
+SIMILAR, MISSED = 0.8, 0.04
+#: Members of a family all of whose pairs are compared.
+FEW = 8
 #: Bits of a segment that a look-up flips: those that the fewest shingles decided.
 FLIPPED = 3
 
@@ -251,33 +253,39 @@ def _sets(rows: DataFrame, key: str, shingle: int, how: Plan | None) -> DataFram
     return some.mapInArrow(run, schema)
 
 
-def _comparable(one: str, two: str, similar: float):
-    """Whether sets of these sizes can be that similar."""
-    return F.least(one, two) >= F.greatest(one, two) * F.lit(similar) - 1e-9
-
-
 def _apart(one: str, two: str):
     """Bits that differ in two fingerprints."""
     return F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
 
 
-def _met(classes: DataFrame, how: Plan, similar: float) -> DataFrame:
-    """(a, b): for each class the four closest candidates among two of each segment's value, which are the first and the last
-    by a hash. A few rows for each class, however many are alike."""
-    there = classes.select(F.explode("at").alias("key"), F.struct(F.xxhash64("rep", F.lit(1)).alias("order"), "rep").alias("o"))
-    ends = there.groupBy("key").agg(F.min("o").alias("low"), F.max("o").alias("high")).where("low.rep <> high.rep")
-    rows = there.select("key", F.col("o.rep").alias("a")).join(ends, "key").select("a", F.explode(F.array("low.rep", "high.rep")).alias("b")).where("a <> b").distinct()
-    one, two = (classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("fp").alias(f"fp_{x}")) for x in ("a", "b"))
-    far = rows.join(one, "a").join(two, "b").where(_comparable("n_a", "n_b", similar)).select("a", "b", _apart("fp_a", "fp_b").alias("far")).where(F.col("far") <= how.bits)
-    return far.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "b"))), 1, 4).alias("m")).select("a", F.explode("m.b").alias("b"))
+def _word(how: Plan):
+    """The word, another than that of the i-th segment, that a row of a table carries."""
+    return lambda i: F.get("fp", (F.floor(i / how.per).cast("int") + 1) % how.words)
+
+
+def families(classes: DataFrame, how: Plan) -> DataFrame:
+    """(node, component): classes joined by fingerprints at most `bits` apart, each compared with two of each bucket only, the
+    first and the last by a hash. A few rows for each class, however many are alike; classes far from all have no row."""
+    word = _word(how)
+    there = classes.select("rep", F.explode(F.transform("at", lambda v, i: F.struct(v.alias("key"), word(i).alias("word")))).alias("t")).select("t.key", "t.word", "rep")
+    one = F.struct(F.xxhash64("rep", F.lit(1)).alias("order"), "rep", "word")
+    ends = there.groupBy("key").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.rep <> high.rep")
+    rows = there.join(ends, "key").select(F.col("rep").alias("a"), "word", F.explode(F.array("low", "high")).alias("to"))
+    near = rows.where((F.col("a") != F.col("to.rep")) & (F.bit_count(F.col("word").bitwiseXOR(F.col("to.word"))) <= how.word_bits)).select("a", F.col("to.rep").alias("b"))
+    return components(_near(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, how))
+
 
+def _near(pairs: DataFrame, classes: DataFrame, how: Plan) -> DataFrame:
+    """The pairs (a, b) whose fingerprints are at most `bits` apart."""
+    one, two = (classes.select(F.col("rep").alias(x), F.col("fp").alias(f"fp_{x}")) for x in ("a", "b"))
+    return pairs.join(one, "a").join(two, "b").where(_apart("fp_a", "fp_b") <= how.bits).select("a", "b")
 
-def _candidates(classes: DataFrame, how: Plan, similar: float) -> DataFrame:
-    """(a, b): all pairs of classes of different components that meet in a segment, are at most `bits` apart and whose sizes
-    allow the similarity. Each class is in a table under each of its segments' values, and looks up each value and the
+
+def _candidates(classes: DataFrame, how: Plan) -> DataFrame:
+    """(a, b): all pairs of classes of different components that meet in a segment and are at most `bits` apart. Each class is in a table under each of its segments' values, and looks up each value and the
     balls around it, in the directions of the bits that the fewest shingles decided. Of the fingerprint, a row holds only
     one word, another than the segment's; the others are compared where that one is near."""
-    word = lambda i: F.get("fp", (F.floor(i / how.per).cast("int") + 1) % how.words)
+    word = _word(how)
     flips = lambda v, l: F.array(v, *[v.bitwiseXOR(_one_bit(l, i)) for i in range(FLIPPED)])
     table = F.transform("at", lambda v, i: F.struct(v.alias("key"), word(i).alias("word")))
     asked = F.flatten(F.transform(F.zip_with("at", "low", lambda v, l: F.struct(flips(v, l).alias("keys"))), lambda x, i: F.transform(x["keys"], lambda k: F.struct(k.alias("key"), word(i).alias("word")))))
@@ -288,8 +296,7 @@ def _candidates(classes: DataFrame, how: Plan, similar: float) -> DataFrame:
     apart = F.coalesce("c_a", "a") != F.coalesce("c_b", "b")
     found = (asking.key == there.key) & apart & (F.bit_count(F.col("w_a").bitwiseXOR(F.col("w_b"))) <= how.word_bits)
     pairs = asking.join(there.hint("shuffle_hash"), found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one, two = (classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("fp").alias(f"fp_{x}")) for x in ("a", "b"))
-    return pairs.join(one, "a").join(two, "b").where(_comparable("n_a", "n_b", similar) & (_apart("fp_a", "fp_b") <= how.bits)).select("a", "b")
+    return _near(pairs, classes, how)
 
 
 def _one_bit(low, i: int):
@@ -310,26 +317,73 @@ def _verified(pairs: DataFrame, rows: DataFrame, key: str, shingle: int, similar
     return good
 
 
+def _within(members: DataFrame, rows: DataFrame, key: str, shingle: int, similar: float) -> DataFrame:
+    """Links (a, b) between the members (family, size, rep, n) of large families that join what all pairs of similar members
+    would join, without comparing all pairs.
+
+    A member is what its set and the family's core, the shingles of over half of the members, have not in common: d of
+    them. Sets of sizes n and m are similar if they differ in f * (n + m) shingles at most, with f = (1 - s) / (1 + s), so if
+    those sets of differences have (d + e - f * (n + m)) / 2 in common. With the slack f * n - d of a member that is minus half
+    the sum of both slacks. So all members whose slack and the family's largest make no less than zero are similar to the one
+    that has it. Any other has to share some differences with whatever it is similar to; of its differences, the rarest of
+    the family first, one of the first few must then be one of the other's first few. A family without a core, which is
+    one by chance, is compared by all its shingles in the same way.
+    """
+    f = (1 - similar) / (1 + similar)
+    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / 1024)).cast("int")
+    own = members.withColumn("part", part)
+    sets = _sets(rows.select(key, "text").join(members.select(F.col("rep").alias(key)), key, "left_semi"), key, shingle, None)
+    sets = scratch(sets.join(own, "rep").select("family", "size", "part", "rep", "n", "hashes"), "sets")
+    counts = scratch(sets.select("family", "size", F.explode("hashes").alias("h")).groupBy("family", "size", "h").agg(F.count(F.lit(1)).alias("times")), "counts")
+    core = counts.where(F.col("times") * 2 > F.col("size")).groupBy("family", "size").agg(F.collect_list("h").alias("core"))
+    core = core.select("family", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / 1024).cast("int") - 1)).alias("part"), "core")
+    none = F.array().cast("array<bigint>")
+    differ = lambda c: F.concat(F.array_except("hashes", c), F.array_except(c, "hashes"))
+    deltas = sets.join(core, ["family", "part"], "left").select("family", "size", "rep", "n", differ(F.coalesce("core", none)).alias("delta"))
+    deltas = scratch(deltas.withColumn("slack", f * F.col("n") - F.size("delta")), "deltas")
+    best = deltas.groupBy("family").agg(F.max(F.struct("slack", "rep")).alias("best"))
+    held = deltas.join(best, "family").withColumn("joined", F.col("slack") + F.col("best.slack") >= -1e-9)
+    edge = held.where("not joined").groupBy("family").agg(F.max("slack").alias("edge"))
+    held = held.join(edge, "family").withColumn("needed", F.greatest(F.lit(1), F.ceil((-F.col("slack") - F.when(F.col("joined"), F.col("edge")).otherwise(F.col("best.slack"))) / 2 - 1e-6)))
+    rare = counts.where(F.col("times") > 1).select("family", "h", "times")
+    # a difference is in `times` sets, or if it is one of the core, in all but so many
+    spread = held.select("family", "size", "rep", "joined", "needed", F.explode("delta").alias("h"))
+    ranked = spread.join(rare, ["family", "h"], "left").select("family", "rep", "joined", "needed", "h", F.coalesce(F.when(F.col("times") * 2 > F.col("size"), F.col("size") - F.col("times")).otherwise(F.col("times")), F.lit(1)).alias("times"))
+    firsts = ranked.groupBy("family", "rep", "joined", "needed").agg(F.array_sort(F.collect_list(F.struct("times", "h"))).alias("order"))
+    firsts = firsts.select("family", "rep", "joined", F.explode(F.slice("order", F.lit(1), F.greatest(F.lit(0), F.size("order") - F.col("needed").cast("int") + 1))).alias("o")).where("o.times > 1")
+    firsts = scratch(firsts.select("family", "rep", "joined", F.col("o.h").alias("h")), "firsts")
+    one = firsts.where("not joined").select("family", "h", F.col("rep").alias("x"))
+    two = firsts.select("family", "h", F.col("rep").alias("y"), "joined")
+    meet = one.join(two, ["family", "h"]).where("x <> y and (joined or x < y)").select("x", "y").distinct()
+    ends = lambda e: deltas.select(F.col("rep").alias(e), F.col("delta").alias(f"d_{e}"), F.col("slack").alias(f"s_{e}"))
+    both = meet.join(ends("x"), "x").join(ends("y"), "y").where(F.size(F.array_intersect("d_x", "d_y")) >= -(F.col("s_x") + F.col("s_y")) / 2 - 1e-9)
+    star = deltas.join(best, "family").where((F.col("slack") + F.col("best.slack") >= -1e-9) & (F.col("rep") != F.col("best.rep"))).select(F.col("rep").alias("a"), F.col("best.rep").alias("b"))
+    out = scratch(star.unionByName(both.select(F.col("x").alias("a"), F.col("y").alias("b"))), "within")
+    discard(sets, counts, deltas, firsts)
+    return out
+
+
 def similar_groups(rows: DataFrame, key: str, shingle: int = 5, similar: float = SIMILAR, missed: float = MISSED) -> DataFrame:
     """(first, component) for each class of rows (a number `key`, doc_id, text), which are texts with equal sets of shingles:
     first ends in the number of its first row, and of what is joined by links, the component is the same. Fingerprints only
     propose pairs: two classes are linked if the Jaccard similarity of their sets reaches `similar`."""
     how = plan(rows.count(), similar, missed)
     found = _sets(rows, key, shingle, how).withColumn("first", F.struct("first", "rep")).groupBy("same", "n", "fp", "at", "low").agg(F.min("first").alias("first"))
-    now = scratch(found.select("n", "fp", "at", "low", "first", F.col("first.rep").alias("rep"), F.col("first.rep").alias("component")), "classes")
-
-    def joined(pairs: DataFrame) -> DataFrame:
-        links = _verified(pairs, rows, key, shingle, similar)
-        of = now.select("rep", "component")
-        one, two = (of.select(F.col("rep").alias(x), F.col("component").alias(f"c_{x}")) for x in ("a", "b"))
-        labels = components(links.join(one, "a").join(two, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
-        discard(links)
-        labels = labels.withColumnRenamed("component", "last")
-        return now.join(labels, now.component == labels.node, "left").select("n", "fp", "at", "low", "first", "rep", F.coalesce("last", "component").alias("component"))
-
-    # first a few pairs of each bucket, which join a dense group without all its pairs; then all pairs of what is still apart
-    now = scratch(joined(_met(now, how, similar)), "classes")
-    return joined(_candidates(now, how, similar)).select("first", "component")
+    classes = scratch(found.select("n", "fp", "at", "low", "first", F.col("first.rep").alias("rep")), "classes")
+    # what is joined by fingerprints is compared within, and each with all that is apart by what the segments propose
+    close = families(classes, how)
+    sizes = close.groupBy(F.col("component").alias("family")).agg(F.count(F.lit(1)).alias("size"))
+    members = close.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(sizes, "family")
+    members = scratch(classes.select("rep", "n").join(members, "rep").select("family", "size", "rep", "n"), "members")
+    few = members.where(F.col("size") <= FEW).groupBy("family").agg(F.array_sort(F.collect_list("rep")).alias("r"))
+    few = few.select(F.explode(F.flatten(F.transform("r", lambda a, i: F.transform(F.slice("r", i + 2, F.size("r")), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.a", "p.b")
+    many = members.where(F.col("size") > FEW)
+    apart = classes.join(members.select("rep", "family"), "rep", "left").select("fp", "at", "low", "rep", F.coalesce("family", "rep").alias("component"))
+    links = _verified(_candidates(apart, how).unionByName(few), rows, key, shingle, similar)
+    if not many.isEmpty():
+        links = links.unionByName(_within(many, rows, key, shingle, similar))
+    labels = components(links)
+    return classes.join(labels, classes.rep == labels.node, "left").select("first", F.coalesce("component", "rep").alias("component"))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similar: float = SIMILAR, missed: float = MISSED) -> DataFrame:

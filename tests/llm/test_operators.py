@@ -375,6 +375,35 @@ def test_one_of_each_at_the_similarity(spark):
     assert len(near - kept) >= 58
 
 
+def test_large_family_by_brute_force(spark):
+    """Copies of one text with random changes, of which some are similar to it, some only to others, and some to none."""
+    r = random.Random(17)
+    base = [f"v{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 220):
+        w = base if i < 150 else rows[r.randrange(150, i)][1].split() if i > 150 and r.random() < 0.6 else base
+        w = list(w)
+        for at in r.sample(range(len(w)), r.randrange(1, 7)):
+            w[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                lo, hi = sorted((find(a), find(b)))
+                up[hi] = lo
+    want = {i for i in range(len(rows)) if find(i) == i}
+    got = {x.doc_id for x in simhash.one_of_each(frame(spark, rows)).collect()}
+    assert 10 < len(want) < 200 and got == want
+
+
 def test_quality(spark, texts):
     def repeated(w):
         at, seen = [tuple(w[i : i + 5]) for i in range(len(w) - 4)], {}
