@@ -330,36 +330,42 @@ def _within(members: DataFrame, rows: DataFrame, key: str, shingle: int, similar
     one by chance, is compared by all its shingles in the same way.
     """
     f = (1 - similar) / (1 + similar)
-    part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / 1024)).cast("int")
-    own = members.withColumn("part", part)
+    parts = F.ceil(F.col("size") / 1024).cast("int")
+    by = ["family", "part"]  # a large family is in many parts, to each of which what is known of it as a whole is sent
+    each = lambda df: df.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("size")
     sets = _sets(rows.select(key, "text").join(members.select(F.col("rep").alias(key)), key, "left_semi"), key, shingle, None)
+    own = members.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int"))
     sets = scratch(sets.join(own, "rep").select("family", "size", "part", "rep", "n", "hashes"), "sets")
     counts = scratch(sets.select("family", "size", F.explode("hashes").alias("h")).groupBy("family", "size", "h").agg(F.count(F.lit(1)).alias("times")), "counts")
-    core = counts.where(F.col("times") * 2 > F.col("size")).groupBy("family", "size").agg(F.collect_list("h").alias("core"))
-    core = core.select("family", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / 1024).cast("int") - 1)).alias("part"), "core")
+    core = each(counts.where(F.col("times") * 2 > F.col("size")).groupBy("family", "size").agg(F.collect_list("h").alias("core")))
     none = F.array().cast("array<bigint>")
     differ = lambda c: F.concat(F.array_except("hashes", c), F.array_except(c, "hashes"))
-    deltas = sets.join(core, ["family", "part"], "left").select("family", "size", "rep", "n", differ(F.coalesce("core", none)).alias("delta"))
+    deltas = sets.join(core, by, "left").select("family", "size", "part", "rep", "n", differ(F.coalesce("core", none)).alias("delta"))
     deltas = scratch(deltas.withColumn("slack", f * F.col("n") - F.size("delta")), "deltas")
-    best = deltas.groupBy("family").agg(F.max(F.struct("slack", "rep")).alias("best"))
-    held = deltas.join(best, "family").withColumn("joined", F.col("slack") + F.col("best.slack") >= -1e-9)
-    edge = held.where("not joined").groupBy("family").agg(F.max("slack").alias("edge"))
-    held = held.join(edge, "family").withColumn("needed", F.greatest(F.lit(1), F.ceil((-F.col("slack") - F.when(F.col("joined"), F.col("edge")).otherwise(F.col("best.slack"))) / 2 - 1e-6)))
-    rare = counts.where(F.col("times") > 1).select("family", "h", "times")
+    best = scratch(each(deltas.groupBy("family", "size").agg(F.max(F.struct("slack", "rep")).alias("best"))), "best")
+    held = deltas.join(best, by).withColumn("joined", F.col("slack") + F.col("best.slack") >= -1e-9)
+    edge = each(held.where("not joined").groupBy("family", "size").agg(F.max("slack").alias("edge")))
+    # how many differences a member shares at least with what is similar to it: a joined one with any other, and any other
+    # with a joined one, or with one that is not
+    shared = lambda slack: F.greatest(F.lit(1), F.ceil((-F.col("slack") - F.col(slack)) / 2 - 1e-6)).cast("int")
+    held = held.join(edge, by).select("family", "size", "rep", "joined", "delta", shared("best.slack").alias("with_joined"), shared("edge").alias("with_other"))
+    spread = held.select("family", "size", "rep", "joined", "with_joined", "with_other", F.explode("delta").alias("h"))
     # a difference is in `times` sets, or if it is one of the core, in all but so many
-    spread = held.select("family", "size", "rep", "joined", "needed", F.explode("delta").alias("h"))
-    ranked = spread.join(rare, ["family", "h"], "left").select("family", "rep", "joined", "needed", "h", F.coalesce(F.when(F.col("times") * 2 > F.col("size"), F.col("size") - F.col("times")).otherwise(F.col("times")), F.lit(1)).alias("times"))
-    firsts = ranked.groupBy("family", "rep", "joined", "needed").agg(F.array_sort(F.collect_list(F.struct("times", "h"))).alias("order"))
-    firsts = firsts.select("family", "rep", "joined", F.explode(F.slice("order", F.lit(1), F.greatest(F.lit(0), F.size("order") - F.col("needed").cast("int") + 1))).alias("o")).where("o.times > 1")
-    firsts = scratch(firsts.select("family", "rep", "joined", F.col("o.h").alias("h")), "firsts")
-    one = firsts.where("not joined").select("family", "h", F.col("rep").alias("x"))
-    two = firsts.select("family", "h", F.col("rep").alias("y"), "joined")
-    meet = one.join(two, ["family", "h"]).where("x <> y and (joined or x < y)").select("x", "y").distinct()
+    rare = counts.select("family", "h", F.when(F.col("times") * 2 > F.col("size"), F.col("size") - F.col("times")).otherwise(F.col("times")).alias("times"))
+    ranked = spread.join(rare.where("times > 1"), ["family", "h"], "left").withColumn("times", F.coalesce("times", F.lit(1)))
+    firsts = ranked.groupBy("family", "rep", "joined", "with_joined", "with_other").agg(F.array_sort(F.collect_list(F.struct("times", "h"))).alias("order"))
+    upto = F.size("order") - F.when(F.col("joined"), F.col("with_other")).otherwise(F.col("with_joined")) + 1
+    firsts = firsts.select("family", "rep", "joined", (F.size("order") - F.col("with_other") + 1).alias("short"), F.posexplode(F.slice("order", F.lit(1), F.greatest(F.lit(0), upto))).alias("at", "o"))
+    firsts = scratch(firsts.where("o.times > 1").select("family", "rep", "joined", (F.col("at") < F.col("short")).alias("short"), F.col("o.h").alias("h")), "firsts")
+    other = firsts.where("not joined").select("family", "h", F.col("rep").alias("x"), "short")
+    with_joined = other.join(firsts.where("joined").select("family", "h", F.col("rep").alias("y")), ["family", "h"]).select("x", "y")
+    among = other.where("short").join(other.where("short").select("family", "h", F.col("x").alias("y")), ["family", "h"]).where("x < y").select("x", "y")
+    meet = with_joined.unionByName(among).distinct()
     ends = lambda e: deltas.select(F.col("rep").alias(e), F.col("delta").alias(f"d_{e}"), F.col("slack").alias(f"s_{e}"))
     both = meet.join(ends("x"), "x").join(ends("y"), "y").where(F.size(F.array_intersect("d_x", "d_y")) >= -(F.col("s_x") + F.col("s_y")) / 2 - 1e-9)
-    star = deltas.join(best, "family").where((F.col("slack") + F.col("best.slack") >= -1e-9) & (F.col("rep") != F.col("best.rep"))).select(F.col("rep").alias("a"), F.col("best.rep").alias("b"))
+    star = deltas.join(best, by).where((F.col("slack") + F.col("best.slack") >= -1e-9) & (F.col("rep") != F.col("best.rep"))).select(F.col("rep").alias("a"), F.col("best.rep").alias("b"))
     out = scratch(star.unionByName(both.select(F.col("x").alias("a"), F.col("y").alias("b"))), "within")
-    discard(sets, counts, deltas, firsts)
+    discard(sets, counts, deltas, best, firsts)
     return out
 
 
