@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 def velocity(series: DataFrame) -> DataFrame:
     """(point_id, slope, offset, omega) of value on t for each point; omega is the sum of squared residuals. Null slope where
-    all t are equal. Sums only, so partial sums are made in each task."""
-    s = series.groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.expr(x)).alias(a) for a, x in {"st": "t", "sv": "value", "stt": "t * t", "stv": "t * value", "svv": "value * value"}.items()])
-    det = F.col("n") * F.col("stt") - F.col("st") * F.col("st")
-    s = s.withColumn("slope", F.when(F.abs(det) > 1e-12, (F.col("n") * F.col("stv") - F.col("st") * F.col("sv")) / det))
-    s = s.withColumn("offset", (F.col("sv") - F.col("slope") * F.col("st")) / F.col("n"))
-    return s.select("point_id", "slope", "offset", (F.col("svv") - F.col("slope") * F.col("stv") - F.col("offset") * F.col("sv")).alias("omega"))
+    all t are equal. Centred moments, of which partial ones are made in each task."""
+    m = {"n": F.count(F.lit(1)), "mt": F.avg("t"), "mv": F.avg("value"), "tt": F.var_pop("t"), "vv": F.var_pop("value"), "tv": F.covar_pop("t", "value")}
+    s = series.groupBy("point_id").agg(*[f.alias(name) for name, f in m.items()])
+    s = s.withColumn("slope", F.when(F.col("tt") > 0, F.col("tv") / F.col("tt")))
+    return s.select("point_id", "slope", (F.col("mv") - F.col("slope") * F.col("mt")).alias("offset"), (F.col("n") * (F.col("vv") - F.col("slope") * F.col("tv"))).alias("omega"))
 
 
 def residuals(series: DataFrame, fit: DataFrame) -> DataFrame:
@@ -51,16 +50,26 @@ def without_reference(phases: DataFrame, point_id: int) -> DataFrame:
     return phases.join(F.broadcast(ref), "k").select("point_id", "k", (F.col("phase") - F.col("ref")).alias("phase"))
 
 
+def _best_of(phases: DataFrame, grid: list[tuple[float, ...]], model) -> DataFrame:
+    """(point_id, i, gamma): the row of the grid whose model leaves the most coherent residuals; the first of equal ones.
+
+    model(values of a row) is a column over an epoch's row. Each row of the grid is a pair of sums, so a point's epochs are
+    read once, and what is shuffled is one row of sums for each point and task."""
+    angle = lambda r: F.col("phase") - model(*r)
+    sums = [f(angle(r)) for r in grid for f in (F.cos, F.sin)]
+    per = phases.groupBy("point_id").agg(*[F.avg(x).alias(f"s{i}") for i, x in enumerate(sums)])
+    gamma = [F.round(F.sqrt(F.pow(F.col(f"s{2 * i}"), 2) + F.pow(F.col(f"s{2 * i + 1}"), 2)), 9) for i in range(len(grid))]
+    best = F.array_max(F.array(*[F.struct(g.alias("gamma"), F.lit(-i).alias("i")) for i, g in enumerate(gamma)]))
+    return per.select("point_id", best.alias("m")).select("point_id", (-F.col("m.i")).alias("i"), "m.gamma")
+
+
 def grid_search(phases: DataFrame, design: list[float], rates: list[float]) -> DataFrame:
     """(point_id, rate, gamma): the rate of a grid whose model design * rate leaves the most coherent residuals; the first of
-    equal ones. Both lists are short; sums are pre-aggregated for each point and rate."""
+    equal ones. Both lists are short."""
     spark = phases.sparkSession
-    model = spark.createDataFrame([(k, i, float(d * r)) for k, d in enumerate(design) for i, r in enumerate(rates)], "k int, i int, model double")
-    value = spark.createDataFrame(list(enumerate(map(float, rates))), "i int, rate double")
-    res = phases.join(F.broadcast(model), "k").withColumn("r", F.col("phase") - F.col("model"))
-    g = res.groupBy("point_id", "i").agg(F.round(F.sqrt(F.pow(F.avg(F.cos("r")), 2) + F.pow(F.avg(F.sin("r")), 2)), 9).alias("gamma"))
-    best = g.groupBy("point_id").agg(F.max(F.struct("gamma", (-F.col("i")).alias("i"))).alias("m")).select("point_id", (-F.col("m.i")).alias("i"), "m.gamma")
-    return best.join(F.broadcast(value), "i").select("point_id", "rate", "gamma")
+    of = spark.createDataFrame([(k, float(d)) for k, d in enumerate(design)], "k int, design double")
+    best = _best_of(phases.join(F.broadcast(of), "k"), [(float(r),) for r in rates], lambda r: F.col("design") * F.lit(r))
+    return best.select("point_id", F.get(F.array(*[F.lit(float(r)) for r in rates]), F.col("i")).alias("rate"), "gamma")
 
 
 def inversion_weights(pairs: list[tuple[int, int]], images: int, reference: int = 0) -> np.ndarray:
@@ -108,14 +117,21 @@ def velocity_and_elevation(series: DataFrame) -> DataFrame:
 def grid_search_two(phases: DataFrame, design: DataFrame, demerr: list[float], vel: list[float]) -> DataFrame:
     """(point_id, demerr, vel, gamma): the pair of a grid whose model leaves the most coherent residuals, the first in order
     of demerr and vel of equal ones. design (k, of_demerr, of_vel) has one row for each epoch, the grid is short."""
-    grid = [(i, j, float(a), float(b)) for i, a in enumerate(demerr) for j, b in enumerate(vel)]
-    cells = phases.sparkSession.createDataFrame(grid, "i int, j int, demerr double, vel double")
-    model = design.join(F.broadcast(cells)).select("k", "i", "j", (F.col("of_demerr") * F.col("demerr") + F.col("of_vel") * F.col("vel")).alias("model"))
-    r = F.col("phase") - F.col("model")
-    g = phases.join(F.broadcast(model), "k").groupBy("point_id", "i", "j").agg(F.round(F.sqrt(F.pow(F.avg(F.cos(r)), 2) + F.pow(F.avg(F.sin(r)), 2)), 9).alias("gamma"))
-    best = g.groupBy("point_id").agg(F.max(F.struct("gamma", (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))).alias("m"))
-    best = best.select("point_id", (-F.col("m.i")).alias("i"), (-F.col("m.j")).alias("j"), "m.gamma")
-    return best.join(F.broadcast(cells), ["i", "j"]).select("point_id", "demerr", "vel", "gamma")
+    grid = [(float(a), float(b)) for a in demerr for b in vel]
+    best = _best_of(phases.join(F.broadcast(design), "k"), grid, lambda a, b: F.col("of_demerr") * F.lit(a) + F.col("of_vel") * F.lit(b))
+    at = lambda i: F.get(F.array(*[F.lit(g[i]) for g in grid]), F.col("i"))
+    return best.select("point_id", at(0).alias("demerr"), at(1).alias("vel"), "gamma")
+
+
+def to_histogram_peak(phases: DataFrame, rates: DataFrame, bins: int = 300) -> DataFrame:
+    """phases (point_id, k, phase) less, at each epoch, the mean phase of the points whose rate (point_id, rate) is in the
+    fullest of `bins` bins, or of 10 where there are under 40 points: the most frequent rate is taken for that of stable
+    ground. As in peak_members(), a bin holds its lower edge only."""
+    if rates.limit(40).count() < 40:
+        bins = 10
+    members = peak_members(rates, "rate", bins).select("point_id")
+    mean = phases.join(members, "point_id", "left_semi").groupBy("k").agg(F.avg("phase").alias("reference"))
+    return phases.join(F.broadcast(mean), "k").select("point_id", "k", (F.col("phase") - F.col("reference")).alias("phase"))  # one row for each epoch
 
 
 def histogram(fits: DataFrame, value: str, bins: int) -> DataFrame:

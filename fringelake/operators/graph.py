@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import discard, scratch
+from .pixels import distinct_arcs, nearest, with_lengths
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -87,6 +88,44 @@ def without_bad_arcs(arcs: DataFrame, limit: float) -> DataFrame:
     return arcs.join(kept, ["src", "dst"], "left").where((F.col("gamma") >= limit) | F.col("tree")).drop("tree")
 
 
+def without_bad_points(arcs: DataFrame, limit: float, rounds: int = 1000) -> DataFrame:
+    """arcs (src, dst, gamma) without those of bad points: points the median of whose arcs is under the limit.
+
+    Each round removes every bad point that is the worst, by median and id, among itself and the points it has arcs with,
+    and takes the medians anew; so neighbours do not go together where one of them is to blame, and what is far apart goes
+    in one round. In the end no median is under the limit. A point all of whose arcs are gone is no longer in the network."""
+    now, held = arcs, None
+    for _ in range(rounds):
+        ends = now.select(F.col("src").alias("p"), F.col("dst").alias("q"), "gamma").unionByName(now.select(F.col("dst").alias("p"), F.col("src").alias("q"), "gamma"))
+        median = ends.groupBy("p").agg(F.median("gamma").alias("median"))
+        other = median.select(F.col("p").alias("q"), F.col("median").alias("m_q"))
+        bad = median.where(F.col("median") < limit)
+        beaten = ends.join(bad, "p").join(other, "q").where(F.expr("m_q < median or (m_q = median and q < p)")).select("p").distinct()
+        gone = cut(bad.join(beaten, "p", "left_anti").select("p"))
+        if gone.isEmpty():
+            return now
+        after = cut(now.join(gone.withColumnRenamed("p", "src"), "src", "left_anti").join(gone.withColumnRenamed("p", "dst"), "dst", "left_anti").select(*arcs.columns))
+        discard(held)
+        now = held = after
+    raise RuntimeError(f"the removal of bad points did not settle in {rounds} rounds")
+
+
+def build_arcs(points: DataFrame, k: int, longest: float, radius: float) -> DataFrame:
+    """(src, dst, length): arcs between each point (point_id, y, x) and its k nearest others. Arcs longer than `longest` are
+    dropped; where the network is then not connected, they come back, and where it still is not, each point gets twice as
+    many neighbours, and so on."""
+    every = points.count()
+    while True:
+        arcs = cut(with_lengths(distinct_arcs(nearest(points, points, k + 1, radius)), points))
+        short = arcs.where(F.col("length") <= longest)
+        for tried in (short, arcs):
+            if is_connected(points, tried):
+                return tried
+        if k >= every:
+            return arcs
+        k *= 2
+
+
 def integrate(arcs: DataFrame, reference: int, rounds: int = 500, close: float = 1e-8) -> DataFrame:
     """(point_id, value): the values at points, 0 at the reference, that fit arcs (src, dst, value, weight) with value =
     src - dst best in weighted least squares.

@@ -28,7 +28,13 @@ def star(acq: DataFrame, reference: int | None = None) -> DataFrame:
 
 def small_temporal(acq: DataFrame, links: int) -> DataFrame:
     """Each image with the next `links` images."""
-    return _done(_pairs(acq, f"j - i between 1 and {links}"), acq)
+    return _done(_following(acq, links), acq)
+
+
+def _following(acq: DataFrame, links: int) -> DataFrame:
+    """(i, j): each image with the next `links` images, as an equi-join."""
+    steps = acq.select(F.col("idx").alias("i"), F.explode(F.expr(f"transform(sequence(1, {links}), n -> int(idx + n))")).alias("j"))
+    return steps.join(acq.select(F.col("idx").alias("j")), "j", "left_semi").select("i", "j")
 
 
 def nearest_after(acq: DataFrame, days: float) -> DataFrame:
@@ -41,7 +47,7 @@ def small_temporal_yearly(acq: DataFrame, links: int) -> DataFrame:
     """As small_temporal, and each image with the one nearest to a year later unless that is the last image."""
     last = acq.agg(F.max("idx").alias("last"))
     year = nearest_after(acq, 365.25).join(F.broadcast(last), F.expr("j <> last")).select("i", "j")
-    return _done(_pairs(acq, f"j - i between 1 and {links}").select("i", "j").unionByName(year), acq)
+    return _done(_following(acq, links).unionByName(year), acq)
 
 
 def small_baseline(acq: DataFrame, links: int, max_days: float) -> DataFrame:
@@ -59,3 +65,26 @@ def design_matrix(network: DataFrame) -> DataFrame:
     """(ifg, img, sign): +1 at the first image, -1 at the second."""
     ifg = network.withColumn("ifg", F.expr("row_number() over (order by first, second) - 1"))
     return ifg.select("ifg", F.explode(F.array(F.struct(F.col("first").alias("img"), F.lit(1).alias("sign")), F.struct(F.col("second").alias("img"), F.lit(-1).alias("sign")))).alias("e")).select("ifg", "e.img", "e.sign")
+
+
+def with_baselines(network: DataFrame, acq: DataFrame) -> DataFrame:
+    """network (first, second) with tbase_ifg in years and pbase_ifg in metres, second less first, by acquisitions (idx, tbase
+    in days, pbase)."""
+    one, two = (acq.select(F.col("idx").alias(e), F.col("tbase").alias(f"t_{e}"), F.col("pbase").alias(f"p_{e}")) for e in ("first", "second"))
+    both = network.select("first", "second").join(F.broadcast(one), "first").join(F.broadcast(two), "second")
+    return both.select("first", "second", ((F.col("t_second") - F.col("t_first")) / 365.25).alias("tbase_ifg"), (F.col("p_second") - F.col("p_first")).alias("pbase_ifg"))
+
+
+def of_type(kind: str, acq: DataFrame, links: int = 3, max_days: float = 100.0) -> DataFrame:
+    """The network of a type by its name; other names raise ValueError."""
+    kinds = {"star": lambda: star(acq), "sb": lambda: small_baseline(acq, links, max_days), "stb": lambda: small_temporal(acq, links), "stb_year": lambda: small_temporal_yearly(acq, links)}
+    if kind not in kinds:
+        raise ValueError(f"no network of type {kind!r}: {', '.join(kinds)}")
+    return kinds[kind]()
+
+
+def to_interferograms(series: DataFrame, network: DataFrame) -> DataFrame:
+    """(point_id, first, second, phase): the series (point_id, img, phase) at the first image less that at the second."""
+    one, two = (series.select("point_id", F.col("img").alias(e), F.col("phase").alias(f"p_{e}")) for e in ("first", "second"))
+    both = one.join(F.broadcast(network.select("first", "second")), "first").join(two, ["point_id", "second"])
+    return both.select("point_id", "first", "second", (F.col("p_first") - F.col("p_second")).alias("phase"))

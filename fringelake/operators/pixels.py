@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.phase import circular_coherence, wrap
+from ..scratch import scratch
 
 
 def arc_observations(phases: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -47,22 +48,37 @@ def mean_amplitude(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("point_id").agg(F.log10(F.nullif(mean, F.lit(0.0))).alias("bmap"))
 
 
+def box_sums(rows: DataFrame, values: list[str], half: int, height: int, width: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., y, x, each value, each value_around): sums over the square of 2 * half + 1 pixels around each pixel without the
+    pixel itself; beyond an edge the image is mirrored, edge pixel included. A pixel goes to the rows and then to the columns
+    that it counts for, so sums are pre-aggregated and no row of the image has to fit into one task."""
+
+    def places(at: str, n: int) -> Column:
+        # the pixel and its images beyond the edges, each with the pixels around it
+        c, none = F.col(at).cast("int"), F.array().cast("array<int>")
+        around = lambda p: F.sequence(F.greatest(p - half, F.lit(0)), F.least(p + half, F.lit(n - 1)))
+        return F.explode(F.concat(around(c), F.when(c < half, around(-1 - c)).otherwise(none), F.when(c >= n - half, around(2 * n - 1 - c)).otherwise(none)))
+
+    along = rows.select(*by, "y", places("x", width).alias("cx"), *values).groupBy(*by, "y", "cx").agg(*[F.sum(v).alias(v) for v in values])
+    sums = along.select(*by, "cx", places("y", height).alias("cy"), *[F.col(v).alias(f"{v}_around") for v in values], *[F.lit(None).cast("double").alias(v) for v in values])
+    own = rows.select(*by, F.col("x").cast("int").alias("cx"), F.col("y").cast("int").alias("cy"), *[F.lit(None).cast("double").alias(f"{v}_around") for v in values], *[F.col(v).cast("double").alias(v) for v in values])
+    both = sums.unionByName(own).groupBy(*by, F.col("cy").alias("y"), F.col("cx").alias("x")).agg(*[F.sum(x).alias(x) for v in values for x in (v, f"{v}_around")], F.count(values[0]).alias("here"))
+    return both.where("here > 0").select(*by, "y", "x", *values, *[(F.col(f"{v}_around") - F.col(v)).alias(f"{v}_around") for v in values])
+
+
 def box_sum(rows: DataFrame, value: str, half: int, height: int, width: int) -> DataFrame:
-    """(y, x, total): sum over the square of 2 * half + 1 pixels around each pixel without the pixel itself; beyond an edge
-    the image is mirrored, edge pixel included. A pixel goes to the rows and then to the columns that it counts for, so sums
-    are pre-aggregated and no row of the image has to fit into one task."""
+    """(y, x, total): box_sums() of one value of one image."""
+    return box_sums(rows, [value], half, height, width).select("y", "x", F.col(f"{value}_around").alias("total"))
 
-    def mirrored(at: str, n: int) -> Column:
-        # positions p with |p - place| <= half that mirror to `at`
-        reach = F.sequence(F.lit(-half), F.lit(n - 1 + half))
-        hit = F.filter(reach, lambda p: F.when(p < 0, -1 - p).when(p >= n, 2 * n - 1 - p).otherwise(p) == F.col(at))
-        centres = F.transform(hit, lambda p: F.sequence(F.greatest(p - half, F.lit(0)), F.least(p + half, F.lit(n - 1))))
-        return F.explode(F.flatten(centres))
 
-    along = rows.select("y", mirrored("x", width).alias("cx"), value).groupBy("y", "cx").agg(F.sum(value).alias(value))
-    total = along.select("cx", mirrored("y", height).alias("cy"), value).groupBy("cy", "cx").agg(F.sum(value).alias("total"))
-    own = rows.select(F.col("y").alias("cy"), F.col("x").alias("cx"), F.col(value).alias("own"))
-    return total.join(own, ["cy", "cx"]).select(F.col("cy").alias("y"), F.col("cx").alias("x"), (F.col("total") - F.col("own")).alias("total"))
+def temporal_coherence(ifgs: DataFrame, points: DataFrame, half: int, height: int, width: int) -> DataFrame:
+    """(y, x, gamma): temporal phase coherence of each pixel, from interferograms (point_id, first, second, re, im) and points
+    (point_id, y, x): the phase of each is compared with that of the sum of the pixels around it in the same interferogram,
+    and gamma is the length of the mean unit vector of the differences. A zero has the phase zero."""
+    rows = ifgs.join(points.select("point_id", "y", "x"), "point_id")
+    s = box_sums(rows, ["re", "im"], half, height, width, ("first", "second"))
+    angle = F.atan2(F.expr("im * re_around - re * im_around"), F.expr("re * re_around + im * im_around"))
+    return s.select("y", "x", angle.alias("phase")).groupBy("y", "x").agg(circular_coherence(F.col("phase")).alias("gamma"))
 
 
 def within(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
@@ -78,9 +94,64 @@ def within(points: DataFrame, others: DataFrame, radius: float) -> DataFrame:
 
 
 def nearest(points: DataFrame, others: DataFrame, k: int, radius: float) -> DataFrame:
-    """(a, b, d2, rank): the k nearest others of each point, itself included if it is among them, looked for within radius."""
+    """(a, b, d2, rank): the k nearest others of each point, itself included if it is among them; of equally near ones the
+    smaller id. They are looked for within radius, and where that is not enough, within twice as much, and so on, so no
+    point gets less than k unless there are less others. Near points are searched by equi-joins on squares; a square that
+    holds very many is split by Spark's skew join."""
     rank = F.row_number().over(Window.partitionBy("a").orderBy("d2", "b"))
-    return within(points, others, radius).withColumn("rank", rank).where(F.col("rank") <= k)
+    rest, parts, enough = points, [], min(k, others.count())
+    while enough:
+        found = scratch(within(rest, others, radius).withColumn("rank", rank).where(F.col("rank") <= k), "nearest")
+        done = found.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough).select("a")
+        rest = rest.join(done, rest.point_id == done.a, "left_anti")
+        parts.append(found.join(done, "a", "left_semi"))
+        if rest.isEmpty():
+            break
+        radius *= 2
+    out = within(points, others, radius).withColumn("rank", rank).limit(0) if not parts else parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def annulus(near: DataFrame, least: float, most: float | None = None) -> DataFrame:
+    """Neighbours (a, b, d2) further than `least`, nearer than `most`, and not at the point itself."""
+    far = (F.sqrt("d2") > least) & (F.col("d2") != 0)
+    return near.where(far if most is None else far & (F.sqrt("d2") < most))
+
+
+def with_lengths(arcs: DataFrame, points: DataFrame) -> DataFrame:
+    """arcs (src, dst) with length, the distance of their points (point_id, y, x)."""
+    one, two = (points.select(F.col("point_id").alias(e), F.col("y").alias(f"y_{e}"), F.col("x").alias(f"x_{e}")) for e in ("src", "dst"))
+    length = F.hypot(F.col("y_src") - F.col("y_dst"), F.col("x_src") - F.col("x_dst"))
+    return arcs.join(one, "src").join(two, "dst").withColumn("length", length).drop("y_src", "x_src", "y_dst", "x_dst")
+
+
+def nearest_pixel(targets: DataFrame, pixels: DataFrame, radius: float) -> DataFrame:
+    """(target, point_id, d2): the pixel (point_id, y, x) nearest to each target (point_id, y, x); of equally near ones the first."""
+    return nearest(targets, pixels, 1, radius).select(F.col("a").alias("target"), F.col("b").alias("point_id"), "d2")
+
+
+def valid(rows: DataFrame, amplitude: str) -> DataFrame:
+    """Rows whose mean amplitude (log10, null or NaN where it was zero) is that of a valid pixel."""
+    return rows.where(F.col(amplitude).isNotNull() & ~F.isnan(amplitude) & (F.pow(F.lit(10.0), F.col(amplitude) / 10) > 0))
+
+
+def second_order(rows: DataFrame, coherence: str, limit: float, siblings: str, fewest: int, persistent: str | None = None) -> DataFrame:
+    """Candidates of second order by the coherence of phase linking: above the limit, or persistent where such a column is
+    given; where none is, those with no more than `fewest` siblings are dropped. NaN is not above a limit."""
+    above = ~F.isnan(coherence) & (F.col(coherence) > limit)
+    return rows.where(above | F.col(persistent) if persistent else above & (F.col(siblings) > fewest))
+
+
+def extent(rows: DataFrame) -> DataFrame:
+    """One row: least and largest lat and lon without NaN, and the lat and lon of the four corners of the image (y, x)."""
+    fine = ~F.isnan("lat") & ~F.isnan("lon")
+    box = [f(F.when(fine, F.col(c))).alias(f"{n}_{c}") for c in ("lat", "lon") for f, n in ((F.min, "min"), (F.max, "max"))]
+    corners = {"upper_left": (F.min, 1), "upper_right": (F.min, -1), "lower_left": (F.max, -1), "lower_right": (F.max, 1)}
+    at = [f(F.struct(F.col("y"), s * F.col("x"), "lat", "lon")).alias(k) for k, (f, s) in corners.items()]
+    out = rows.agg(*box, *at)
+    return out.select("min_lat", "max_lat", "min_lon", "max_lon", *[F.col(f"{k}.{c}").alias(f"{k}_{c}") for k in corners for c in ("lat", "lon")])
 
 
 def distinct_arcs(pairs: DataFrame) -> DataFrame:
@@ -118,6 +189,14 @@ def box_edges(size: int, boxes: int) -> list[int]:
     return edges
 
 
+def metric_edges(height: int, width: int, length_m: float, width_m: float, size: float) -> tuple[list[int], list[int]]:
+    """Edges of rows and columns of boxes of about `size` metres; length_m and width_m lie between the corner pixels. Half a
+    box counts to the even number, and there is one box at least; a size that is not positive raises ValueError."""
+    if not size > 0:
+        raise ValueError("the size of a box must be positive")
+    return box_edges(height, max(1, round(length_m / size))), box_edges(width, max(1, round(width_m / size)))
+
+
 def boxed(points: DataFrame, rows: list[int], columns: list[int]) -> DataFrame:
     """points with box_y and box_x, the numbers of the boxes between the edges; null outside of all."""
 

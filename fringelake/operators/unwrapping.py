@@ -24,49 +24,59 @@ def stacks(vectors: DataFrame, design: DataFrame, *by: str) -> DataFrame:
     return rows.select(*by, *[F.col(f"e.{x}").alias(x) for x in ("re", "im", "of_demerr", "of_vel")])
 
 
-def estimate(z: np.ndarray, a: np.ndarray, b: np.ndarray, bounds: tuple[float, float], samples: int) -> tuple[float, float, float]:
-    """(x, y, coherence) of the model a * x + b * y for unit vectors z. Both parameters are searched together on a grid,
-    whose coherences are one matrix product, as searches of one after the other can end at a side lobe; the best pair is
-    refined by bounded Gauss-Newton steps that never lose coherence."""
+def estimate(z: np.ndarray, a: np.ndarray, b: np.ndarray, bounds: tuple[float, float], samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """(parameters, coherence) of the model a * x + b * y for each row of unit vectors z (rows, epochs). Both parameters are
+    searched together on a grid, whose coherences are matrix products, as searches of one after the other can end at a
+    side lobe; the best pairs are refined by bounded Gauss-Newton steps, all rows at once, that never lose coherence."""
     grid = [np.linspace(-m, m, samples) for m in bounds]
     of_x, of_y = (np.exp(-1j * np.outer(g, d)) for g, d in zip(grid, (a, b)))
-    gamma = np.abs((of_x * z) @ of_y.T) / len(z)
-    i, j = np.unravel_index(int(np.argmax(np.round(gamma, 12))), gamma.shape)
-    found = [grid[0][i], grid[1][j]]
-
-    def mean(x: np.ndarray) -> complex:
-        return complex(np.mean(z * np.exp(-1j * (a * x[0] + b * x[1]))))
-
-    x, limit = np.array(found), np.array(bounds)
-    weight = np.abs(z)
-    now = mean(x)
+    x = np.empty((len(z), 2))
+    for at in range(0, len(z), 64):
+        gamma = np.abs((of_x * z[at : at + 64, None, :]) @ of_y.T).reshape(len(z[at : at + 64]), -1) / z.shape[1]
+        i, j = np.divmod(np.argmax(np.round(gamma, 12), axis=1), samples)
+        x[at : at + 64] = np.stack([grid[0][i], grid[1][j]], axis=1)
+
+    def turned(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return z[rows] * np.exp(-1j * (at[:, :1] * a + at[:, 1:] * b))
+
+    limit, columns = np.array(bounds), np.stack([a, b, np.ones_like(a)])
+    rows = np.arange(len(z))
+    now = turned(rows, x).mean(axis=1)
     for _ in range(30):
-        residual = np.angle(z * np.exp(-1j * (a * x[0] + b * x[1])) * np.conj(now))
-        columns = np.stack([a, b, np.ones_like(a)], axis=1) * weight[:, None]
-        step = np.linalg.lstsq(columns, residual * weight, rcond=None)[0][:2]
-        for _ in range(12):
-            tried = np.clip(x + step, -limit, limit)
-            new = mean(tried)
-            if abs(new) > abs(now):
-                break
-            step = step / 2
-        else:
+        if not len(rows):
             break
-        gain, x, now = abs(new) - abs(now), tried, new
-        if gain < 1e-12:
-            break
-    return float(x[0]), float(x[1]), abs(now)
+        weight = np.abs(z[rows]) ** 2
+        residual = np.angle(turned(rows, x[rows]) * np.conj(now[rows])[:, None])
+        normal = np.einsum("rk,ik,jk->rij", weight, columns, columns)
+        step = (np.linalg.pinv(normal, hermitian=True) @ ((weight * residual) @ columns.T)[:, :, None])[:, :2, 0]
+        gain, open_rows = np.zeros(len(rows)), np.arange(len(rows))
+        for _ in range(12):
+            tried = np.clip(x[rows[open_rows]] + step[open_rows], -limit, limit)
+            new = turned(rows[open_rows], tried).mean(axis=1)
+            better = np.abs(new) > np.abs(now[rows[open_rows]])
+            done = rows[open_rows[better]]
+            gain[open_rows[better]] = np.abs(new[better]) - np.abs(now[done])
+            x[done], now[done] = tried[better], new[better]
+            open_rows = open_rows[~better]
+            step[open_rows] /= 2
+        rows = rows[gain >= 1e-12]
+    return x, np.abs(now)
 
 
 def search(stacked: DataFrame, by: list[str], demerr_bound: float, velocity_bound: float, samples: int = 100) -> DataFrame:
-    """(by..., demerr, vel, gamma) for each row of stacks(). Rows are independent; each needs only its own epochs."""
+    """(by..., demerr, vel, gamma) for each row of stacks(). Rows are independent; those of one batch with the same epochs are
+    searched together."""
     kinds = {f.name: f.dataType.simpleString() for f in stacked.schema.fields}
     out = ", ".join(f"{x} {kinds[x]}" for x in by) + ", demerr double, vel double, gamma double"
 
     def run(batches):
         for rows in batches:
-            got = [estimate(np.asarray(r) + 1j * np.asarray(i), np.asarray(a), np.asarray(b), (demerr_bound, velocity_bound), samples) for r, i, a, b in zip(rows["re"], rows["im"], rows["of_demerr"], rows["of_vel"])]
-            yield pd.concat([rows[by].reset_index(drop=True), pd.DataFrame(got, columns=["demerr", "vel", "gamma"], dtype=float)], axis=1)
+            same = [(np.asarray(a, dtype=float).tobytes(), np.asarray(b, dtype=float).tobytes()) for a, b in zip(rows["of_demerr"], rows["of_vel"])]
+            for key, part in rows.groupby(pd.Series(same, index=rows.index), sort=False):
+                a, b = (np.frombuffer(k) for k in key)
+                z = np.stack([np.asarray(r) + 1j * np.asarray(i) for r, i in zip(part["re"], part["im"])])
+                x, gamma = estimate(z, a, b, (demerr_bound, velocity_bound), samples)
+                yield part[by].reset_index(drop=True).assign(demerr=x[:, 0], vel=x[:, 1], gamma=gamma)
 
     return stacked.mapInPandas(run, out)
 

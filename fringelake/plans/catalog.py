@@ -22,10 +22,10 @@ RATES, DESIGN = [round(-2 + 0.25 * i, 2) for i in range(17)], [round(k / 64, 6)
 _PP = "pp AS (SELECT point_id, k, atan2(sin(pi() * v), cos(pi() * v)) AS phase FROM (SELECT vec_id AS point_id, unnest(range(len(embedding)))::INT AS k, unnest(embedding)::DOUBLE AS v FROM embeddings))"
 _PT = "pt AS (SELECT vec_id AS point_id, (vec_id // 25)::INT AS y, (vec_id % 25)::INT AS x, label FROM embeddings)"
 _PX = "px AS (SELECT vec_id AS point_id, i::INT AS img, embedding[2 * i + 1]::DOUBLE AS re, embedding[2 * i + 2]::DOUBLE AS im FROM embeddings, range(32) AS r(i))"
-_ACQ = "d AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders), n AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS n FROM d), acq AS (SELECT (n // 7)::INT AS idx, date, date_diff('day', min(date) OVER (), date)::DOUBLE AS tbase FROM n WHERE n % 7 = 0 AND n < 280)"
+_ACQ = "d AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders), acq AS (SELECT (row_number() OVER (ORDER BY date) - 1)::INT AS idx, date, date_diff('day', min(date) OVER (), date)::DOUBLE AS tbase, (date_diff('day', min(date) OVER (), date) * 37 % 401 - 200)::DOUBLE AS pbase FROM d)"
 _EV = "ev AS (SELECT user_id AS point_id, event_id AS id, (epoch_us(ts) - 1704067200000000) / 31557600000000.0 AS t, value FROM events)"
 _COH = "sqrt(avg(cos(phase)) ** 2 + avg(sin(phase)) ** 2)"
-_FIT = "f AS (SELECT point_id, slope, (sv - slope * st) / n AS offs, svv - slope * stv - ((sv - slope * st) / n) * sv AS omega FROM (SELECT *, CASE WHEN abs(n * stt - st * st) > 1e-12 THEN (n * stv - st * sv) / (n * stt - st * st) END AS slope FROM (SELECT point_id, count(*) AS n, sum(t) AS st, sum(value) AS sv, sum(t * t) AS stt, sum(t * value) AS stv, sum(value * value) AS svv FROM ev GROUP BY point_id)))"
+_FIT = "f AS (SELECT point_id, slope, mv - slope * mt AS offs, n * (vv - slope * tv) AS omega FROM (SELECT *, CASE WHEN tt > 0 THEN tv / tt END AS slope FROM (SELECT point_id, count(*) AS n, avg(t) AS mt, avg(value) AS mv, var_pop(t) AS tt, var_pop(value) AS vv, covar_pop(t, value) AS tv FROM ev GROUP BY point_id)))"
 
 
 def _r(column: str, name: str | None = None, digits: int = 6):
@@ -45,12 +45,21 @@ def _arcs(spark, sf):
     return p.select(F.col("point_id").alias("src"), (F.col("point_id") + 1).alias("dst"))
 
 
-def _near(spark, sf, k=6, radius=4.0):
+def _near(spark, sf, k=6, radius=2.0):
     p = src.points(spark, sf)
     return px.nearest(p, p, k, radius)
 
 
-_NEAR = "nn AS (SELECT * FROM (SELECT a.point_id AS a, b.point_id AS b, ((a.y - b.y) ** 2 + (a.x - b.x) ** 2)::DOUBLE AS d2, row_number() OVER (PARTITION BY a.point_id ORDER BY (a.y - b.y) ** 2 + (a.x - b.x) ** 2, b.point_id) AS rank FROM pt a JOIN pt b ON (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= 16) WHERE rank <= 6)"
+#: Points of first order are those of some coherence.
+_LIMIT = 0.9265
+_FIRST = f"g1 AS (SELECT point_id FROM pp GROUP BY point_id HAVING {_COH} >= {_LIMIT})"
+
+
+def _first_order(spark, sf):
+    return px.at_least(px.coherence(src.phases(spark, sf), "point_id"), "gamma", _LIMIT).select("point_id")
+
+
+_NEAR = "nn AS (SELECT * FROM (SELECT a.point_id AS a, b.point_id AS b, ((a.y - b.y) ** 2 + (a.x - b.x) ** 2)::DOUBLE AS d2, row_number() OVER (PARTITION BY a.point_id ORDER BY (a.y - b.y) ** 2 + (a.x - b.x) ** 2, b.point_id) AS rank FROM pt a, pt b) WHERE rank <= 6)"
 
 
 @_add(f"WITH {_PP} SELECT point_id, k, round(phase, 6) + 0.0 AS phase FROM pp")
@@ -100,10 +109,14 @@ def least_per_grid_cell(spark, sf):
 @_add(f"WITH {_PT}, s AS (SELECT max(y) + 1 AS h FROM pt), v AS (SELECT y, x, list_sum(embedding::DOUBLE[]) AS v FROM pt JOIN embeddings ON vec_id = point_id), m AS (SELECT a.y, a.x, dy, dx, CASE WHEN a.y + dy < 0 THEN -1 - a.y - dy WHEN a.y + dy >= h THEN 2 * h - 1 - a.y - dy ELSE a.y + dy END AS ry, CASE WHEN a.x + dx < 0 THEN -1 - a.x - dx WHEN a.x + dx >= 25 THEN 49 - a.x - dx ELSE a.x + dx END AS rx FROM v a, s, range(-2, 3) AS i(dy), range(-2, 3) AS j(dx) WHERE dy <> 0 OR dx <> 0) SELECT m.y, m.x, round(sum(v.v), 6) + 0.0 AS total FROM m JOIN v ON v.y = ry AND v.x = rx GROUP BY m.y, m.x")
 def moving_box_sum_excl_center(spark, sf):
     rows = src.table(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), F.expr("aggregate(embedding, 0d, (t, v) -> t + v)").alias("v")).join(src.points(spark, sf), "point_id")
-    height = src.points(spark, sf).agg(F.max("y")).first()[0] + 1
+    height = _height(spark, sf)
     return px.box_sum(rows, "v", 2, height, src.WIDTH).select("y", "x", _r("total"))
 
 
+def _height(spark, sf) -> int:
+    return src.points(spark, sf).agg(F.max("y")).first()[0] + 1
+
+
 @_add(f"WITH {_PX} SELECT point_id, round(log10(nullif(avg(sqrt(re * re + im * im)), 0)), 6) + 0.0 AS bmap FROM px GROUP BY point_id")
 def mean_amplitude_log10(spark, sf):
     return px.mean_amplitude(src.complex_pixels(spark, sf)).select("point_id", _r("bmap"))
@@ -189,10 +202,10 @@ def radius_neighbours(spark, sf):
     return px.within(p, p, 3.0).where("a <> b")
 
 
-@_add(f"WITH {_PT}, q AS (SELECT a.point_id AS a, b.point_id AS b, ((a.y - b.y) ** 2 + (a.x - b.x) ** 2)::DOUBLE AS d2, row_number() OVER (PARTITION BY a.point_id ORDER BY (a.y - b.y) ** 2 + (a.x - b.x) ** 2, b.point_id) AS rank FROM pt a JOIN pt b ON b.point_id % 3 = 0 AND (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= 36) SELECT a, b, d2, rank::INT AS rank FROM q WHERE rank <= 5 AND (rank <= 3 OR (d2 < 4 AND d2 <> 0))")
+@_add(f"WITH {_PP}, {_PT}, {_FIRST}, q AS (SELECT a.point_id AS a, b.point_id AS b, ((a.y - b.y) ** 2 + (a.x - b.x) ** 2)::DOUBLE AS d2, row_number() OVER (PARTITION BY a.point_id ORDER BY (a.y - b.y) ** 2 + (a.x - b.x) ** 2, b.point_id) AS rank FROM pt a, pt b WHERE b.point_id IN (SELECT point_id FROM g1)) SELECT a, b, d2, rank::INT AS rank FROM q WHERE rank <= 5 AND (rank <= 3 OR (d2 < 4 AND d2 <> 0))")
 def knn_densify_neighbours(spark, sf):
     p = src.points(spark, sf)
-    return px.nearest(p, p.where("point_id % 3 = 0"), 5, 6.0).where("rank <= 3 or (d2 < 4 and d2 <> 0)").select("a", "b", "d2", "rank")
+    return px.nearest(p, p.join(_first_order(spark, sf), "point_id", "left_semi"), 5, 3.0).where("rank <= 3 or (d2 < 4 and d2 <> 0)").select("a", "b", "d2", "rank")
 
 
 @_add(f"WITH {_PT}, {_NEAR} SELECT DISTINCT greatest(a, b) AS src, least(a, b) AS dst FROM nn WHERE a <> b")
@@ -231,15 +244,16 @@ def grid_search_coherence(spark, sf):
     return est.grid_search(src.phases(spark, sf), DESIGN, RATES).select("point_id", "rate", _r("gamma"))
 
 
-_IMAGES = 8
-_PAIRS = [(i, j) for i in range(_IMAGES) for j in range(i + 1, min(i + 2, _IMAGES - 1) + 1)]
+_IMAGES = 33
+#: As many pairs as there are epochs.
+_PAIRS = [(i, j) for i in range(_IMAGES) for j in range(i + 1, min(i + 2, _IMAGES - 1) + 1)] + [(0, _IMAGES - 1)]
 _WEIGHTS = est.inversion_weights(_PAIRS, _IMAGES)
-_W_SQL = ", ".join(f"({j}, {i}, {_WEIGHTS[i, j]!r}::DOUBLE)".replace("np.float64(", "").replace(")::", "::") for i in range(_IMAGES) for j in range(len(_PAIRS)))
+_W_SQL = ", ".join(f"({j}, {i}, {float(_WEIGHTS[i, j])!r}::DOUBLE)" for i in range(_IMAGES) for j in range(len(_PAIRS)))
 
 
 @_add(f"WITH {_PP}, w AS (SELECT * FROM (VALUES {_W_SQL}) AS t(ifg, img, w)) SELECT point_id, img, round(sum(w * phase), 6) + 0.0 AS phase FROM pp JOIN w ON ifg = k GROUP BY point_id, img")
 def ifg_inversion(spark, sf):
-    ifg = src.phases(spark, sf).where(F.col("k") < len(_PAIRS)).withColumnRenamed("k", "ifg")
+    ifg = src.phases(spark, sf).withColumnRenamed("k", "ifg")
     return est.invert(ifg, _WEIGHTS).select("point_id", "img", _r("phase"))
 
 

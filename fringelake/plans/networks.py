@@ -10,14 +10,14 @@ from ..operators import graph
 from ..operators import pixels as px
 from ..operators import unwrapping as unw
 from ..sources import tables as src
-from .catalog import _COH, _EV, _FIT, _NEAR, _PP, _PT, LAMBDA, QUERIES, _add, _near, _r
+from .catalog import _COH, _EV, _FIT, _NEAR, _PP, _PT, LAMBDA, QUERIES, _add, _first_order, _near, _r
 
 #: Baselines of epoch k, as text for both engines: years, and a spread of perpendicular ones that is not a line in k.
 _TIME, _BASE = "(k / 64.0)", "(((k * 37) % 64 - 31.5) / 32.0)"
 _BOXES, _SEGMENTS = (3, 4), [((2.0, 2.0), (10.0, 21.0)), ((10.0, 21.0), (18.0, 20.0))]
 _HALF = 1.5
 _GRID = [round(-2 + 0.5 * i, 1) for i in range(9)]
-_EXPORTED = 8
+_EXPORTED = 64
 
 
 def _rows_only(f):
@@ -45,13 +45,17 @@ def velocity_histogram(spark, sf):
     return est.histogram(est.velocity(src.series(spark, sf)).where("slope is not null"), "slope", 20)
 
 
-def _edge_sql(column: str, edges: list[int]) -> str:
-    return "CASE " + " ".join(f"WHEN {column} < {e} THEN {i}" for i, e in enumerate(edges[1:])) + " END"
+def _box_sql(at: str, size: str, boxes: int) -> str:
+    """The number of a box as box_edges() makes them; its rest of less than half a box goes to the last one."""
+    step = f"greatest({size} // {boxes}, 1)"
+    return f"least({at} // {step}, greatest(({size} + {step} - round_even({step} / 2, 0)::INT) // {step} - 1, 0))::INT"
 
 
-@_add(f"WITH {_PT} SELECT point_id, {_edge_sql('y', px.box_edges(100, _BOXES[0]))}::INT AS box_y, {_edge_sql('x', px.box_edges(25, _BOXES[1]))}::INT AS box_x FROM pt")
+@_add(f"WITH {_PT}, s AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM pt) SELECT point_id, {_box_sql('y', 'h', _BOXES[0])} AS box_y, {_box_sql('x', 'w', _BOXES[1])} AS box_x FROM pt, s")
 def image_boxes(spark, sf):
-    return px.boxed(src.points(spark, sf), px.box_edges(100, _BOXES[0]), px.box_edges(25, _BOXES[1])).select("point_id", "box_y", "box_x")
+    p = src.points(spark, sf)
+    h, w = p.agg(F.max("y") + 1, F.max("x") + 1).first()
+    return px.boxed(p, px.box_edges(h, _BOXES[0]), px.box_edges(w, _BOXES[1])).select("point_id", "box_y", "box_x")
 
 
 def _line_sql() -> str:
@@ -70,7 +74,7 @@ def line_mask(spark, sf):
 
 @_add(f"WITH {_PP} SELECT point_id, " + ", ".join(f'round(max(phase) FILTER (WHERE k = {k}) * {LAMBDA} / (4 * pi()) * 1000, 6) + 0.0 AS "D{k:08d}"' for k in range(_EXPORTED)) + " FROM pp GROUP BY point_id")
 def export_wide(spark, sf):
-    rows = src.phases(spark, sf).where(F.col("k") < _EXPORTED).select("point_id", F.format_string("D%08d", "k").alias("epoch"), (F.col("phase") * LAMBDA / (4 * F.pi()) * 1000).alias("mm"))
+    rows = src.phases(spark, sf).select("point_id", F.format_string("D%08d", "k").alias("epoch"), (F.col("phase") * LAMBDA / (4 * F.pi()) * 1000).alias("mm"))
     wide = px.wide(rows, "mm", [f"D{k:08d}" for k in range(_EXPORTED)])
     return wide.select("point_id", *[_r(c) for c in wide.columns if c != "point_id"])
 
@@ -95,13 +99,13 @@ def _arc_gamma(spark, sf) -> DataFrame:
 @_rows_only
 def bad_arcs_removed(spark, sf):
     """Arcs of some coherence and those of the least spanning forest."""
-    return graph.without_bad_arcs(_arc_gamma(spark, sf), 0.2).select("src", "dst", _r("gamma"))
+    return graph.without_bad_arcs(_arc_gamma(spark, sf), 0.86).select("src", "dst", _r("gamma"))
 
 
 @_rows_only
 def temporal_unwrapping(spark, sf):
     """Elevation error, velocity and coherence of the arcs between near points."""
-    arcs = px.arc_observations(src.phases(spark, sf), px.distinct_arcs(_near(spark, sf, 3, 2.0)))
+    arcs = px.arc_observations(src.phases(spark, sf), px.distinct_arcs(_near(spark, sf, 3, 1.0)))
     return unw.unwrap_arcs(arcs, _design(spark), 4.0, 8.0, 50).select("src", "dst", _r("demerr", digits=4), _r("vel", digits=4), _r("gamma", digits=4))
 
 
@@ -109,14 +113,15 @@ def temporal_unwrapping(spark, sf):
 def densification(spark, sf):
     """Points that are not of first order, from their nearest three points of first order."""
     p, phases = src.points(spark, sf), src.phases(spark, sf)
-    first = p.where("point_id % 3 = 0").select("point_id")
-    near = px.nearest(p.where("point_id % 3 <> 0"), p.where("point_id % 3 = 0"), 3, 6.0)
+    first = _first_order(spark, sf)
+    near = px.nearest(p.join(first, "point_id", "left_anti"), p.join(first, "point_id", "left_semi"), 3, 3.0)
     return unw.densify(phases, phases.join(first, "point_id", "left_semi"), near, _design(spark), 4.0, 8.0, 50).select("point_id", _r("demerr", digits=4), _r("vel", digits=4), _r("gamma", digits=4))
 
 
 @_rows_only
 def parameter_integration(spark, sf):
-    """Values at points from the differences along arcs, weighted by the arcs' coherence."""
+    """Values at points from the differences along arcs, weighted by the arcs' coherence. As the differences are those of the
+    points' values, so is the result, less the reference's."""
     value = src.table(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), F.expr("aggregate(embedding, 0d, (t, v) -> t + v)").alias("v"))
     one, two = (value.select(F.col("point_id").alias(x), F.col("v").alias(f"v_{x}")) for x in ("src", "dst"))
     arcs = _arc_gamma(spark, sf).join(one, "src").join(two, "dst").select("src", "dst", (F.col("v_src") - F.col("v_dst")).alias("value"), F.col("gamma").alias("weight"))

@@ -35,11 +35,17 @@ def complex_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), F.inline(pairs))
 
 
-def acquisitions(spark: SparkSession, sf_dir: str, count: int = 40, step: int = 7) -> DataFrame:
-    """(idx, date, tbase in days): every step-th of the first order dates. One row for each image: few."""
-    d = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct().orderBy("date").limit(count * step)
-    n = d.withColumn("n", F.expr("row_number() over (order by date) - 1")).where(F.col("n") % step == 0)
-    return n.select((F.col("n") / step).cast("int").alias("idx"), "date", F.expr("datediff(date, min(date) over ())").cast("double").alias("tbase"))
+def acquisitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(idx, date, tbase in days, pbase in metres): every order date is one; pbase is made up from the day. One row for each
+    image: few, as days are."""
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
+    n = d.select((F.expr("row_number() over (order by date)") - 1).cast("int").alias("idx"), "date", F.expr("datediff(date, min(date) over ())").cast("double").alias("tbase"))
+    return n.withColumn("pbase", F.expr("(tbase * 37) % 401 - 200").cast("double"))
+
+
+def geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(point_id, height, inc, slant_range) from part: height in metres, incidence in radians, slant range in metres."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("point_id"), F.col("p_size").cast("double").alias("height"), (F.lit(0.5) + F.col("p_size") / 500).alias("inc"), (F.lit(850000.0) + F.col("p_retailprice")).alias("slant_range"))
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
