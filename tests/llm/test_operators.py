@@ -450,12 +450,64 @@ def test_embeddings(spark):
     rows = [(i, [float(v) for v in x[i]], int(label[i]), 1) for i in range(400)]
     odd = [(900, None, 1, 1), (901, [0.0] * 16, 1, 1), (902, [float("nan")] * 16, 1, 1), (903, [None] * 16, 1, 1), (904, [1.0] * 16, None, 1)]
     got = {q.vec_id: q for q in nn_descent.near_duplicates(spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int, n int")).collect()}
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    near = (u @ u.T >= 0.93) & (label[:, None] == label[None, :])
-    assert sum(got[i].n_links == near[i].sum() - 1 for i in range(400)) >= 396
+    n, root = _links(x, label)
+    assert all((got[i].n_links, got[i].component_id, got[i].kept) == (n[i], root[i], root[i] == i) for i in range(400))
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(900, 905))
 
 
+def _links(x, label, at=0.93):
+    """Brute force: the links of each row, and the smallest row that each can reach."""
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (u @ u.T >= at) & (label[:, None] == label[None, :])
+    root = np.arange(len(x))
+    while True:
+        new = np.array([root[n].min() for n in near])
+        if (new == root).all():
+            return near.sum(axis=1) - 1, root
+        root = new
+
+
+@pytest.mark.parametrize("members", [10, 40])
+def test_chains_of_saturated_clusters(spark, members):
+    """Four labels, each with six tight clusters whose neighbouring centres are at 0.945: no link may be missed."""
+    r = np.random.default_rng(members)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    parts = []
+    for _ in range(4):
+        c = unit(r.standard_normal(32))
+        for _ in range(6):
+            parts.append(unit(np.repeat(c[None], members, axis=0) + 0.002 * r.standard_normal((members, 32))))
+            side = r.standard_normal(32)
+            c = unit(0.945 * c + np.sqrt(1 - 0.945**2) * unit(side - (side @ c) * c))
+    x, label = np.concatenate(parts), np.repeat(np.arange(4), 6 * members)
+    n, root = _links(x, label)
+    rows = spark.createDataFrame([(i, [float(v) for v in y], int(k)) for i, (y, k) in enumerate(zip(x, label))], "vec_id long, embedding array<double>, label int")
+    got = {q.vec_id: q for q in nn_descent.near_duplicates(rows).collect()}
+    assert all((got[i].n_links, got[i].component_id, got[i].kept) == (n[i], root[i], root[i] == i) for i in range(len(x)))
+
+
+def test_one_id_in_two_labels(spark):
+    """Labels never meet, not even in an id; repeated rows count one by one; an empty table gives none."""
+    rows = spark.createDataFrame([(5, [1.0, 0.0], 1), (6, [1.0, 0.01], 1), (5, [0.0, 1.0], 2), (7, [0.01, 1.0], 2), (9, [1.0, 1.0], 3), (9, [1.0, 1.0], 3)], "vec_id long, embedding array<double>, label int")
+    got = sorted((q.vec_id, q.n_links, q.component_id, q.kept) for q in nn_descent.near_duplicates(rows).collect())
+    assert got == [(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False), (9, 1, 9, True), (9, 1, 9, True)]
+    assert nn_descent.near_duplicates(rows.where("false")).count() == 0
+
+
+def test_counts_of_large_components(spark, monkeypatch):
+    """Beyond the size up to which all pairs are compared, lists that are not full count their own links."""
+    monkeypatch.setattr(nn_descent, "SMALL", 20)
+    r = np.random.default_rng(1)
+    t = np.arange(300) * 0.18  # a chain, each linked to the next two at most
+    x = np.concatenate([np.stack([np.cos(t), np.sin(t), t / 3], axis=1), np.repeat([[0.0, 0.0, -1.0]], 60, axis=0) + 0.01 * r.standard_normal((60, 3))])
+    label = np.zeros(360, dtype=int)
+    n, root = _links(x, label)
+    rows = spark.createDataFrame([(i, [float(v) for v in y], 0) for i, y in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {q.vec_id: q for q in nn_descent.near_duplicates(rows).collect()}
+    assert all(got[i].component_id == root[i] for i in range(360))
+    assert sum(got[i].n_links == n[i] for i in range(360)) >= 345 and all(got[i].n_links <= n[i] for i in range(360))
+
+
 def _classes(spark, groups):
     rows = [(g, v.tobytes(), i, 1) for g, part in groups.items() for i, v in part]
     return spark.createDataFrame(rows, "grp string, vec binary, rep long, n long")
