@@ -17,6 +17,9 @@ from .common import components, discard, fresh, numbered, scratch
 SEED = 42
 #: The similarity of near-duplicates, and how seldom a pair of that similarity may be missed when candidates are looked up.
 SIMILAR, MISSED = 0.8, 0.04
+#: The similarity down to which texts are of one family, in most cases: far below that of links, so that what is near a large
+#: family is compared with it in the way that needs no pairs.
+FAMILY = 0.5
 #: Members of a family all of whose pairs are compared.
 FEW = 8
 #: Bits of a segment that a look-up flips: those that the fewest shingles decided.
@@ -42,7 +45,8 @@ EXACT = exact_segments(1)
 @dataclass(frozen=True)
 class Plan:
     """Segments of `width` bits, `per` of them in each word of a fingerprint of `words` words. Two fingerprints are candidates
-    if at most `bits` of all bits, and at most `word_bits` of the 64 of one word, differ."""
+    if at most `bits` of all bits, and at most `word_bits` of the 64 of one word, differ; they are of one family if at most
+    `family_bits` and `family_word_bits` do."""
 
     width: int
     segments: int
@@ -50,6 +54,8 @@ class Plan:
     words: int
     bits: int
     word_bits: int
+    family_bits: int
+    family_word_bits: int
 
 
 def plan(n: int, similar: float = SIMILAR, missed: float = MISSED, flipped: int = FLIPPED) -> Plan:
@@ -66,9 +72,9 @@ def plan(n: int, similar: float = SIMILAR, missed: float = MISSED, flipped: int
     met = float(np.mean((differ.sum(axis=1) == 0) | ((differ.sum(axis=1) == 1) & (low.sum(axis=1) == 1))))
     segments, per = math.ceil(math.log(missed) / math.log1p(-met)), 64 // width
     words = max(2, math.ceil(segments / per))
-    p = math.acos(rho) / math.pi
-    most = lambda bits: math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
-    return Plan(width, segments, per, words, most(64 * words), most(64))
+    p, q = math.acos(rho) / math.pi, math.acos(2 * FAMILY / (1 + FAMILY)) / math.pi
+    most = lambda bits, p, sigmas: math.ceil(bits * p + sigmas * math.sqrt(bits * p * (1 - p)))
+    return Plan(width, segments, per, words, most(64 * words, p, 4), most(64, p, 4), most(64 * words, q, 2), most(64, q, 1.6))
 
 
 def _more(h: np.ndarray) -> np.ndarray:
@@ -264,21 +270,21 @@ def _word(how: Plan):
 
 
 def families(classes: DataFrame, how: Plan) -> DataFrame:
-    """(node, component): classes joined by fingerprints at most `bits` apart, each compared with two of each bucket only, the
+    """(node, component): classes joined by fingerprints at most `family_bits` apart, each compared with two of each bucket only, the
     first and the last by a hash. A few rows for each class, however many are alike; classes far from all have no row."""
     word = _word(how)
     there = classes.select("rep", F.explode(F.transform("at", lambda v, i: F.struct(v.alias("key"), word(i).alias("word")))).alias("t")).select("t.key", "t.word", "rep")
     one = F.struct(F.xxhash64("rep", F.lit(1)).alias("order"), "rep", "word")
     ends = there.groupBy("key").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.rep <> high.rep")
     rows = there.join(ends, "key").select(F.col("rep").alias("a"), "word", F.explode(F.array("low", "high")).alias("to"))
-    near = rows.where((F.col("a") != F.col("to.rep")) & (F.bit_count(F.col("word").bitwiseXOR(F.col("to.word"))) <= how.word_bits)).select("a", F.col("to.rep").alias("b"))
-    return components(_near(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, how))
+    near = rows.where((F.col("a") != F.col("to.rep")) & (F.bit_count(F.col("word").bitwiseXOR(F.col("to.word"))) <= how.family_word_bits)).select("a", F.col("to.rep").alias("b"))
+    return components(_near(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, how.family_bits))
 
 
-def _near(pairs: DataFrame, classes: DataFrame, how: Plan) -> DataFrame:
+def _near(pairs: DataFrame, classes: DataFrame, bits: int) -> DataFrame:
     """The pairs (a, b) whose fingerprints are at most `bits` apart."""
     one, two = (classes.select(F.col("rep").alias(x), F.col("fp").alias(f"fp_{x}")) for x in ("a", "b"))
-    return pairs.join(one, "a").join(two, "b").where(_apart("fp_a", "fp_b") <= how.bits).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(_apart("fp_a", "fp_b") <= bits).select("a", "b")
 
 
 def _candidates(classes: DataFrame, how: Plan) -> DataFrame:
@@ -296,7 +302,7 @@ def _candidates(classes: DataFrame, how: Plan) -> DataFrame:
     apart = F.coalesce("c_a", "a") != F.coalesce("c_b", "b")
     found = (asking.key == there.key) & apart & (F.bit_count(F.col("w_a").bitwiseXOR(F.col("w_b"))) <= how.word_bits)
     pairs = asking.join(there.hint("shuffle_hash"), found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return _near(pairs, classes, how)
+    return _near(pairs, classes, how.bits)
 
 
 def _one_bit(low, i: int):
