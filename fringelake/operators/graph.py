@@ -151,8 +151,11 @@ def integrate(arcs: DataFrame, reference: int, rounds: int = 500, close: float =
         there = now.select(F.col("point_id").alias("other"), F.col("p").alias("q"))
         pulled = inner.join(there, "other").groupBy("point_id").agg(F.sum(F.col("w") * F.col("q")).alias("pull"))
         moved = cut(now.join(pulled, "point_id", "left").withColumn("lp", F.col("d") * F.col("p") - F.coalesce("pull", F.lit(0.0))).drop("pull"))
-        # one job for the step and for the size of what is left after it
-        sums = moved.agg(F.sum(F.col("p") * F.col("lp")).alias("bend"), F.sum(F.col("r") * F.col("lp") / F.col("d")).alias("cross"), F.sum(F.col("lp") * F.col("lp") / F.col("d")).alias("square")).first()
+        # one job for what is left now, the step, and what is left after it
+        sums = moved.agg(F.sum(F.col("r") * F.col("r") / F.col("d")).alias("size"), F.sum(F.col("p") * F.col("lp")).alias("bend"), F.sum(F.col("r") * F.col("lp") / F.col("d")).alias("cross"), F.sum(F.col("lp") * F.col("lp") / F.col("d")).alias("square")).first()
+        size = sums.size
+        if size <= close * close * first:
+            break
         step = size / sums.bend
         new = max(size - 2 * step * sums.cross + step * step * sums.square, 0.0)
         discard(held)
