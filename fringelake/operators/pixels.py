@@ -159,14 +159,28 @@ def distinct_arcs(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct()
 
 
-def in_polygon(points: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
-    """Points (y, x) inside a ring of (y, x) corners, by the even-odd rule. The ring is a literal, so it is small."""
-    crossings = F.lit(0)
-    for (y1, x1), (y2, x2) in zip(ring, ring[1:] + ring[:1]):
-        if y1 != y2:
-            spans = (F.lit(y1) > F.col("y")) != (F.lit(y2) > F.col("y"))
-            crossings = crossings + (spans & (F.col("x") < F.lit(x1) + F.lit((x2 - x1) / (y2 - y1)) * (F.col("y") - F.lit(y1)))).cast("int")
-    return points.where(crossings % 2 == 1)
+def edges_of(vertices: DataFrame, closed: bool) -> DataFrame:
+    """(way_id, y1, x1, y2, x2): edges of ways (way_id, seq, y, x) from each vertex to the next; a closed way ends where it began."""
+    w = Window.partitionBy("way_id").orderBy("seq")
+    following = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(w)) if closed else F.lead(c).over(w)
+    return vertices.select("way_id", F.col("y").alias("y1"), F.col("x").alias("x1"), following("y").alias("y2"), following("x").alias("x2")).where("y2 is not null")
+
+
+def _on_rows(edges: DataFrame, first: Column, last: Column) -> DataFrame:
+    """An edge for each row of pixels from first to last."""
+    rows = F.when(first <= last, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>"))
+    return edges.withColumn("y", F.explode(rows))
+
+
+def in_polygons(points: DataFrame, vertices: DataFrame) -> DataFrame:
+    """points (point_id, y, x; y whole) inside of any polygon of a table of vertices (way_id, seq, y, x), by the even-odd rule. Edges
+    are joined with the rows of pixels that they cross, so no pixel meets an edge far from it."""
+    e = edges_of(vertices, True)
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    e = _on_rows(e.where("y1 <> y2"), F.ceil(low), F.ceil(high) - 1)
+    right = F.col("x") < F.col("x1") + (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")) * (F.col("y") - F.col("y1"))
+    crossed = points.select("point_id", "y", "x").join(e, "y").where(right).groupBy("way_id", "point_id").agg(F.count(F.lit(1)).alias("n"))
+    return points.join(crossed.where("n % 2 = 1").select("point_id").distinct(), "point_id", "left_semi")
 
 
 def consistency(phases: DataFrame, pairs: DataFrame, wavelength: float) -> DataFrame:
@@ -209,16 +223,18 @@ def boxed(points: DataFrame, rows: list[int], columns: list[int]) -> DataFrame:
     return points.withColumn("box_y", number("y", rows)).withColumn("box_x", number("x", columns))
 
 
-def along_lines(points: DataFrame, segments: list[tuple[tuple[float, float], tuple[float, float]]], half: float) -> DataFrame:
-    """Points (y, x) at most `half` pixels from a segment between two (y, x) corners. Segments are literals, so few."""
-    near = F.lit(False)
-    for (y1, x1), (y2, x2) in segments:
-        dy, dx = y2 - y1, x2 - x1
-        along = (F.col("y") - y1) * dy + (F.col("x") - x1) * dx
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along / F.lit(dy * dy + dx * dx))) if dy or dx else F.lit(0.0)
-        off_y, off_x = F.col("y") - y1 - t * dy, F.col("x") - x1 - t * dx
-        near = near | (off_y * off_y + off_x * off_x <= half * half)
-    return points.where(near)
+def along_ways(points: DataFrame, vertices: DataFrame, half: float) -> DataFrame:
+    """points (point_id, y, x; y whole) at most `half` pixels from a way of a table of vertices (way_id, seq, y, x). Segments are
+    joined with the rows of pixels that they come near."""
+    e = edges_of(vertices, False)
+    e = _on_rows(e, F.ceil(F.least("y1", "y2") - half), F.floor(F.greatest("y1", "y2") + half))
+    p = points.select("point_id", "y", "x").join(e, "y")
+    dy, dx = F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")
+    along = ((F.col("y") - F.col("y1")) * dy + (F.col("x") - F.col("x1")) * dx) / F.nullif(dy * dy + dx * dx, F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along, F.lit(0.0))))
+    off_y, off_x = F.col("y") - F.col("y1") - t * dy, F.col("x") - F.col("x1") - t * dx
+    near = p.where(off_y * off_y + off_x * off_x <= half * half)
+    return points.join(near.select("point_id").distinct(), "point_id", "left_semi")
 
 
 def wide(rows: DataFrame, value: str, epochs: list[str]) -> DataFrame:

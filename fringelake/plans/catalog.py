@@ -308,7 +308,8 @@ def _ring_sql():
 
 @_add(_ring_sql())
 def polygon_mask(spark, sf):
-    return px.in_polygon(src.points(spark, sf), RING).select("point_id", "y", "x")
+    vertices = spark.createDataFrame([(0, i, y, x) for i, (y, x) in enumerate(RING)], "way_id long, seq int, y double, x double")
+    return px.in_polygons(src.points(spark, sf), vertices).select("point_id", "y", "x")
 
 
 @_add("SELECT l_partkey // 50 AS cell, max(l_extendedprice) AS best, count(*) AS n FROM lineitem GROUP BY 1")

@@ -69,7 +69,9 @@ def _line_sql() -> str:
 
 @_add(_line_sql())
 def line_mask(spark, sf):
-    return px.along_lines(src.points(spark, sf), _SEGMENTS, _HALF).select("point_id", "y", "x")
+    line = [_SEGMENTS[0][0], *(end for _, end in _SEGMENTS)]
+    vertices = spark.createDataFrame([(0, i, y, x) for i, (y, x) in enumerate(line)], "way_id long, seq int, y double, x double")
+    return px.along_ways(src.points(spark, sf), vertices, _HALF).select("point_id", "y", "x")
 
 
 @_add(f"WITH {_PP} SELECT point_id, " + ", ".join(f'round(max(phase) FILTER (WHERE k = {k}) * {LAMBDA} / (4 * pi()) * 1000, 6) + 0.0 AS "D{k:08d}"' for k in range(_EXPORTED)) + " FROM pp GROUP BY point_id")
