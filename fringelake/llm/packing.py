@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from itertools import chain
 
@@ -26,6 +27,20 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def check(path: str) -> None:
+    """Raise ValueError unless the tokenizer is one whose ids of a text are those of its words, one after the other: it takes lower
+    case, white space is one space, which ends every token, special tokens begin with <| and ids fit 16 bits."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    parts = lambda x, inner: [y for y in (x or {}).get(inner, [x or {}])]
+    normal, before = parts(d.get("normalizer"), "normalizers"), parts(d.get("pre_tokenizer"), "pretokenizers")
+    white = any(x.get("type") == "Replace" and x.get("pattern") == {"Regex": "\\s+"} and x.get("content") == " " for x in normal)
+    split = any(x.get("type") == "Split" and x.get("behavior") == "Removed" and x.get("invert") and "^\\s" in x.get("pattern", {}).get("Regex", "") for x in before)
+    ids = [*d["model"].get("vocab", {}).values(), *(t["id"] for t in d["added_tokens"])]
+    if not (white and split and any(x.get("type") == "Lowercase" for x in normal) and all(t["content"].startswith("<|") for t in d["added_tokens"]) and max(ids) < 1 << 16):
+        raise ValueError(f"{path} is not a tokenizer of lower-case words between white space")
+
+
 class _Ids:
     """Ids of texts by a tokenizer that splits at white space: a text's ids are those of its words, one after the other,
     so each word is encoded once and then remembered."""
@@ -131,10 +146,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     still open are cut to fill whole windows, and the last of them to powers of two, so no sequence needs padding. What
     is held in memory is the open windows. sequence_id is the partition's number and a count.
 
-    Null text: empty, so a document of one id. Repeated rows are packed each on their own. An empty table gives no rows.
+    A tokenizer that check() refuses raises ValueError. Null text: empty, so a document of one id. Repeated rows are packed each on their own. An empty table gives no rows.
     Other columns are ignored.
     """
     path = tokenizer or tokenizer_path()
+    check(path)
 
     def run(batches):
         if path not in _cache:

@@ -740,6 +740,25 @@ def test_secrets(spark):
     assert text[int(a) : int(b)] == code
 
 
+def test_other_tokenizers_are_refused(spark, texts):
+    with pytest.raises(ValueError):
+        packing.pack(frame(spark, texts), packing.tokenizer_path("byte_bpe_50k.json"))
+
+
+def test_empty_tables_and_a_long_text(spark):
+    docs = frame(spark, [(1, "a b c"), (1, "a b c"), (2, " ".join(f"W{i % 977}é" for i in range(60_000)))])
+    none = docs.where("false")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    for out in (html_extract.extract(pages), url_filter.judge(pages), quality.judge(none), packing.pack(none), mixing.mix(none), simhash.near_duplicates(none)):
+        assert out.count() == 0
+    by = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert (by[2].n_words, by[2].n_repeat_words) == (60_000, 60_000) and by[1].n_words == 3
+    assert {r.doc_id: r.fp0 % (1 << 64) for r in simhash.near_duplicates(docs).collect()} == {i: _fingerprint(t, 4) for i, t in ((1, "a b c"), (2, docs.where("doc_id = 2").first().text))}
+    assert sorted(r["size"] for r in mixing.mix(docs).collect()) == [3, 3, 60_000]
+    pieces = packing.pack(docs).toPandas()
+    assert pieces[pieces.doc_id == 2].length.sum() == pieces[pieces.doc_id == 2].doc_tokens.iloc[0] and len(pieces[pieces.doc_id == 1]) == 2
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.quality_rules(spark, docs, SF)
