@@ -13,6 +13,8 @@ from .common import scratch, text_of
 
 #: Bytes of text hashed at once, and bytes of text for each bucket of the shuffle.
 CHUNK, BUCKET = 2 << 20, 1 << 20
+#: Bytes of text for each partition of a shuffle.
+TASK = 32 << 20
 #: Windows that a task remembers as frequent, at most.
 FREQUENT = 500_000
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -91,8 +93,8 @@ def _later(least: np.ndarray, whole: np.ndarray, doc: np.ndarray, start: np.ndar
     return later, first
 
 
-_SHIPPED = pa.schema([("bucket", pa.int32()), ("found", pa.bool_()), *((x, pa.binary()) for x in ("least", "doc", "start", "n", "whole"))])
-_SHIPPED_DDL = "bucket int, found boolean, least binary, doc binary, start binary, n binary, whole binary"
+_SHIPPED = pa.schema([("bucket", pa.int32()), ("found", pa.bool_()), *((x, pa.binary()) for x in ("least", "doc", "start", "n", "low", "high"))])
+_SHIPPED_DDL = "bucket int, found boolean, least binary, doc binary, start binary, n binary, low binary, high binary"
 
 
 def _batch(rows) -> pa.RecordBatch:
@@ -132,19 +134,21 @@ def _records(doc, start, whole, least, buckets: int):
         return
     first = np.ones(len(doc), dtype=bool)
     first[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)
+    first[::60_000] = True  # a run's length has 16 bits
     run, n = _runs(first)
     bucket = (least[run] % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     run, n, bucket = run[order], n[order], bucket[order]
     edge = np.concatenate([[0], np.cumsum(n)])
     content = whole[np.repeat(run - edge[:-1], n) + np.arange(edge[-1])]
-    m, d, s, n32 = least[run], doc[run], start[run], n.astype(np.int32)
+    low, high = content.astype(np.uint32), (content >> np.uint64(32)).astype(np.uint16)  # with the least hash 112 bits
+    m, d, s, short = least[run], doc[run], start[run], n.astype(np.uint16)
     rows = []
     new = np.ones(len(bucket), dtype=bool)
     new[1:] = bucket[1:] != bucket[:-1]
     for a, size in zip(*(x.tolist() for x in _runs(new))):
         b = a + size
-        rows.append((int(bucket[a]), False, m[a:b].tobytes(), d[a:b].tobytes(), s[a:b].tobytes(), n32[a:b].tobytes(), content[edge[a] : edge[b]].tobytes()))
+        rows.append((int(bucket[a]), False, m[a:b].tobytes(), d[a:b].tobytes(), s[a:b].tobytes(), short[a:b].tobytes(), low[edge[a] : edge[b]].tobytes(), high[edge[a] : edge[b]].tobytes()))
     yield _batch(rows)
 
 
@@ -197,7 +201,7 @@ def _ship(docs: list[tuple[int, str]], width: int, buckets: int, frequent: _Freq
     if len(found_doc):
         order = np.lexsort((found_start, found_doc))
         d, s, n = _intervals(found_doc[order], found_start[order])
-        yield _batch([(int(d[0]) % buckets, True, b"", d.tobytes(), s.tobytes(), n.tobytes(), b"")])
+        yield _batch([(int(d[0]) % buckets, True, b"", d.tobytes(), s.tobytes(), n.tobytes(), b"", b"")])
     if first.any():
         some = here[first]
         kept = frequent.add(doc[some], start[some], whole[some], least[some])
@@ -213,12 +217,13 @@ def _bucket(t: pa.Table) -> pa.Table:
     found = t.filter(t.column("found"))
     rest = t.filter(pa.compute.invert(t.column("found")))
     out = [(get(found, "doc", np.int64), get(found, "start", np.int32), get(found, "n", np.int32))]
-    m, d, s, n = get(rest, "least", np.uint64), get(rest, "doc", np.int64), get(rest, "start", np.int32), get(rest, "n", np.int32)
+    m, d, s, n = get(rest, "least", np.uint64), get(rest, "doc", np.int64), get(rest, "start", np.int32), get(rest, "n", np.uint16).astype(np.int64)
     if len(m):
         # half the width: only runs whose half-window comes more than once go on
         _, back, count = np.unique(m, return_inverse=True, return_counts=True)
         alive = count[back] > 1
-        content = get(rest, "whole", np.uint64)[np.repeat(alive, n)]
+        windows = np.repeat(alive, n)
+        content = get(rest, "low", np.uint32)[windows].astype(np.uint64) | get(rest, "high", np.uint16)[windows].astype(np.uint64) << np.uint64(32)
         m, d, s, n = m[alive], d[alive], s[alive], n[alive]
         if len(m):
             # the whole width
@@ -231,6 +236,15 @@ def _bucket(t: pa.Table) -> pa.Table:
     return pa.table({"k": pa.array(doc, pa.int64()), "span": pa.array(start.astype(np.int64) << 32 | n.astype(np.int64), pa.int64())})
 
 
+def _bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def _partitions(docs: DataFrame, total: int) -> int:
+    """Partitions of a shuffle for so many bytes of text: as many as the session says, or more, so that tasks stay small."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK))
+
+
 def repeated_spans(docs: DataFrame, width: int = 20, bucket_bytes: int = BUCKET) -> DataFrame:
     """(k, span) for docs (k, text): spans of windows of `width` words that also start earlier; span is the first window's
     start, shifted left by 32 bits, and the number of windows in a row.
@@ -239,11 +253,11 @@ def repeated_spans(docs: DataFrame, width: int = 20, bucket_bytes: int = BUCKET)
     share. A run of neighbouring windows with one such hash travels as one record. Within a bucket only runs whose
     half-window comes twice go on to the whole width: what is not repeated at half the length cannot be at the whole. At
     the last level no candidates are left to extend, as longer repeats cover no other words. Windows are known by both
-    hashes, 128 bits. Copies inside one chunk are settled where they are read, and what comes twice in a chunk is remembered
+    hashes, 112 bits (in one chunk 128). Copies inside one chunk are settled where they are read, and what comes twice in a chunk is remembered
     by its task, so of a passage that many documents hold a task sends one copy.
     """
     assert width % 2 == 0
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = _bytes(docs)
     buckets = max(16, math.ceil(total / bucket_bytes))
 
     def ship(batches):
@@ -260,7 +274,7 @@ def repeated_spans(docs: DataFrame, width: int = 20, bucket_bytes: int = BUCKET)
         yield from _ship(waiting, width, buckets, frequent)
         yield from _records(*frequent.rest(), buckets)
 
-    return docs.mapInArrow(ship, _SHIPPED_DDL).groupBy("bucket").applyInArrow(_bucket, "k long, span long")
+    return docs.mapInArrow(ship, _SHIPPED_DDL).repartition(_partitions(docs, total), "bucket").groupBy("bucket").applyInArrow(_bucket, "k long, span long")
 
 
 def without_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
