@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 CAPACITY, END_ID = 2048, 1
 #: Words whose ids a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 #: Texts encoded together.
 ROWS = 2000
 _cache: dict[str, _Ids] = {}
@@ -201,5 +201,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
                 yield out()
         if rows:
             yield out()
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

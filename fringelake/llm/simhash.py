@@ -251,6 +251,7 @@ def _sets(rows: DataFrame, key: str, shingle: int, how: Plan | None) -> DataFram
                     fp, values, low = segments(votes)
                     rest = [part.column("rep"), part.column("first"), same, pa.array([len(h) for h in found], pa.int64()), lists(fp, pa.int64()), lists(values, pa.int64()), lists(low, pa.int32())]
                 yield pa.RecordBatch.from_arrays(rest, names=columns)
+        pa.default_memory_pool().release_unused()  # workers live on beside later stages
 
     schema = "rep long, hashes array<long>" if how is None else "rep long, first binary, same long, n long, fp array<long>, at array<long>, low array<int>"
     # bytes that sort as the doc_id does, null last, then by the text
