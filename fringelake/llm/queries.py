@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, mixing, nn_descent, packing, pii, quality, secrets, simhash, substring, url_filter
+from . import conversation, html_extract, licenses, mixing, nn_descent, packing, periodic, pii, quality, secrets, simhash, substring, url_filter
 from .common import table
 
 
@@ -49,7 +49,19 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_pii, op3_url_filters, op4_simhash, op5_quality_rules, op6_packing, op7_embedding_near_dedup, op8_substring_dedup, op9_mixing, op10_secret_scans)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair(conversation.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_pii, op3_url_filters, op4_simhash, op5_quality_rules, op6_packing, op7_embedding_near_dedup, op8_substring_dedup, op9_mixing, op10_secret_scans, op11_conversation_repair, op12_license_scans, op13_periodic_runs)}
 
 
 def _quality_sql() -> str:
@@ -99,4 +111,4 @@ s AS (SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed, coalesce(strin
 SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)
 """
 
-ORACLE_SQL = {"op5_quality_rules": _quality_sql(), "op8_substring_dedup": _SUBSTRING_SQL}
+ORACLE_SQL = {"op5_quality_rules": _quality_sql(), "op12_license_scans": licenses.sql(), "op8_substring_dedup": _SUBSTRING_SQL}
