@@ -15,9 +15,10 @@ WALK = 60
 #: The setting that names the key of a session.
 KEY = "spark.fringelake.pii.key"
 FIRST_DAY, DAYS = "1900-01-01", (250, 292)  # dates up to 2099-11-12
-#: Candidates, in the order in which they are tried at one place. Each is validated before it is replaced.
+#: Candidates, in the order in which they are tried at one place. Each is validated before it is replaced. A group that may
+#: repeat without end must be possessive: such groups are matched in a loop, others by recursion, which ends in an overflow.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
+    "email": r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)++",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "date": r"(?<![\d.\-/])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![.\-/]?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![-]?\d)",
@@ -220,7 +221,8 @@ def pseudonymise(docs: DataFrame, key: str, found: str = "found") -> DataFrame:
     E-mail addresses, IPv4 addresses, calendar dates, social security numbers, North American phone numbers and Luhn-valid
     card numbers are validated; they are permuted within their format under the key, so equal values get one
     pseudonym in all documents, different values of one format different ones, and the result is valid too. Phone
-    numbers in brackets or with +1 count whatever their first digits. Candidates that fail validation stay. Null text stays null, empty stays empty; rows are judged one by one, so repeated rows come as
+    numbers in brackets or with +1 count whatever their first digits. Candidates that fail validation stay, and so do dates before
+    1900-01-01 or after 2099-11-12. A day-first date with slashes has another pseudonym than its ISO form. Null text stays null, empty stays empty; rows are judged one by one, so repeated rows come as
     often as they are there; an empty table gives an empty result; all columns are kept.
     """
     if not key or found.lower() in {c.lower() for c in docs.columns}:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 
@@ -21,8 +22,8 @@ BREAK = re.compile(r"(?:\s|\\[rnt])+")
 #: Where the base64 of a DER sequence or of an OpenSSH key can begin, and its characters.
 START = re.compile(r"M[A-I](?=[A-Za-z0-9+/_-]{14})|b3BlbnNzaC1rZXktdjEA")
 CODE = re.compile(r"(?:[A-Za-z0-9+/_]|-(?!-))+")
-#: Base64 characters of an OpenSSH key at most; one of an RSA key of 16384 bits has a fifth of that.
-SSH_MOST = 1 << 16
+#: Elements in one sequence of a key at most: the ten of an RSA key of many primes.
+MOST = 10
 #: A sequence in hex whose first element is the version 0 or 1.
 HEX_START = re.compile(r"30(?:82[0-9a-f]{4}|81[0-9a-f]{2}|[0-7][0-9a-f])0201(?:00|01)", re.I)
 HEX_RUN = re.compile(r"[0-9a-f]+", re.I)
@@ -43,7 +44,7 @@ def decoded(coded: str) -> bytes | None:
         return None
 
 
-def _element(b: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+def _element(b: bytes | Coded, at: int, end: int) -> tuple[int, int, int] | None:
     """(tag, start, end) of the contents of the element at `at`, if its length is well formed and fits before end."""
     if at + 2 > end:
         return None
@@ -58,18 +59,42 @@ def _element(b: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= end else None
 
 
-def _elements(b: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
-    """The elements that fill b[at:end] exactly."""
+class Coded:
+    """The bytes that a text stands for, decoded where they are read: so a length that is claimed costs nothing."""
+
+    def __init__(self, text: str, at: int, size: int | None = None, hexadecimal: bool = False):
+        self.text, self.at, self.hexadecimal = text, at, hexadecimal
+        self.size = (len(text) - at) * (2 if hexadecimal else 3) // 4 if size is None else size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, i):
+        if not isinstance(i, slice):
+            return self[i : i + 1][0]
+        start, stop, _ = i.indices(self.size)
+        if self.hexadecimal:
+            return bytes.fromhex(self.text[self.at + 2 * start : self.at + 2 * stop])
+        first, last = start // 3 * 4, -(-stop * 4 // 3)
+        part = self.text[self.at + first : self.at + last]
+        return base64.b64decode(part + "=" * (-len(part) % 4))[start % 3 : start % 3 + stop - start]
+
+    def startswith(self, head: bytes) -> bool:
+        return self[: len(head)] == head
+
+
+def _elements(b: bytes | Coded, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The elements that fill b[at:end] exactly; None if they don't, or if they are more than any key has."""
     out = []
     while at < end:
-        if (e := _element(b, at, end)) is None:
+        if len(out) == MOST or (e := _element(b, at, end)) is None:
             return None
         out.append(e)
         at = e[2]
     return out
 
 
-def is_der_key(b: bytes | None) -> bool:
+def is_der_key(b: bytes | Coded | None) -> bool:
     """A private key in DER: an outer sequence that fills the bytes, and in it a small version, then either the integers of
     an RSA or DSA key, an elliptic key's octets, or an algorithm identifier followed by octets (PKCS #8). Or the encrypted
     form of PKCS #8: an algorithm identifier with parameters and octets, and nothing else."""
@@ -96,7 +121,7 @@ def is_der_key(b: bytes | None) -> bool:
     return bool(algorithm(parts[1])) and tags[2] == 0x04  # PKCS #8
 
 
-def ssh_key_size(b: bytes | None) -> int:
+def ssh_key_size(b: bytes | Coded | None) -> int:
     """The bytes of a private key in OpenSSH's format at the beginning of b: its magic, three strings, the number of keys, as
     many public keys, each of which begins with the name of its kind, and the private part, whose size is a multiple of
     eight; 0 if the nested lengths do not fit."""
@@ -138,22 +163,33 @@ def _header_size(b: bytes) -> int:
     return 0
 
 
-def _taken(text: str, at: int, most: int | None) -> tuple[str, int]:
-    """Up to `most` base64 characters from `at` on, over line breaks, also escaped ones, and where they end."""
-    out, size, end = [], 0, at
-    while most is None or size < most:
-        m = CODE.match(text, at)
-        if m is None:
-            break
-        part = m[0] if most is None else m[0][: most - size]
-        out.append(part)
-        size += len(part)
-        end = m.start() + len(part)
-        gap = BREAK.match(text, m.end())
-        if gap is None or len(part) < len(m[0]):
-            break
-        at = gap.end()
-    return "".join(out), end
+class Stretch:
+    """The base64 characters from a place of a text on, over line breaks, also escaped ones, put together once for all keys that may
+    begin in them."""
+
+    def __init__(self, text: str, at: int):
+        parts, self.starts, self.places, size = [], [], [], 0
+        self.end = at
+        while m := CODE.match(text, at):
+            parts.append(m[0])
+            self.starts.append(size)
+            self.places.append(m.start())
+            size += len(m[0])
+            self.end = m.end()
+            gap = BREAK.match(text, m.end())
+            if gap is None:
+                break
+            at = gap.end()
+        self.code = "".join(parts).replace("-", "+").replace("_", "/")
+
+    def offset(self, place: int) -> int:
+        i = bisect.bisect_right(self.places, place) - 1
+        return self.starts[i] + place - self.places[i]
+
+    def place_after(self, offset: int) -> int:
+        """Where in the text the characters before the offset end."""
+        i = bisect.bisect_left(self.starts, offset) - 1
+        return self.places[i] + offset - self.starts[i]
 
 
 def _padded(text: str, end: int) -> int:
@@ -167,11 +203,11 @@ def is_pem_key(body: str) -> bool:
     """What stands between the marks: base64 of a key in DER or in OpenSSH's format; or with the headers of the old encrypted
     form, whose cipher, initial value and number of bytes must fit. Line breaks may be escaped."""
     body = body.replace("\\r", "").replace("\\n", "\n").lstrip()
-    headers = {}
-    while m := HEADER.match(body):
+    headers, at = {}, 0
+    while m := HEADER.match(body, at):
         headers[m[1].lower()] = m[2].strip()
-        body = body[m.end() :]
-    b = decoded("".join(body.split()))
+        at = m.end()
+    b = decoded("".join(body[at:].split()))
     if headers.get("proc-type", "").replace(" ", "") == "4,ENCRYPTED":
         cipher, _, start = headers.get("dek-info", "").partition(",")
         block = 16 if cipher.startswith("AES") else 8
@@ -213,36 +249,35 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
         out += [("jwt", m.start(), m.end()) for m in SIGNED.finditer(text) if is_signed_token(m[1], m[2])]
     upto, inside = 0, iter(sorted((s, e) for k, s, e in out if k == "pem"))
     around = next(inside, None)
+    stretch = None
     for m in START.finditer(text):
         while around and around[1] <= m.start():
             around = next(inside, None)
         if m.start() < upto or around and around[0] <= m.start():
             continue
+        if stretch is None or m.start() >= stretch.end:
+            stretch = Stretch(text, m.start())
+        at = stretch.offset(m.start())
+        n = 0
         if m[0][0] == "M":
-            head = decoded(text[m.start() : m.start() + 12])
+            head = decoded(stretch.code[at : at + 12])
             n = _header_size(head) if head else 0
-            if n < 30:
-                continue
-            need = -(-n * 4 // 3)
-            code, end = _taken(text, m.start(), need)
-            if len(code) == need and is_der_key((decoded(code) or b"")[:n]):
-                upto = _padded(text, end)
-                out.append(("der", m.start(), upto))
+            n = n if n >= 30 and -(-n * 4 // 3) <= len(stretch.code) - at and is_der_key(Coded(stretch.code, at, n)) else 0
         else:
-            code = _taken(text, m.start(), SSH_MOST)[0]
-            head = decoded(code[: len(code) // 4 * 4])
-            if n := ssh_key_size(head):
-                upto = _padded(text, _taken(text, m.start(), -(-n * 4 // 3))[1])
-                out.append(("ssh", m.start(), upto))
-    upto = 0
+            n = ssh_key_size(Coded(stretch.code, at))
+        if n:
+            upto = _padded(text, stretch.place_after(at + -(-n * 4 // 3)))
+            out.append(("der" if m[0][0] == "M" else "ssh", m.start(), upto))
+    upto, run_end = 0, 0
     for m in HEX_START.finditer(text) if "0201" in text else ():
         if m.start() < upto:
             continue
-        n = 2 * _header_size(bytes.fromhex(m[0]) + b"\0\0\0")
-        body = text[m.start() : m.start() + n]
-        if n >= 60 and len(body) == n and HEX_RUN.fullmatch(body) and is_der_key(bytes.fromhex(body)):
-            out.append(("der", m.start(), m.start() + n))
-            upto = m.start() + n
+        if m.start() >= run_end:
+            run_end = HEX_RUN.match(text, m.start()).end()
+        n = _header_size(bytes.fromhex(m[0]) + b"\0\0\0")
+        if n >= 30 and m.start() + 2 * n <= run_end and is_der_key(Coded(text, m.start(), n, True)):
+            upto = m.start() + 2 * n
+            out.append(("der", m.start(), upto))
     return out
 
 
