@@ -36,17 +36,21 @@ def components(points: DataFrame, arcs: DataFrame, rounds: int = 60) -> DataFram
     Each round points every node at its smallest neighbour or itself, follows the pointers to their ends and contracts the
     arcs, so a round leaves at most half of the nodes that still have arcs.
     """
-    labels = points.select("point_id", F.col("point_id").alias("component")).distinct()
+    labels, held = points.select("point_id", F.col("point_id").alias("component")).distinct(), None
     now = cut(arcs.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct())
     for _ in range(rounds):
         if now.isEmpty():
+            discard(now)
             return labels
         ends = now.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(now.select(F.col("b").alias("node"), F.col("a").alias("other")))
         lower = ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("to"))
-        last = _jumped(cut(lower)).select("node", "to")
-        labels = cut(labels.join(last.withColumnRenamed("node", "component"), "component", "left").select("point_id", F.coalesce("to", "component").alias("component")))
+        ended = _jumped(cut(lower))
+        last = ended.select("node", "to")
+        after = cut(labels.join(last.withColumnRenamed("node", "component"), "component", "left").select("point_id", F.coalesce("to", "component").alias("component")))
         one, two = (last.select(F.col("node").alias(x), F.col("to").alias(f"to_{x}")) for x in ("a", "b"))
-        now = cut(now.join(one, "a").join(two, "b").where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+        fewer = cut(now.join(one, "a").join(two, "b").where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+        discard(now, ended, held)
+        now, labels, held = fewer, after, after
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
@@ -70,9 +74,14 @@ def spanning_forest(arcs: DataFrame, rounds: int = 60) -> DataFrame:
         back = best.select(F.col("node").alias("to"), F.col("to").alias("back"))
         # two trees that chose each other: the smaller one is the end of both pointers
         ended = best.join(back, "to").select("node", F.when((F.col("back") == F.col("node")) & (F.col("node") < F.col("to")), F.col("node")).otherwise(F.col("to")).alias("to"))
-        last = _jumped(cut(ended)).select("node", "to")
-        one, two = (last.select(F.col("node").alias(x), F.col("to").alias(f"to_{x}")) for x in ("a", "b"))
-        now = cut(now.join(one, "a").join(two, "b").where("to_a <> to_b").select("src", "dst", "rank", F.col("to_a").alias("a"), F.col("to_b").alias("b")))
+        jumped = _jumped(cut(ended))
+        one, two = (jumped.select(F.col("node").alias(x), F.col("to").alias(f"to_{x}")) for x in ("a", "b"))
+        rest = now.join(one, "a").join(two, "b").where("to_a <> to_b").select("src", "dst", "rank", F.col("to_a").alias("a"), F.col("to_b").alias("b"))
+        # of all arcs between two trees only the cheapest can be taken
+        pair = (F.least("a", "b"), F.greatest("a", "b"))
+        fewer = cut(rest.groupBy(pair[0].alias("a"), pair[1].alias("b")).agg(F.min(F.struct("rank", "src", "dst")).alias("m")).select("m.src", "m.dst", "m.rank", "a", "b"))
+        discard(now, jumped)
+        now = fewer
     else:
         raise RuntimeError(f"the forest did not settle in {rounds} rounds")
     out = arcs.select("src", "dst").limit(0)
@@ -112,18 +121,82 @@ def without_bad_points(arcs: DataFrame, limit: float, rounds: int = 1000) -> Dat
 
 def build_arcs(points: DataFrame, k: int, longest: float, radius: float) -> DataFrame:
     """(src, dst, length): arcs between each point (point_id, y, x) and its k nearest others. Arcs longer than `longest` are
-    dropped; where the network is then not connected, they come back, and where it still is not, each point gets twice as
-    many neighbours, and so on."""
-    every = points.count()
-    while True:
-        arcs = cut(with_lengths(distinct_arcs(nearest(points, points, k + 1, radius)), points))
-        short = arcs.where(F.col("length") <= longest)
-        for tried in (short, arcs):
-            if is_connected(points, tried):
-                return tried
-        if k >= every:
-            return arcs
-        k *= 2
+    dropped; where the network is then not connected, they come back, and what still is not is connected by the nearest links
+    between its parts. `radius` is about the distance of near points."""
+    arcs = cut(with_lengths(distinct_arcs(nearest(points, points, k + 1, radius)), points))
+    short = arcs.where(F.col("length") <= longest)
+    if is_connected(points, short):
+        return short
+    return reconnected(points, arcs, radius)
+
+
+def reconnected(points: DataFrame, arcs: DataFrame, radius: float, rounds: int = 60) -> DataFrame:
+    """arcs (src, dst, length) and the least links that connect all points (point_id, y, x): each round every part of the network
+    takes its shortest link to another part, if it has one that is as near as any link is, in steps of two from the radius on."""
+    labels, out, level = components(points, arcs), arcs, 0
+    for _ in range(rounds):
+        parts = points.join(labels, "point_id").select("point_id", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), "component")
+        parts = cut(parts)
+        if parts.select("component").distinct().limit(2).count() <= 1:
+            discard(parts)
+            return out
+        near, level = links_between(parts, radius, level)
+        links = cut(near)
+        merged = components(parts.select(F.col("component").alias("point_id")).distinct(), links.select(F.col("from").alias("src"), F.col("to").alias("dst")))
+        labels = cut(parts.select("point_id", "component").join(merged.select(F.col("point_id").alias("component"), F.col("component").alias("to")), "component").select("point_id", F.col("to").alias("component")))
+        out = out.unionByName(links.select("src", "dst", F.sqrt("d2").alias("length")).distinct())
+        discard(parts)
+    raise RuntimeError(f"the network was not connected in {rounds} rounds")
+
+
+def links_between(parts: DataFrame, radius: float, level: int = 0) -> tuple[DataFrame, int]:
+    """((from, to, src, dst, d2), level): the shortest link, of equally short ones that of the smallest ids, from a component to another one
+    for points (point_id, y, x, component), for all components that have another one about as near as any has;
+    and how often the squares below were doubled, which is where the search may begin when the components have been joined.
+
+    Squares of points double from the radius on until some square has another component within the squares around it. Components
+    are then further apart than half a square, so a square sees few of them. Four squares wide, pairs of squares of different
+    components hold the shortest links; they are halved step by step, and pairs go whose least distance is above the greatest
+    distance of another pair of the same component. So no more points are compared than lie where two components face each other."""
+    placed = parts.groupBy("component", "y", "x").agg(F.min("point_id").alias("point_id"))
+    placed = cut(placed.withColumn("cy", F.floor(F.col("y") / radius)).withColumn("cx", F.floor(F.col("x") / radius)))
+    around = F.expr("transform(sequence(0, 8), n -> struct(n div 3 - 1 as dy, n % 3 - 1 as dx))")
+
+    def squares(level: int) -> DataFrame:
+        return placed.select("component", F.shiftright("cy", level).alias("cy"), F.shiftright("cx", level).alias("cx")).distinct()
+
+    def facing(level: int, some: DataFrame | None = None) -> DataFrame:
+        one = squares(level) if some is None else squares(level).join(some, "component", "left_semi")
+        one = one.select(F.col("component").alias("from"), F.col("cy").alias("ay"), F.col("cx").alias("ax"), F.explode(around).alias("s"))
+        one = one.select("from", "ay", "ax", (F.col("ay") + F.col("s.dy")).alias("cy"), (F.col("ax") + F.col("s.dx")).alias("cx"))
+        return one.join(squares(level).withColumnRenamed("component", "to"), ["cy", "cx"]).where("from <> to").select("from", "ay", "ax", "to", F.col("cy").alias("by"), F.col("cx").alias("bx"))
+
+    def pruned(pairs: DataFrame) -> DataFrame:
+        dy, dx = F.abs(F.col("ay") - F.col("by")), F.abs(F.col("ax") - F.col("bx"))
+        least, most = (F.hypot(F.greatest(dy - 1, F.lit(0)), F.greatest(dx - 1, F.lit(0))), F.hypot(dy + 1, dx + 1))
+        rows = pairs.withColumn("least", least).withColumn("most", most)
+        best = rows.groupBy("from").agg(F.min("most").alias("best"))
+        return rows.join(best, "from").where("least <= best").select(*pairs.columns)
+
+    def halves(level: int, side: str) -> DataFrame:
+        mine = squares(level)
+        name = "from" if side == "a" else "to"
+        return mine.select(F.col("component").alias(name), F.shiftright("cy", 1).alias(f"{side}y"), F.shiftright("cx", 1).alias(f"{side}x"), F.col("cy").alias(f"{side}y_"), F.col("cx").alias(f"{side}x_"))
+
+    while (some := cut(facing(level).select(F.col("from").alias("component")).distinct())).isEmpty():
+        discard(some)
+        level += 1
+    pairs = cut(pruned(facing(level + 2, some)))
+    for at in range(level + 1, -1, -1):
+        finer = pairs.join(halves(at, "a"), ["from", "ay", "ax"]).join(halves(at, "b"), ["to", "by", "bx"])
+        finer = cut(pruned(finer.select("from", F.col("ay_").alias("ay"), F.col("ax_").alias("ax"), "to", F.col("by_").alias("by"), F.col("bx_").alias("bx"))))
+        discard(pairs)
+        pairs = finer
+    ends = [placed.select(F.col("component").alias(c), F.col("cy").alias(f"{e}y"), F.col("cx").alias(f"{e}x"), F.col("y").alias(f"y_{e}"), F.col("x").alias(f"x_{e}"), F.col("point_id").alias(e)) for c, e in (("from", "a"), ("to", "b"))]
+    near = pairs.join(ends[0], ["from", "ay", "ax"]).join(ends[1], ["to", "by", "bx"])
+    d2 = (F.col("y_a") - F.col("y_b")) * (F.col("y_a") - F.col("y_b")) + (F.col("x_a") - F.col("x_b")) * (F.col("x_a") - F.col("x_b"))
+    link = F.struct(d2.alias("d2"), F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst"), F.col("to").alias("to"))
+    return near.groupBy("from").agg(F.min(link).alias("m")).select("from", "m.to", "m.src", "m.dst", "m.d2"), level
 
 
 def integrate(arcs: DataFrame, reference: int, rounds: int = 500, close: float = 1e-8) -> DataFrame:
