@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,11 +86,34 @@ def inversion_weights(pairs: list[tuple[int, int]], images: int, reference: int
     return out
 
 
-def invert(ifg: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(point_id, img, phase) from interferograms (point_id, ifg, phase): a matrix product as a join with the weights, whose
-    size is images times interferograms, and a sum."""
-    w = ifg.sparkSession.createDataFrame([(j, i, float(weights[i, j])) for i in range(weights.shape[0]) for j in range(weights.shape[1])], "ifg int, img int, w double")
-    return ifg.join(F.broadcast(w), "ifg").groupBy("point_id", "img").agg(F.sum(F.col("w") * F.col("phase")).alias("phase"))
+def invert(ifg: DataFrame, pairs: list[tuple[int, int]], images: int, reference: int = 0) -> DataFrame:
+    """(point_id, img, phase) from interferograms (point_id, ifg, phase), the i-th of which is pairs[i], in least squares; the
+    reference image is 0. Points must have all interferograms.
+
+    A point is one row with an array; a batch of rows is one product with the network's normal equations, of images times images,
+    which a task makes from the pairs, so no matrix is sent. Images that the network does not connect get the least of all solutions."""
+    rows = ifg.groupBy("point_id").agg(F.array_sort(F.collect_list(F.struct("ifg", "phase"))).alias("e")).select("point_id", F.col("e.phase").alias("phase"))
+    first, second = (np.array([p[i] for p in pairs], dtype=np.int64) for i in (0, 1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        normal = np.zeros((images, images))
+        for i, j, sign in ((first, first, 1), (second, second, 1), (first, second, -1), (second, first, -1)):
+            np.add.at(normal, (i, j), sign)
+        keep = np.arange(images) != reference
+        inverse = np.linalg.pinv(normal[np.ix_(keep, keep)], hermitian=True)
+        for b in batches:
+            if not len(b):
+                continue
+            phase = np.stack(b["phase"].to_numpy())
+            side = np.zeros((images, len(b)))
+            np.add.at(side, first, phase.T)
+            np.add.at(side, second, -phase.T)
+            out = np.zeros((len(b), images))
+            out[:, keep] = (inverse @ side[keep]).T
+            yield pd.DataFrame({"point_id": b["point_id"], "series": list(out)})
+
+    series = rows.mapInPandas(run, "point_id long, series array<double>")
+    return series.select("point_id", F.posexplode("series").alias("img", "phase"))
 
 
 def node_median(arcs: DataFrame) -> DataFrame:

@@ -24,22 +24,27 @@ def stacks(vectors: DataFrame, design: DataFrame, *by: str) -> DataFrame:
     return rows.select(*by, *[F.col(f"e.{x}").alias(x) for x in ("re", "im", "of_demerr", "of_vel")])
 
 
-def estimate(z: np.ndarray, a: np.ndarray, b: np.ndarray, bounds: tuple[float, float], samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """(parameters, coherence) of the model a * x + b * y for each row of unit vectors z (rows, epochs). Both parameters are
+def estimate(z: np.ndarray, a: np.ndarray, b: np.ndarray, bounds: tuple[float, float], samples: int, factor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(parameters, coherence) of the model a * factor * x + b * y, factor being one of each row, or 1, for each row of unit vectors z (rows, epochs). Both parameters are
     searched together on a grid, whose coherences are matrix products, as searches of one after the other can end at a
     side lobe; the best pairs are refined by bounded Gauss-Newton steps, all rows at once, that never lose coherence."""
-    grid = [np.linspace(-m, m, samples) for m in bounds]
+    factor = np.ones(len(z)) if factor is None else factor
+    widest = factor.max(initial=0) or 1.0
+    # the grid is that of the row with the widest range; other rows pass over what is beyond theirs
+    grid = [np.linspace(-m, m, samples) for m in (bounds[0] * widest, bounds[1])]
     of_x, of_y = (np.exp(-1j * np.outer(g, d)) for g, d in zip(grid, (a, b)))
     x = np.empty((len(z), 2))
     for at in range(0, len(z), 64):
-        gamma = np.abs((of_x * z[at : at + 64, None, :]) @ of_y.T).reshape(len(z[at : at + 64]), -1) / z.shape[1]
+        gamma = np.abs((of_x * z[at : at + 64, None, :]) @ of_y.T) / z.shape[1]
+        gamma[np.abs(grid[0])[None, :] > bounds[0] * factor[at : at + 64, None] * (1 + 1e-9)] = -1
+        gamma = gamma.reshape(len(gamma), -1)
         i, j = np.divmod(np.argmax(np.round(gamma, 12), axis=1), samples)
         x[at : at + 64] = np.stack([grid[0][i], grid[1][j]], axis=1)
 
     def turned(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
         return z[rows] * np.exp(-1j * (at[:, :1] * a + at[:, 1:] * b))
 
-    limit, columns = np.array(bounds), np.stack([a, b, np.ones_like(a)])
+    limit, columns = np.stack([bounds[0] * factor, np.full(len(z), float(bounds[1]))], axis=1), np.stack([a, b, np.ones_like(a)])
     rows = np.arange(len(z))
     now = turned(rows, x).mean(axis=1)
     for _ in range(30):
@@ -51,7 +56,7 @@ def estimate(z: np.ndarray, a: np.ndarray, b: np.ndarray, bounds: tuple[float, f
         step = (np.linalg.pinv(normal, hermitian=True) @ ((weight * residual) @ columns.T)[:, :, None])[:, :2, 0]
         gain, open_rows = np.zeros(len(rows)), np.arange(len(rows))
         for _ in range(12):
-            tried = np.clip(x[rows[open_rows]] + step[open_rows], -limit, limit)
+            tried = np.clip(x[rows[open_rows]] + step[open_rows], -limit[rows[open_rows]], limit[rows[open_rows]])
             new = turned(rows[open_rows], tried).mean(axis=1)
             better = np.abs(new) > np.abs(now[rows[open_rows]])
             done = rows[open_rows[better]]
@@ -60,11 +65,12 @@ def estimate(z: np.ndarray, a: np.ndarray, b: np.ndarray, bounds: tuple[float, f
             open_rows = open_rows[~better]
             step[open_rows] /= 2
         rows = rows[gain >= 1e-12]
-    return x, np.abs(now)
+    return x / np.stack([factor, np.ones(len(z))], axis=1), np.abs(now)
 
 
 def search(stacked: DataFrame, by: list[str], demerr_bound: float, velocity_bound: float, samples: int = 100) -> DataFrame:
-    """(by..., demerr, vel, gamma) for each row of stacks(). Rows are independent; those of one batch with the same epochs are
+    """(by..., demerr, vel, gamma) for each row of stacks(), in whose model the elevation error counts `factor` times, if there is such
+    a column. Rows are independent; those of one batch with the same epochs are
     searched together."""
     kinds = {f.name: f.dataType.simpleString() for f in stacked.schema.fields}
     out = ", ".join(f"{x} {kinds[x]}" for x in by) + ", demerr double, vel double, gamma double"
@@ -75,21 +81,30 @@ def search(stacked: DataFrame, by: list[str], demerr_bound: float, velocity_boun
             for key, part in rows.groupby(pd.Series(same, index=rows.index), sort=False):
                 a, b = (np.frombuffer(k) for k in key)
                 z = np.stack([np.asarray(r) + 1j * np.asarray(i) for r, i in zip(part["re"], part["im"])])
-                x, gamma = estimate(z, a, b, (demerr_bound, velocity_bound), samples)
+                factor = part["factor"].to_numpy(dtype=float) if "factor" in part else None
+                x, gamma = estimate(z, a, b, (demerr_bound, velocity_bound), samples, factor)
                 yield part[by].reset_index(drop=True).assign(demerr=x[:, 0], vel=x[:, 1], gamma=gamma)
 
     return stacked.mapInPandas(run, out)
 
 
-def unwrap_arcs(observations: DataFrame, design: DataFrame, demerr_bound: float, velocity_bound: float, samples: int = 100) -> DataFrame:
-    """(src, dst, demerr, vel, gamma) of arcs with observations (src, dst, k, phase)."""
-    return search(stacks(unit_vectors(observations, "src", "dst"), design, "src", "dst"), ["src", "dst"], demerr_bound, velocity_bound, samples)
+def _with_factors(stacked: DataFrame, factors: DataFrame | None, *by: str) -> DataFrame:
+    return stacked if factors is None else stacked.join(factors.select(*by, "factor"), list(by))
 
 
-def densify(second: DataFrame, first: DataFrame, neighbours: DataFrame, design: DataFrame, demerr_bound: float, velocity_bound: float, samples: int = 100) -> DataFrame:
+def unwrap_arcs(observations: DataFrame, design: DataFrame, demerr_bound: float, velocity_bound: float, samples: int = 100, factors: DataFrame | None = None) -> DataFrame:
+    """(src, dst, demerr, vel, gamma) of arcs with observations (src, dst, k, phase). factors (src, dst, factor) tell how many times
+    the design's column for the elevation error counts at an arc, as places differ in range and incidence; without them once."""
+    stacked = _with_factors(stacks(unit_vectors(observations, "src", "dst"), design, "src", "dst"), factors, "src", "dst")
+    return search(stacked, ["src", "dst"], demerr_bound, velocity_bound, samples)
+
+
+def densify(second: DataFrame, first: DataFrame, neighbours: DataFrame, design: DataFrame, demerr_bound: float, velocity_bound: float, samples: int = 100, factors: DataFrame | None = None) -> DataFrame:
     """(point_id, demerr, vel, gamma) of second-order points with phases (point_id, k, phase), from their arcs to the
-    first-order neighbours (a, b) whose model has been removed from first (point_id, k, phase)."""
+    first-order neighbours (a, b) whose model has been removed from first (point_id, k, phase). factors (point_id, factor) as in
+    unwrap_arcs()."""
     arcs = neighbours.select(F.col("a").alias("point_id"), "b")
     one = first.select(F.col("point_id").alias("b"), "k", F.col("phase").alias("other"))
     seen = arcs.join(second, "point_id").join(one, ["b", "k"]).select("point_id", "k", wrap(F.col("phase") - F.col("other")).alias("phase"))
-    return search(stacks(unit_vectors(seen, "point_id"), design, "point_id"), ["point_id"], demerr_bound, velocity_bound, samples)
+    stacked = _with_factors(stacks(unit_vectors(seen, "point_id"), design, "point_id"), factors, "point_id")
+    return search(stacked, ["point_id"], demerr_bound, velocity_bound, samples)

@@ -254,7 +254,7 @@ _W_SQL = ", ".join(f"({j}, {i}, {float(_WEIGHTS[i, j])!r}::DOUBLE)" for i in ran
 @_add(f"WITH {_PP}, w AS (SELECT * FROM (VALUES {_W_SQL}) AS t(ifg, img, w)) SELECT point_id, img, round(sum(w * phase), 6) + 0.0 AS phase FROM pp JOIN w ON ifg = k GROUP BY point_id, img")
 def ifg_inversion(spark, sf):
     ifg = src.phases(spark, sf).withColumnRenamed("k", "ifg")
-    return est.invert(ifg, _WEIGHTS).select("point_id", "img", _r("phase"))
+    return est.invert(ifg, _PAIRS, _IMAGES).select("point_id", "img", _r("phase"))
 
 
 @_add(f"WITH {_PT} SELECT point_id, y, x FROM pt WHERE point_id NOT IN (SELECT point_id FROM pt WHERE label = 3)")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.phase import wrap
+from ..operators import elimination
 from ..operators import estimation as est
 from ..operators import graph
 from ..operators import pixels as px
@@ -120,11 +122,36 @@ def densification(spark, sf):
     return unw.densify(phases, phases.join(first, "point_id", "left_semi"), near, _design(spark), 4.0, 8.0, 50).select("point_id", _r("demerr", digits=4), _r("vel", digits=4), _r("gamma", digits=4))
 
 
-@_rows_only
+_VALUE = "list_sum(embedding::DOUBLE[])"
+
+
+@_add(f"SELECT vec_id AS point_id, round({_VALUE} - (SELECT {_VALUE} FROM embeddings WHERE vec_id = 0), 3) + 0.0 AS value FROM embeddings")
 def parameter_integration(spark, sf):
     """Values at points from the differences along arcs, weighted by the arcs' coherence. As the differences are those of the
     points' values, so is the result, less the reference's."""
     value = src.table(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), F.expr("aggregate(embedding, 0d, (t, v) -> t + v)").alias("v"))
     one, two = (value.select(F.col("point_id").alias(x), F.col("v").alias(f"v_{x}")) for x in ("src", "dst"))
     arcs = _arc_gamma(spark, sf).join(one, "src").join(two, "dst").select("src", "dst", (F.col("v_src") - F.col("v_dst")).alias("value"), F.col("gamma").alias("weight"))
-    return graph.integrate(arcs, 0, close=1e-6).select("point_id", _r("value", digits=3))
+    return elimination.integrate(arcs, src.points(spark, sf), 0, ["value"]).select("point_id", _r("value", digits=3))
+
+
+#: A phase that is smooth in space but for the vectors' elements, as text for both engines: some cycles high, less than half of one a step.
+_FIELD = "(2.5 * sin(y / 9 + k) + (k % 7) * 0.2 * (y * 0.6 + x * 0.5) + 0.2 * v)"
+
+
+@_add(f"WITH {_PT}, e AS (SELECT vec_id AS point_id, unnest(range(len(embedding)))::INT AS k, unnest(embedding)::DOUBLE AS v FROM embeddings), f AS (SELECT point_id, k, {_FIELD} AS phase FROM e JOIN pt USING (point_id)) SELECT point_id, k, round(phase - avg(phase) OVER (PARTITION BY k), 6) + 0.0 AS phase FROM f")
+def spatial_unwrapping(spark, sf):
+    """A smooth phase, wrapped, from its wrapped differences along arcs, each epoch less its mean."""
+    e = src.table(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), F.posexplode("embedding").alias("k", "v")).withColumn("v", F.col("v").cast("double"))
+    p = src.points(spark, sf)
+    field = e.join(p, "point_id").select("point_id", "k", wrap(F.expr(_FIELD)).alias("phase"))
+    return elimination.unwrap(field, px.distinct_arcs(_near(spark, sf)), p, 0).select("point_id", "k", _r("phase"))
+
+
+_ISLANDS = "(x < 8 OR x > 14)"
+
+
+@_add(f"WITH {_PT}, il AS (SELECT point_id, y, x FROM pt WHERE {_ISLANDS}), p AS (SELECT a.point_id AS a, b.point_id AS b, a.x < 8 AS l, b.x < 8 AS m, (a.y - b.y) ** 2 + (a.x - b.x) ** 2 AS d2 FROM il a, il b), nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d2, b) AS r FROM p) WHERE r <= 6 AND a <> b), g AS (SELECT greatest(a, b) AS src, least(a, b) AS dst, d2 FROM p WHERE l AND NOT m ORDER BY d2, 1, 2 LIMIT 1) SELECT DISTINCT greatest(a, b) AS src, least(a, b) AS dst, round(sqrt(d2), 6) + 0.0 AS length FROM nn UNION SELECT src, dst, round(sqrt(d2), 6) + 0.0 FROM g")
+def arcs_reconnected(spark, sf):
+    """Arcs of two islands of points and the shortest link between them."""
+    return graph.build_arcs(src.points(spark, sf).select("point_id", "y", "x").where(_ISLANDS), 5, 1.5, 2.0).select("src", "dst", _r("length"))

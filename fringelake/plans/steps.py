@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.phase import circular_coherence, wrap
 from ..operators import atmosphere as atm
+from ..operators import elimination
 from ..operators import estimation as est
 from ..operators import graph
 from ..operators import network as net
@@ -102,13 +103,24 @@ def _phases(prepared: Prepared, points: DataFrame) -> DataFrame:
     return some.join(F.broadcast(numbers), ["first", "second"]).select("point_id", "k", F.atan2("im", "re").alias("phase"))
 
 
-def design(prepared: Prepared, points: DataFrame, wavelength: float) -> DataFrame:
-    """(k, of_demerr, of_vel): phase of an interferogram for a metre of elevation error, at the mean place of the points, and for a
-    metre a year; first image less second."""
-    place = points.agg(F.avg("slant_range").alias("r"), F.avg("inc").alias("i"))
-    n = prepared.network.withColumn("k", (F.expr("row_number() over (order by first, second)") - 1).cast("int")).join(F.broadcast(place))
+def design(prepared: Prepared, wavelength: float) -> DataFrame:
+    """(k, of_demerr, of_vel): phase of an interferogram for a metre of elevation error, times slant range and sine of incidence, and
+    for a metre a year; first image less second."""
+    n = prepared.network.withColumn("k", (F.expr("row_number() over (order by first, second)") - 1).cast("int"))
     scale = 4 * math.pi / wavelength
-    return n.select("k", (-scale * F.col("pbase_ifg") / (F.col("r") * F.sin("i"))).alias("of_demerr"), (-scale * F.col("tbase_ifg")).alias("of_vel"))
+    return n.select("k", (-scale * F.col("pbase_ifg")).alias("of_demerr"), (-scale * F.col("tbase_ifg")).alias("of_vel"))
+
+
+def factors(points: DataFrame) -> DataFrame:
+    """(point_id, factor): what the design's elevation error counts at each point, by its slant range and incidence."""
+    return points.select("point_id", (1 / (F.col("slant_range") * F.sin("inc"))).alias("factor"))
+
+
+def arc_factors(points: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(src, dst, factor) of arcs, by the means of their ends' slant ranges and incidences."""
+    one, two = (points.select(F.col("point_id").alias(e), F.col("slant_range").alias(f"r_{e}"), F.col("inc").alias(f"i_{e}")) for e in ("src", "dst"))
+    both = arcs.select("src", "dst").join(one, "src").join(two, "dst")
+    return both.select("src", "dst", (4 / ((F.col("r_src") + F.col("r_dst")) * F.sin((F.col("i_src") + F.col("i_dst")) / 2)) / 2).alias("factor"))
 
 
 def consistency_check(prepared: Prepared, points: DataFrame, config: Config, wavelength: float, mask: DataFrame | None = None) -> Checked:
@@ -116,12 +128,12 @@ def consistency_check(prepared: Prepared, points: DataFrame, config: Config, wav
     arcs built and unwrapped again between the rest, without bad ones that the network can do without."""
     c = config.consistency_check
     chosen = scratch(_selected(prepared, points, c.coherence_p1, c.grid_size, mask), "chosen")
-    phases, model = scratch(_phases(prepared, chosen), "phases"), scratch(design(prepared, points, wavelength), "design")
+    phases, model = scratch(_phases(prepared, chosen), "phases"), scratch(design(prepared, wavelength), "design")
     longest, bounds = c.max_arc_length or float("inf"), (c.dem_error_bound, c.velocity_bound, c.num_optimization_samples)
 
     def unwrapped(p: DataFrame) -> DataFrame:
         arcs = graph.build_arcs(p.select("point_id", "y", "x"), c.num_nearest_neighbours, longest, 2.0)
-        return scratch(unw.unwrap_arcs(px.arc_observations(phases, arcs.select("src", "dst")), model, *bounds), "arcs")
+        return scratch(unw.unwrap_arcs(px.arc_observations(phases, arcs.select("src", "dst")), model, *bounds, arc_factors(points, arcs)), "arcs")
 
     good = graph.without_bad_points(unwrapped(chosen), c.point_median_coherence)
     ends = good.select(F.col("src").alias("point_id")).unionByName(good.select(F.col("dst").alias("point_id"))).distinct()
@@ -134,26 +146,28 @@ def _inverted(prepared: Prepared, phases: DataFrame) -> DataFrame:
     """(point_id, k, phase): the series of images from interferograms (point_id, k, phase); the weights are images times
     interferograms."""
     pairs = [(r["first"], r["second"]) for r in prepared.network.select("first", "second").orderBy("first", "second").collect()]  # few
-    weights = est.inversion_weights(pairs, prepared.acquisitions.count())
-    return est.invert(phases.withColumnRenamed("k", "ifg"), weights).withColumnRenamed("img", "k")
-
-
-def _restored(prepared: Prepared, points: DataFrame, phases: DataFrame, parameters: DataFrame, wavelength: float) -> DataFrame:
-    """Series referenced to the peak of the velocities: the model is taken off, the wrapped rest is taken as it is, and the model
-    is put back before the inversion."""
-    both = phases.join(parameters.select("point_id", "demerr", "vel"), "point_id").join(F.broadcast(design(prepared, points, wavelength)), "k")
-    model = F.col("of_demerr") * F.col("demerr") + F.col("of_vel") * F.col("vel")
-    whole = both.select("point_id", "k", (wrap(F.col("phase") - model) + model).alias("phase"))
+    return est.invert(phases.withColumnRenamed("k", "ifg"), pairs, prepared.acquisitions.count()).withColumnRenamed("img", "k")
+
+
+def _restored(prepared: Prepared, points: DataFrame, phases: DataFrame, parameters: DataFrame, arcs: DataFrame, wavelength: float) -> DataFrame:
+    """Series referenced to the peak of the velocities: the model is taken off, the wrapped rest is unwrapped in space along arcs (src,
+    dst), and the model is put back before the inversion."""
+    both = phases.join(parameters.select("point_id", "demerr", "vel"), "point_id").join(factors(points), "point_id").join(F.broadcast(design(prepared, wavelength)), "k")
+    model = F.col("of_demerr") * F.col("factor") * F.col("demerr") + F.col("of_vel") * F.col("vel")
+    both = scratch(both.select("point_id", "k", model.alias("model"), wrap(F.col("phase") - model).alias("phase")), "rest")
+    reference = parameters.agg(F.min("point_id")).first()[0]
+    rest = elimination.unwrap(both.select("point_id", "k", "phase"), arcs, points.select("point_id", "y", "x"), reference)
+    whole = both.select("point_id", "k", "model").join(rest, ["point_id", "k"]).select("point_id", "k", (F.col("phase") + F.col("model")).alias("phase"))
     return est.to_histogram_peak(scratch(_inverted(prepared, whole), "series"), parameters.select("point_id", F.col("vel").alias("rate")))
 
 
 def unwrapping(prepared: Prepared, checked: Checked, points: DataFrame, wavelength: float) -> Unwrapped:
     """Parameters (point_id, demerr, vel) and series (point_id, k, phase) of the points of first order. The parameters of arcs are
-    integrated to points, each network of points that hang together from its smallest id."""
+    integrated to points from the smallest id on; a network that does not hang together raises NotConnected."""
     reference = checked.points.agg(F.min("point_id")).first()[0]
-    part = {x: graph.integrate(checked.arcs.select("src", "dst", F.col(x).alias("value"), F.col("gamma").alias("weight")), reference).withColumnRenamed("value", x) for x in ("demerr", "vel")}
-    parameters = scratch(part["demerr"].join(part["vel"], "point_id"), "parameters")
-    return Unwrapped(parameters, _restored(prepared, points, checked.phases, parameters, wavelength))
+    arcs = checked.arcs.withColumn("weight", F.col("gamma"))
+    parameters = elimination.integrate(arcs, checked.points.select("point_id", "y", "x"), reference, ["demerr", "vel"])
+    return Unwrapped(parameters, _restored(prepared, points, checked.phases, parameters, checked.arcs, wavelength))
 
 
 def _residuals(prepared: Prepared, points: DataFrame, series: DataFrame, wavelength: float) -> DataFrame:
@@ -194,15 +208,16 @@ def densification(prepared: Prepared, checked: Checked, unwrapped: Unwrapped, fi
     numbers = prepared.network.select("first", "second", (F.expr("row_number() over (order by first, second)") - 1).cast("int").alias("k"))
     aps = back.join(F.broadcast(numbers), ["first", "second"]).select("point_id", "k", F.col("phase").alias("aps"))
     phases = _phases(prepared, filtered.points).join(aps, ["point_id", "k"]).select("point_id", "k", wrap(F.col("phase") - F.col("aps")).alias("phase"))
-    phases, model = scratch(phases, "phases"), scratch(design(prepared, points, wavelength), "design")
+    phases, model = scratch(phases, "phases"), scratch(design(prepared, wavelength), "design")
     one = unwrapped.parameters
-    flat = phases.join(one, "point_id").join(F.broadcast(model), "k").select("point_id", "k", (F.col("phase") - F.col("of_demerr") * F.col("demerr") - F.col("of_vel") * F.col("vel")).alias("phase"))
+    flat = phases.join(one, "point_id").join(factors(points), "point_id").join(F.broadcast(model), "k").select("point_id", "k", (F.col("phase") - F.col("of_demerr") * F.col("factor") * F.col("demerr") - F.col("of_vel") * F.col("vel")).alias("phase"))
     rest = filtered.points.join(one.select("point_id"), "point_id", "left_anti")
     near = px.nearest(rest, checked.points, d.num_connections_to_p1, 2.0)
-    two = unw.densify(phases, flat, near, model, d.dem_error_bound, d.velocity_bound, d.num_optimization_samples).where(F.col("gamma") >= d.arc_unwrapping_coherence)
+    two = unw.densify(phases, flat, near, model, d.dem_error_bound, d.velocity_bound, d.num_optimization_samples, factors(points)).where(F.col("gamma") >= d.arc_unwrapping_coherence)
     parameters = scratch(one.withColumn("gamma", F.lit(1.0)).unionByName(two), "parameters")
     kept = filtered.points.join(parameters.select("point_id"), "point_id", "left_semi")
-    return Densified(kept, parameters, _restored(prepared, points, phases, parameters, wavelength))
+    arcs = graph.build_arcs(kept.select("point_id", "y", "x"), d.num_connections_to_p1 + 3, float("inf"), 2.0)
+    return Densified(kept, parameters, _restored(prepared, points, phases, parameters, arcs, wavelength))
 
 
 def exported(prepared: Prepared, densified: Densified, points: DataFrame, wavelength: float) -> DataFrame:
