@@ -22,6 +22,7 @@ from ..operators import graph
 from ..operators import network as net
 from ..operators import pixels as px
 from ..operators import unwrapping as unw
+from ..operators import variogram as vg
 from ..scratch import scratch
 
 
@@ -161,13 +162,17 @@ def _restored(prepared: Prepared, points: DataFrame, phases: DataFrame, paramete
     return est.to_histogram_peak(scratch(_inverted(prepared, whole), "series"), parameters.select("point_id", F.col("vel").alias("rate")))
 
 
-def unwrapping(prepared: Prepared, checked: Checked, points: DataFrame, wavelength: float) -> Unwrapped:
+def unwrapping(prepared: Prepared, checked: Checked, points: DataFrame, wavelength: float, config: Config | None = None) -> Unwrapped:
     """Parameters (point_id, demerr, vel) and series (point_id, k, phase) of the points of first order. The parameters of arcs are
     integrated to points from the smallest id on; a network that does not hang together raises NotConnected."""
     reference = checked.points.agg(F.min("point_id")).first()[0]
     arcs = checked.arcs.withColumn("weight", F.col("gamma"))
     parameters = elimination.integrate(arcs, checked.points.select("point_id", "y", "x"), reference, ["demerr", "vel"])
-    return Unwrapped(parameters, _restored(prepared, points, checked.phases, parameters, checked.arcs, wavelength))
+    if config is None or config.unwrapping.use_arcs_from_temporal_unwrapping:
+        links = checked.arcs
+    else:
+        links = graph.build_arcs(checked.points.select("point_id", "y", "x"), 8, float("inf"), 2.0)
+    return Unwrapped(parameters, _restored(prepared, points, checked.phases, parameters, links, wavelength))
 
 
 def _residuals(prepared: Prepared, points: DataFrame, series: DataFrame, wavelength: float) -> DataFrame:
@@ -193,8 +198,16 @@ def filtering(prepared: Prepared, checked: Checked, unwrapped: Unwrapped, points
     calm = est.autocorrelation(rest, "phase", ["k"]).where(F.col("autocorrelation") <= f.max_temporal_autocorrelation)
     stable = px.best_in_cell(checked.points.drop("gamma").join(calm, "point_id"), "autocorrelation", f.grid_size, largest=False)
     stable = scratch(stable.select("point_id", "y", "x"), "stable")
+    calm_rest = scratch(rest.join(stable.select("point_id"), "point_id", "left_semi").select("point_id", "k", "phase"), "calm")
     near = px.nearest(every, stable, neighbours, float(f.grid_size))
-    field = atm.krige(near, stable, rest, 2.0 * f.grid_size, nugget=0.1) if f.interpolation_method == "kriging" else atm.by_distance(near, rest)
+    if f.interpolation_method == "kriging":
+        # pairs of stable points up to some cells apart, or a third of their extent, tell how the atmosphere varies
+        reach = min(vg.reach_of(stable), 15.0 * f.grid_size)
+        field = atm.krige_fitted(near, stable, calm_rest, vg.fitted(vg.empirical(stable, calm_rest, reach)))
+    elif f.interpolation_method == "linear":
+        field = atm.linear(every, stable, calm_rest, float(f.grid_size))
+    else:
+        field = atm.by_distance(near, calm_rest)
     field = scratch(field, "atmosphere")
     series = unwrapped.series.join(field.withColumnRenamed("phase", "aps"), ["point_id", "k"]).select("point_id", "k", (F.col("phase") - F.col("aps")).alias("phase"))
     return Filtered(every, field, series)
@@ -212,7 +225,8 @@ def densification(prepared: Prepared, checked: Checked, unwrapped: Unwrapped, fi
     one = unwrapped.parameters
     flat = phases.join(one, "point_id").join(factors(points), "point_id").join(F.broadcast(model), "k").select("point_id", "k", (F.col("phase") - F.col("of_demerr") * F.col("factor") * F.col("demerr") - F.col("of_vel") * F.col("vel")).alias("phase"))
     rest = filtered.points.join(one.select("point_id"), "point_id", "left_anti")
-    near = px.nearest(rest, checked.points, d.num_connections_to_p1, 2.0)
+    # the three nearest always count, others within the limit only
+    near = px.nearest(rest, checked.points, d.num_connections_to_p1, 2.0).where((F.col("rank") <= 3) | (F.col("d2") < d.max_distance_to_p1**2) & (F.col("d2") != 0))
     two = unw.densify(phases, flat, near, model, d.dem_error_bound, d.velocity_bound, d.num_optimization_samples, factors(points)).where(F.col("gamma") >= d.arc_unwrapping_coherence)
     parameters = scratch(one.withColumn("gamma", F.lit(1.0)).unionByName(two), "parameters")
     kept = filtered.points.join(parameters.select("point_id"), "point_id", "left_semi")
