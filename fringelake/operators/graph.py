@@ -5,6 +5,11 @@ Each is a loop of joins and aggregates over the arcs. Only scalars, such as coun
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,26 +102,88 @@ def without_bad_arcs(arcs: DataFrame, limit: float) -> DataFrame:
     return arcs.join(kept, ["src", "dst"], "left").where((F.col("gamma") >= limit) | F.col("tree")).drop("tree")
 
 
-def without_bad_points(arcs: DataFrame, limit: float, rounds: int = 1000) -> DataFrame:
-    """arcs (src, dst, gamma) without those of bad points: points the median of whose arcs is under the limit.
+def without_bad_points(arcs: DataFrame, limit: float, rounds: int = 100) -> DataFrame:
+    """arcs (src, dst, gamma) without those of bad points. The point with the least median of its arcs, of equal ones that of the
+    smallest id, goes if the median is under the limit; the medians of the points that it had arcs with are then taken anew,
+    with its own arcs still among them, as are those of no point that went before; and so on, until no median is under the limit.
+
+    That order is one of single points, but a removal tells on neighbours only. So first the points are found that might go at
+    all: those whose median is under the limit, then those whose median could come under it if, of their neighbours that might go,
+    the best went. What hangs together of these points is replayed on its own: other parts do not change it. A task holds one such
+    part with its arcs, that is one region of bad points, not the network."""
+    one = arcs.where("src <> dst")
+    ends = cut(one.select(F.col("src").alias("p"), F.col("dst").alias("q"), "gamma").unionByName(one.select(F.col("dst").alias("p"), F.col("src").alias("q"), "gamma")))
+
+    def reaches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            low = [_least_median(np.asarray(s, float), np.asarray(m, bool)) for s, m in zip(rows["gamma"], rows["may"])]
+            yield rows.loc[np.asarray(low) < limit, ["p"]]
 
-    Each round removes every bad point that is the worst, by median and id, among itself and the points it has arcs with,
-    and takes the medians anew; so neighbours do not go together where one of them is to blame, and what is far apart goes
-    in one round. In the end no median is under the limit. A point all of whose arcs are gone is no longer in the network."""
-    now, held = arcs, None
+    may = ends.select("p").limit(0)
+    before, held = 0, None
     for _ in range(rounds):
-        ends = now.select(F.col("src").alias("p"), F.col("dst").alias("q"), "gamma").unionByName(now.select(F.col("dst").alias("p"), F.col("src").alias("q"), "gamma"))
-        median = ends.groupBy("p").agg(F.median("gamma").alias("median"))
-        other = median.select(F.col("p").alias("q"), F.col("median").alias("m_q"))
-        bad = median.where(F.col("median") < limit)
-        beaten = ends.join(bad, "p").join(other, "q").where(F.expr("m_q < median or (m_q = median and q < p)")).select("p").distinct()
-        gone = cut(bad.join(beaten, "p", "left_anti").select("p"))
-        if gone.isEmpty():
-            return now
-        after = cut(now.join(gone.withColumnRenamed("p", "src"), "src", "left_anti").join(gone.withColumnRenamed("p", "dst"), "dst", "left_anti").select(*arcs.columns))
+        known = may.select(F.col("p").alias("q"), F.lit(True).alias("may"))
+        seen = ends.join(known, "q", "left").groupBy("p").agg(F.collect_list(F.struct("gamma", F.coalesce("may", F.lit(False)).alias("may"))).alias("e"))
+        after = cut(seen.select("p", F.col("e.gamma").alias("gamma"), F.col("e.may").alias("may")).mapInPandas(reaches, "p long"))
+        count = after.count()
         discard(held)
-        now = held = after
-    raise RuntimeError(f"the removal of bad points did not settle in {rounds} rounds")
+        may = held = after
+        if count == before:
+            break
+        before = count
+    else:
+        raise RuntimeError(f"the bad points were not bounded in {rounds} rounds")
+    if not before:
+        discard(ends, held)
+        return arcs
+    of_bad = ends.join(may, "p", "left_semi")
+    inner = of_bad.join(may.withColumnRenamed("p", "q"), "q", "left_semi").select(F.col("p").alias("src"), F.col("q").alias("dst"))
+    parts = components(may.withColumnRenamed("p", "point_id"), inner)
+    rows = of_bad.join(parts.withColumnRenamed("point_id", "p"), "p").select("component", "p", "q", "gamma")
+    gone = cut(rows.groupBy("component").applyInPandas(lambda part: pd.DataFrame({"p": _removed(part, limit)}, dtype="int64"), "p long"))
+    out = arcs.join(gone.withColumnRenamed("p", "src"), "src", "left_anti").join(gone.withColumnRenamed("p", "dst"), "dst", "left_anti").select(*arcs.columns)
+    out = cut(out)
+    discard(ends, held, gone)
+    return out
+
+
+def _least_median(gamma: np.ndarray, may: np.ndarray) -> float:
+    """The least median of values that is left when some of those that may go, the greatest first, have gone; one value stays."""
+    going = np.sort(gamma[may])[::-1]
+    low = np.median(gamma)
+    rest = gamma[~may]
+    for n in range(1, len(going) + (len(rest) > 0)):
+        low = min(low, np.median(np.concatenate([rest, going[n:]])))
+    return float(low)
+
+
+def _removed(part: pd.DataFrame, limit: float) -> list[int]:
+    """The points p of one part that go, in order, by its rows (p, q, gamma)."""
+    arcs: dict[int, dict[int, list[float]]] = {}
+    for p, q, g in zip(part["p"].tolist(), part["q"].tolist(), part["gamma"].tolist()):
+        arcs.setdefault(p, {}).setdefault(q, []).append(g)
+    now = {p: float(np.median([g for x in of.values() for g in x])) for p, of in arcs.items()}
+    heap = [(m, p) for p, m in now.items()]
+    heapq.heapify(heap)
+    out, last = [], {}
+    while heap:
+        m, p = heapq.heappop(heap)
+        if now.get(p) != m:
+            continue  # taken anew since, or gone
+        if m >= limit:
+            break
+        del now[p]
+        out.append(p)
+        for q in arcs[p]:
+            if q in now:
+                if q in last:  # who went before this one counts no more; this one still does
+                    arcs[q].pop(last[q])
+                last[q] = p
+                new = float(np.median([g for x in arcs[q].values() for g in x]))
+                if new != now[q]:
+                    now[q] = new
+                    heapq.heappush(heap, (new, q))
+    return out
 
 
 def build_arcs(points: DataFrame, k: int, longest: float, radius: float) -> DataFrame:

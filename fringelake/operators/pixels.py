@@ -194,6 +194,12 @@ def consistency(phases: DataFrame, pairs: DataFrame, wavelength: float) -> DataF
     return rms.groupBy(F.col("a").alias("point_id")).agg((F.min("rms") * wavelength / (4 * 3.141592653589793)).alias("consistency"))
 
 
+def spatiotemporal_consistency(phases: DataFrame, places: DataFrame, wavelength: float, k: int = 50, least: float = 15.0, most: float | None = None, radius: float = 30.0) -> DataFrame:
+    """(point_id, consistency in metres) of points (point_id, y, x in metres) against those of their k nearest, themselves counted, that are
+    further than `least` and nearer than `most`; no row for a point that has none. radius is about the distance of near points."""
+    return consistency(phases, annulus(nearest(places, places, k, radius), least, most), wavelength)
+
+
 def box_edges(size: int, boxes: int) -> list[int]:
     """Edges of about `boxes` boxes along one axis; a rest of less than half a box goes to the last one."""
     step, edges = max(size // boxes, 1), [0]

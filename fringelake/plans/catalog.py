@@ -224,6 +224,12 @@ def spatiotemporal_consistency(spark, sf):
     return px.consistency(src.phases(spark, sf), _near(spark, sf).where("a <> b"), LAMBDA).select("point_id", _r("consistency"))
 
 
+@_add(f"WITH {_PP}, {_PT}, {_NEAR}, s AS (SELECT point_id, k, phase - lag(phase) OVER (PARTITION BY point_id ORDER BY k) AS step FROM pp), m AS (SELECT a, b, sqrt(sum((p.step - q.step) ** 2) / count(*)) AS rms FROM nn JOIN s p ON p.point_id = a JOIN s q ON q.point_id = b AND q.k = p.k WHERE d2 <> 0 AND sqrt(d2) > 1.2 AND p.step IS NOT NULL GROUP BY a, b) SELECT a AS point_id, round(min(rms) * {LAMBDA} / (4 * pi()), 6) + 0.0 AS consistency FROM m GROUP BY a")
+def consistency_in_ring(spark, sf):
+    p = src.points(spark, sf)
+    return px.spatiotemporal_consistency(src.phases(spark, sf), p, LAMBDA, 6, 1.2, radius=2.0).select("point_id", _r("consistency"))
+
+
 @_add(f"WITH {_EV}, {_FIT}, g AS (SELECT * FROM f WHERE slope IS NOT NULL), e AS (SELECT min(slope) AS lo, max(slope) AS hi FROM g), b AS (SELECT g.*, hi, least(floor((slope - lo) / ((hi - lo) / 10)), 9) AS bin FROM g, e), t AS (SELECT bin FROM b GROUP BY bin ORDER BY count(*) DESC, bin LIMIT 1) SELECT point_id, round(slope, 6) + 0.0 AS slope FROM b WHERE bin = (SELECT bin FROM t) AND (bin < 9 OR slope < hi)")
 def velocity_histogram_mode(spark, sf):
     return est.peak_members(est.velocity(src.series(spark, sf)).where("slope is not null"), "slope", 10).select("point_id", _r("slope"))

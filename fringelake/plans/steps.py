@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.phase import circular_coherence, wrap
+from ..functions.phase import circular_coherence, geolocation_shift, wrap
+from ..functions.projection import utm
 from ..operators import atmosphere as atm
 from ..operators import elimination
 from ..operators import estimation as est
@@ -234,11 +235,13 @@ def densification(prepared: Prepared, checked: Checked, unwrapped: Unwrapped, fi
     return Densified(kept, parameters, _restored(prepared, points, phases, parameters, arcs, wavelength))
 
 
-def exported(prepared: Prepared, densified: Densified, points: DataFrame, wavelength: float) -> DataFrame:
-    """(point_id, y, x, velocity, coherence, omega, dem_error and a column D<date> in millimetres for each image)."""
+def exported(prepared: Prepared, densified: Densified, points: DataFrame, wavelength: float, heading: float | None = None) -> DataFrame:
+    """(point_id, y, x, velocity and st_consist in millimetres, coherence, omega, dem_error and a column D<date> in millimetres for each
+    image). Points with lat and lon get easting and northing too, and a height `dem` if they have one; with a heading in radians
+    their places are corrected for the elevation error. st_consist is null where no point lies in the ring around a point."""
     acq = prepared.acquisitions.select(F.col("idx").alias("k"), (F.col("tbase") / 365.25).alias("years"), "pbase", F.date_format("date", "'D'yyyyMMdd").alias("epoch"))
     scale = 4 * math.pi / wavelength
-    rows = densified.series.join(F.broadcast(acq), "k").join(points.select("point_id", "y", "x", "slant_range", "inc"), "point_id")
+    rows = densified.series.join(F.broadcast(acq), "k").join(points.select("point_id", "slant_range", "inc"), "point_id")
     rows = rows.withColumn("p", scale * F.col("pbase") / (F.col("slant_range") * F.sin("inc"))).withColumn("t", scale * F.col("years"))
     fits = est.velocity_and_elevation(rows.select("point_id", "p", "t", F.col("phase").alias("value")))
     both = rows.join(fits, "point_id")
@@ -246,7 +249,24 @@ def exported(prepared: Prepared, densified: Densified, points: DataFrame, wavele
     quality = both.groupBy("point_id").agg(circular_coherence(off).alias("coherence"), F.sum(off * off).alias("omega"))
     names = [r.epoch for r in acq.select("epoch").orderBy("epoch").collect()]  # one for each image
     wide = px.wide(both.select("point_id", "epoch", (1000 * (F.col("phase") - F.col("p") * F.col("demerr")) / scale).alias("mm")), "mm", names)
-    out = points.select("point_id", "y", "x").join(fits.select("point_id", F.col("vel").alias("velocity"), F.col("demerr").alias("dem_error")), "point_id")
-    return out.join(quality, "point_id").join(wide, "point_id")
-
-
+    located = {"lat", "lon"} <= set(points.columns)
+    place = points.select("point_id", "y", "x", *([utm("lat", "lon")[1].alias("easting"), utm("lat", "lon")[2].alias("northing"), "inc"] if located else []), *([F.col("height").alias("dem")] if "height" in points.columns else []))
+    metric = place.join(densified.points.select("point_id"), "point_id", "left_semi").select("point_id", F.col("northing" if located else "y").alias("y"), F.col("easting" if located else "x").alias("x"))
+    near = {} if located else {"least": 1.0, "radius": 3.0}  # without places in metres, pixels
+    agree = px.spatiotemporal_consistency(densified.series, metric, wavelength, **near).select("point_id", (1000 * F.col("consistency")).alias("st_consist"))
+    out = place.join(fits.select("point_id", (1000 * F.col("vel")).alias("velocity"), F.col("demerr").alias("dem_error")), "point_id")
+    if located and heading is not None:
+        east, north = geolocation_shift(F.col("dem_error"), F.lit(float(heading)), F.col("inc"))
+        out = out.withColumn("easting", F.col("easting") + east).withColumn("northing", F.col("northing") + north)
+    return out.drop("inc").join(quality, "point_id").join(agree, "point_id", "left").join(wide, "point_id")
+
+
+def as_features(rows: DataFrame) -> DataFrame:
+    """The rows of exported() as points for a vector file: (kind, geometry, properties), of which names have ten characters, as the
+    narrowest format has."""
+    x, y = ("easting", "northing") if "easting" in rows.columns else ("x", "y")
+    place = F.array(F.array(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))))
+    order = ["point_id", "velocity", "coherence", "omega", "st_consist", "dem_error", "dem"]
+    named = [c for c in order if c in rows.columns] + [c for c in rows.columns if c not in {*order, "easting", "northing", "y", "x"}]
+    pairs = F.array(*[F.struct(F.lit(c[:10]).alias("key"), F.col(c).cast("string").alias("value")) for c in named])
+    return rows.select(F.lit("Point").alias("kind"), place.alias("geometry"), F.map_from_entries(pairs).alias("properties"))

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from fringelake.functions.projection import utm
@@ -37,24 +38,45 @@ def test_arcs_are_reconnected(spark):
     assert graph.is_connected(_points(spark, near + far), two) and max(x.length for x in two.collect()) > 30
 
 
-def test_bad_points(spark):
-    r = np.random.default_rng(5)
-    arcs = sorted({tuple(sorted(map(int, r.choice(25, 2, replace=False)), reverse=True)) for _ in range(90)})
-    arcs = [(a, b, round(float(r.random()), 2)) for a, b in arcs]
-    left = list(arcs)
-    while True:
-        ends = {}
-        for a, b, g in left:
-            ends.setdefault(a, []).append((b, g))
-            ends.setdefault(b, []).append((a, g))
-        m = {p: float(np.median([g for _, g in x])) for p, x in ends.items()}
-        gone = {p for p in m if m[p] < 0.45 and all((m[p], p) < (m[q], q) for q, _ in ends[p])}
-        if not gone:
+def _sequential(arcs, limit):
+    """Bad points removed one by one; medians of neighbours are taken before the point goes."""
+    near = {}
+    for a, b, g in arcs:
+        near.setdefault(a, {})[b] = g
+        near.setdefault(b, {})[a] = g
+    median = {p: float(np.median(list(near[p].values()))) for p in sorted(near)}
+    while median:
+        worst = min(median, key=median.get)
+        if median[worst] >= limit:
             break
-        left = [x for x in left if not {x[0], x[1]} & gone]
-    got = graph.without_bad_points(spark.createDataFrame(arcs, "src long, dst long, gamma double"), 0.45)
+        for q in near[worst]:
+            median[q] = float(np.median(list(near[q].values())))
+        for q in near.pop(worst):
+            near[q].pop(worst)
+        del median[worst]
+    return sorted(x for x in arcs if x[0] in median and x[1] in median)
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_bad_points(spark, seed):
+    r = np.random.default_rng(seed)
+    arcs = sorted({tuple(sorted((int(a), int(min(a + d, 69))), reverse=True)) for a, d in zip(r.integers(0, 70, 200), r.integers(1, 6, 200)) if a < 69})
+    bad = r.random(70) < 0.25
+    arcs = [(a, b, round(float(r.random() * (0.5 if bad[a] or bad[b] else 1)), 2)) for a, b in arcs]
+    left = _sequential(arcs, 0.4)
+    got = graph.without_bad_points(spark.createDataFrame(arcs, "src long, dst long, gamma double"), 0.4)
     assert sorted(map(tuple, got.collect())) == left and 0 < len(left) < len(arcs)
-    assert graph.without_bad_points(got.where("false"), 0.5).count() == 0
+    assert graph.without_bad_points(got.where("false"), 0.5).count() == 0 and graph.without_bad_points(got, 0.0).count() == len(left)
+
+
+def test_removal_follows_the_order_of_single_points():
+    r = np.random.default_rng(1)
+    for _ in range(300):
+        n = int(r.integers(4, 14))
+        arcs = [(a, b, round(float(r.random()), 1)) for a in range(n) for b in range(a) if r.random() < 0.5]
+        ends = [(a, b, g) for a, b, g in arcs] + [(b, a, g) for a, b, g in arcs]
+        gone = set(graph._removed(pd.DataFrame(ends, columns=["p", "q", "gamma"]), 0.5)) if arcs else set()
+        assert sorted(x for x in arcs if not {x[0], x[1]} & gone) == _sequential(arcs, 0.5)
 
 
 def test_kriging(spark):

@@ -72,7 +72,8 @@ def test_steps_find_what_was_simulated(spark):
     out = steps.exported(prepared, dense, points, WAVELENGTH).toPandas()
     assert len(out) == len(got) and sum(n.startswith("D2020") for n in out.columns) == images
     v = dict(zip(out.point_id, out.velocity))
-    assert all(abs((v[p] - v[ref]) - (vel[p] - vel[ref])) < 0.006 for p in v if p != bad)
+    assert all(abs((v[p] - v[ref]) / 1000 - (vel[p] - vel[ref])) < 0.006 for p in v if p != bad)
+    assert out.st_consist.notna().all() and (out.st_consist < 20).all()
 
 
 def test_dates(spark):
