@@ -21,7 +21,7 @@ from ..scratch import discard, scratch
 
 #: A tile of the first level has 2**TILE points; a tile has no more than FRONT points when it is eliminated.
 TILE, FRONT = 8, 6000
-_ROWS = "part int, tile long, kind string, a long, b long, w array<double>, r array<double>, inner array<long>, border array<long>, g array<double>, h array<double>"
+_ROWS = "part int, tile long, wrong string, inner array<long>, border array<long>, g array<double>, h array<double>, left array<double>, rest array<double>"
 
 
 class NotConnected(ValueError):
@@ -29,61 +29,61 @@ class NotConnected(ValueError):
 
 
 def _eliminate(reference: int):
-    """What becomes of a tile's rows: kind arc (a, b, w), point (a, r: its right side) and border (a)."""
+    """What becomes of a tile's rows: kind arc (a, b, w, f), border (a), and block, what is left of a tile of the level before (border,
+    left, rest). One row: the points inside with the factors g and h that give their values from those of the border, and the
+    border's equations."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        part, tile = int(rows["part"].iloc[0]), int(rows["tile"].iloc[0])
-        kind, a, b = rows["kind"].to_numpy(), rows["a"].to_numpy(), rows["b"].to_numpy()
-        arcs, points = kind == "arc", kind == "point"
-        ids = np.unique(np.concatenate([a, b[arcs].astype(np.int64)]))
+        kind = rows["kind"].to_numpy()
+        arcs, blocks = rows[kind == "arc"], rows[kind == "block"]
+        a, b, outside = arcs["a"].to_numpy(np.int64), arcs["b"].to_numpy(np.int64), rows["a"][kind == "border"].to_numpy(np.int64)
+        borders = [np.asarray(x, np.int64) for x in blocks["border"]]
+        ids = np.unique(np.concatenate([a, b, outside, *borders]))
         n = len(ids)
 
-        def out(kinds, a=None, b=None, w=None, r=None, inner=None, border=None, g=None, h=None) -> pd.DataFrame:
-            size = len(kinds)
-            fill = lambda x: [None] * size if x is None else list(x)
-            return pd.DataFrame({"part": [part] * size, "tile": [tile] * size, "kind": kinds, "a": pd.array(fill(a), "Int64"), "b": pd.array(fill(b), "Int64"), "w": fill(w), "r": fill(r), "inner": fill(inner), "border": fill(border), "g": fill(g), "h": fill(h)})
+        def out(wrong=None, **values) -> pd.DataFrame:
+            named = {c: [values.get(c)] for c in ("inner", "border", "g", "h", "left", "rest")}
+            return pd.DataFrame({"part": [int(rows["part"].iloc[0])], "tile": [int(rows["tile"].iloc[0])], "wrong": [wrong], **named})
 
         if n > FRONT:
-            return out(["front"])
-        right = np.stack(rows["r"][points].to_numpy()) if points.any() else np.zeros((1, 1))
-        weights = np.stack(rows["w"][arcs].to_numpy()) if arcs.any() else np.zeros((0, 1))
-        m, c = weights.shape[1] if arcs.any() else 1, right.shape[1]
-        side = np.zeros((n, c))
-        np.add.at(side, np.searchsorted(ids, a[points]), right)
-        outer = np.zeros(n, bool)
-        outer[np.searchsorted(ids, a[kind == "border"])] = True
-        outer |= ids == reference
+            return out("front")
+        if not len(arcs) and not len(blocks):
+            return out().iloc[:0]  # arcs out of the tile only
+        if len(arcs):
+            weights, f = np.stack(arcs["w"].to_numpy()), np.stack(arcs["f"].to_numpy())
+            m, c = weights.shape[1], f.shape[1]
+        else:
+            one = len(borders[0])
+            m, c = len(blocks["left"].iloc[0]) // one**2, len(blocks["rest"].iloc[0]) // one
+        outer = (ids == reference) | np.isin(ids, outside)
         inner, border = np.flatnonzero(~outer), np.flatnonzero(outer)
-        src, dst = np.searchsorted(ids, a[arcs]), np.searchsorted(ids, b[arcs].astype(np.int64))
         if len(inner) and not len(border):
-            return out(["loose"])
-        per = c // m  # right sides for each set of weights
-        g, h = np.zeros((m, len(inner), len(border))), np.zeros((len(inner), c))
-        rest, left = side[border].copy(), np.zeros((m, len(border), len(border)))
-        for e in range(m):
-            whole = np.zeros((n, n))
-            np.add.at(whole, (src, dst), -weights[:, e])
-            np.add.at(whole, (dst, src), -weights[:, e])
-            whole[np.arange(n), np.arange(n)] = -whole.sum(axis=1)
-            across = whole[np.ix_(inner, border)]
-            its = slice(e * per, (e + 1) * per)
-            try:
-                both = np.linalg.solve(whole[np.ix_(inner, inner)], np.hstack([across, side[inner][:, its]]))
-            except np.linalg.LinAlgError:
-                return out(["loose"])
-            g[e], h[:, its] = both[:, : len(border)], both[:, len(border) :]
-            if len(inner) and not np.allclose(g[e].sum(axis=1), -1, atol=1e-4):
-                return out(["loose"])
-            left[e] = whole[np.ix_(border, border)] - across.T @ g[e]
-            rest[:, its] -= across.T @ h[:, its]
-        i, j = np.triu_indices(len(border), 1)
-        new = -left[:, i, j].T
-        linked = (new > 0).any(axis=1)
-        ids_b = ids[border]
-        tables = [out(["point"] * len(border), a=ids_b, r=list(rest)), out(["arc"] * int(linked.sum()), a=ids_b[i[linked]], b=ids_b[j[linked]], w=list(np.maximum(new[linked], 0)))]
-        if len(inner):
-            tables.append(out(["factor"], inner=[ids[inner]], border=[ids_b], g=[g.ravel()], h=[h.ravel()]))
-        return pd.concat([t for t in tables if len(t)], ignore_index=True)
+            return out("loose")
+        side, whole = np.zeros((n, c)), np.zeros((m, n, n))
+        for at, left, rest in zip((np.searchsorted(ids, x) for x in borders), blocks["left"], blocks["rest"]):
+            whole[:, at[:, None], at] += np.asarray(left).reshape(m, len(at), len(at))
+            side[at] += np.asarray(rest).reshape(len(at), c)
+        if len(arcs):
+            i, j = np.searchsorted(ids, a), np.searchsorted(ids, b)
+            np.add.at(side, i, f)
+            np.add.at(side, j, -f)
+            for e in range(m):
+                for p, q, sign in ((i, j, -1), (j, i, -1), (i, i, 1), (j, j, 1)):
+                    np.add.at(whole[e], (p, q), sign * weights[:, e])
+        across = whole[:, inner[:, None], border]
+        # as many right sides for each set of weights
+        sides = side[inner].reshape(len(inner), m, c // m).transpose(1, 0, 2)
+        try:
+            both = np.linalg.solve(whole[:, inner[:, None], inner], np.concatenate([across, sides], axis=2))
+        except np.linalg.LinAlgError:
+            return out("loose")
+        g, h = both[:, :, : len(border)], both[:, :, len(border) :]
+        if len(inner) and not np.allclose(g.sum(axis=2), -1, atol=1e-4):
+            return out("loose")
+        left = whole[:, border[:, None], border] - across.transpose(0, 2, 1) @ g
+        rest = side[border] - (across.transpose(0, 2, 1) @ h).transpose(1, 0, 2).reshape(len(border), c)
+        h = h.transpose(1, 0, 2).reshape(len(inner), c)
+        return out(inner=ids[inner], border=ids[border], g=g.ravel(), h=h.ravel(), left=left.ravel(), rest=rest.ravel())
 
     return run
 
@@ -93,73 +93,79 @@ def _back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         parts, nodes, values = [], [], []
         for part, inner, border, g, h, known in zip(rows["part"], rows["inner"], rows["border"], rows["g"], rows["h"], rows["known"]):
-            of = {k["a"]: k["x"] for k in known}
+            of = {k["node"]: k["x"] for k in known}
             x = np.stack([of[p] for p in border])
             c, m = x.shape[1], len(g) // (len(inner) * len(border))
             g, h = g.reshape(m, len(inner), len(border)), h.reshape(len(inner), c)
-            per = c // m
-            at = np.concatenate([h[:, e * per : (e + 1) * per] - g[e] @ x[:, e * per : (e + 1) * per] for e in range(m)], axis=1)
+            at = h - (g @ x.reshape(len(border), m, c // m).transpose(1, 0, 2)).transpose(1, 0, 2).reshape(len(inner), c)
             parts += [part] * len(inner)
             nodes.append(inner)
             values += list(at)
         if nodes:
-            yield pd.DataFrame({"part": parts, "a": np.concatenate(nodes), "x": values})
+            yield pd.DataFrame({"part": parts, "node": np.concatenate(nodes), "x": values})
 
 
-def solve(arcs: DataFrame, ranks: DataFrame, reference: int) -> DataFrame:
-    """(part, point_id, x): for each part the arrays x at points, zero at the reference, that fit the arcs (part, src, dst, w, f)
-    best: the sum over arcs of w * (x_src - x_dst - f / w) ** 2 is least. w has a weight for each element of x, or one for
-    all; f is weight times difference. ranks (point_id, rank) has the points in an order in which near ones are near, as
-    functions.morton.ranked() gives it. The arcs of all parts are the same, and each pair of points has one at most.
+def solve(arcs: DataFrame, last: int, reference: int) -> DataFrame:
+    """(part, node, x): for each part the arrays x at nodes, zero at the reference, that fit the arcs (part, a, b, w, f) best: the sum
+    over arcs of w * (x_a - x_b - f / w) ** 2 is least. w has a weight for each element of x, or one for all; f is weight times
+    difference. Nodes are the ranks of points, up to `last`, in an order in which near ones are near, as functions.morton.ranked()
+    gives it. The arcs of all parts are the same, a table that can be read again, and each pair of nodes has one at most.
 
-    Points that have no way to the reference raise NotConnected. A tile of more than FRONT points at its turn, as networks with many
+    Nodes that have no way to the reference raise NotConnected. A tile of more than FRONT nodes at its turn, as networks with many
     long arcs give, raises RuntimeError."""
-    at = lambda end: ranks.select(F.col("point_id").alias(end), F.col("rank").alias(f"rank_{end}"))
-    now = arcs.where("src <> dst").select("part", F.col("src").alias("a"), F.col("dst").alias("b"), "w", "f").join(at("a"), "a").join(at("b"), "b")
-    now = scratch(now, "arcs")
+    levels: list[DataFrame] = []
     none = lambda kind: F.lit(None).cast(kind)
-    points = now.select("part", "a", "rank_a", F.col("f").alias("r")).unionByName(now.select("part", F.col("b").alias("a"), F.col("rank_b").alias("rank_a"), F.transform("f", lambda v: -v).alias("r")))
-    last = ranks.agg(F.max("rank")).first()[0] or 0
-    levels, held = [], [now]
     for shift in range(TILE, 64, 2):
-        tile = lambda end, s=shift: F.shiftright(f"rank_{end}", s)
-        crossing = now.where(tile("a") != tile("b"))
-        borders = crossing.select("part", "a", "rank_a").unionByName(crossing.select("part", F.col("b").alias("a"), F.col("rank_b").alias("rank_a"))).distinct()
-        rows = now.where(tile("a") == tile("b")).select("part", tile("a").alias("tile"), F.lit("arc").alias("kind"), "a", "b", "w", none("array<double>").alias("r"))
-        rows = rows.unionByName(points.select("part", tile("a").alias("tile"), F.lit("point").alias("kind"), "a", none("long").alias("b"), none("array<double>").alias("w"), "r"))
-        rows = rows.unionByName(borders.select("part", tile("a").alias("tile"), F.lit("border").alias("kind"), "a", none("long").alias("b"), none("array<double>").alias("w"), none("array<double>").alias("r")))
+        tile = lambda end, s=shift: F.shiftright(end, s)
+        new = tile("a") == tile("b")
+        if levels:
+            new = new & (F.shiftright("a", shift - 2) != F.shiftright("b", shift - 2))
+        doubles, longs = "array<double>", "array<long>"
+        rows = arcs.where(new).select("part", tile("a").alias("tile"), F.lit("arc").alias("kind"), "a", "b", "w", "f", none(longs).alias("border"), none(doubles).alias("left"), none(doubles).alias("rest"))
+        crossing = arcs.where(tile("a") != tile("b"))
+        ends = crossing.select("part", "a").unionByName(crossing.select("part", F.col("b").alias("a"))).distinct()
+        rows = rows.unionByName(ends.select("part", tile("a").alias("tile"), F.lit("border").alias("kind"), "a", none("long").alias("b"), none(doubles).alias("w"), none(doubles).alias("f"), none(longs).alias("border"), none(doubles).alias("left"), none(doubles).alias("rest")))
+        if levels:
+            before = levels[-1].where("size(border) > 0")
+            rows = rows.unionByName(before.select("part", F.shiftright("tile", 2).alias("tile"), F.lit("block").alias("kind"), none("long").alias("a"), none("long").alias("b"), none(doubles).alias("w"), none(doubles).alias("f"), "border", "left", "rest"))
         level = scratch(rows.groupBy("part", "tile").applyInPandas(_eliminate(reference), _ROWS), "level")
         levels.append(level)
-        wrong = level.where("kind in ('loose', 'front')").select("kind").first()
+        wrong = level.where("wrong is not null").select("wrong").first()
         if wrong is not None:
-            discard(*held, *levels)
-            if wrong.kind == "front":
+            discard(*levels)
+            if wrong.wrong == "front":
                 raise RuntimeError(f"a tile has more than {FRONT} points with arcs out of it: the network has too many long arcs")
-            raise NotConnected("the network is not connected")
+            raise NotConnected("the network is not connected, or has no reference point")
         if last >> shift == 0:
             break
-        points = level.where("kind = 'point'").select("part", "a", "r").join(at("a"), "a")
-        new = level.where("kind = 'arc'").select("part", "a", "b", "w").join(at("a"), "a").join(at("b"), "b")
-        now = scratch(new.unionByName(crossing.select(*new.columns)), "arcs")
-        held.append(now)
-    if levels[-1].where(f"kind = 'point' and a = {int(reference)}").isEmpty():
-        discard(*held, *levels)
-        raise NotConnected("the network has no reference point")
-    x = levels[-1].where("kind = 'point'").select("part", "a", F.transform("r", lambda v: F.lit(0.0)).alias("x"))
-    out = [scratch(x, "values")]
+    out = [levels[-1].select("part", F.lit(reference).cast("long").alias("node"), F.transform("rest", lambda v: F.lit(0.0)).alias("x"))]
     for level in reversed(levels):
-        factor = level.where("kind = 'factor'")
+        factor = level.where("size(inner) > 0")
         known = out[0]
         for o in out[1:]:
             known = known.unionByName(o)
-        wanted = factor.select("part", "tile", F.explode("border").alias("a")).join(known, ["part", "a"]).groupBy("part", "tile").agg(F.collect_list(F.struct("a", "x")).alias("known"))
+        wanted = factor.select("part", "tile", F.explode("border").alias("node")).join(known, ["part", "node"]).groupBy("part", "tile").agg(F.collect_list(F.struct("node", "x")).alias("known"))
         both = factor.select("part", "tile", "inner", "border", "g", "h").join(wanted, ["part", "tile"])
-        out.append(scratch(both.select("part", "inner", "border", "g", "h", "known").mapInPandas(_back, "part int, a long, x array<double>"), "values"))
-    discard(*held, *levels)
+        out.append(scratch(both.select("part", "inner", "border", "g", "h", "known").mapInPandas(_back, "part int, node long, x array<double>"), "values"))
+    out[0] = scratch(out[0], "values")
+    discard(*levels)
     whole = out[0]
     for o in out[1:]:
         whole = whole.unionByName(o)
-    return whole.select("part", F.col("a").alias("point_id"), "x")
+    return whole
+
+
+def _rank_of(ranks: DataFrame, point: int) -> int:
+    row = ranks.where(F.col("point_id") == point).select("rank").first()
+    if row is None:
+        raise NotConnected("the network has no reference point")
+    return row[0]
+
+
+def _in_ranks(arcs: DataFrame, ranks: DataFrame) -> DataFrame:
+    """arcs (src, dst and more) with the ranks of their ends, a and b, in place of them."""
+    one, two = (ranks.select(F.col("point_id").alias(e), F.col("rank").alias(r)) for e, r in (("src", "a"), ("dst", "b")))
+    return arcs.join(one, "src").join(two, "dst").drop("src", "dst")
 
 
 def integrate(arcs: DataFrame, places: DataFrame, reference: int, values: list[str]) -> DataFrame:
@@ -171,8 +177,11 @@ def integrate(arcs: DataFrame, places: DataFrame, reference: int, values: list[s
     one = arcs.where("src <> dst").groupBy(lo.alias("src"), hi.alias("dst")).agg(F.sum(square).alias("w"), *[F.sum(square * sign * F.col(v)).alias(v) for v in values])
     rows = one.select(F.lit(0).alias("part"), "src", "dst", F.array("w").alias("w"), F.array(*values).alias("f"))
     ranks = ranked(places)
-    out = scratch(solve(rows, ranks, reference).select("point_id", *[F.col("x")[i].alias(v) for i, v in enumerate(values)]), "integrated")
-    discard(ranks)
+    last, node = ranks.agg(F.max("rank")).first()[0] or 0, _rank_of(ranks, reference)
+    arcs_at = scratch(_in_ranks(rows, ranks), "arcs")
+    x = solve(arcs_at, last, node).withColumnRenamed("node", "rank").join(ranks, "rank")
+    out = scratch(x.select("point_id", *[F.col("x")[i].alias(v) for i, v in enumerate(values)]), "integrated")
+    discard(ranks, arcs_at)
     return out
 
 
@@ -194,26 +203,28 @@ def unwrap(phases: DataFrame, arcs: DataFrame, places: DataFrame, reference: int
     floor that is lowered from round to round. All interferograms are solved together, each with weights of its own, in arrays of
     `size`. At last each point's phase gets the whole cycles that bring it nearest to the solution; so differences around any loop
     of arcs sum up to zero, and the phase stays what it was up to whole cycles and the mean. NotConnected as in solve()."""
-    psi = scratch(in_arrays(phases.where("phase is not null"), size), "psi")
-    ends = [psi.select(F.col("point_id").alias(e), "part", F.col("psi").alias(f"psi_{e}")) for e in ("src", "dst")]
-    pairs = arcs.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    some = phases.where("phase is not null")
+    ranks = ranked(places.join(some.select("point_id").distinct(), "point_id", "left_semi"))
+    last, node = ranks.agg(F.max("rank")).first()[0] or 0, _rank_of(ranks, reference)
+    psi = scratch(in_arrays(some, size).join(ranks, "point_id").drop("point_id").withColumnRenamed("rank", "node"), "psi")
+    ends = [psi.select(F.col("node").alias(e), "part", F.col("psi").alias(f"psi_{e}")) for e in ("a", "b")]
+    pairs = _in_ranks(arcs.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), ranks)
     turn = lambda a, b: F.atan2(F.sin(a - b), F.cos(a - b))
-    steps = scratch(pairs.join(ends[0], "src").join(ends[1], ["dst", "part"]).select("part", "src", "dst", F.zip_with("psi_src", "psi_dst", turn).alias("g")), "steps")
-    ranks = ranked(places.join(psi.select("point_id").distinct(), "point_id", "left_semi"))
-    weighed = steps.withColumn("w", F.transform("g", lambda _: F.lit(1.0)))
-    x = None
+    steps = scratch(pairs.join(ends[0], "a").join(ends[1], ["b", "part"]).select("part", "a", "b", F.zip_with("psi_a", "psi_b", turn).alias("g")), "steps")
+    weighed, x = steps.withColumn("w", F.transform("g", lambda _: F.lit(1.0))), None
     for n in range(rounds):
         if x is not None:
             floor = 0.5 ** (n - 1)  # radians
-            now = x
-            one, two = (now.select("part", F.col("point_id").alias(e), F.col("x").alias(f"x_{e}")) for e in ("src", "dst"))
-            off = F.zip_with(F.zip_with("x_src", "x_dst", lambda a, b: a - b), "g", lambda d, g: d - g)
+            one, two = (x.select("part", F.col("node").alias(e), F.col("x").alias(f"x_{e}")) for e in ("a", "b"))
+            off = F.zip_with(F.zip_with("x_a", "x_b", lambda a, b: a - b), "g", lambda d, g: d - g)
             weight = F.transform(off, lambda d: F.pow(d * d + floor * floor, F.lit((power - 2) / 2)))
-            weighed = steps.join(one, ["part", "src"]).join(two, ["part", "dst"]).select("part", "src", "dst", "g", weight.alias("w"))
-        x = scratch(solve(weighed.select("part", "src", "dst", "w", F.zip_with("w", "g", lambda w, g: w * g).alias("f")), ranks, reference), "x")
-    first = psi.where(F.col("point_id") == reference).select("part", F.col("psi").alias("base"))
+            weighed = steps.join(one, ["part", "a"]).join(two, ["part", "b"]).select("part", "a", "b", "g", weight.alias("w"))
+        now = scratch(weighed.select("part", "a", "b", "w", F.zip_with("w", "g", lambda w, g: w * g).alias("f")), "weighed")
+        x = solve(now, last, node)
+        discard(now)
+    first = psi.where(F.col("node") == node).select("part", F.col("psi").alias("base"))
     # one row for each array of epochs
-    both = psi.join(x, ["part", "point_id"]).join(F.broadcast(first), "part")
+    both = psi.join(x, ["part", "node"]).join(F.broadcast(first), "part").join(ranks.withColumnRenamed("rank", "node"), "node")
     cycles = F.zip_with(F.zip_with("psi", "base", lambda p, b: p - b), "x", lambda p, v: F.round((v - p) / (2 * np.pi)))
     whole = both.select("point_id", "part", F.posexplode(F.zip_with("psi", cycles, lambda p, n: p + 2 * np.pi * n)).alias("i", "phase"))
     rows = scratch(whole.select("point_id", (F.col("part") * size + F.col("i")).cast("int").alias("k"), "phase"), "unwrapped")
