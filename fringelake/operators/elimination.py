@@ -9,6 +9,7 @@ which grows with the root of the number of points that the tile covers.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 
 from ..functions.morton import ranked
 from ..scratch import discard, scratch
+from . import graph
 
 #: A tile of the first level has 2**TILE points; a tile has no more than FRONT points when it is eliminated.
-TILE, FRONT = 8, 6000
+TILE, FRONT = 8, 8000
 _ROWS = "part int, tile long, wrong string, inner array<long>, border array<long>, g array<double>, h array<double>, left array<double>, rest array<double>"
 
 
@@ -28,6 +30,10 @@ class NotConnected(ValueError):
     """Some point has no way to the reference."""
 
 
+class TooWide(RuntimeError):
+    """A tile has more points with arcs out of it than a task can hold as a matrix."""
+
+
 def _eliminate(reference: int):
     """What becomes of a tile's rows: kind arc (a, b, w, f), border (a), and block, what is left of a tile of the level before (border,
     left, rest). One row: the points inside with the factors g and h that give their values from those of the border, and the
@@ -59,30 +65,34 @@ def _eliminate(reference: int):
         inner, border = np.flatnonzero(~outer), np.flatnonzero(outer)
         if len(inner) and not len(border):
             return out("loose")
-        side, whole = np.zeros((n, c)), np.zeros((m, n, n))
-        for at, left, rest in zip((np.searchsorted(ids, x) for x in borders), blocks["left"], blocks["rest"]):
-            whole[:, at[:, None], at] += np.asarray(left).reshape(m, len(at), len(at))
+        side, places = np.zeros((n, c)), [np.searchsorted(ids, x) for x in borders]
+        lefts = [np.asarray(x).reshape(m, len(at), len(at)) for x, at in zip(blocks["left"], places)]
+        for at, rest in zip(places, blocks["rest"]):
             side[at] += np.asarray(rest).reshape(len(at), c)
+        i, j = np.searchsorted(ids, a), np.searchsorted(ids, b)
         if len(arcs):
-            i, j = np.searchsorted(ids, a), np.searchsorted(ids, b)
             np.add.at(side, i, f)
             np.add.at(side, j, -f)
-            for e in range(m):
+        per = c // m  # right sides for each set of weights
+        g, h = np.zeros((m, len(inner), len(border))), np.zeros((len(inner), c))
+        left, rest = np.zeros((m, len(border), len(border))), side[border].copy()
+        for e in range(m):  # one matrix at a time
+            whole, its = np.zeros((n, n)), slice(e * per, (e + 1) * per)
+            for at, block in zip(places, lefts):
+                whole[np.ix_(at, at)] += block[e]
+            if len(arcs):
                 for p, q, sign in ((i, j, -1), (j, i, -1), (i, i, 1), (j, j, 1)):
-                    np.add.at(whole[e], (p, q), sign * weights[:, e])
-        across = whole[:, inner[:, None], border]
-        # as many right sides for each set of weights
-        sides = side[inner].reshape(len(inner), m, c // m).transpose(1, 0, 2)
-        try:
-            both = np.linalg.solve(whole[:, inner[:, None], inner], np.concatenate([across, sides], axis=2))
-        except np.linalg.LinAlgError:
-            return out("loose")
-        g, h = both[:, :, : len(border)], both[:, :, len(border) :]
-        if len(inner) and not np.allclose(g.sum(axis=2), -1, atol=1e-4):
-            return out("loose")
-        left = whole[:, border[:, None], border] - across.transpose(0, 2, 1) @ g
-        rest = side[border] - (across.transpose(0, 2, 1) @ h).transpose(1, 0, 2).reshape(len(border), c)
-        h = h.transpose(1, 0, 2).reshape(len(inner), c)
+                    np.add.at(whole, (p, q), sign * weights[:, e])
+            across = whole[np.ix_(inner, border)]
+            try:
+                both = np.linalg.solve(whole[np.ix_(inner, inner)], np.hstack([across, side[inner][:, its]]))
+            except np.linalg.LinAlgError:
+                return out("loose")
+            g[e], h[:, its] = both[:, : len(border)], both[:, len(border) :]
+            if len(inner) and not np.allclose(g[e].sum(axis=1), -1, atol=1e-4):
+                return out("loose")
+            left[e] = whole[np.ix_(border, border)] - across.T @ g[e]
+            rest[:, its] -= across.T @ h[:, its]
         return out(inner=ids[inner], border=ids[border], g=g.ravel(), h=h.ravel(), left=left.ravel(), rest=rest.ravel())
 
     return run
@@ -111,8 +121,8 @@ def solve(arcs: DataFrame, last: int, reference: int) -> DataFrame:
     difference. Nodes are the ranks of points, up to `last`, in an order in which near ones are near, as functions.morton.ranked()
     gives it. The arcs of all parts are the same, a table that can be read again, and each pair of nodes has one at most.
 
-    Nodes that have no way to the reference raise NotConnected. A tile of more than FRONT nodes at its turn, as networks with many
-    long arcs give, raises RuntimeError."""
+    Nodes that have no way to the reference raise NotConnected. A tile of more than FRONT nodes at its turn, as networks of more
+    than some 250 000 points or with many long arcs give, raises TooWide."""
     levels: list[DataFrame] = []
     none = lambda kind: F.lit(None).cast(kind)
     for shift in range(TILE, 64, 2):
@@ -134,7 +144,7 @@ def solve(arcs: DataFrame, last: int, reference: int) -> DataFrame:
         if wrong is not None:
             discard(*levels)
             if wrong.wrong == "front":
-                raise RuntimeError(f"a tile has more than {FRONT} points with arcs out of it: the network has too many long arcs")
+                raise TooWide(f"a tile has more than {FRONT} points with arcs out of it: the network has too many long arcs")
             raise NotConnected("the network is not connected, or has no reference point")
         if last >> shift == 0:
             break
@@ -171,7 +181,8 @@ def _in_ranks(arcs: DataFrame, ranks: DataFrame) -> DataFrame:
 def integrate(arcs: DataFrame, places: DataFrame, reference: int, values: list[str]) -> DataFrame:
     """(point_id, values...): each value at points, 0 at the reference, that fits arcs (src, dst, values..., weight) with value = src -
     dst best in least squares of weight times difference. All values are solved together, as the weights are the same. Several
-    arcs between two points count as one with the sum of their weights. places (point_id, y, x) are where points are."""
+    arcs between two points count as one with the sum of their weights. places (point_id, y, x) are where points are. A network
+    that is too wide for elimination is solved by conjugate gradients, one value after the other."""
     square = F.pow("weight", F.lit(2))
     lo, hi, sign = F.least("src", "dst"), F.greatest("src", "dst"), F.when(F.col("src") < F.col("dst"), 1).otherwise(-1)
     one = arcs.where("src <> dst").groupBy(lo.alias("src"), hi.alias("dst")).agg(F.sum(square).alias("w"), *[F.sum(square * sign * F.col(v)).alias(v) for v in values])
@@ -179,7 +190,11 @@ def integrate(arcs: DataFrame, places: DataFrame, reference: int, values: list[s
     ranks = ranked(places)
     last, node = ranks.agg(F.max("rank")).first()[0] or 0, _rank_of(ranks, reference)
     arcs_at = scratch(_in_ranks(rows, ranks), "arcs")
-    x = solve(arcs_at, last, node).withColumnRenamed("node", "rank").join(ranks, "rank")
+    try:
+        x = solve(arcs_at, last, node).withColumnRenamed("node", "rank").join(ranks, "rank")
+    except TooWide:
+        found = [graph.integrate(arcs.select("src", "dst", F.col(v).alias("value"), "weight"), reference).withColumnRenamed("value", v) for v in values]
+        return functools.reduce(lambda a, b: a.join(b, "point_id"), found)
     out = scratch(x.select("point_id", *[F.col("x")[i].alias(v) for i, v in enumerate(values)]), "integrated")
     discard(ranks, arcs_at)
     return out
@@ -194,18 +209,19 @@ def in_arrays(phases: DataFrame, size: int) -> DataFrame:
     return phases.groupBy("point_id", _chunk(F.col("k"), size).alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "phase"))), lambda e: e["phase"]).alias("psi"))
 
 
-def unwrap(phases: DataFrame, arcs: DataFrame, places: DataFrame, reference: int, power: float = 0.4, rounds: int = 6, size: int = 8) -> DataFrame:
+def unwrap(phases: DataFrame, arcs: DataFrame, places: DataFrame, reference: int, power: float = 0.4, rounds: int = 6, size: int | None = None) -> DataFrame:
     """(point_id, k, phase): wrapped phases (point_id, k, phase) of points in all interferograms k, unwrapped in space along arcs (src,
     dst), with the mean of each interferogram taken off.
 
     The differences along arcs, wrapped, are those of the unwrapped phase but on some arcs, and these are to be few: the sum
     of |difference - wrapped difference| ** power is made small by least squares whose weights come from the last solution, with a
     floor that is lowered from round to round. All interferograms are solved together, each with weights of its own, in arrays of
-    `size`. At last each point's phase gets the whole cycles that bring it nearest to the solution; so differences around any loop
+    `size`, which changes nothing but what a task holds: eight, or fewer where many points make borders long. At last each point's phase gets the whole cycles that bring it nearest to the solution; so differences around any loop
     of arcs sum up to zero, and the phase stays what it was up to whole cycles and the mean. NotConnected as in solve()."""
     some = phases.where("phase is not null")
     ranks = ranked(places.join(some.select("point_id").distinct(), "point_id", "left_semi"))
     last, node = ranks.agg(F.max("rank")).first()[0] or 0, _rank_of(ranks, reference)
+    size = size or max(1, min(8, 200_000 // (last + 1)))
     psi = scratch(in_arrays(some, size).join(ranks, "point_id").drop("point_id").withColumnRenamed("rank", "node"), "psi")
     ends = [psi.select(F.col("node").alias(e), "part", F.col("psi").alias(f"psi_{e}")) for e in ("a", "b")]
     pairs = _in_ranks(arcs.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), ranks)

@@ -36,9 +36,17 @@ def test_integration_by_dense_least_squares(spark, monkeypatch):
     for wrong, ref in ((apart, reference), (frame, n)):
         with pytest.raises(elimination.NotConnected):
             elimination.integrate(wrong, more, ref, ["vel"])
-    monkeypatch.setattr(elimination, "FRONT", 10)
-    with pytest.raises(RuntimeError):
-        elimination.integrate(frame, _places(spark, y, x), reference, ["vel"])
+
+
+def test_wide_networks(spark, monkeypatch):
+    rows = [(i, i + 1, 1.0, 1.0) for i in range(5)] + [(0, 5, -5.0, 2.0), (1, 4, -3.3, 1.0)]
+    frame, places = spark.createDataFrame(rows, "src long, dst long, v double, weight double"), _places(spark, [0] * 6, range(6))
+    want = {g.point_id: g.v for g in elimination.integrate(frame, places, 0, ["v"]).collect()}
+    monkeypatch.setattr(elimination, "FRONT", 3)
+    got = {g.point_id: g.v for g in elimination.integrate(frame, places, 0, ["v"]).collect()}  # by conjugate gradients
+    assert got == pytest.approx(want, abs=1e-6)
+    with pytest.raises(elimination.TooWide):
+        elimination.unwrap(spark.createDataFrame([(i, 0, 0.0) for i in range(6)], "point_id long, k int, phase double"), frame, places, 0)
 
 
 def test_arcs_given_twice_or_turned_round(spark):
