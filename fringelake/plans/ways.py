@@ -15,7 +15,7 @@ _Y, _X = "((c_custkey * 37 % 97) / 3 - 6)", "((c_custkey * 11 % 101) / 3 - 4)"
 _LAT, _LON = f"(50 + {_Y} * 0.001 + {_X} * 0.0001)", f"(10 + {_X} * 0.001 - {_Y} * 0.0001)"
 _NODES = f"no AS (SELECT c_custkey AS node_id, c_nationkey AS way_id, {_LAT}::DOUBLE AS lat, {_LON}::DOUBLE AS lon FROM customer)"
 _BOX = (50.002, 10.002, 50.012, 10.009)
-_HALF = 0.13
+_HALF = 0.53
 
 
 def _nodes(spark, sf) -> DataFrame:
