@@ -4,12 +4,20 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_made: list[DataFrame] = []
+class _Made(threading.local):
+    """The tables that one thread has made, so that queries in several threads leave each other's alone."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+
+_made = _Made()
 
 
 def root(spark: SparkSession) -> str:
@@ -38,19 +46,20 @@ def scratch(df: DataFrame, tag: str) -> DataFrame:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
-    _made.append(out)
+    _made.tables.append(out)
     return out
 
 
 def made() -> int:
-    """How many tables scratch() has made: a mark for discard_since()."""
-    return len(_made)
+    """How many tables scratch() has made in this thread: a mark for discard_since()."""
+    return len(_made.tables)
 
 
 def discard_since(mark: int, *kept: DataFrame) -> None:
-    """Delete the tables made since the mark, but those kept."""
-    discard(*[t for t in _made[mark:] if all(t is not k for k in kept)])
-    _made[mark:] = [t for t in _made[mark:] if any(t is k for k in kept)]
+    """Delete the tables that this thread has made since the mark, but those kept."""
+    since = _made.tables[mark:]
+    discard(*[t for t in since if all(t is not k for k in kept)])
+    _made.tables[mark:] = [t for t in since if any(t is k for k in kept)]
 
 
 def discard(*tables: DataFrame | None) -> None:

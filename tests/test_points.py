@@ -124,3 +124,21 @@ def test_small_rules(spark):
 
 def test_shared_folder(spark):
     assert root(spark).startswith(("file:", "/"))
+
+
+def test_threads_keep_their_tables(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from fringelake import scratch
+
+    own = scratch.scratch(spark.range(3), "kept")
+
+    def other():
+        began = scratch.made()
+        scratch.scratch(spark.range(2), "gone")
+        scratch.discard_since(began)
+        return scratch.made()
+
+    with ThreadPoolExecutor(1) as pool:
+        assert pool.submit(other).result() == 0
+    assert own.count() == 3
