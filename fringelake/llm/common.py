@@ -42,6 +42,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def quoted(name: str) -> Column:
+    """The column of a name that may hold dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df with a number for each row in the column `name`, written so that the numbers stay the same."""
     return scratch(df.withColumn(name, F.monotonically_increasing_id()), "numbered")

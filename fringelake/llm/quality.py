@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, scratch, text_of, words
+from .common import let, quoted, scratch, text_of, words
 
 #: Common words of each language, in no order of importance.
 COMMON_WORDS = {
@@ -77,7 +77,7 @@ def features(docs: DataFrame, whole: bool = False) -> DataFrame:
     """
     text = text_of()
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    row = [F.struct(*docs.columns).alias("row")] if whole else []
+    row = [F.struct(*[quoted(c) for c in docs.columns]).alias("row")] if whole else []
     also = ["row"] if whole else []
     out = docs.select(*row, F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"), words(text).alias("parts"), lines.alias("lines"))
     left = "text"

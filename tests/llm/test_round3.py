@@ -299,3 +299,13 @@ def test_header_lines_take_linear_time():
     began = time.process_time()
     assert secrets.confirmed_spans("-----BEGIN PRIVATE KEY-----\n" + "A: b\n" * 400_000 + "-----END PRIVATE KEY-----") == []
     assert time.process_time() - began < 10
+
+
+def test_stages_with_dots_in_names(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"the word{i} of stone and river" for i in range(30))
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text), 7), (2, None, "en", None, 0, 8)], "doc_id long, text string, lang string, source string, n_chars long, `a.b` int")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and {r["a.b"] for r in out.collect()} <= {7, 8}, name
