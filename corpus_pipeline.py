@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fringelake.llm import mixing, packing, pii, quality, simhash
-from fringelake.llm.common import fresh, numbered, scratch
+from fringelake.llm.common import fresh, numbered, quoted, scratch
 from fringelake.scratch import discard_since, made
 
 
@@ -37,7 +37,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = numbered(docs, row)
     taken = mixing.mix(rows, row=row).where("copies > 0").select(F.col("row").alias(of), F.col("copies").alias(copies))
     both = rows.join(taken.hint("shuffle_hash"), F.col(row) == F.col(of))
-    return both.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*[quoted(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
