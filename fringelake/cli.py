@@ -67,16 +67,24 @@ def run(spark: SparkSession, config: cfg.Config, wavelength: float, first: int =
         raise ValueError(f"steps are 0 to {len(STEPS) - 1}: {first} to {last}")
     out = config.general.output_path
     inputs = [_path(config.general.input_path, f"{n}.parquet") for n in INPUTS]
-    masks = [m for m in (config.consistency_check.mask_p1_file,) if m]
-    required(spark, inputs + masks + [_path(out, n, f) for n, kind in STEPS[:first] for f in kind._fields])
+    p = config.phase_linking
+    named = {"p1": config.consistency_check.mask_p1_file, "p2": config.filtering.mask_p2_file}
+    if p.use_phase_linking_results:
+        named |= {"linked": _path(p.inverted_path, "phase_series.parquet"), "linked_mask": p.mask_phase_linking_file, "persistent": p.mask_ps_file if p.use_ps else None}
+    named = {k: v for k, v in named.items() if v}
+    required(spark, inputs + list(named.values()) + [_path(out, n, f) for n, kind in STEPS[:first] for f in kind._fields])
     slc, acquisitions, points = (spark.read.parquet(p) for p in inputs)
     done = {name: load(spark, out, name) for name, _ in STEPS[:first]}
-    mask = spark.read.parquet(masks[0]).join(points.select("point_id", "y", "x"), ["y", "x"]) if masks else None
+    # masks and results of phase linking are tables of pixels (y, x)
+    at = {k: spark.read.parquet(v).join(points.select("point_id", "y", "x"), ["y", "x"]) for k, v in named.items()}
+    if "persistent" in at:
+        single = at["persistent"].select("point_id", F.lit(True).alias("persistent"))
+        at["linked"] = at["linked"].join(single, "point_id", "left").withColumn("persistent", F.coalesce("persistent", F.lit(False)))
     work = {
         "preparation": lambda: steps.preparation(slc, acquisitions, points, config),
-        "consistency_check": lambda: steps.consistency_check(done["preparation"], points, config, wavelength, mask),
+        "consistency_check": lambda: steps.consistency_check(done["preparation"], points, config, wavelength, at.get("p1")),
         "unwrapping": lambda: steps.unwrapping(done["preparation"], done["consistency_check"], points, wavelength, config),
-        "filtering": lambda: steps.filtering(done["preparation"], done["consistency_check"], done["unwrapping"], points, config, wavelength),
+        "filtering": lambda: steps.filtering(done["preparation"], done["consistency_check"], done["unwrapping"], points, config, wavelength, linked=at.get("linked"), linked_mask=at.get("linked_mask"), mask=at.get("p2")),
         "densification": lambda: steps.densification(done["preparation"], done["consistency_check"], done["unwrapping"], done["filtering"], points, config, wavelength),
     }
     for name, _ in STEPS[first : last + 1]:

@@ -186,12 +186,30 @@ def _residuals(prepared: Prepared, points: DataFrame, series: DataFrame, wavelen
     return rows.join(fits, "point_id").select("point_id", "k", "t", F.expr("value - demerr * p - vel * t - atmosphere").alias("phase"))
 
 
-def filtering(prepared: Prepared, checked: Checked, unwrapped: Unwrapped, points: DataFrame, config: Config, wavelength: float, neighbours: int = 20) -> Filtered:
+def second_order_points(prepared: Prepared, checked: Checked, points: DataFrame, config: Config, linked: DataFrame | None = None, linked_mask: DataFrame | None = None, mask: DataFrame | None = None) -> DataFrame:
+    """The rows of points that are of second order: coherent ones; those that phase linking found, if its results `linked` (point_id,
+    coherence, siblings and, where single scatterers count, persistent) are given and the configuration asks for them, within
+    linked_mask (point_id); and all of first order. Of these the valid ones within mask (point_id) stay, so points of first order
+    go too where a mask leaves them out."""
+    f, p = config.filtering, config.phase_linking
+    found = px.at_least(prepared.coherence, "gamma", f.coherence_p2).select("point_id")
+    if p.use_phase_linking_results:
+        if linked is None:
+            raise ValueError("the configuration asks for results of phase linking, but there are none")
+        more = px.second_order(linked, "coherence", f.coherence_p2, "siblings", p.num_siblings, "persistent" if p.use_ps else None).select("point_id")
+        found = found.unionByName(more if linked_mask is None else more.join(linked_mask.select("point_id"), "point_id", "left_semi"))
+    found = found.unionByName(checked.points.select("point_id"))
+    found = found.join(px.valid(prepared.amplitude, "bmap").select("point_id"), "point_id", "left_semi")
+    if mask is not None:
+        found = found.join(mask.select("point_id"), "point_id", "left_semi")
+    return points.join(found, "point_id", "left_semi")
+
+
+def filtering(prepared: Prepared, checked: Checked, unwrapped: Unwrapped, points: DataFrame, config: Config, wavelength: float, neighbours: int = 20, linked: DataFrame | None = None, linked_mask: DataFrame | None = None, mask: DataFrame | None = None) -> Filtered:
     """Points of second order, the atmosphere (point_id, k, phase) at the points of both orders, and the series of first order
     without it. The atmosphere comes from the points of first order whose residuals are least correlated in time."""
     f = config.filtering
-    second = _selected(prepared, points, f.coherence_p2, 0, None).drop("gamma")
-    every = scratch(second.unionByName(checked.points.drop("gamma")).dropDuplicates(["point_id"]), "second")
+    every = scratch(second_order_points(prepared, checked, points, config, linked, linked_mask, mask), "second")
     rest = scratch(_residuals(prepared, points, unwrapped.series, wavelength), "residuals")
     if not f.apply_aps_filtering:
         none = every.select("point_id").join(F.broadcast(prepared.acquisitions.select(F.col("idx").alias("k")))).withColumn("phase", F.lit(0.0))

@@ -32,7 +32,7 @@ def test_steps_are_stored_and_resumed(spark, tmp_path, monkeypatch):
     called = []
 
     def fake(name, kind):
-        def step(*given):
+        def step(*given, **named):
             called.append((name, [type(x).__name__ for x in given if isinstance(x, tuple)]))
             return kind(*[spark.range(len(called)) for _ in kind._fields])
 

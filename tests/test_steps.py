@@ -82,3 +82,24 @@ def test_dates(spark):
     for first, last in (("2020-02-01", None), (None, "2019-12-31")):
         with pytest.raises(ValueError):
             steps.within_dates(acq, first, last)
+
+
+def test_points_of_second_order(spark):
+    points = spark.createDataFrame([(i, i, 0) for i in range(12)], "point_id long, y int, x int")
+    gamma = spark.createDataFrame([(i, 0.9 if i < 3 else 0.2 if i != 3 else float("nan")) for i in range(12)], "point_id long, gamma double")
+    amplitude = spark.createDataFrame([(i, 1.0 if i != 2 else None) for i in range(12)], "point_id long, bmap double")
+    prepared, checked = steps.Prepared(None, None, None, gamma, amplitude), steps.Checked(points.where("point_id in (0, 11)"), None, None)
+    linked = spark.createDataFrame([(5, 0.9, 30, False), (6, 0.9, 5, False), (7, 0.8, 30, False), (8, 0.1, 1, True), (9, 0.95, 21, False)], "point_id long, coherence double, siblings int, persistent boolean")
+    c = config.Config()
+
+    def found(**given):
+        return sorted(r.point_id for r in steps.second_order_points(prepared, checked, points, c, **given).collect())
+
+    assert found() == [0, 1, 11] and found(linked=linked) == [0, 1, 11] and found(mask=points.where("point_id < 5")) == [0, 1]
+    c.phase_linking.use_phase_linking_results = True
+    assert found(linked=linked) == [0, 1, 5, 9, 11]  # 0.8 is not above the limit, five siblings are too few
+    assert found(linked=linked, linked_mask=points.where("point_id > 5")) == [0, 1, 9, 11]
+    c.phase_linking.use_ps = True
+    assert found(linked=linked) == [0, 1, 5, 6, 8, 9, 11]
+    with pytest.raises(ValueError):
+        found()
