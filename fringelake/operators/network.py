@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _pairs(acq: DataFrame, condition: str) -> DataFrame:
-    a, b = acq.select(F.col("idx").alias("i"), F.col("tbase").alias("ti")), acq.select(F.col("idx").alias("j"), F.col("tbase").alias("tj"))
-    return a.join(F.broadcast(b), F.expr(condition))
-
-
 def _done(pairs: DataFrame, acq: DataFrame) -> DataFrame:
     """Distinct ordered pairs with their temporal baseline in years."""
     t = lambda x: acq.select(F.col("idx").alias(x), F.col("tbase").alias(f"t_{x}"))
@@ -38,9 +33,20 @@ def _following(acq: DataFrame, links: int) -> DataFrame:
 
 
 def nearest_after(acq: DataFrame, days: float) -> DataFrame:
-    """(i, j): the image nearest to `days` after each image; the first of equally near ones."""
-    a = _pairs(acq, "true").withColumn("off", F.abs(F.col("tj") - F.col("ti") - days))
-    return a.groupBy("i").agg(F.min(F.struct("off", "j")).alias("m")).select("i", F.col("m.j").alias("j"))
+    """(i, j): the image nearest to `days` after each image; the first of equally near ones. Images and what is looked for are put in
+    one order, in which the nearest image is the last one before or the first one after; images are few, so one task has them all."""
+    images = acq.select(F.col("tbase").alias("t"), F.lit(0).alias("kind"), F.col("idx").alias("n"))
+    wanted = acq.select((F.col("tbase") + days).alias("t"), F.lit(1).alias("kind"), F.col("idx").alias("n"))
+    every = images.unionByName(wanted)
+    image = F.col("kind") == 0
+    before = F.max(F.when(image, F.struct("t", (-F.col("n")).alias("m")))).over(Window.orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(image, F.struct("t", F.col("n").alias("m")))).over(Window.orderBy("t", F.desc("kind")).rowsBetween(0, Window.unboundedFollowing))
+    rows = every.select("t", "kind", "n", before.alias("b"), after.alias("a")).where("kind = 1")
+    # times of the images themselves, so distances are as exact as they were given
+    at = rows.select(F.col("n").alias("i"), F.explode(F.array(F.struct(F.col("b.t").alias("t"), (-F.col("b.m")).alias("j")), F.struct(F.col("a.t").alias("t"), F.col("a.m").alias("j")))).alias("c"))
+    own = acq.select(F.col("idx").alias("i"), F.col("tbase").alias("ti"))
+    off = at.where("c.j is not null").join(F.broadcast(own), "i").select("i", F.abs(F.col("c.t") - F.col("ti") - days).alias("off"), F.col("c.j").alias("j"))
+    return off.groupBy("i").agg(F.min(F.struct("off", "j")).alias("m")).select("i", F.col("m.j").alias("j"))
 
 
 def small_temporal_yearly(acq: DataFrame, links: int) -> DataFrame:
