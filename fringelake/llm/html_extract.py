@@ -30,6 +30,12 @@ SCOPE = ("td", "th", "caption", "button", "object", "template", "html")
 #: Words outside of the article that an element is taken to have been seen with before any page is: by what HTML says of it.
 PRIOR = {"nav": 200, "footer": 200, "aside": 200, "form": 200, "menu": 200, "dialog": 200, "button": 200, "select": 200, "template": 200, "noscript": 200, "object": 50, "svg": 200, "canvas": 200, "header": 50, "[hidden]": 200, "@navigation": 200, "@banner": 50, "@contentinfo": 200, "@complementary": 200, "@search": 200}
 LABELS = ("article", "main")
+#: Elements that only group others. On pages without a LABELS element, going into or out of one costs the scan a share of
+#: the words below it, of HOLD of them at most; a page's first heading counts as HEADING words at least.
+GROUPS = frozenset("div section center fieldset details dd td".split())
+HOLD, HEADING = 100, 40
+#: Linked words to all of a block, in thirds, and words of a block: the cells of its form.
+LONG = (5, 15)
 #: Words that a feature is taken to have been seen with anyway, and what an element can cost the scan at most.
 ALPHA, MOST = 20.0, 10.0
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
@@ -147,7 +153,7 @@ class Weights:
 
     def __init__(self, inside: Counter | None = None, outside: Counter | None = None, tags_in: Counter | None = None, tags_out: Counter | None = None, word: float = 1.0):
         inside, outside = Counter(inside or {}), Counter(outside or {}) + Counter(PRIOR)
-        self.word, self.says, self.tag = word, {}, {}
+        self.word, self.says, self.tag, self.form, self.share = word, {}, {}, {}, 0.4
         a, b = max(inside[""], 1000.0), max(outside[""], 1000.0)
         for f in {*inside, *outside} - {""}:
             self.says[f] = math.log((inside[f] + ALPHA) / (a + ALPHA)) - math.log((outside[f] + ALPHA) / (b + ALPHA))
@@ -163,6 +169,11 @@ class Weights:
     def of_word(self, says: float) -> float:
         return self.word if says > -1 else -self.word * min(3.0, -says / 2)
 
+    def of_form(self, cell: tuple[int, int]) -> float:
+        """What the form of a block says of its words, as a factor: of mostly linked ones against them, of others for them."""
+        x = self.form.get(cell, -1.0 if cell[0] else 1.0)
+        return min(x, 1.0) if cell[0] else max(0.25, min(x, 1.0))
+
     def of_tag(self, tag: str, says: float) -> float:
         return min(self.tag.get(tag, -0.1), max(says, -8.0) if says <= -1 else -0.05)
 
@@ -230,9 +241,90 @@ def _counts(pages: list[str]) -> tuple[Counter, Counter, Counter, Counter]:
     return inside, outside, tags_in, tags_out
 
 
+def _forms(found: list[tuple[str, str, tuple[str, ...]]], weights: Weights) -> tuple[dict[int, tuple[int, int]], dict[int, int], list[int]]:
+    """Of a page: the form of the block of each text; at the start and end of each group that is not all its holder has, the
+    words below it that are not mostly linked and not in elements that speak against themselves; the texts of its first h1."""
+    cells, walls, heading, block, words, linked, links = {}, {}, [], [], 0, 0, 0
+    stack, groups, total = [[-1, "", 0, 0.0]], [], {}
+    first = True
+    for i, (kind, t, features) in enumerate([*found, ("void", "br", ())]):
+        if kind == "text":
+            n = len(t.split())
+            block.append(i)
+            words += n
+            linked += n * (links > 0)
+            if first and n and any(x[1] == "h1" for x in stack[-3:]):
+                heading.append(i)
+            continue
+        if t in BLOCK and block:
+            cell = (min(2, 3 * linked // max(words, 1)), bisect_right(LONG, words))
+            cells.update(dict.fromkeys(block, cell))
+            if cell[0] == 0 and stack[-1][3] > -1:
+                stack[-1][2] += words
+            block, words, linked = [], 0, 0
+        if kind == "open":
+            stack.append([i, t, 0, min(stack[-1][3], weights.of(features))])
+            links += t == "a"
+        elif kind == "close":
+            at, _, n, _ = stack.pop()
+            links -= t == "a"
+            total[at] = n
+            stack[-1][2] += n
+            first = first and not (t == "h1" and heading)
+            if t in GROUPS:
+                groups.append((at, i, n, stack[-1][0]))
+    total[-1] = stack[0][2]
+    for at, end, n, holder in groups:
+        if n < 0.9 * total[holder]:
+            walls[at] = walls[end] = n
+    return cells, walls, heading
+
+
+def _masked(found: list[tuple[str, str, tuple[str, ...]]]) -> list[tuple[str, str, tuple[str, ...]]]:
+    """A page without its marks and without the classes, ids and roles of its elements."""
+    tag = lambda t: "div" if t in LABELS else t
+    return [(kind, t, ()) if kind == "text" else (kind, tag(t), tuple(tag(f) for f in features[:1])) for kind, t, features in found]
+
+
+def _fit_forms(weights: Weights, labelled: list, tried=(0.4, 0.3, 0.2, 0.1, 0.0)) -> None:
+    """Learn from labelled pages, masked, what forms of blocks say, and the share of its words that a group costs."""
+    inside, outside, pages = Counter({(0, i): 20.0 for i in range(3)}), Counter({(i, j): 20.0 for i in (1, 2) for j in range(3)}), []
+    for found, a, b in labelled:
+        masked = _masked(found)
+        pages.append((masked, a, b))
+        for i, cell in _forms(masked, weights)[0].items():
+            (inside if a < i < b else outside)[cell] += len(masked[i][1].split())
+    p, q = sum(inside.values()), sum(outside.values())
+    weights.form = {c: math.log((inside[c] + ALPHA) / (p + ALPHA)) - math.log((outside[c] + ALPHA) / (q + ALPHA)) for c in {*inside, *outside}}
+    top = min(1.0, max(weights.form.values()))
+    if top > 0:  # words of the form that is most the region's count in full
+        weights.form = {c: x / top if x > 0 else x for c, x in weights.form.items()}
+    best, chosen = -1.0, weights.share
+    for weights.share in tried:
+        right, total = _agreement(pages, weights)
+        if right / max(total, 1) > best + 1e-9:
+            best, chosen = right / max(total, 1), weights.share
+    weights.share = chosen
+
+
+def _agreement(labelled: list, weights: Weights) -> tuple[int, int]:
+    """Words that the scan puts where the labels do, of pages (events, start and end of the region), and all words."""
+    right = total = 0
+    for found, a, b in labelled:
+        score = scores(found, weights)
+        s, e = region(score)
+        for i, (kind, t, _) in enumerate(found):
+            if kind == "text":
+                n = len(t.split())
+                total += n
+                right += n * ((a < i < b) == (s <= i < e and score[i] > 0))
+    return right, total
+
+
 def fit(pages: list[str], tried=(1.0, 0.5, 0.25, 2.0)) -> Weights:
     """Weights from labelled pages, which mark their region; other pages are passed over. The weight of a word is the one
-    under which the scan finds most of the regions of up to 100 of them, word by word."""
+    under which the scan finds most of the regions of up to 100 of them, word by word. What holds for pages without a mark
+    is learnt from the same ones with marks and names taken away."""
     counts = _counts(pages)
     labelled = []
     for page in pages:
@@ -251,27 +343,27 @@ def fit(pages: list[str], tried=(1.0, 0.5, 0.25, 2.0)) -> Weights:
             labelled.append((found, a, b))
     best, chosen = -1.0, Weights(*counts)
     for word in tried if labelled else ():
-        weights, right, total = Weights(*counts, word=word), 0, 0
-        for found, a, b in labelled:
-            score = scores(found, weights)
-            s, e = region(score)
-            for i, (kind, t, _) in enumerate(found):
-                if kind == "text":
-                    n = len(t.split())
-                    total += n
-                    right += n * ((a < i < b) == (s <= i < e and score[i] > 0))
+        weights = Weights(*counts, word=word)
+        right, total = _agreement(labelled, weights)
         if right / max(total, 1) > best + 1e-9:
             best, chosen = right / max(total, 1), weights
+    _fit_forms(chosen, labelled)
     return chosen
 
 
 def scores(found: list[tuple[str, str, tuple[str, ...]]], weights: Weights) -> list[float]:
     """The score of each event; a text's is the sum of its words'. An element that speaks against itself, such as an advert
-    between paragraphs, costs MOST in all, so that the scan can pass it where enough words follow."""
+    between paragraphs, costs MOST in all, so that the scan can pass it where enough words follow. On a page without article
+    and main elements words also go by the form of their block, and groups cost a share of their words to enter or leave."""
     out, stack, root, spent = [], [0.0], None, 0.0
-    for kind, t, features in found:
+    marked = any(kind == "open" and t in LABELS for kind, t, _ in found)
+    cells, walls, heading = ({}, {}, []) if marked else _forms(found, weights)
+    titles, title = set(heading), sum(len(found[i][1].split()) for i in heading)
+    for i, (kind, t, features) in enumerate(found):
         if kind == "text":
             x = weights.of_word(stack[-1]) * len(t.split())
+            if x > 0 and i in cells:
+                x *= max(1.0, HEADING / title) if i in titles and cells[i][0] == 0 else weights.of_form(cells[i])
         elif kind == "open":
             own = weights.of(features)
             stack.append(min(stack[-1], own))
@@ -285,6 +377,8 @@ def scores(found: list[tuple[str, str, tuple[str, ...]]], weights: Weights) -> l
                 root = None
             stack.pop()
             x = weights.of_tag("/" + t, 0.0)
+        if i in walls:
+            x -= weights.share * weights.word * min(walls[i], HOLD)
         if root is not None and x < 0:
             x = min(max(x, spent - MOST), -1e-3)
             spent = min(MOST, spent - x)

@@ -7,8 +7,10 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -80,6 +82,34 @@ def test_html_keeps_what_only_looks_like_noise():
     assert html_extract.main_text(page, w) == "Title&x\nOne two\nthree four\na\nb\nc\nlast < 5"
 
 
+def _unnamed(page, r):
+    """A page whose class, id and role names were never seen, without the element that marks its article."""
+    page = re.sub(r"<(/?)article", r"<\1div", page)
+    return re.sub(r'(class|id|role)="[^"]*"', lambda m: f'{m[1]}="{"".join(r.choice("bcdfgh") for _ in range(8))}"', page)
+
+
+def test_html_without_known_names():
+    pages = [r.html for r in pq.read_table(f"{SF}/pages.parquet").to_pandas().sort_values("page_id").itertuples()]
+    w = html_extract.fit(pages[::2])
+    r = random.Random(8)
+    some = lambda n: " ".join(r.choice("notice reply offer story cookie menu".split()) for _ in range(n))
+    both, shown, wanted = 0, 0, 0
+    for page in pages[1::2]:
+        true = Counter(html_extract.main_text(page[page.index("<article") : page.index("</article>")], w).split())
+        top = f'<div class="u1"><p>{some(14)}</p><button>OK</button></div><ul class="u2">' + "".join(f'<li><a href="/">{some(1)}</a></li>' for _ in range(4)) + "</ul>"
+        end = f'<div class="u3"><p>{some(10)} <a href="/">{some(3)}</a></p></div><div><h3>{some(2)}</h3><ul>' + "".join(f'<li><a href="/">{some(8)}</a></li>' for _ in range(5)) + "</ul></div>"
+        end += f"<section><h2>{some(1)}</h2>" + "".join(f'<div class="u4"><span>{some(1)}</span><p>{some(12)}</p></div>' for _ in range(5)) + "</section>"
+        got = Counter(html_extract.main_text(_unnamed(page.replace("<article>", top + "<article>").replace("</article>", "</article>" + end), r), w).split())
+        both, shown, wanted = both + sum((true & got).values()), shown + got.total(), wanted + true.total()
+    assert both > 0.95 * shown and both > 0.95 * wanted
+    menu = "".join(f'<a href="/{i}">{some(2)}</a> ' for i in range(80))
+    body = " ".join(["short body"] * 10)
+    assert html_extract.main_text(f'<body><div class="q">{menu}</div><div class="z"><h1>Head</h1><p>{body}</p></div>', w) == f"Head\n{body}"
+    # sections of one text stay, however many elements hold them
+    parts = [f"<section><h2>Part</h2><div><p>{body} {body}</p></div></section>" for _ in range(4)]
+    assert html_extract.main_text(f"<body><div><div>{''.join(parts)}</div></div>", w).count(body) == 8
+
+
 def test_html_takes_linear_time():
     w = html_extract.fit([_site(random.Random(i))[0] for i in range(5)])
     for x in ("<p>", "<div>", "<li>", '<a b="', "<table><tr><td>", "<ul><li>", "<b></i>", "<!--", "<"):
