@@ -561,6 +561,26 @@ def test_small_label_beside_a_large_one(spark):
     assert nn_descent.audit(copies, labels, 0.9) < 0.6
 
 
+def test_audit_of_counts(spark, monkeypatch):
+    """Counts that lack links are seen, and lead to counts of whole components."""
+    r = np.random.default_rng(2)
+    t = np.arange(200) * 0.18
+    x = np.stack([np.cos(t), np.sin(t), t / 3], axis=1)
+    n, root = _links(x, np.zeros(200, dtype=int))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    classes = _classes(spark, {"a/3": list(enumerate(x))})
+    some = classes.where("rep % 2 = 0").select("rep")
+    counts = lambda share: spark.createDataFrame([(i, int(v * share)) for i, v in enumerate(n.tolist()) if i % 2 == 0], "rep long, links long")
+    assert nn_descent.audit_counts(classes, counts(1.0), some, 0.93) == 1.0
+    assert nn_descent.audit_counts(classes, counts(0.5), some, 0.93) <= 0.5
+    assert nn_descent.audit_counts(classes, counts(1.0).where("rep < 100"), some, 0.93) < 0.7
+    monkeypatch.setattr(nn_descent, "SMALL", 20)
+    monkeypatch.setattr(nn_descent, "_listed_counts", lambda lists, classes, some, threshold: some.select("rep", F.lit(0).cast("long").alias("links")))
+    rows = spark.createDataFrame([(i, [float(v) for v in y], 0) for i, y in enumerate(x[r.permutation(200)])], "vec_id long, embedding array<double>, label int")
+    got = {q.vec_id: q.n_links for q in nn_descent.near_duplicates(rows).collect()}
+    assert sorted(got.values()) == sorted(n.tolist())
+
+
 def test_nested_copies(spark):
     """Lists full of copies: tight clusters of 40 whose centres are linked to each other only."""
     r = np.random.default_rng(21)
