@@ -17,6 +17,15 @@ def _number(row: int, column: int) -> int:
     return sum((row >> b & 1) << (2 * b + 1) | (column >> b & 1) << (2 * b) for b in range(20))
 
 
+def box_of(corners: tuple[int, ...]) -> tuple[int, int, int, int]:
+    """The box (first y, first x, end y, end x) of corners (x, y, end x, end y), or of (x, y, z, end x, end y, end z), whose z
+    is that of a filter on images. ValueError for any other number of corners."""
+    if len(corners) not in (4, 6):
+        raise ValueError(f"a box has 4 or 6 numbers, not {len(corners)}")
+    half = len(corners) // 2
+    return corners[1], corners[0], corners[half + 1], corners[half]
+
+
 def write(pixels: DataFrame, path: str, size: int, mode: str = "overwrite") -> None:
     """Write pixels (y, x and whatever else) in tiles of `size` pixels, each with its rows in order, so that row groups hold ranges of
     y. Tiles that pixels do not touch stay as they are; so a block of the raster is rewritten by writing the tiles that it
