@@ -295,10 +295,11 @@ def displacement_mm(spark, sf):
     return src.series(spark, sf).select("point_id", "id", mm.alias("mm")).select("point_id", "id", _r("mm"))
 
 
-@_add(f"WITH {_EV} SELECT point_id, id, round(100 * value * {LAMBDA} / (4 * pi()), 6) + 0.0 AS cm FROM ev WHERE id BETWEEN 8 AND 23")
+@_add(f"WITH {_PP} SELECT point_id, k, round(100 * phase * {LAMBDA} / (4 * pi()), 6) + 0.0 AS cm FROM pp WHERE k BETWEEN 8 AND 23")
 def image_range_cm(spark, sf):
-    some = ph.images_between(src.series(spark, sf), 8, 24, "id")
-    return some.select("point_id", "id", ph.in_unit(F.col("value") * LAMBDA / (4 * math.pi), "cm").alias("cm")).select("point_id", "id", _r("cm"))
+    """Line-of-sight lengths of a range of images, for every point."""
+    some = ph.images_between(src.phases(spark, sf), 8, 24)
+    return some.select("point_id", "k", ph.in_unit(F.col("phase") * LAMBDA / (4 * math.pi), "cm").alias("cm")).select("point_id", "k", _r("cm"))
 
 
 @_add(f"WITH {_EV} SELECT point_id, id, round(4 * pi() / {LAMBDA} * t * 0.01 + 4 * pi() / {LAMBDA} * (value / 10) / (850000 * sin(0.6)) * 12, 6) + 0.0 AS phase FROM ev")
