@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,15 +219,14 @@ def metric_edges(height: int, width: int, length_m: float, width_m: float, size:
 
 
 def boxed(points: DataFrame, rows: list[int], columns: list[int]) -> DataFrame:
-    """points with box_y and box_x, the numbers of the boxes between the edges; null outside of all."""
+    """points with box_y and box_x, the numbers of the boxes between the edges; null outside of all. Edges are searched by
+    bisection, so a point costs the logarithm of their number."""
 
-    def number(at: str, edges: list[int]) -> Column:
-        out = F.lit(None).cast("int")
-        for i, e in reversed(list(enumerate(edges[1:]))):
-            out = F.when(F.col(at) < e, F.lit(i)).otherwise(out)
-        return out
+    def numbered(df: DataFrame, at: str, edges: list[int], out: str) -> DataFrame:
+        found = Bucketizer(splits=[float(e) for e in edges] + [float("inf")], inputCol=at, outputCol=out, handleInvalid="keep").transform(df)
+        return found.withColumn(out, F.when((F.col(at) >= edges[0]) & (F.col(at) < edges[-1]), F.col(out).cast("int")))
 
-    return points.withColumn("box_y", number("y", rows)).withColumn("box_x", number("x", columns))
+    return numbered(numbered(points, "y", rows, "box_y"), "x", columns, "box_x")
 
 
 def along_ways(points: DataFrame, vertices: DataFrame, half: float) -> DataFrame:

@@ -98,3 +98,13 @@ def test_densification(spark):
 def test_box_edges():
     assert pixels.box_edges(100, 3) == [0, 33, 66, 100] and pixels.box_edges(25, 4) == [0, 6, 12, 18, 25]
     assert pixels.box_edges(10, 4) == [0, 2, 4, 6, 8, 10] and pixels.box_edges(3, 1) == [0, 3]
+
+
+def test_many_boxes(spark):
+    """Thousands of boxes along one axis are no deeper an expression than a few; what is outside of all has no number."""
+    edges = pixels.box_edges(9000, 4000)
+    at = [-1, 0, 1, 2, 3, 4444, 8997, 8999, 9000]
+    rows = spark.createDataFrame([(i, y, y % 3) for i, y in enumerate(at)], "point_id long, y int, x int")
+    got = {g.point_id: (g.box_y, g.box_x) for g in pixels.boxed(rows, edges, [1, 2, 7]).collect()}
+    between = lambda v, e: next((i for i in range(len(e) - 1) if e[i] <= v < e[i + 1]), None)
+    assert len(edges) > 4000 and got == {i: (between(y, edges), between(y % 3, [1, 2, 7])) for i, y in enumerate(at)}
