@@ -92,3 +92,23 @@ def test_ranks(spark):
     assert [got[i] for i in sorted(range(40), key=order)] == list(range(40))
     one = ranked(_places(spark, [5.0], [5.0]).withColumn("z", F.lit(1)))
     assert [tuple(g) for g in one.collect()] == [(0, 0)] and ranked(_places(spark, [5.0], [5.0]).where("false")).count() == 0
+
+
+def test_tiles_joined_over_jobs(spark, monkeypatch):
+    """Two levels in the first job and one or two in each later one, as many elements in an array as borders allow."""
+    for name, value in (("TILE", 2), ("NEST", 1), ("JOIN", 0), ("TOGETHER", 300)):
+        monkeypatch.setattr(elimination, name, value)
+    assert elimination._steps(142) == [(2, 4), (6,), (8,)]
+    r = np.random.default_rng(4)
+    y, x, arcs = _lattice(r, 11, 13, 1.0)
+    w, f = 0.5 + r.random((len(arcs), 2)), r.standard_normal((len(arcs), 4))
+    frame = spark.createDataFrame([(0, int(a), int(b), [float(v) for v in p], [float(v) for v in q]) for (a, b), p, q in zip(arcs, w, f)], "part int, a long, b long, w array<double>, f array<double>")
+    got = {g.node: g.x for g in elimination.solve(frame, 142, 37).collect()}
+    design = np.zeros((len(arcs), 143))
+    design[np.arange(len(arcs)), arcs[:, 0]], design[np.arange(len(arcs)), arcs[:, 1]] = 1, -1
+    design = np.delete(design, 37, 1)
+    want = np.concatenate([np.linalg.solve(design.T @ (w[:, e, None] * design), design.T @ f[:, 2 * e : 2 * e + 2]) for e in (0, 1)], axis=1)
+    assert got[37] == [0] * 4 and np.allclose([got[i] for i in range(143) if i != 37], want, atol=1e-9)
+    pairs = spark.createDataFrame([(int(a), int(b)) for a, b in arcs], "a long, b long")
+    ends = [{int(n) for p in arcs if p[0] >> s != p[1] >> s for n in p} for s in (4, 6, 8)]
+    assert elimination._widest(pairs, 142) == max(sum(n >> s == t for n in e) for s, e in zip((4, 6, 8), ends) for t in range(9))
