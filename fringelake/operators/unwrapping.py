@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.phase import wrap
 
+#: Rows that are searched together.
+ROWS = 256
+
 
 def unit_vectors(observations: DataFrame, *by: str) -> DataFrame:
     """(by..., k, re, im): mean unit vector of the phases of each epoch. The coherence of several arcs together depends on
@@ -70,22 +73,31 @@ def estimate(z: np.ndarray, a: np.ndarray, b: np.ndarray, bounds: tuple[float, f
 
 def search(stacked: DataFrame, by: list[str], demerr_bound: float, velocity_bound: float, samples: int = 100) -> DataFrame:
     """(by..., demerr, vel, gamma) for each row of stacks(), in whose model the elevation error counts `factor` times, if there is such
-    a column. Rows are independent; those of one batch with the same epochs are
-    searched together."""
+    a column. Rows are independent; of ROWS of them those with the same epochs are
+    searched together, so a task's memory does not follow the size of its batches."""
     kinds = {f.name: f.dataType.simpleString() for f in stacked.schema.fields}
     out = ", ".join(f"{x} {kinds[x]}" for x in by) + ", demerr double, vel double, gamma double"
 
     def run(batches):
-        for rows in batches:
-            same = [(np.asarray(a, dtype=float).tobytes(), np.asarray(b, dtype=float).tobytes()) for a, b in zip(rows["of_demerr"], rows["of_vel"])]
-            for key, part in rows.groupby(pd.Series(same, index=rows.index), sort=False):
-                a, b = (np.frombuffer(k) for k in key)
-                z = np.stack([np.asarray(r) + 1j * np.asarray(i) for r, i in zip(part["re"], part["im"])])
-                factor = part["factor"].to_numpy(dtype=float) if "factor" in part else None
-                x, gamma = estimate(z, a, b, (demerr_bound, velocity_bound), samples, factor)
-                yield part[by].reset_index(drop=True).assign(demerr=x[:, 0], vel=x[:, 1], gamma=gamma)
-
-    return stacked.mapInPandas(run, out)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(at, ROWS)
+                arrays = {c: rows.column(c) for c in ("re", "im", "of_demerr", "of_vel")}
+                ends = arrays["re"].offsets.to_numpy()
+                values = {c: x.flatten().to_numpy(zero_copy_only=False) for c, x in arrays.items()}
+                same: dict[tuple, list[int]] = {}
+                for i, (a, z) in enumerate(zip(ends - ends[0], ends[1:] - ends[0])):
+                    same.setdefault((values["of_demerr"][a:z].tobytes(), values["of_vel"][a:z].tobytes()), []).append(i)
+                factor = rows.column("factor").to_numpy(zero_copy_only=False).astype(float) if "factor" in rows.schema.names else None
+                for key, places in same.items():
+                    a, b = (np.frombuffer(k) for k in key)
+                    epochs = (ends[places] - ends[0])[:, None] + np.arange(len(a))
+                    z = values["re"][epochs] + 1j * values["im"][epochs]
+                    x, gamma = estimate(z, a, b, (demerr_bound, velocity_bound), samples, None if factor is None else factor[places])
+                    kept = rows.select(by).take(pa.array(places))
+                    yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(gamma)], names=[*by, "demerr", "vel", "gamma"])
+
+    return stacked.mapInArrow(run, out)
 
 
 def _with_factors(stacked: DataFrame, factors: DataFrame | None, *by: str) -> DataFrame:

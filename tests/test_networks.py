@@ -108,3 +108,27 @@ def test_many_boxes(spark):
     got = {g.point_id: (g.box_y, g.box_x) for g in pixels.boxed(rows, edges, [1, 2, 7]).collect()}
     between = lambda v, e: next((i for i in range(len(e) - 1) if e[i] <= v < e[i + 1]), None)
     assert len(edges) > 4000 and got == {i: (between(y, edges), between(y % 3, [1, 2, 7])) for i, y in enumerate(at)}
+
+
+def test_search_in_small_pieces(spark, monkeypatch):
+    """Rows are searched a few at a time, whatever the batches hold; pieces with other epochs and factors change nothing."""
+    r = np.random.default_rng(6)
+    rows = []
+    for i in range(23):
+        epochs = np.linspace(-1, 1, 12 if i % 3 else 9)
+        of = [(0.5 + r.random()) * np.cos(3 * epochs), epochs] if i == 7 else [np.cos(3 * epochs), epochs]
+        z = np.exp(1j * (of[0] * (i % 4) * (1 + i % 2) + of[1] * 1.5))
+        rows.append((i, *[[float(v) for v in x] for x in (z.real, z.imag, *of)], float(1 + i % 2)))
+    frame = spark.createDataFrame(rows, "i long, re array<double>, im array<double>, of_demerr array<double>, of_vel array<double>, factor double").coalesce(1)
+    sizes, estimate = spark.sparkContext.accumulator(0), unwrapping.estimate
+
+    def seen(z, *rest):
+        if len(z) > 4:
+            sizes.add(1)
+        return estimate(z, *rest)
+
+    monkeypatch.setattr(unwrapping, "ROWS", 4)
+    monkeypatch.setattr(unwrapping, "estimate", seen)
+    got = {g.i: g for g in unwrapping.search(frame, ["i"], 4.0, 4.0, 20).collect()}
+    assert sizes.value == 0 and len(got) == 23
+    assert all(abs(got[i].demerr - i % 4) < 1e-6 and abs(got[i].vel - 1.5) < 1e-6 and got[i].gamma > 1 - 1e-9 for i in got)
