@@ -17,10 +17,9 @@ THRESHOLD = 0.93
 LIST, TABLES, BLOCK, ROUNDS = 8, 4, 32, 3
 #: Vectors of the audit, at most, the recall that it asks for, the one without which there is no result, and turns at most.
 AUDIT, RECALL, LEAST, TURNS = 1000, 0.97, 0.9, 12
-#: Components of so many members are counted by all their pairs; in larger ones only the members whose list is full of links.
-SMALL = 4096
-#: Members of a component compared at once, at least and at most.
-MEMBERS = (256, 4096)
+#: Members of a component compared at once, at most, and both bounds. No result depends on them.
+SMALL = 16384
+MEMBERS = (256, SMALL)
 
 
 def _matrix(column, kind) -> np.ndarray:
@@ -213,7 +212,7 @@ def _exact(lists: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
 
 def link_counts(members: DataFrame, threshold: float, block: tuple[int, int] = MEMBERS) -> DataFrame:
     """(rep, links) for the members (rep, component, n, vec, ask) of which ask is true: how many vectors of other classes of
-    its component a class is linked to.
+    its component a class is linked to. Products grow with the square of a component, rows do not.
 
     The list of each member that asks is enlarged to its whole component, in which all its partners are. Members are dealt
     to blocks, those that ask to the first ones; only pairs of blocks of which one asks meet in a task, which returns one
@@ -253,7 +252,7 @@ def link_counts(members: DataFrame, threshold: float, block: tuple[int, int] = M
 
 
 def _listed_counts(lists: DataFrame, classes: DataFrame, some: DataFrame, threshold: float) -> DataFrame:
-    """(rep, links) of the classes some (rep): the vectors of the classes in their lists that reach the threshold."""
+    """(rep, links) of the classes some (rep), by lists alone, for a comparison with link_counts(): the vectors of the classes in their lists that reach the threshold."""
     pairs = _exact(lists.join(some.withColumnRenamed("rep", "src"), "src", "left_semi"), classes, threshold)
     ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other")))
     weight = classes.select(F.col("rep").alias("other"), "n")
@@ -328,9 +327,8 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, size: int = L
     pairs that reach the threshold in double precision make components. An audit after each turn compares some vectors with
     all others. As long as it finds too few links in components, or a list is saturated, that is full of links, new random
     tables and rounds follow, in which each list is enlarged by `size` places for vectors outside of the component. A recall
-    under 0.9 after all turns raises RuntimeError, one under `recall` a warning. At last saturated lists, and all lists of
-    components of up to 4096 members, are enlarged to the whole component, in blocks; the other lists hold all their links,
-    or nearly: a second audit compares the counts of some of them with all others, and under `recall` all are enlarged.
+    under 0.9 after all turns raises RuntimeError, one under `recall` a warning. At last all lists are enlarged to the whole component, in
+    blocks, whatever its size: numbers of links are those of all pairs of a component in double precision.
     Vectors that are null, zero or hold null or non-finite components, and those without a
     label or id, link with nothing: no links, a component of their own. Rows with one vec_id count one by one, each with
     its own label. An empty
@@ -381,17 +379,9 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, size: int = L
         raise RuntimeError(f"NN-descent: an audit found a recall of {got:.3f} after all its turns")
     if got < recall:
         warnings.warn(f"NN-descent: an audit found a recall of {got:.3f}, less than {recall}, after all its turns", stacklevel=2)
-    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    linked = classes.join(labels, classes.rep == labels.node).join(sizes, "component").join(full.select(F.col("src").alias("rep"), F.lit(True).alias("full")).distinct(), "rep", "left")
-    linked = linked.select("component", "rep", "n", "vec", ((F.col("members") <= SMALL) | F.col("full").isNotNull()).alias("ask"))
-    counts, listed = link_counts(linked, threshold), linked.where("not ask").select("rep")
-    if not listed.isEmpty():
-        some = scratch(_listed_counts(lists, classes, listed, threshold), "listed")
-        # lists that lack too many of their links are enlarged like the saturated ones
-        if audit_counts(classes, some, listed, threshold) >= recall:
-            counts = counts.unionByName(some)
-        else:
-            counts = link_counts(linked.withColumn("ask", F.lit(True)), threshold)
+    # all pairs of each component, large or small
+    linked = classes.join(labels, classes.rep == labels.node).select("component", "rep", "n", "vec", F.lit(True).alias("ask"))
+    counts = link_counts(linked, threshold)
     least = classes.join(labels, classes.rep == labels.node).groupBy("component").agg(F.min("low").alias("least"))
     of = classes.select("grp", "vec", "rep", "low", "n").join(labels, F.col("rep") == F.col("node"), "left").drop("node").join(least, "component", "left")
     of = of.join(counts.withColumnRenamed("rep", "c_rep"), F.col("rep") == F.col("c_rep"), "left")

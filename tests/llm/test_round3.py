@@ -348,3 +348,18 @@ def test_limit_of_urls(spark):
         right = [round((bad < x).sum() * 60 + (good >= x).sum() * 40) for x in tried]
         want = min((x for x, n in zip(tried, right) if n == max(right)), key=abs)
         assert want != 0 and url_filter._limit(spark.createDataFrame(rows, "said string, score double")) == pytest.approx(want, abs=1e-12)
+
+
+def test_link_counts_by_one_rule(spark, monkeypatch):
+    """Large components are counted by all their pairs like small ones; lists and their audit give no counts."""
+    monkeypatch.setattr(nn_descent, "SMALL", 20)
+    monkeypatch.setattr(nn_descent, "audit_counts", lambda *_: 1.0)
+    monkeypatch.setattr(nn_descent, "_listed_counts", lambda lists, classes, some, threshold: some.select("rep", F.lit(0).cast("long").alias("links")))
+    t = np.arange(150) * 0.18  # a chain of 150 and one of 12
+    x = np.concatenate([np.stack([np.cos(t), np.sin(t), t / 3], axis=1), np.stack([np.cos(t[:12]), np.sin(t[:12]), -t[:12] / 3 - 5], axis=1)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, [float(v) for v in y], int(i >= 150)) for i, y in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {q.vec_id: q.n_links for q in nn_descent.near_duplicates(rows).collect()}
+    label = np.arange(162) >= 150
+    near = (x @ x.T >= 0.93) & (label[:, None] == label[None, :])
+    assert [got[i] for i in range(162)] == (near.sum(axis=1) - 1).tolist()
